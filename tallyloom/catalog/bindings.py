@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.sources.readers import read_table
+
 # Keywords of the catalog; the last one never occurs.
 KEYWORDS = ["the", "of", "and", "le", "de", "la", "que", "en", "der", "und", "el", "y", "zyxwvut"]
 EVENT_CLASSES = ["click", "view", "error", "signup", "purchase"]
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    spread_by = "doc_id" if name == "documents" else None
+    return read_table(spark, f"{sf}/{name}.parquet", spread_by)
 
 
 def string(name: str):

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.config import LIMITS, LabelConfig
 from tallyloom.functions.hashing import seeded_digest
-from tallyloom.operators.rowindex import digest_at_rank, hash_order_index, row_index, value_at_rank
+from tallyloom.operators.rowindex import digests_at_ranks, hash_order_index, row_index, value_at_rank
 from tallyloom.operators.skew import lookup_join
 from tallyloom.operators.staging import stage
 
@@ -84,6 +84,7 @@ def true_label_counts(merged: DataFrame) -> DataFrame:
 
 def _dense_rank(distinct: DataFrame, order: str, name: str) -> DataFrame:
     """Dense 0-based rank of a distinct set; one sorted task only while the set is small."""
+    distinct = stage(distinct)
     if distinct.count() <= LIMITS.broadcast_rows:
         return distinct.withColumn(name, (F.row_number().over(W.orderBy(order)) - 1).cast("long"))
     return row_index(distinct, order, name=name)
@@ -180,28 +181,30 @@ def _cut(rows: DataFrame, n: int, out: int, names: tuple[str, str], order: str)
     return rows.withColumn("split", F.when(F.col(order) >= F.lit(cut), names[1]).otherwise(names[0]))
 
 
-def three_way_split(rows: DataFrame, config: LabelConfig = LabelConfig(), key: str = "row_idx") -> DataFrame:
+def three_way_split(
+    rows: DataFrame, config: LabelConfig = LabelConfig(), key: str = "row_idx", total: int | None = None
+) -> DataFrame:
     """Random train / validation / test split in one pass. Adds `split`.
 
     Rows in permuted order: the last int(n * t) are test, of the rest the last int(rest * v / (1 - t))
     are validation. Two hash values mark the cuts, so no row is sorted or moved.
     """
     digest = seeded_digest(config.seed, F.col(key))
-    n = rows.count()
-    n_test = held_out(n, config.test_ratio)
-    rest = n - n_test
-    n_validation = held_out(rest, config.validation_ratio / (1 - config.test_ratio))
+    n = rows.count() if total is None else total
+    rest = n - held_out(n, config.test_ratio)
+    train = rest - held_out(rest, config.validation_ratio / (1 - config.test_ratio))
+    cuts = digests_at_ranks(rows, digest, sorted({train, rest}), n)
     split = F.lit("train")
-    if n_validation:
-        split = F.when(digest >= digest_at_rank(rows, digest, rest - n_validation), "validation").otherwise(split)
-    if n_test:
-        split = F.when(digest >= digest_at_rank(rows, digest, rest), "test").otherwise(split)
+    if train < rest:
+        split = F.when(digest >= cuts[train], "validation").otherwise(split)
+    if rest < n:
+        split = F.when(digest >= cuts[rest], "test").otherwise(split)
     return rows.withColumn("split", split)
 
 
 def true_label_split(rows: DataFrame, true_rows: DataFrame, validation_ratio: float) -> DataFrame:
     """Hand-made labels are the test split as they are; everyone else is split by position, unshuffled."""
-    others = stage(exclude_users(rows, true_rows))
+    others = stage(exclude_users(rows, true_rows))  # counted and searched before it is read
     parts = split_labels(others, validation_ratio, ("train", "validation"))
     test = true_rows.withColumn("split", F.lit("test"))
     return parts.unionByName(test.select(*parts.columns))

@@ -18,6 +18,7 @@ from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -149,7 +150,7 @@ def _pack_by_parts(texts: DataFrame, heavy: HeavyKeys, room: int, overflow: str,
     parts = stage(texts.withColumn("part", F.expr(f"ord div {width}L")))
     key_type = texts.schema["uid"].dataType.simpleString()
 
-    def transitions(key, table: pa.Table) -> pa.Table:
+    def transitions(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         ks = table.sort_by("ord").column("k").to_numpy()
         sizes, closed = _transition(ks, room, carry)
         return pa.table({
@@ -204,7 +205,7 @@ def _pack_by_parts(texts: DataFrame, heavy: HeavyKeys, room: int, overflow: str,
             "uid": table.column("uid"),
             "chunk_idx": pa.array(chunks, pa.int64()),
             "ord": table.column("ord"),
-            "piece": pa.compute.if_else(pa.array(keep), table.column("piece"), pa.scalar(None, pa.string())),
+            "piece": pc.if_else(pa.array(keep), table.column("piece"), pa.scalar(None, pa.string())),
         })
 
     # Parts hold at most `width` rows, so this join and grouping are balanced.

@@ -115,23 +115,31 @@ def value_at_rank(df: DataFrame, order: str, rank: int) -> int | None:
     return values.orderBy("v").offset(rank).limit(1).first()["v"]
 
 
-def digest_at_rank(df: DataFrame, digest: Column, rank: int) -> str | None:
-    """The hash value at a 0-based rank of a uniform unique hex digest; None past the end."""
-    values = df.select(digest.alias("d"))
-    n = values.count()
-    if rank < 0 or rank >= n:
-        return None
-    digits = 0
-    while n > _SMALL_BUCKET and digits < 32:
-        digits += _HASH_DIGITS
-        blocks = values.groupBy(F.substring("d", 1, digits).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()
-        for block in sorted(blocks, key=lambda r: r["b"]):
-            if rank < block["n"]:
-                prefix, n = block["b"], block["n"]
-                break
-            rank -= block["n"]
-        values = values.filter(F.substring("d", 1, digits) == prefix)
-    return values.orderBy("d").offset(rank).limit(1).first()["d"]
+def digests_at_ranks(df: DataFrame, digest: Column, ranks: list[int], n: int) -> dict[int, str]:
+    """The hash values at 0-based ranks of a uniform unique hex digest over n rows.
+
+    Short tables are ranked at once. Otherwise one histogram of leading digits, at most 65,536
+    entries, finds the bucket of every rank, and the bucket is searched the same way.
+    """
+    ranks = [r for r in ranks if 0 <= r < n]
+    return _search_digests(df.select(digest.alias("d")), ranks, n, _HASH_DIGITS) if ranks else {}
+
+
+def _search_digests(values: DataFrame, ranks: list[int], n: int, digits: int) -> dict[int, str]:
+    if n <= _SMALL_BUCKET or digits > 32:
+        # At most _SMALL_BUCKET rows reach this single sorted task.
+        placed = values.withColumn("at", F.row_number().over(W.orderBy("d")) - 1)
+        return {r["at"]: r["d"] for r in placed.filter(F.col("at").isin(ranks)).collect()}
+    blocks = values.groupBy(F.substring("d", 1, digits).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()
+    found, start = {}, 0
+    for block in sorted(blocks, key=lambda r: r["b"]):
+        inside = [r - start for r in ranks if start <= r < start + block["n"]]
+        if inside:
+            bucket = values.filter(F.substring("d", 1, digits) == block["b"])
+            hits = _search_digests(bucket, inside, block["n"], digits + _HASH_DIGITS)
+            found.update({start + at: d for at, d in hits.items()})
+        start += block["n"]
+    return found
 
 
 def file_order_index(scan: DataFrame, name: str = "row_idx") -> DataFrame:

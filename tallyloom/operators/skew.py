@@ -57,7 +57,10 @@ def measure(df: DataFrame) -> tuple[int, int]:
 
 @dataclass(frozen=True)
 class HeavyKeys:
-    """Keys whose groups exceed a bound. `table` is set only when there are too many to inline."""
+    """Keys whose groups exceed a bound.
+
+    With too many to inline they are in `table`; `values` then tells only whether the missing key is one.
+    """
 
     key: str
     values: tuple
@@ -70,15 +73,15 @@ class HeavyKeys:
 
     def mark(self, df: DataFrame, name: str = "_heavy") -> DataFrame:
         """Add a boolean column: does the row belong to an oversized group?"""
-        if self.table is None:
-            known = [v for v in self.values if v is not None]
-            flag = F.col(self.key).isin(known) if known else F.lit(False)
-            if None in self.values:
-                flag = F.col(self.key).isNull() | flag
-            return df.withColumn(name, F.coalesce(flag, F.lit(False)))
-        # At most rows / bound keys. Spark sees the size of the staged file and decides by its threshold.
-        marks = self.table.select(self.key, F.lit(True).alias(name))
-        return df.join(marks, self.key, "left").withColumn(name, F.coalesce(F.col(name), F.lit(False)))
+        known = [v for v in self.values if v is not None]
+        flag = F.col(self.key).isin(known) if known else F.lit(False)
+        if None in self.values:
+            flag = F.col(self.key).isNull() | flag
+        if self.table is not None:
+            # At most rows / bound keys. Spark sees the size of the staged file and picks the join.
+            df = df.join(self.table.select(self.key, F.lit(True).alias("_listed")), self.key, "left")
+            flag = F.col("_listed").isNotNull() | flag
+        return df.withColumn(name, F.coalesce(flag, F.lit(False))).drop("_listed")
 
 
 def heavy_keys(
@@ -102,8 +105,10 @@ def heavy_keys(
             max((r["m"] or 0 for r in found), default=0),
         )
     table = stage(groups)
-    top = table.agg(F.max("n").alias("n"), F.max("m").alias("m")).first()
-    return HeavyKeys(key, (), table, top["n"], top["m"] or 0)
+    top = table.agg(
+        F.max("n").alias("n"), F.max("m").alias("m"), F.count_if(F.col(key).isNull()).alias("missing")
+    ).first()
+    return HeavyKeys(key, (None,) if top["missing"] else (), table, top["n"], top["m"] or 0)
 
 
 def with_part(

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -168,7 +169,7 @@ def _matrix(table: pa.Table) -> np.ndarray:
 def _roles(table: pa.Table) -> dict[str, pa.Table]:
     ordered = table.sort_by("slot")
     role = ordered.column("role")
-    return {name: ordered.filter(pa.compute.equal(role, name)) for name in ("anchor", "positive", "negative")}
+    return {name: ordered.filter(pc.equal(role, name)) for name in ("anchor", "positive", "negative")}
 
 
 def _distances(negatives: np.ndarray, anchors: np.ndarray) -> np.ndarray:

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.config import LabelConfig, MiningConfig, TextConfig
+from tallyloom.config import UNKNOWN_LABEL, LabelConfig, MiningConfig, TextConfig
+from tallyloom.functions.text import DELIMITERS, word_count
 from tallyloom.operators.keywords import keyword_counts, keyword_counts_by
 from tallyloom.operators.labels import (
     assign_label_ids,
@@ -18,12 +19,12 @@ from tallyloom.operators.labels import (
     true_label_split,
 )
 from tallyloom.operators.packing import pack_by_uid
-from tallyloom.operators.posts import concat_by_uid, label_posts, split_posts_by_uid
-from tallyloom.operators.triplets import embedded_batches, top_triplets, triplet_loss, triplet_vectors
+from tallyloom.operators.posts import concat_by_uid, filter_posts_by_uid
+from tallyloom.operators.skew import lookup_join
 from tallyloom.operators.staging import stage
+from tallyloom.operators.triplets import embedded_batches, top_triplets, triplet_loss, triplet_vectors
 from tallyloom.plans.models import EmbedderFactory, embed_posts
 from tallyloom.plans.tokenize import TokenizerFactory, plugged_token_count, tokenize
-from tallyloom.functions.text import DELIMITERS, word_count
 
 
 def prepare_labels(
@@ -39,14 +40,16 @@ def prepare_labels(
     dictionary unless `map_test` is off.
     """
     dictionary = label_dictionary(rows, existing)
+    # The filtered label file is written once: counting, cutting and joining all start from it.
+    filtered = stage(assign_label_ids(rows, dictionary))
     if true_rows is None:
-        return three_way_split(assign_label_ids(rows, dictionary), config), dictionary
+        return three_way_split(filtered, config), dictionary
     if map_test:
         dictionary = label_dictionary(true_rows, dictionary)
         test = assign_label_ids(true_rows, dictionary)
     else:
         test = nonempty_labels(true_rows)
-    return true_label_split(assign_label_ids(rows, dictionary), test, config.validation_ratio), dictionary
+    return true_label_split(filtered, test, config.validation_ratio), dictionary
 
 
 def user_split(split_rows: DataFrame) -> DataFrame:
@@ -54,13 +57,30 @@ def user_split(split_rows: DataFrame) -> DataFrame:
     return split_rows.select("uid", "split").distinct()
 
 
+def _label_rank() -> Column:
+    rank = F.when(F.col("split") == "test", 2).when(F.col("split") == "validation", 1).otherwise(0)
+    return F.struct(rank.alias("r"), F.col("row_idx"))
+
+
 def user_label(split_rows: DataFrame) -> DataFrame:
     """One integer label per user; rows of later splits win: train, validation, test."""
-    rank = F.when(F.col("split") == "test", 2).when(F.col("split") == "validation", 1).otherwise(0)
-    ranked = split_rows.withColumn("_order", F.struct(rank.alias("r"), F.col("row_idx")))
+    ranked = split_rows.withColumn("_order", _label_rank())
     return labels_last_wins(ranked, "_order").withColumn("label", F.col("label").cast("int"))
 
 
+def user_table(split_rows: DataFrame) -> DataFrame:
+    """`(uid, splits, label)`: the splits of a user, at most one entry per split name, and the label."""
+    return split_rows.groupBy("uid").agg(
+        F.collect_set("split").alias("splits"), F.max_by("label", _label_rank()).cast("int").alias("label")
+    )
+
+
+def place(rows: DataFrame, users: DataFrame) -> DataFrame:
+    """Add split and label of each row's user in one join; a user in two splits is in both."""
+    joined = lookup_join(rows, users, "uid").withColumn("split", F.explode("splits")).drop("splits")
+    return joined.withColumn("label", F.coalesce("label", F.lit(UNKNOWN_LABEL)))
+
+
 def preprocess(
     posts: DataFrame,
     split_rows: DataFrame,
@@ -68,7 +88,6 @@ def preprocess(
     concatenate: bool = True,
     overflow: str = "carry",
     tokenizer: TokenizerFactory | None = None,
-    require_labels: bool = False,
     size: Column | None = None,
 ) -> DataFrame:
     """Posts to model inputs: pack, split by user, label, tokenize.
@@ -76,16 +95,14 @@ def preprocess(
     Columns `split, uid, tid, chunk_idx, text, label, input_ids, attention_mask`. Posts of users
     outside every split are dropped before their texts are packed.
     """
-    wanted = split_posts_by_uid(posts, user_split(split_rows).select("uid").distinct().withColumn("split", F.lit(""))).drop(
-        "split"
-    )
+    users = user_table(split_rows)
+    wanted = filter_posts_by_uid(posts, users)
     if concatenate:
         counter = word_count if tokenizer is None else plugged_token_count(tokenizer)
         rows = pack_by_uid(wanted, config, overflow, counter, size=size)
     else:
         rows = wanted.withColumn("chunk_idx", F.col("row_idx"))
-    placed = label_posts(split_posts_by_uid(rows, user_split(split_rows)), user_label(split_rows), require_labels)
-    return tokenize(placed, config, tokenizer).select(
+    return tokenize(place(rows, users), config, tokenizer).select(
         "split", "uid", "tid", "chunk_idx", "text", "label", "input_ids", "attention_mask"
     )
 
@@ -98,6 +115,7 @@ def preprocess_keywords(
     With a delimiter that is whitespace, the counts of the joined text are the sums over posts, so
     the joined text is never built. Other delimiters glue words together and need it.
     """
+    posts = filter_posts_by_uid(posts, split_rows)
     glued = DELIMITERS.get(config.delimiter, "").strip() != "" or config.delimiter not in DELIMITERS
     if glued:
         whole = concat_by_uid(posts, config.delimiter, order)
@@ -108,8 +126,7 @@ def preprocess_keywords(
         first = posts.groupBy("uid").agg(F.min_by("tid", order).alias("tid"))
         counts = keyword_counts_by(posts, ["uid"], keywords, config.keyword_cap)
         users = counts.join(first, "uid")
-    placed = label_posts(split_posts_by_uid(users, user_split(split_rows)), user_label(split_rows))
-    return placed.select("split", "uid", "tid", "label", "input_ids", "attention_mask")
+    return place(users, user_table(split_rows)).select("split", "uid", "tid", "label", "input_ids", "attention_mask")
 
 
 def mine_triplets(

@@ -11,6 +11,19 @@ from tallyloom.operators.labels import labels_last_wins
 from tallyloom.operators.rowindex import file_order_index
 
 
+def read_table(spark: SparkSession, path: str, spread_by: str | None = None) -> DataFrame:
+    """A Parquet table.
+
+    With `spread_by`, a table of fewer file splits than the session has cores is redistributed by that
+    unique column before expensive text work; a table with splits enough is read as it is.
+    """
+    rows = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    if spread_by is None or rows.rdd.getNumPartitions() >= cores:
+        return rows
+    return rows.repartition(cores, spread_by)
+
+
 def read_posts_csv(spark: SparkSession, path: str, indexed: bool = False, multi_line: bool = True) -> DataFrame:
     """Posts CSV with a header; columns are found by name. Empty text is missing text.
 
