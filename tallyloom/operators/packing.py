@@ -105,40 +105,58 @@ def _pack_by_fold(texts: DataFrame, room: int, overflow: str) -> DataFrame:
     )
 
 
-def _advance(n, k, room: int, carry: bool):
-    """One text of k tokens on one or many open-chunk sizes n: (new sizes, chunk closed?)."""
-    total = n + k
-    full = total >= room
-    if carry:
-        full = full & (n > 0)
-        after = np.where(full, k, total)
-    else:
-        after = np.where(full, 0, total)
-    return np.minimum(after, room), full
+def _next_cuts(ks: np.ndarray, room: int, carry: bool) -> np.ndarray:
+    """For each text: if it closes a chunk, which later text closes the next one; len(ks) for none."""
+    n = len(ks)
+    total = np.cumsum(ks)
+    rows = np.arange(n)
+    if not carry:  # the closing text is discarded, the next chunk starts empty
+        return np.searchsorted(total, total + room)
+    # The closing text opens the next chunk, and whatever follows an over-long text closes again.
+    after = np.maximum(np.searchsorted(total, total - ks + room), rows + 1)
+    # A chunk without tokens yet takes the next text whatever its size.
+    filled = np.where(ks > 0, rows, n)
+    first_filled = np.minimum.accumulate(filled[::-1])[::-1]
+    return np.append(after, n)[first_filled]
+
+
+def _first_cuts(ks: np.ndarray, entry: np.ndarray, nxt: np.ndarray, room: int, carry: bool) -> np.ndarray:
+    """The first text that closes a chunk when the open chunk already holds `entry` tokens."""
+    first = np.searchsorted(np.cumsum(ks), room - entry)
+    if carry and len(ks):
+        # From an empty chunk the first text is taken as it is, as if it had opened the chunk.
+        first = np.where(entry == 0, nxt[0], first)
+    return first
 
 
 def _transition(ks: np.ndarray, room: int, carry: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Exit size and number of closed chunks for each entry size 0..room.
-
-    Entry sizes that reach the same size stay together from there on, so after the first closed
-    chunks only a few distinct sizes are carried through the part.
-    """
-    sizes = np.arange(room + 1)
-    group = np.arange(room + 1)  # entry size -> index into sizes
-    closed_by_group = np.zeros(room + 1, dtype=np.int64)
-    closed = np.zeros(room + 1, dtype=np.int64)
-    for k in ks.tolist():
-        sizes, full = _advance(sizes, k, room, carry)
-        if not full.any():
-            continue
-        closed_by_group += full
-        distinct, inverse = np.unique(sizes, return_inverse=True)
-        if len(distinct) < len(sizes):
-            closed += closed_by_group[group]
-            group = inverse[group]
-            sizes = distinct
-            closed_by_group = np.zeros(len(distinct), dtype=np.int64)
-    return sizes[group], closed + closed_by_group[group]
+    """Exit size and number of closed chunks for each entry size 0..room."""
+    n = len(ks)
+    nxt = _next_cuts(ks, room, carry)
+    # From the back: cuts that follow a cut, and the last of them.
+    more, last = [0] * (n + 1), list(range(n + 1))
+    for row, following in zip(range(n - 1, -1, -1), nxt[::-1].tolist(), strict=True):
+        if following < n:
+            more[row] = more[following] + 1
+            last[row] = last[following]
+    entry = np.arange(room + 1)
+    first = _first_cuts(ks, entry, nxt, room, carry)
+    total = np.append(np.cumsum(ks), ks.sum())
+    end = np.array(last)[first]
+    kept = np.append(ks, 0)[end] if carry else 0
+    sizes = np.where(first < n, total[n] - total[end] + kept, entry + total[n])
+    return np.minimum(sizes, room), np.where(first < n, np.array(more)[first] + 1, 0)
+
+
+def _cuts(ks: np.ndarray, entry: int, room: int, carry: bool) -> np.ndarray:
+    """All texts that close a chunk, in order."""
+    nxt = _next_cuts(ks, room, carry)
+    at = int(_first_cuts(ks, np.array([entry]), nxt, room, carry)[0])
+    found = []
+    while at < len(ks):
+        found.append(at)
+        at = int(nxt[at])
+    return np.array(found, dtype=np.int64)
 
 
 def _pack_by_parts(texts: DataFrame, heavy: HeavyKeys, room: int, overflow: str, limits: SizeLimits) -> DataFrame:
@@ -187,20 +205,11 @@ def _pack_by_parts(texts: DataFrame, heavy: HeavyKeys, room: int, overflow: str,
 
     def assign(table: pa.Table) -> pa.Table:
         table = table.sort_by("ord")
-        n, chunk = table.column("entry_n")[0].as_py(), table.column("entry_chunk")[0].as_py()
-        chunks, keep = [], []
-        for k in table.column("k").to_pylist():
-            full = n + k >= room and (n > 0 or not carry)
-            if carry:
-                chunk += full
-                n = k if full else n + k
-                chunks.append(chunk)
-                keep.append(True)
-            else:
-                chunks.append(chunk)  # a discarded text marks the chunk it closes
-                keep.append(not full)
-                chunk += full
-                n = 0 if full else n + k
+        cuts = _cuts(table.column("k").to_numpy(), table.column("entry_n")[0].as_py(), room, carry)
+        rows = np.arange(table.num_rows)
+        # A discarded text marks the chunk it closes; a carried one belongs to the next chunk.
+        chunks = table.column("entry_chunk")[0].as_py() + np.searchsorted(cuts, rows, "right" if carry else "left")
+        keep = np.ones(len(rows), dtype=bool) if carry else ~np.isin(rows, cuts)
         return pa.table({
             "uid": table.column("uid"),
             "chunk_idx": pa.array(chunks, pa.int64()),

@@ -27,6 +27,14 @@ from tallyloom.config import LIMITS, SizeLimits
 from tallyloom.operators.staging import stage
 
 
+_MARK_SALTS = 64
+
+
+def _atomic(df: DataFrame) -> list[str]:
+    nested = (T.ArrayType, T.MapType, T.StructType)
+    return [f.name for f in df.schema.fields if not isinstance(f.dataType, nested)]
+
+
 def _width(field: T.StructField) -> Column:
     column = F.col(f"`{field.name}`")
     dtype = field.dataType
@@ -78,11 +86,20 @@ class HeavyKeys:
         if None in self.values:
             flag = F.col(self.key).isNull() | flag
         if self.table is not None:
-            # At most rows / bound keys. Spark sees the size of the staged file and picks the join.
-            df = df.join(self.table.select(self.key, F.lit(True).alias("_listed")), self.key, "left")
+            df = self._join_listed(df)
             flag = F.col("_listed").isNotNull() | flag
         return df.withColumn(name, F.coalesce(flag, F.lit(False))).drop("_listed")
 
+    def _join_listed(self, df: DataFrame) -> DataFrame:
+        """At most rows / bound keys are listed. Beyond the broadcast bound every key is salted."""
+        listed = self.table.select(self.key, F.lit(True).alias("_listed"))
+        rows, size = measure(listed)
+        if rows <= LIMITS.broadcast_rows and size <= LIMITS.broadcast_bytes:
+            return df.join(F.broadcast(listed), self.key, "left")
+        salt = F.pmod(F.xxhash64(*_atomic(df)), F.lit(_MARK_SALTS)).cast("int")
+        repeated = listed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_MARK_SALTS - 1))))
+        return df.withColumn("_salt", salt).join(repeated, [self.key, "_salt"], "left").drop("_salt")
+
 
 def heavy_keys(
     df: DataFrame, key: str, weight: Column | None = None, limits: SizeLimits = LIMITS
@@ -160,9 +177,7 @@ def lookup_join(
     heavy = heavy_keys(facts, key, limits=limits)
     if not heavy:
         return facts.join(lookup, key, how)
-    columns = list(spread) or [
-        f.name for f in facts.schema.fields if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))
-    ]
+    columns = list(spread) or _atomic(facts)
     fan = int(min(100_000, -(-heavy.max_rows // limits.group_rows)))
     salt = F.pmod(F.xxhash64(*columns), F.lit(fan)).cast("int")
     salted = (

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.operators.embeddings import user_mean_embedding
 from tallyloom.operators.evaluation import majority_vote, split_accuracy
+from tallyloom.operators.staging import stage
 
 # A factory loads the model once per Python worker; the model maps (ids, mask) matrices to vectors.
 EmbedderFactory = Callable[[], Callable[[np.ndarray, np.ndarray], np.ndarray]]
@@ -88,9 +89,12 @@ def predict(model, rows: DataFrame, features: str = "input_ids") -> DataFrame:
 
 
 def linear_baseline(rows: DataFrame, features: str = "input_ids", **options) -> DataFrame:
-    """Fit on train, score every split: `(split, n_rows, accuracy)`."""
-    model = fit_linear(rows, features, **options)
-    return split_accuracy(predict(model, rows.filter(F.col("label") >= 0), features))
+    """Fit on train, score every split: `(split, n_rows, accuracy)`.
+
+    The features are written once; counting, every pass of the solver and scoring read them.
+    """
+    rows = stage(rows.filter(F.col("label") >= 0).select("split", "label", features))
+    return split_accuracy(predict(fit_linear(rows, features, **options), rows, features))
 
 
 def user_predictions(model, rows: DataFrame, features: str = "input_ids", batch_size: int = 128) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.config import LIMITS, SizeLimits
+from tallyloom.operators import skew
 from tallyloom.operators.skew import group_positions, heavy_keys, lookup_join, measure, with_part
 
 INLINE = SizeLimits(broadcast_rows=0, group_rows=7)
@@ -67,6 +68,14 @@ def test_measure(lookup):
     assert n == 41 and size > 41 * 8
 
 
+def test_listed_keys_beyond_the_broadcast_bound_are_salted(facts, monkeypatch):
+    monkeypatch.setattr(skew, "LIMITS", SizeLimits(broadcast_rows=0))
+    marked = heavy_keys(facts, "uid", limits=STAGED).mark(facts)
+    counts = {r["uid"]: r["count"] for r in facts.groupBy("uid").count().collect()}
+    assert marked.count() == 400
+    assert all(r["_heavy"] == (counts[r["uid"]] > 7) for r in marked.collect())
+
+
 @pytest.mark.parametrize("limits", [INLINE, STAGED])
 def test_group_positions(facts, limits):
     plain = {r["row_idx"]: r["pos"] for r in group_positions(facts, "uid", "row_idx").collect()}
