@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from tallyloom.config import LIMITS, LabelConfig
 from tallyloom.functions.hashing import seeded_digest
 from tallyloom.operators.rowindex import digests_at_ranks, hash_order_index, row_index, value_at_rank
 from tallyloom.operators.skew import lookup_join
-from tallyloom.operators.staging import stage
+from tallyloom.operators.staging import stage, stage_observed
 
 
 # --- rows and fields -------------------------------------------------------------------------
@@ -82,12 +83,14 @@ def true_label_counts(merged: DataFrame) -> DataFrame:
 # --- label text to label id ------------------------------------------------------------------
 
 
-def _dense_rank(distinct: DataFrame, order: str, name: str) -> DataFrame:
-    """Dense 0-based rank of a distinct set; one sorted task only while the set is small."""
-    distinct = stage(distinct)
-    if distinct.count() <= LIMITS.broadcast_rows:
-        return distinct.withColumn(name, (F.row_number().over(W.orderBy(order)) - 1).cast("long"))
-    return row_index(distinct, order, name=name)
+def _dense_rank(distinct: DataFrame, value: str, order: str, name: str) -> DataFrame:
+    """Dense 0-based rank of a distinct set: on the driver for a short list of classes, else distributed."""
+    head = distinct.select(value, order).take(LIMITS.literal_keys + 1)
+    if len(head) > LIMITS.literal_keys:
+        return row_index(distinct.select(value, order), order, name=name).select(value, name)
+    values = [r[value] for r in sorted(head, key=lambda r: r[order])]
+    ranked = pa.table({value: pa.array(values, pa.string()), name: pa.array(range(len(values)), pa.int64())})
+    return distinct.sparkSession.createDataFrame(ranked)
 
 
 def label_dictionary(rows: DataFrame, existing: DataFrame | None = None) -> DataFrame:
@@ -99,7 +102,7 @@ def label_dictionary(rows: DataFrame, existing: DataFrame | None = None) -> Data
         start = 0 if top is None else top + 1
         known = existing.select(F.col("label_text").alias("label")).distinct()
         first = first.join(known, "label", "left_anti")
-    new = _dense_rank(first, "_first", "_rank").select(
+    new = _dense_rank(first, "label", "_first", "_rank").select(
         F.col("label").alias("label_text"), (F.col("_rank") + F.lit(start)).cast("int").alias("label_id")
     )
     if existing is None:
@@ -204,8 +207,8 @@ def three_way_split(
 
 def true_label_split(rows: DataFrame, true_rows: DataFrame, validation_ratio: float) -> DataFrame:
     """Hand-made labels are the test split as they are; everyone else is split by position, unshuffled."""
-    others = stage(exclude_users(rows, true_rows))  # counted and searched before it is read
-    parts = split_labels(others, validation_ratio, ("train", "validation"))
+    others, seen = stage_observed(exclude_users(rows, true_rows))  # searched before it is read
+    parts = _cut(others, seen["n"], held_out(seen["n"], validation_ratio), ("train", "validation"), "row_idx")
     test = true_rows.withColumn("split", F.lit("test"))
     return parts.unionByName(test.select(*parts.columns))
 

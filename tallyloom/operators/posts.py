@@ -32,9 +32,9 @@ def interleaved_order(num_shards: int, order: str = "row_idx") -> Column:
     return F.col(order) % num_shards * F.lit(1 << 48) + F.col(order)
 
 
-def filter_posts_by_uid(posts: DataFrame, uids: DataFrame) -> DataFrame:
-    """Posts of listed users."""
-    return lookup_join(posts, uids, "uid", "left_semi")
+def filter_posts_by_uid(posts: DataFrame, uids: DataFrame, measured: tuple[int, int] | None = None) -> DataFrame:
+    """Posts of listed users. `measured` is the size of the list where it is known."""
+    return lookup_join(posts, uids, "uid", "left_semi", measured=measured)
 
 
 def split_posts_by_uid(posts: DataFrame, uid_split: DataFrame) -> DataFrame:

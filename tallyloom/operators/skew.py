@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyloom.config import LIMITS, SizeLimits
-from tallyloom.operators.staging import stage
+from tallyloom.operators.staging import stage, stage_observed
 
 
 _MARK_SALTS = 64
@@ -63,6 +63,12 @@ def measure(df: DataFrame) -> tuple[int, int]:
     return int(row["n"]), int(row["b"] or 0)
 
 
+def stage_measured(df: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
+    """Write a table and measure it in the same pass."""
+    table, seen = stage_observed(df, b=F.sum(row_width(df)))
+    return table, (int(seen["n"]), int(seen["b"] or 0))
+
+
 @dataclass(frozen=True)
 class HeavyKeys:
     """Keys whose groups exceed a bound.
@@ -101,17 +107,26 @@ class HeavyKeys:
         return df.withColumn("_salt", salt).join(repeated, [self.key, "_salt"], "left").drop("_salt")
 
 
+def group_sizes(df: DataFrame, key: str, weight: Column | None = None) -> DataFrame:
+    """Rows `n`, bytes `b` and widest row `m` of each group."""
+    weight = F.lit(0).cast("long") if weight is None else weight.cast("long")
+    groups = df.select(F.col(key), weight.alias("w")).groupBy(key)
+    return groups.agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("b"), F.max("w").alias("m"))
+
+
 def heavy_keys(
-    df: DataFrame, key: str, weight: Column | None = None, limits: SizeLimits = LIMITS
+    df: DataFrame,
+    key: str,
+    weight: Column | None = None,
+    limits: SizeLimits = LIMITS,
+    sizes: DataFrame | None = None,
 ) -> HeavyKeys:
-    """Find groups with more rows, or more bytes of `weight`, than one task should collect."""
-    weight = F.lit(0).cast("long") if weight is None else weight.cast("long")
-    groups = (
-        df.select(F.col(key), weight.alias("w"))
-        .groupBy(key)
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("b"), F.max("w").alias("m"))
-        .filter((F.col("n") > limits.group_rows) | (F.col("b") > limits.group_bytes))
-    )
+    """Find groups with more rows, or more bytes of `weight`, than one task should collect.
+
+    `sizes` are the group sizes where a caller already has them.
+    """
+    sizes = group_sizes(df, key, weight) if sizes is None else sizes
+    groups = sizes.filter((F.col("n") > limits.group_rows) | (F.col("b") > limits.group_bytes))
     found = groups.take(limits.literal_keys + 1)
     if len(found) <= limits.literal_keys:
         return HeavyKeys(
@@ -162,16 +177,18 @@ def lookup_join(
     how: str = "inner",
     spread: Sequence[str] = (),
     limits: SizeLimits = LIMITS,
+    measured: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Join facts to a keyed table: inner, left, left_semi or left_anti.
 
     The keyed side is measured first. Small: broadcast, the facts are not shuffled. Large: shuffle
     join; rows of oversized keys, and rows without a key, are salted over several tasks by a hash of
     the `spread` columns (default: all atomic columns), and the matching lookup rows are repeated.
+    A caller that joins one lookup several times passes its size as `measured`.
     """
     if how in ("left_semi", "left_anti"):
         lookup = lookup.select(key).distinct()
-    rows, size = measure(lookup)
+    rows, size = measured or measure(lookup)
     if rows <= limits.broadcast_rows and size <= limits.broadcast_bytes:
         return facts.join(F.broadcast(lookup), key, how)
     heavy = heavy_keys(facts, key, limits=limits)
@@ -198,10 +215,15 @@ def lookup_join(
 
 
 def group_positions(
-    df: DataFrame, key: str, order: str, name: str = "pos", limits: SizeLimits = LIMITS
+    df: DataFrame,
+    key: str,
+    order: str,
+    name: str = "pos",
+    limits: SizeLimits = LIMITS,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Dense 0-based position of each row inside its group, by an integer order unique in the group."""
-    heavy = heavy_keys(df, key, limits=limits)
+    heavy = heavy_keys(df, key, limits=limits, sizes=sizes)
     if not heavy:
         rank = F.row_number().over(W.partitionBy(key).orderBy(order))
         return df.withColumn(name, (rank - 1).cast("long"))

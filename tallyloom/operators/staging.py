@@ -9,7 +9,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _STAGED: list[str] = []
 
@@ -35,6 +36,13 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_observed(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
+    """Stage `df` and compute aggregates of it, `n` rows and the given ones, in the same write."""
+    seen = Observation()
+    table = stage(df.observe(seen, F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in metrics.items()]))
+    return table, seen.get
+
+
 def release_staged(spark: SparkSession) -> int:
     """Delete the staged tables of this process once their readers are done."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path  # the only public way to reach the cluster's file system

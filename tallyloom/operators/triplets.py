@@ -17,7 +17,7 @@ from tallyloom.config import MiningConfig
 from tallyloom.functions.hashing import digest_int, seeded_digest
 from tallyloom.functions.vectors import distance, triplet_hinge
 from tallyloom.operators.rowindex import hash_order_index
-from tallyloom.operators.skew import group_positions, lookup_join
+from tallyloom.operators.skew import group_positions, group_sizes, lookup_join, stage_measured
 
 _PICK_DIGITS = 15  # 60 bits: the choice stays uniform for groups of any size
 
@@ -44,15 +44,16 @@ def sample_positives(posts: DataFrame, seed: int | str = 0, exclude_self: bool =
     The choice is a position in the user's rows, so anchors join on (user, position). Positions are
     uniform, hence the join is balanced even if one user owns a large share of the rows.
     """
-    ranked = group_positions(posts.select("uid", "row_idx"), "uid", "row_idx", "at")
-    sizes = posts.groupBy("uid").agg(F.count(F.lit(1)).alias("n"))
+    # One row per user, written once: it finds oversized users, is measured and is joined.
+    sizes, measured = stage_measured(group_sizes(posts, "uid"))
+    ranked = group_positions(posts.select("uid", "row_idx"), "uid", "row_idx", "at", sizes=sizes)
     drawn = digest_int(seeded_digest(seed, F.col("row_idx")), _PICK_DIGITS)
     pick = F.pmod(drawn, F.col("n"))
     if exclude_self:
         pick = F.when(
             F.col("n") > 1, F.pmod(F.col("at") + 1 + F.pmod(drawn, F.greatest(F.col("n") - 1, F.lit(1))), F.col("n"))
         ).otherwise(F.lit(0))
-    anchors = lookup_join(ranked, sizes, "uid", spread=("row_idx",)).select(
+    anchors = lookup_join(ranked, sizes.select("uid", "n"), "uid", spread=("row_idx",), measured=measured).select(
         F.col("row_idx").alias("anc_row"), "uid", pick.alias("at")
     )
     rows = ranked.select("uid", "at", F.col("row_idx").alias("pos_row"))

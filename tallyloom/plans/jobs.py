@@ -20,8 +20,8 @@ from tallyloom.operators.labels import (
 )
 from tallyloom.operators.packing import pack_by_uid
 from tallyloom.operators.posts import concat_by_uid, filter_posts_by_uid
-from tallyloom.operators.skew import lookup_join
-from tallyloom.operators.staging import stage
+from tallyloom.operators.skew import lookup_join, measure
+from tallyloom.operators.staging import stage, stage_observed
 from tallyloom.operators.triplets import embedded_batches, top_triplets, triplet_loss, triplet_vectors
 from tallyloom.plans.models import EmbedderFactory, embed_posts
 from tallyloom.plans.tokenize import TokenizerFactory, plugged_token_count, tokenize
@@ -41,9 +41,9 @@ def prepare_labels(
     """
     dictionary = label_dictionary(rows, existing)
     # The filtered label file is written once: counting, cutting and joining all start from it.
-    filtered = stage(assign_label_ids(rows, dictionary))
+    filtered, seen = stage_observed(assign_label_ids(rows, dictionary))
     if true_rows is None:
-        return three_way_split(filtered, config), dictionary
+        return three_way_split(filtered, config, total=seen["n"]), dictionary
     if map_test:
         dictionary = label_dictionary(true_rows, dictionary)
         test = assign_label_ids(true_rows, dictionary)
@@ -75,9 +75,9 @@ def user_table(split_rows: DataFrame) -> DataFrame:
     )
 
 
-def place(rows: DataFrame, users: DataFrame) -> DataFrame:
+def place(rows: DataFrame, users: DataFrame, measured: tuple[int, int] | None = None) -> DataFrame:
     """Add split and label of each row's user in one join; a user in two splits is in both."""
-    joined = lookup_join(rows, users, "uid").withColumn("split", F.explode("splits")).drop("splits")
+    joined = lookup_join(rows, users, "uid", measured=measured).withColumn("split", F.explode("splits")).drop("splits")
     return joined.withColumn("label", F.coalesce("label", F.lit(UNKNOWN_LABEL)))
 
 
@@ -96,13 +96,14 @@ def preprocess(
     outside every split are dropped before their texts are packed.
     """
     users = user_table(split_rows)
-    wanted = filter_posts_by_uid(posts, users)
+    size_of_users = measure(users)
+    wanted = filter_posts_by_uid(posts, users, size_of_users)
     if concatenate:
         counter = word_count if tokenizer is None else plugged_token_count(tokenizer)
         rows = pack_by_uid(wanted, config, overflow, counter, size=size)
     else:
         rows = wanted.withColumn("chunk_idx", F.col("row_idx"))
-    return tokenize(place(rows, users), config, tokenizer).select(
+    return tokenize(place(rows, users, size_of_users), config, tokenizer).select(
         "split", "uid", "tid", "chunk_idx", "text", "label", "input_ids", "attention_mask"
     )
 
@@ -115,18 +116,20 @@ def preprocess_keywords(
     With a delimiter that is whitespace, the counts of the joined text are the sums over posts, so
     the joined text is never built. Other delimiters glue words together and need it.
     """
-    posts = filter_posts_by_uid(posts, split_rows)
+    users = user_table(split_rows)
+    size_of_users = measure(users)
+    posts = filter_posts_by_uid(posts, users, size_of_users)
     glued = DELIMITERS.get(config.delimiter, "").strip() != "" or config.delimiter not in DELIMITERS
     if glued:
         whole = concat_by_uid(posts, config.delimiter, order)
         if whole.filter(F.col("part") > 0).take(1):
             raise ValueError("a user's joined text does not fit one row; use the space or newline delimiter")
-        users = keyword_counts(whole, keywords, config.keyword_cap)
+        counted = keyword_counts(whole, keywords, config.keyword_cap)
     else:
         first = posts.groupBy("uid").agg(F.min_by("tid", order).alias("tid"))
         counts = keyword_counts_by(posts, ["uid"], keywords, config.keyword_cap)
-        users = counts.join(first, "uid")
-    return place(users, user_table(split_rows)).select("split", "uid", "tid", "label", "input_ids", "attention_mask")
+        counted = counts.join(first, "uid")
+    return place(counted, users, size_of_users).select("split", "uid", "tid", "label", "input_ids", "attention_mask")
 
 
 def mine_triplets(

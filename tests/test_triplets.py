@@ -115,8 +115,8 @@ def test_positives_come_from_the_same_user(posts, exclude_self):
 def test_positives_do_not_depend_on_the_strategy(posts, monkeypatch, rows):
     plain = rows(T.sample_positives(posts, 1), "anc_row", "pos_row")
     tight = SizeLimits(broadcast_rows=0, group_rows=4)
-    monkeypatch.setattr(T, "group_positions", lambda *a: skew.group_positions(*a, limits=tight))
-    monkeypatch.setattr(T, "lookup_join", lambda *a, **k: skew.lookup_join(*a, **k, limits=tight))
+    monkeypatch.setattr(T, "group_positions", lambda *a, **k: skew.group_positions(*a, **k, limits=tight))
+    monkeypatch.setattr(T, "lookup_join", lambda *a, **k: skew.lookup_join(*a, **{**k, "limits": tight}))
     assert rows(T.sample_positives(posts, 1), "anc_row", "pos_row") == plain
 
 
