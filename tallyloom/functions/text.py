@@ -52,19 +52,21 @@ def token_length(text: Column, special_tokens: int = 2) -> Column:
 
 
 def keyword_vector(text: Column, keywords: Sequence[str], cap: int = -1) -> Column:
-    """Exact-word counts in keyword order. Row-local: no shuffle, meant for short keyword lists.
+    """Exact-word counts in keyword order. Row-local: no shuffle.
 
-    The words array is bound once by the outer lambda, so the text is split a single time.
+    Words are first reduced to the keyword set by one hash lookup each; the counts then look at those
+    few words only. The outer lambda binds them once, so the text is split a single time.
     """
     if not keywords:
         raise ValueError("the keyword list is empty")
+    distinct = list(dict.fromkeys(keywords))
 
     def count(found: Column, keyword: str) -> Column:
         n = F.size(found) - F.size(F.array_remove(found, keyword))
         return (F.least(F.lit(cap), n) if cap >= 0 else n).cast("int")
 
-    vectors = F.transform(F.array(words(text)), lambda found: F.array(*[count(found, k) for k in keywords]))
-    return vectors[0]
+    hits = F.filter(words(text), lambda word: word.isin(distinct))
+    return F.transform(F.array(hits), lambda found: F.array(*[count(found, k) for k in keywords]))[0]
 
 
 def ones_like(values: Column) -> Column:

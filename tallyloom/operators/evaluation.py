@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.config import LIMITS, SizeLimits
 from tallyloom.functions.vectors import argmax, softmax_cross_entropy
-from tallyloom.operators.skew import lookup_join, with_part
+from tallyloom.operators.skew import lookup_join, stage_measured, with_part
 
 NO_USERS = -1.0
 _POS_RANGE = 1 << 24
@@ -134,8 +134,9 @@ def fold_accuracy(folds: DataFrame, labels: DataFrame, predictions: DataFrame) -
 
     Entries without label or prediction do not count; a fold without any scores -1.
     """
-    known = labels.select("uid", "label").join(predictions.select("uid", "prediction"), "uid")
-    joined = lookup_join(folds.select("fold", "uid"), known, "uid", "left")
+    # Usually a vote over all predictions: written once, measured in that pass, then joined.
+    known, measured = stage_measured(labels.select("uid", "label").join(predictions.select("uid", "prediction"), "uid"))
+    joined = lookup_join(folds.select("fold", "uid"), known, "uid", "left", measured=measured)
     both = F.col("label").isNotNull() & F.col("prediction").isNotNull()
     return joined.groupBy("fold").agg(
         _ratio(F.when(both, F.col("label") == F.col("prediction"))).alias("correct_user_ratio"),

@@ -34,11 +34,10 @@ def keyword_counts_by(
     if not chosen:
         raise ValueError("the keyword list is empty")
     distinct = list(dict.fromkeys(chosen))
-    # A null word per row keeps keys without any hit; everything else is filtered where it is read.
-    found = F.coalesce(words(F.col("text")), F.array().cast("array<string>"))
+    # Only keyword hits become rows, and one missing word per post keeps keys without any hit.
+    found = F.filter(F.coalesce(words(F.col("text")), F.array().cast("array<string>")), lambda word: word.isin(distinct))
     hits = (
         posts.select(*keys, F.explode(F.array_append(found, F.lit(None).cast("string"))).alias("_word"))
-        .filter(F.col("_word").isNull() | F.col("_word").isin(distinct))
         .groupBy(*keys, "_word")
         .agg(F.count(F.lit(1)).alias("_n"))
     )

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from tallyloom.config import LIMITS, LabelConfig
 from tallyloom.functions.hashing import seeded_digest
 from tallyloom.operators.rowindex import digests_at_ranks, hash_order_index, row_index, value_at_rank
-from tallyloom.operators.skew import lookup_join
-from tallyloom.operators.staging import stage, stage_observed
+from tallyloom.operators.skew import lookup_join, stage_measured
+from tallyloom.operators.staging import stage, stage_counted
 
 
 # --- rows and fields -------------------------------------------------------------------------
@@ -207,8 +207,8 @@ def three_way_split(
 
 def true_label_split(rows: DataFrame, true_rows: DataFrame, validation_ratio: float) -> DataFrame:
     """Hand-made labels are the test split as they are; everyone else is split by position, unshuffled."""
-    others, seen = stage_observed(exclude_users(rows, true_rows))  # searched before it is read
-    parts = _cut(others, seen["n"], held_out(seen["n"], validation_ratio), ("train", "validation"), "row_idx")
+    others, n = stage_counted(exclude_users(rows, true_rows))  # searched before it is read
+    parts = _cut(others, n, held_out(n, validation_ratio), ("train", "validation"), "row_idx")
     test = true_rows.withColumn("split", F.lit("test"))
     return parts.unionByName(test.select(*parts.columns))
 
@@ -238,7 +238,8 @@ def slice_labels_by_fold(folds: DataFrame, rows: DataFrame) -> DataFrame:
     """The label row of each fold entry, in fold order and with repeats; the last row of a user counts."""
     columns = [c for c in rows.columns if c != "uid"]
     last = rows.groupBy("uid").agg(F.max_by(F.struct(*columns), "row_idx").alias("_row"))
-    joined = lookup_join(folds, last, "uid", "inner", spread=("fold", "pos"))
+    last, measured = stage_measured(last)
+    joined = lookup_join(folds, last, "uid", "inner", spread=("fold", "pos"), measured=measured)
     return joined.select("fold", "pos", "uid", *[F.col("_row." + c).alias(c) for c in columns])
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyloom.config import LIMITS, SizeLimits
-from tallyloom.operators.staging import stage, stage_observed
+from tallyloom.operators.staging import stage
 
 
 _MARK_SALTS = 64
@@ -64,9 +64,9 @@ def measure(df: DataFrame) -> tuple[int, int]:
 
 
 def stage_measured(df: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
-    """Write a table and measure it in the same pass."""
-    table, seen = stage_observed(df, b=F.sum(row_width(df)))
-    return table, (int(seen["n"]), int(seen["b"] or 0))
+    """Write an expensive lookup once, then measure the written table."""
+    table = stage(df)
+    return table, measure(table)
 
 
 @dataclass(frozen=True)

@@ -35,7 +35,9 @@ def positive_candidates(posts: DataFrame) -> DataFrame:
         F.min("row_idx").alias("first_row"),
         F.max("row_idx").alias("last_row"),
     )
-    return lookup_join(posts.select(F.col("row_idx").alias("anc_row"), "uid"), candidates, "uid", spread=("anc_row",))
+    candidates, measured = stage_measured(candidates)
+    anchors = posts.select(F.col("row_idx").alias("anc_row"), "uid")
+    return lookup_join(anchors, candidates, "uid", spread=("anc_row",), measured=measured)
 
 
 def sample_positives(posts: DataFrame, seed: int | str = 0, exclude_self: bool = False) -> DataFrame:

@@ -21,7 +21,7 @@ from tallyloom.operators.labels import (
 from tallyloom.operators.packing import pack_by_uid
 from tallyloom.operators.posts import concat_by_uid, filter_posts_by_uid
 from tallyloom.operators.skew import lookup_join, measure
-from tallyloom.operators.staging import stage, stage_observed
+from tallyloom.operators.staging import stage, stage_counted
 from tallyloom.operators.triplets import embedded_batches, top_triplets, triplet_loss, triplet_vectors
 from tallyloom.plans.models import EmbedderFactory, embed_posts
 from tallyloom.plans.tokenize import TokenizerFactory, plugged_token_count, tokenize
@@ -41,9 +41,9 @@ def prepare_labels(
     """
     dictionary = label_dictionary(rows, existing)
     # The filtered label file is written once: counting, cutting and joining all start from it.
-    filtered, seen = stage_observed(assign_label_ids(rows, dictionary))
+    filtered, n = stage_counted(assign_label_ids(rows, dictionary))
     if true_rows is None:
-        return three_way_split(filtered, config, total=seen["n"]), dictionary
+        return three_way_split(filtered, config, total=n), dictionary
     if map_test:
         dictionary = label_dictionary(true_rows, dictionary)
         test = assign_label_ids(true_rows, dictionary)
