@@ -19,6 +19,16 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), WHITESPACE), "")
 
 
+def leading_word(text: Column) -> Column:
+    """What stands before the first whitespace; the whole text if there is none."""
+    return F.regexp_extract(text, r"(?U)^[^\s\x1c-\x1f]*", 0)
+
+
+def trailing_word(text: Column) -> Column:
+    """What stands after the last whitespace. Read backwards, so long texts are scanned once."""
+    return F.reverse(leading_word(F.reverse(text)))
+
+
 def delimiter_for(name: str) -> str:
     """The string of a delimiter name; an unknown name means no delimiter."""
     return DELIMITERS.get(name, "")

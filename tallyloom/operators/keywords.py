@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.functions.text import keyword_vector, ones_like, words
+from tallyloom.functions.text import keyword_vector, leading_word, ones_like, trailing_word, words
 
 
 def keyword_counts(posts: DataFrame, keywords: Sequence[str], cap: int = -1, normalize: bool = False) -> DataFrame:
@@ -59,3 +59,33 @@ def keyword_counts_by(
         ).cast("int"),
     )
     return counts.select(*keys, n.alias("input_ids")).withColumn("attention_mask", ones_like(F.col("input_ids")))
+
+
+def keyword_counts_of_parts(
+    parts: DataFrame, keywords: Sequence[str], cap: int = -1, normalize: bool = False
+) -> DataFrame:
+    """`(uid, tid, input_ids, attention_mask)` from the `(uid, part, tid, text)` rows of joined texts.
+
+    Needed for delimiters that are not whitespace and so glue words of neighbouring texts. Words inside
+    a part are counted there. The open words at its ends are all that neighbouring parts can glue, so
+    the ends of a user's parts are appended in order and their words are counted in addition.
+    """
+    chosen = [k.lower() for k in keywords] if normalize else list(keywords)
+    text, left, right = F.col("text"), F.col("_left"), F.col("_right")
+    rows = parts.withColumn("_left", leading_word(text)).withColumn("_right", trailing_word(text))
+    split = F.length(left) < F.length(text)  # the part holds whitespace
+    inner = F.when(
+        split, F.substr(text, F.length(left) + 1, F.length(text) - F.length(left) - F.length(right))
+    ).otherwise(F.lit(""))
+    ends = F.when(split, F.concat(left, F.lit(" "), right)).otherwise(text)
+    users = (
+        rows.select("uid", "part", "tid", keyword_vector(inner, chosen).alias("_inner"), ends.alias("_ends"))
+        .groupBy("uid")
+        .agg(F.array_sort(F.collect_list(F.struct("part", "tid", "_inner", "_ends"))).alias("p"))
+    )
+    outer = keyword_vector(F.array_join(F.col("p")["_ends"], ""), chosen)
+    total = F.aggregate("p", outer, lambda sums, part: F.zip_with(sums, part["_inner"], lambda a, b: a + b))
+    counts = F.transform(total, lambda n: F.least(F.lit(cap), n)) if cap >= 0 else total
+    return users.select("uid", F.col("p")[0]["tid"].alias("tid"), counts.alias("input_ids")).withColumn(
+        "attention_mask", ones_like(F.col("input_ids"))
+    )

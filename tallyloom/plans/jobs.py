@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.config import UNKNOWN_LABEL, LabelConfig, MiningConfig, TextConfig
 from tallyloom.functions.text import DELIMITERS, word_count
-from tallyloom.operators.keywords import keyword_counts, keyword_counts_by
+from tallyloom.operators.keywords import keyword_counts_by, keyword_counts_of_parts
 from tallyloom.operators.labels import (
     assign_label_ids,
     label_dictionary,
@@ -121,10 +121,7 @@ def preprocess_keywords(
     posts = filter_posts_by_uid(posts, users, size_of_users)
     glued = DELIMITERS.get(config.delimiter, "").strip() != "" or config.delimiter not in DELIMITERS
     if glued:
-        whole = concat_by_uid(posts, config.delimiter, order)
-        if whole.filter(F.col("part") > 0).take(1):
-            raise ValueError("a user's joined text does not fit one row; use the space or newline delimiter")
-        counted = keyword_counts(whole, keywords, config.keyword_cap)
+        counted = keyword_counts_of_parts(concat_by_uid(posts, config.delimiter, order), keywords, config.keyword_cap)
     else:
         first = posts.groupBy("uid").agg(F.min_by("tid", order).alias("tid"))
         counts = keyword_counts_by(posts, ["uid"], keywords, config.keyword_cap)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tallyloom.config import SizeLimits
 from tallyloom.functions import text as X
 from tallyloom.operators import posts as P
-from tallyloom.operators.keywords import keyword_counts, keyword_counts_by
+from tallyloom.operators.keywords import keyword_counts, keyword_counts_by, keyword_counts_of_parts
 
 TEXTS = ["pineapple apple banana", "apple banana peach", "pineapple apple pineapple", "banana peach peach", "apple peach banana"]
 
@@ -51,6 +51,22 @@ def test_keyword_counts_summed_over_posts_equal_counts_of_the_joined_text(spark,
     assert all(r["input_ids"] == [0] * 5 for r in lower.collect())
 
 
+@pytest.mark.parametrize("delimiter", ["none", "sep", "newline"])
+@pytest.mark.parametrize("limits", [SizeLimits(), SizeLimits(group_rows=1), SizeLimits(group_rows=2)])
+def test_keyword_counts_over_part_borders(spark, delimiter, limits):
+    texts = {"a": ["app", "le pie", " apple", "a", "p", "ple x ", "apple"], "b": [None, "pie"], "c": ["p", "i", "e"]}
+    rows = [(i, u, f"{u}{i}", t) for u, ts in texts.items() for i, t in enumerate(ts)]
+    parts = P.concat_by_uid(make(spark, *rows), delimiter, limits=limits)
+    tail = X.delimiter_for(delimiter)
+    keywords = ["apple", "pie", "x", "pie</s></s>"]
+    got = {r["uid"]: (r["tid"], r["input_ids"]) for r in keyword_counts_of_parts(parts, keywords).collect()}
+    for user, ts in texts.items():
+        joined = "".join(t + tail for t in ts if t).lower().split()
+        assert got[user] == (f"{user}0", [joined.count(k) for k in keywords])
+    capped = keyword_counts_of_parts(parts, ["Apple"], cap=1, normalize=True).filter("uid = 'a'").first()
+    assert capped["input_ids"] == [min(1, "".join(t + tail for t in texts["a"]).split().count("apple"))]
+
+
 def test_empty_keyword_list_is_refused(posts):
     with pytest.raises(ValueError):
         keyword_counts(posts, [])
