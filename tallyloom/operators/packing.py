@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.config import LIMITS, SizeLimits, TextConfig
 from tallyloom.functions.text import delimiter_for, is_blank, word_count
-from tallyloom.operators.skew import HeavyKeys, heavy_keys
+from tallyloom.operators.skew import HeavyKeys, heavy_keys, order_block
 from tallyloom.operators.staging import stage
 
 _FOLD_ROWS = 20_000  # the fold appends to an array, so its groups are kept shorter
@@ -165,7 +165,7 @@ def _pack_by_parts(texts: DataFrame, heavy: HeavyKeys, room: int, overflow: str,
     if heavy.max_width:
         width = max(1, min(width, limits.group_bytes // heavy.max_width))
     # Written once: the first pass then reads token counts only, not the texts.
-    parts = stage(texts.withColumn("part", F.expr(f"ord div {width}L")))
+    parts = stage(texts.withColumn("part", order_block("ord", width)))
     key_type = texts.schema["uid"].dataType.simpleString()
 
     def transitions(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:

@@ -143,6 +143,11 @@ def heavy_keys(
     return HeavyKeys(key, (None,) if top["missing"] else (), table, top["n"], top["m"] or 0)
 
 
+def order_block(order: str, width: int) -> Column:
+    """Number of the block of `width` consecutive order values; rounds down below zero too."""
+    return F.expr(f"(`{order}` - pmod(`{order}`, {width}L)) div {width}L")
+
+
 def with_part(
     df: DataFrame,
     key: str,
@@ -165,7 +170,7 @@ def with_part(
         width = max(1, min(width, limits.group_bytes // heavy.max_width))
     return (
         heavy.mark(df)
-        .withColumn(name, F.when(F.col("_heavy"), F.expr(f"`{order}` div {width}")).otherwise(F.lit(0)).cast("long"))
+        .withColumn(name, F.when(F.col("_heavy"), order_block(order, width)).otherwise(F.lit(0)).cast("long"))
         .drop("_heavy")
     )
 
@@ -231,7 +236,7 @@ def group_positions(
         heavy.mark(df)
         .withColumn(
             "_part",
-            F.when(F.col("_heavy"), F.expr(f"`{order}` div {limits.group_rows}")).otherwise(F.lit(0)).cast("long"),
+            F.when(F.col("_heavy"), order_block(order, limits.group_rows)).otherwise(F.lit(0)).cast("long"),
         )
     )
     # One row per part of an oversized group: rows / bound, so the running sum is over a short list.

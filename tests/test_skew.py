@@ -84,6 +84,11 @@ def test_group_positions(facts, limits):
     assert sorted(v for k, v in plain.items() if k % 3 == 0) == list(range(134))
 
 
+def test_blocks_below_zero(spark):
+    frame = spark.range(-10, 10).withColumnRenamed("id", "o").withColumn("b", skew.order_block("o", 4))
+    assert all(r["b"] == r["o"] // 4 for r in frame.collect())
+
+
 @pytest.mark.parametrize("limits", [INLINE, STAGED])
 def test_parts_are_bounded_ordered_and_whole(facts, limits):
     parts = with_part(facts, "uid", "row_idx", limits=limits)
