@@ -1,6 +1,6 @@
 """Toxicity: a linear classifier of character n-grams scaled by naive Bayes log-count ratios.
 
-A document's features are the distinct character n-grams (2 to 5 bytes of the lower-cased text, white
+A document's features are the distinct character n-grams (3 to 7 bytes of the lower-cased text, white
 space squeezed to one space) that it holds, hashed to `2 ** bits` buckets. Document counts of every bucket
 are taken over all labelled training rows of both classes, in parallel, and give the smoothed log-count
 ratio r of each bucket. Buckets are ranked by how far their counts differ from chance; the `kept` best
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.labelled import bounded_sample, held_out, training_labels
 
-ORDERS = (2, 3, 4, 5)
+ORDERS = (3, 4, 5, 6, 7)
 _PIECE = 1 << 20  # bytes hashed at a time, so that a long text needs bounded memory
 
 
@@ -70,18 +70,17 @@ def ngram_document_counts(labelled: DataFrame, bits: int, text: str = "text") ->
     """(bucket, negative, positive): documents of each class that hold an n-gram of the bucket; -1: all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((2, 1 << bits), dtype=np.int64)
+        counts = np.zeros((2, 1 << bits), dtype=np.int32)
         seen = np.zeros(2, dtype=np.int64)
         for batch in batches:
             for value, y in zip(batch.column(0), batch.column(1).to_pylist()):
-                flags = np.zeros(1 << bits, dtype=bool)
-                for h in ngram_buckets(value.as_py(), bits):
-                    flags[h] = True
-                counts[y] += flags
+                found = [np.unique(h) for h in ngram_buckets(value.as_py(), bits)]
+                if found:
+                    counts[y][np.unique(np.concatenate(found))] += 1
                 seen[y] += 1
         at = np.flatnonzero(counts.any(axis=0))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.append(at, -1)), *(pa.array(np.append(counts[y][at], seen[y])) for y in (0, 1))],
+            [pa.array(np.append(at, -1)), *(pa.array(np.append(counts[y][at], seen[y]), pa.int64()) for y in (0, 1))],
             names=["bucket", "negative", "positive"],
         )
 
