@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.catalog.registry import Query
-from tallyloom.llm import html_extraction, mixing, quality, simhash, toxicity
+from tallyloom.llm import html_extraction, mixing, multi_index, quality, simhash, toxicity, vafile
 from tallyloom.llm.common import table
 
 QUERIES: dict[str, Query] = {}
@@ -25,6 +25,17 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", digits.alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+@_query
+def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = multi_index.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "n_links", F.col("component").alias("component_id"), "kept")
+
+
+@_query
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vafile.top_k(table(spark, sf_dir, "embeddings"))
+
+
 @_query
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.balance(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")

@@ -27,6 +27,16 @@ def word_count(column: str):
     return F.coalesce(F.regexp_count(F.col(column), F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def bounded_sample(df: DataFrame, rows: int, key: str) -> DataFrame:
+    """At most `rows` rows, chosen by a hash of the key: the same on every run and for any partitioning.
+
+    Rows are counted first, so that little more than the sample itself leaves the tasks.
+    """
+    share = min(1.0, 1.1 * rows / max(1, df.count()))
+    hashed = F.xxhash64(key)
+    return df.filter(F.pmod(hashed, F.lit(1 << 30)) < int(share * (1 << 30)) + 1).orderBy(hashed, key).limit(rows)
+
+
 def mark_of(df: DataFrame, *columns: str) -> tuple[int, int]:
     """Row count and an order-free checksum, to see whether an iteration changed anything."""
     row = df.agg(F.count(F.lit(1)), F.coalesce(F.expr(f"bit_xor(xxhash64({', '.join(columns)}))"), F.lit(0))).first()

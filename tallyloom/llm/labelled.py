@@ -18,8 +18,3 @@ def training_labels(labels: DataFrame, target: str, key: str = "doc_id") -> Data
     """(key, y): one 0/1 label per id of the training folds; contradicting labels go by their mean, ties to 1."""
     known = labels.filter(F.col(key).isNotNull() & F.col(target).isNotNull() & ~held_out(key))
     return known.groupBy(key).agg((F.avg(F.col(target).cast("double")) >= 0.5).cast("int").alias("y"))
-
-
-def bounded_sample(df: DataFrame, rows: int, key: str = "doc_id") -> DataFrame:
-    """At most `rows` rows, chosen by a hash of the id: the same rows on every run and any partitioning."""
-    return df.orderBy(F.xxhash64(key), key).limit(rows)

@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.labelled import bounded_sample, held_out, training_labels
+from tallyloom.llm.common import bounded_sample
+from tallyloom.llm.labelled import held_out, training_labels
 from tallyloom.operators.staging import stage
 
 FEATURES = (
@@ -205,8 +206,8 @@ def fit_quality(
     features: DataFrame, labels: DataFrame, target: str = "quality", key: str = "doc_id", sample_rows: int = 20_000
 ) -> AdditiveModel:
     """Fit on the labelled rows outside the held-out fold, at most `sample_rows` of them."""
-    rows = features.join(training_labels(labels, target, key), key)
-    got = bounded_sample(rows.select(key, "features", "y"), sample_rows, key).toPandas()
+    chosen = bounded_sample(training_labels(labels, target, key), sample_rows, key)
+    got = features.join(F.broadcast(chosen), key).select("features", "y").limit(2 * sample_rows).toPandas()
     x = np.array(got["features"].tolist(), dtype=float).reshape(len(got), len(FEATURES))
     return fit_additive(x, got["y"].to_numpy(dtype=float))
 

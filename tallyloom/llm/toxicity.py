@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.labelled import bounded_sample, held_out, training_labels
+from tallyloom.llm.common import bounded_sample
+from tallyloom.llm.labelled import held_out, training_labels
 
 ORDERS = (3, 4, 5, 6, 7)
 _PIECE = 1 << 20  # bytes hashed at a time, so that a long text needs bounded memory
