@@ -2,7 +2,7 @@
 
 A document's features are the distinct character n-grams (3 to 7 bytes of the lower-cased text, white
 space squeezed to one space) that it holds, hashed to `2 ** bits` buckets. Document counts of every bucket
-are taken over all labelled training rows of both classes, in parallel, and give the smoothed log-count
+are taken over the labelled training rows of both classes (`count_rows` at most), in parallel, and give the smoothed log-count
 ratio r of each bucket. Buckets are ranked by how far their counts differ from chance; the `kept` best
 are features with value r, and a logistic regression on a bounded sample of training rows (`sample_rows`)
 gives their weights. A score is the logistic function of the sum of weight times ratio over the features
@@ -115,10 +115,14 @@ def _fit_weights(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, ridge
 
 def fit_toxicity(
     documents: DataFrame, labels: DataFrame, target: str = "toxic", key: str = "doc_id", text: str = "text", bits: int = 20,
-    kept: int = 4096, sample_rows: int = 6_000, ridge: float = 1.0, steps: int = 300,
+    kept: int = 4096, count_rows: int = 200_000, sample_rows: int = 6_000, ridge: float = 1.0, steps: int = 300,
 ) -> NgramModel:
-    """Ratios from all labelled training rows, weights from a bounded sample of them."""
-    labelled = documents.select(key, text).join(training_labels(labels, target, key), key)
+    """Ratios from at most `count_rows` labelled training rows, weights from at most `sample_rows` of them.
+
+    The chosen labels are few enough to broadcast, so no text is moved.
+    """
+    known = training_labels(labels, target, key)
+    labelled = documents.select(key, text).join(F.broadcast(bounded_sample(known, count_rows, key)), key)
     table = ngram_document_counts(labelled, bits, text)
     total = table.filter("bucket = -1").first()
     negative, positive = (int(total["negative"]), int(total["positive"])) if total else (0, 0)
@@ -147,7 +151,7 @@ def fit_toxicity(
             yield pa.RecordBatch.from_arrays([batch.column(0), found, batch.column(2)], names=[key, "found", "y"])
 
     kind = dict(documents.dtypes)[key]
-    chosen = bounded_sample(training_labels(labels, target, key), sample_rows, key)
+    chosen = bounded_sample(known, sample_rows, key)
     rows = (
         documents.select(key, text).join(F.broadcast(chosen), key).select(key, text, "y")
         .mapInArrow(find, f"{key} {kind}, found array<int>, y int").select(key, "found", "y").toPandas()
