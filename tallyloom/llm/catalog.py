@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.catalog.registry import Query
-from tallyloom.llm import html_extraction, mixing, multi_index, quality, simhash, toxicity, vafile
+from tallyloom.llm import hidden_markov, html_extraction, mixing, multi_index, quality, simhash, toxicity, vafile
 from tallyloom.llm.common import table
 
 QUERIES: dict[str, Query] = {}
@@ -41,6 +41,11 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.balance(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+@_query
+def op7_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hidden_markov.score_documents(table(spark, sf_dir, "documents"))
+
+
 @_query
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.common import bounded_sample
 from tallyloom.llm.labelled import held_out, training_labels
+from tallyloom.operators.staging import stage
 
 ORDERS = (3, 4, 5, 6, 7)
 _PIECE = 1 << 20  # bytes hashed at a time, so that a long text needs bounded memory
@@ -123,7 +124,7 @@ def fit_toxicity(
     """
     known = training_labels(labels, target, key)
     labelled = documents.select(key, text).join(F.broadcast(bounded_sample(known, count_rows, key)), key)
-    table = ngram_document_counts(labelled, bits, text)
+    table = stage(ngram_document_counts(labelled, bits, text))
     total = table.filter("bucket = -1").first()
     negative, positive = (int(total["negative"]), int(total["positive"])) if total else (0, 0)
     share = (positive + 1) / (negative + positive + 2)
