@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.catalog.registry import Query
-from tallyloom.llm import hidden_markov, html_extraction, mixing, multi_index, quality, simhash, toxicity, vafile
+from tallyloom.llm import hidden_markov, html_extraction, mixing, multi_index, passages, quality, simhash, toxicity, vafile
 from tallyloom.llm.common import table
 
 QUERIES: dict[str, Query] = {}
@@ -41,6 +41,15 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.balance(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+@_query
+def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = passages.repeated_spans(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", F.col("start").alias("first_word"), F.col("words").alias("n_words"), "kind",
+        F.col("component").alias("component_id"), F.col("kept").alias("kept_doc_ids"),
+    )
+
+
 @_query
 def op7_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hidden_markov.score_documents(table(spark, sf_dir, "documents"))
