@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tallyloom.catalog.registry import Query
-from tallyloom.llm import hidden_markov, html_extraction, mixing, multi_index, passages, quality, simhash, toxicity, vafile
+from tallyloom.llm import hidden_markov, html_extraction, mixing, multi_index, passages, quality, sentencepiece_sampling, simhash, toxicity, vafile
 from tallyloom.llm.common import table
 
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Query] = {"pipeline": corpus_pipeline.run}
+ORACLES: dict[str, str] = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
 
 
 def _query(run: Query) -> Query:
@@ -25,6 +26,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", digits.alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+@_query
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_sampling.encode_checked(table(spark, sf_dir, "documents"))
+
+
 @_query
 def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = multi_index.near_duplicates(table(spark, sf_dir, "embeddings"))
