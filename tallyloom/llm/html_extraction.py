@@ -192,6 +192,12 @@ def _density(node: _Node) -> float:
     return node.linked / node.text if node.text else 0.0
 
 
+def _below(node: _Node, top: _Node) -> bool:
+    while node is not None and node is not top:
+        node = node.parent
+    return node is top
+
+
 def _blocks(node: _Node, out: list[str]) -> None:
     """Texts of the blocks below `node` in page order."""
     buffer: list[str] = []
@@ -263,6 +269,11 @@ def main_text(page: str | None) -> str:
             best = node
             if node.tag == "article":
                 break
+    if best.tag not in ("article", "main"):  # and an article inside the best container, if it holds much of the points
+        inner = [n for n in scored if n.tag in ("article", "main") and _below(n, best)]
+        chosen = max(inner, key=lambda n: (value[id(n)], n.tag == "article"), default=None)
+        if chosen is not None and value[id(chosen)] >= 0.3 * value.get(id(best), 0.0):
+            best = chosen
     out: list[str] = []
     if best.parent is None or best.tag in ("article", "main", "body", "html"):
         _blocks(best, out)

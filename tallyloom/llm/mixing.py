@@ -171,18 +171,17 @@ def mix(documents: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float
     and spread evenly. Documents without words are left out, as they add nothing to any target.
     """
     used = balance(documents, weights, share, limit, key, text, source)
-    used = used.groupBy(key, source, "size").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
-    used = used.filter("_copies > 0").select(
-        F.col(key).alias("_id"), F.col(source).alias("_source"), F.col("size").alias("_size"), "_copies", "_rows"
+    used = used.groupBy(key, source, "size").agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows"))
+    used = used.filter(F.col("__copies") > 0).select(
+        F.col(key).alias("__id"), F.col(source).alias("__source"), F.col("size").alias("__size"), "__copies", "__rows"
     )
-    sized = documents.withColumn("_words", word_count(text))
-    joined = sized.join(
-        used, sized[key].eqNullSafe(F.col("_id")) & sized[source].eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size"))
-    )
-    single = joined.filter("_rows = 1").withColumn("_n", F.col("_copies"))
-    place = F.row_number().over(W.partitionBy(key, source, "_words").orderBy(text))
-    several = joined.filter("_rows > 1").withColumn("_place", place).withColumn(
-        "_n", F.floor(F.col("_copies") / F.col("_rows")) + (F.col("_place") <= F.col("_copies") % F.col("_rows")).cast("long")
-    ).drop("_place")
-    repeated = single.unionByName(several).filter("_n > 0")
-    return repeated.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select(*documents.columns)
+    sized = documents.withColumn("__words", word_count(text))
+    same = sized[key].eqNullSafe(F.col("__id")) & sized[source].eqNullSafe(F.col("__source")) & (F.col("__words") == F.col("__size"))
+    joined = sized.join(used, same)
+    single = joined.filter(F.col("__rows") == 1).withColumn("__n", F.col("__copies"))
+    place = F.row_number().over(W.partitionBy("__id", "__source", "__size").orderBy(text))
+    several = joined.filter(F.col("__rows") > 1).withColumn("__place", place).withColumn(
+        "__n", F.floor(F.col("__copies") / F.col("__rows")) + (F.col("__place") <= F.col("__copies") % F.col("__rows")).cast("long")
+    ).drop("__place")
+    repeated = single.unionByName(several).filter(F.col("__n") > 0)
+    return repeated.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int")))).select(*documents.columns)

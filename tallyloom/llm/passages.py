@@ -354,12 +354,15 @@ def remove_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text"
     """
     spans = repeated_spans(documents, key, text, **how)
     per_text = stage(
-        spans.groupBy("row", F.col(key).cast("long").alias("_id")).agg(F.collect_set(F.struct("start", "words")).alias("_spans"))
-        .groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("_id", "_spans"))).alias("_cuts"))
-        .withColumnRenamed("row", "_row")
+        spans.groupBy(F.col("row").alias("__row"), F.col(key).cast("long").alias("__id"))
+        .agg(F.collect_set(F.struct("start", "words")).alias("__spans"))
+        .groupBy(F.xxhash64("__id", "__row").alias("__key"))  # a map, should two documents share the hash
+        .agg(F.map_from_entries(F.collect_list(F.struct("__id", "__spans"))).alias("__cuts"))
     )
-    marked = lookup_join(documents.withColumn("_row", F.xxhash64(text)), per_text, "_row", "left", spread=(key,))
-    chosen = marked.withColumn("_spans", F.try_element_at("_cuts", F.col(key).cast("long"))).select(*documents.columns, "_spans")
+    own = F.xxhash64(F.col(key).cast("long"), F.xxhash64(text))
+    marked = lookup_join(documents.withColumn("__key", own), per_text, "__key", "left", spread=(key,))
+    spans_of = F.try_element_at("__cuts", F.col(key).cast("long")).alias("__spans")
+    chosen = marked.select(*documents.columns, F.when(F.col(key).isNotNull(), spans_of).alias("__spans"))
     at = documents.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -142,20 +142,30 @@ def _tree(gradient: np.ndarray, weight: np.ndarray, ridge: float) -> np.ndarray:
 
 
 def _pair_tree(gradient: np.ndarray, weight: np.ndarray, ridge: float) -> tuple[float, np.ndarray]:
-    """A tree that cuts one feature, then the other inside each side; the better order of the two."""
-    best = (-1.0, np.zeros_like(gradient))
+    """The tree that cuts one feature and then, on each side, the other: the best of all first cuts, both ways round."""
+    best = (-np.inf, np.zeros_like(gradient))
     for flip in (False, True):
         g, h = (gradient.T, weight.T) if flip else (gradient, weight)
-        _, at = _cut(g.sum(axis=1), h.sum(axis=1), ridge)
-        values, gain = np.zeros_like(g), -(g.sum() ** 2) / (h.sum() + ridge)
-        for a, b in ((0, at), (at, len(g))) if at else ((0, len(g)),):
-            gs, hs = g[a:b].sum(axis=0), h[a:b].sum(axis=0)
-            _, cut = _cut(gs, hs, ridge)
-            for c, d in ((0, cut), (cut, len(gs))) if cut else ((0, len(gs)),):
-                top, bottom = gs[c:d].sum(), hs[c:d].sum() + ridge
-                values[a:b, c:d] = top / bottom
-                gain += top**2 / bottom
+        if len(g) < 2 or g.shape[1] < 2:
+            continue
+        sides = []
+        for x in (g, h):  # running sums over both features: above and below each first cut, left and right of each second
+            over = np.cumsum(np.cumsum(x, axis=0), axis=1)
+            sides.append((over[:-1], over[-1:] - over[:-1]))
+        total, cuts = np.zeros(len(g) - 1), []
+        for gs, hs in zip(*sides):
+            left, right = gs[:, :-1], gs[:, -1:] - gs[:, :-1]
+            gain = left**2 / (hs[:, :-1] + ridge) + right**2 / (hs[:, -1:] - hs[:, :-1] + ridge)
+            cut = np.argmax(gain, axis=1)
+            cuts.append(cut)
+            total += gain[np.arange(len(gain)), cut]
+        at = int(np.argmax(total))
+        gain = float(total[at] - g.sum() ** 2 / (h.sum() + ridge))
         if gain > best[0]:
+            values = np.zeros_like(g)
+            for (lo, hi), cut in zip(((0, at + 1), (at + 1, len(g))), cuts):
+                for c, d in ((0, cut[at] + 1), (cut[at] + 1, g.shape[1])):
+                    values[lo:hi, c:d] = g[lo:hi, c:d].sum() / (h[lo:hi, c:d].sum() + ridge)
             best = (gain, values.T if flip else values)
     return best
 

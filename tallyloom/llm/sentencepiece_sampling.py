@@ -148,7 +148,7 @@ class Lattice:
         ends.append(node[spelled] + 1)
         pieces.append(np.array([-1 - codes[c] for c in chars[spelled].tolist()], dtype=np.int64))
         start, end, piece = np.concatenate(starts), np.concatenate(ends), np.concatenate(pieces)
-        order = np.lexsort((end, start))
+        order = np.lexsort((-end, start))  # long pieces first: they are the likely ones
         self.start, self.end, self.piece = start[order], end[order], piece[order]
         spell = np.array([len(s) * vocabulary.spell for s in self.spelling] or [0.0])
         self.log = np.where(self.piece >= 0, vocabulary.score[np.maximum(self.piece, 0)], spell[np.minimum(-1 - np.minimum(self.piece, -1), len(spell) - 1)])
@@ -167,22 +167,33 @@ class Lattice:
             total = self.log[e] + self.back[self.end[e]]
             top = np.maximum.reduceat(total, cuts)
             self.back[here] = top + np.log(np.add.reduceat(np.exp(total - np.repeat(top, degree)), cuts))
-        # The global cumulative distribution: node number plus the share of the edges up to this one.
+        # Share of each edge at its node, running sums of the shares, and the shares of all other edges.
         share = np.exp(self.log + self.back[self.end] - self.back[self.start])
-        run = np.cumsum(share)
-        before = run[self.edge[self.start]] - share[self.edge[self.start]]
-        upto = np.minimum(run - before, 1.0)
-        upto[self.edge[self.start + 1] - 1 == np.arange(len(self.start))] = 1.0
-        self.upto = self.start + upto
+        rank = np.arange(len(self.start)) - self.edge[self.start]
+        self.upto = share.copy()
+        for k in range(1, int(rank.max()) + 1 if len(rank) else 0):
+            at = np.flatnonzero(rank == k)
+            self.upto[at] += self.upto[at - 1]
+        lasts = self.edge[self.start + 1] - 1 == np.arange(len(self.start))
+        self.upto[lasts] = 1.0
+        likely = share > 0.5  # one edge of a node at most: the others are added up without it
+        rest = np.bincount(self.start, weights=np.where(likely, 0.0, share), minlength=nodes)
+        self.others = np.where(likely, rest[self.start], 1 - share)
 
     def draw(self, word: np.ndarray, keys: np.ndarray, sample: int, place: np.ndarray):
-        """A path of each occurrence of a word: (edges in order, edges per occurrence, log-probability)."""
+        """A path of each occurrence of a word: edges in order, edges per occurrence, log-probability, mass of other paths."""
         node, active, log = self.first[word].copy(), np.arange(len(word)), np.zeros(len(word))
+        whole, other = self.back[self.first[word]], np.zeros(len(word))
         owner, edges = [], []
         step = 0
         while len(active):
             r = uniforms(keys[active], sample, place[active], step)
-            e = np.searchsorted(self.upto, node[active] + r)
+            e = self.edge[node[active]].copy()
+            more = np.flatnonzero(r > self.upto[e])
+            while len(more):
+                e[more] += 1
+                more = more[r[more] > self.upto[e[more]]]
+            other[active] += np.exp(log[active] + self.back[node[active]] - whole[active]) * self.others[e]
             owner.append(active)
             edges.append(e)
             log[active] += self.log[e]
@@ -192,35 +203,50 @@ class Lattice:
         owner = np.concatenate(owner) if owner else np.zeros(0, dtype=np.int64)
         edges = np.concatenate(edges) if edges else np.zeros(0, dtype=np.int64)
         order = np.argsort(owner, kind="stable")
-        return edges[order], np.bincount(owner, minlength=len(word)), log - self.back[self.first[word]]
+        return edges[order], np.bincount(owner, minlength=len(word)), log - whole, other
 
-    def draw_other(self, word: int, excluded: list[tuple[int, ...]], key: np.uint64, sample: int, place: int) -> tuple[tuple[int, ...], float]:
-        """A path of one word that is none of the excluded ones, and its log-probability.
+    def free_masses(self, word: int, paths: list[tuple[int, ...]]) -> tuple[list[dict[int, int]], list[np.ndarray | None]]:
+        """A tree of the given paths of a word, and at each tree node the edges' shares without those paths.
 
-        Walks down the lattice with edge masses from which the excluded paths below the edge are taken off.
+        Node 0 is the start of the word. Only sums of positive shares, so that a tiny rest keeps its precision.
         """
-        shares = [(p, math.exp(self.log[list(p)].sum() - self.back[self.first[word]])) for p in excluded]
-        node, last, path, reached = int(self.first[word]), int(self.last[word]), [], 1.0
+        children: list[dict[int, int]] = [{}]
+        place = [int(self.first[word])]
+        for path in paths:
+            at = 0
+            for e in path:
+                if e not in children[at]:
+                    children[at][e] = len(children)
+                    children.append({})
+                    place.append(int(self.end[e]))
+                at = children[at][e]
+        free: list[np.ndarray | None] = [None] * len(children)
+        total = [0.0] * len(children)
+        for t in range(len(children) - 1, -1, -1):
+            if place[t] == self.last[word]:
+                continue
+            low = int(self.edge[place[t]])
+            share = self.shares(place[t])
+            for e, child in children[t].items():
+                share[e - low] *= total[child]
+            free[t], total[t] = share, float(share.sum())
+        return children, free
+
+    def shares(self, node: int) -> np.ndarray:
+        some = slice(int(self.edge[node]), int(self.edge[node + 1]))
+        return np.exp(self.log[some] + self.back[self.end[some]] - self.back[node])
+
+    def draw_other(self, word: int, excluded: list[tuple[int, ...]], key: np.uint64, sample: int, place: int) -> tuple[tuple[int, ...], float]:
+        """A path of one word that is none of the excluded ones, and its log-probability."""
+        children, free = self.free_masses(word, excluded)
+        node, last, path, at = int(self.first[word]), int(self.last[word]), [], 0
         while node < last:
-            low, high = int(self.edge[node]), int(self.edge[node + 1])
-            mass = reached * np.exp(self.log[low:high] + self.back[self.end[low:high]] - self.back[node])
-            free = mass.copy()
-            for p, s in shares:
-                free[p[len(path)] - low] -= s
-            below = {p[len(path)] for p, _ in shares}
-            for e in range(low, high):
-                # An edge that ends the word and is excluded has nothing else below it.
-                if e in below and self.end[e] == last:
-                    free[e - low] = 0.0
-            free = np.maximum(free, 0.0)
-            if free.sum() <= 0:
-                free = mass
-            r = float(uniforms(np.array([key]), sample, np.array([place]), 1_000 + len(path))[0]) * free.sum()
-            at = min(int(np.searchsorted(np.cumsum(free), r)), high - low - 1)
-            shares = [(p, s) for p, s in shares if p[len(path)] == low + at]
-            reached = float(mass[at])
-            path.append(low + at)
-            node = int(self.end[low + at])
+            share = self.shares(node) if at is None else free[at]
+            r = float(uniforms(np.array([key]), sample, np.array([place]), 1_000 + len(path))[0]) * share.sum()
+            e = int(self.edge[node]) + min(int(np.searchsorted(np.cumsum(share), r)), int(np.flatnonzero(share)[-1]))
+            at = None if at is None else children[at].get(e)
+            path.append(e)
+            node = int(self.end[e])
         return tuple(path), float(self.log[path].sum() - self.back[self.first[word]])
 
     def ids(self, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -242,7 +268,7 @@ class Lattice:
 
 def _cut_gumbel(mass: np.ndarray, bound: np.ndarray, u: np.ndarray) -> np.ndarray:
     """Gumbel values of sets of log-mass `mass`, not above `bound`."""
-    with np.errstate(divide="ignore", over="ignore"):
+    with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
         return mass - np.log(np.exp(mass - bound) - np.log(u))
 
 
@@ -262,14 +288,14 @@ def sample_texts(vocabulary: Vocabulary, texts: list[str], keys: np.ndarray, sam
     # Per sample and word: where its edges lie in the pool, how many, and their log-probability.
     pool: list[np.ndarray] = []
     pooled = 0
-    offset, size, log = (np.zeros((samples, len(word)), dtype=k) for k in (np.int64, np.int64, np.float64))
+    offset, size, log, other = (np.zeros((samples, len(word)), dtype=k) for k in (np.int64, np.int64, np.float64, np.float64))
     value = np.full((samples, len(texts)), -np.inf)
     made = np.zeros(len(texts), dtype=np.int64)
     branch = np.full(len(texts), -1)
     queue: list[list] = [[] for _ in texts]  # (value, parent sample, word place, excluded paths)
     rest = np.full(len(texts), -np.inf)
-    edges, n, path_log = lattice.draw(word, word_keys, 0, place)
-    offset[0], size[0], log[0] = np.cumsum(n) - n, n, path_log
+    edges, n, log[0], other[0] = lattice.draw(word, word_keys, 0, place)
+    offset[0], size[0] = np.cumsum(n) - n, n
     pool.append(edges)
     pooled += len(edges)
     value[0, filled] = -np.log(-np.log(uniforms(keys[filled], 0, np.zeros(len(filled), dtype=np.int64), 1 << 20)))
@@ -277,13 +303,14 @@ def sample_texts(vocabulary: Vocabulary, texts: list[str], keys: np.ndarray, sam
     alive = filled
     for turn in range(samples):
         # Cut what is left of the set just taken: another path leaves at one of the words after the branch.
-        p = np.exp(log[turn])
-        start_log = np.concatenate(([0.0], np.cumsum(log[turn])))
-        prefix = start_log[:-1] - start_log[starts[text]] if len(word) else np.zeros(0)
+        prefix = np.zeros(len(word))
+        for d in alive.tolist():  # sums inside each text, so that a text does not depend on its batch
+            here = slice(int(starts[d]), int(starts[d] + counts[d]))
+            prefix[here] = np.cumsum(log[turn, here]) - log[turn, here]
         live = np.zeros(len(texts), dtype=bool)
         live[alive] = True
         with np.errstate(divide="ignore"):
-            mass = prefix + np.where(p < 1 - 1e-12, np.log1p(-np.minimum(p, 1)), -np.inf)
+            mass = prefix + np.log(other[turn])
         mass[(place <= branch[text]) | ~live[text]] = -np.inf
         gumbel = _cut_gumbel(mass, value[turn][text], uniforms(word_keys, turn, place, 1 << 21))
         gumbel[~np.isfinite(mass)] = -np.inf
@@ -315,11 +342,11 @@ def sample_texts(vocabulary: Vocabulary, texts: list[str], keys: np.ndarray, sam
         for d, (_, s, w, _) in taken.items():
             branch[d], parent[d] = w, s
         after = np.flatnonzero(place > branch[text])
-        edges, n, path_log = lattice.draw(word[after], word_keys[after], turn + 1, place[after])
+        edges, n, path_log, path_other = lattice.draw(word[after], word_keys[after], turn + 1, place[after])
         new = turn + 1
         every = np.arange(len(word))
         offset[new], size[new], log[new] = offset[parent[text], every], size[parent[text], every], log[parent[text], every]
-        offset[new, after], size[new, after], log[new, after] = np.cumsum(n) - n + pooled, n, path_log
+        offset[new, after], size[new, after], log[new, after], other[new, after] = np.cumsum(n) - n + pooled, n, path_log, path_other
         pool.append(edges)
         pooled += len(edges)
         extra = []
@@ -332,10 +359,9 @@ def sample_texts(vocabulary: Vocabulary, texts: list[str], keys: np.ndarray, sam
             made[d] += 1
             # What is left at this word, beside the excluded paths and the new one.
             out = excluded + [path]
-            back = lattice.back[lattice.first[word[at]]]
-            left = 1 - sum(math.exp(lattice.log[list(x)].sum() - back) for x in out)
-            if left > 1e-12:
-                before = log[new, int(starts[d]):at].sum()
+            left = float(lattice.free_masses(int(word[at]), out)[1][0].sum())
+            if left > 0:
+                before = float(np.cumsum(log[new, int(starts[d]):at])[-1]) if w else 0.0
                 u = uniforms(keys[d:d + 1], new, np.array([w]), 1 << 22)
                 q = float(_cut_gumbel(np.array([before + math.log(left)]), np.array([g]), u)[0])
                 queue[d].append((q, new, w, out))

@@ -140,7 +140,7 @@ def fingerprint_links(distinct: DataFrame, radius: int = 4, block_rows: int = 16
         (own <= F.col("other")).alias("first"),
     ).select("fp", "low.ones", "low.block", F.col("high.ones").alias("ones2"), F.col("high.block").alias("block2"), "first")
 
-    def compare(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         fp = rows["fp"].to_numpy(dtype=np.int64)
         first = rows["first"].to_numpy(dtype=bool)
         a, b = np.sort(fp[first]), np.sort(fp[~first])

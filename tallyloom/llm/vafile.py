@@ -13,7 +13,7 @@ outermost borders from the whole table, so bounds hold for every row.
 
 Defined cases: vectors that are null, empty or hold null or non-finite components, and rows without an id,
 take no part. Vectors meet only those of their own length. A query never meets rows of its own id; rows that
-repeat id and vector count once. With fewer than k candidates all are returned. An empty table gives an
+repeat id and vector count once. With fewer than k candidates all are returned. Scores beyond the range of a long are given as its ends. An empty table gives an
 empty result. Further columns are ignored.
 """
 
@@ -32,6 +32,9 @@ from tallyloom.llm.vectors import matrix, sound
 from tallyloom.operators.staging import stage
 
 
+_WIDE = 1 << 62
+
+
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Exact integer a @ b.T: floating point where its 53 bits suffice, else integers of any size."""
     if not a.size or not b.size:
@@ -159,7 +162,7 @@ def top_k(
         take = min(k, lower.shape[1])
         top = np.partition(lower, lower.shape[1] - take, axis=1)[:, lower.shape[1] - take:]
         row, col = np.nonzero(top > floor)
-        return pa.table({"id": pa.array(own[row]), "mark": asking["mark"].take(pa.array(row)), "lower": pa.array(top[row, col].astype(np.int64))})
+        return pa.table({"id": pa.array(own[row]), "mark": asking["mark"].take(pa.array(row)), "lower": pa.array(np.clip(top[row, col], -_WIDE, _WIDE).astype(np.int64))})
 
     narrow = file.select("dim", "block", "first", (F.size("ids") > 1).alias("many"), "codes", F.when(F.col("codes").isNull(), F.col("x")).alias("x"))
     marked = dealt.withColumn("mark", F.xxhash64("x"))
@@ -178,9 +181,10 @@ def top_k(
             _, upper = limits(asking["dim"][0].as_py(), q, unpack(entries), lambda: x)
             ids = entries["ids"].to_pylist()
             for n, (own, mark, bar) in enumerate(zip(asking["id"].to_pylist(), asking["mark"].to_pylist(), asking["bar"].to_pylist())):
-                found = verified(q[n], x, ids, own, upper[n], -(1 << 62) if bar is None else bar, k)
+                found = verified(q[n], x, ids, own, upper[n], -_WIDE * _WIDE if bar is None else bar, k)
                 out += [(own, mark, i, s) for s, i in found]
         a, b, c, d = zip(*out) if out else ((), (), (), ())
+        d = [min(max(s, -(1 << 63)), (1 << 63) - 1) for s in d]
         return pa.table({"query_id": pa.array(a, pa.int64()), "mark": pa.array(b, pa.int64()), "vec_id": pa.array(c, pa.int64()), "score": pa.array(d, pa.int64())})
 
     found = here(file.select("dim", "block", "first", "x", "ids", "codes")).groupBy(*task).cogroup(
