@@ -40,6 +40,18 @@ def user_prediction_lists(spark, sf):
     return lists.select("uid", "part", join_ints(F.col("predictions")).alias("predictions"))
 
 
+@query(f"""
+WITH placed AS (
+  SELECT *, (row_number() OVER (PARTITION BY uid ORDER BY batch_id DESC, pos) - 1) // 4 AS part FROM ({PREDICTIONS_SQL})
+)
+SELECT uid, part, string_agg(prediction::VARCHAR, ',' ORDER BY batch_id DESC, pos) AS predictions FROM placed GROUP BY uid, part
+""")
+def user_prediction_lists_parts(spark, sf):
+    """The same lists on rows of at most four predictions."""
+    lists = E.user_prediction_lists(predictions(spark, sf), part_rows=4)
+    return lists.select("uid", "part", join_ints(F.col("predictions")).alias("predictions"))
+
+
 @query(f"WITH {VOTES_SQL} SELECT uid, prediction, n AS n_votes FROM votes")
 def majority_vote(spark, sf):
     return E.majority_vote(predictions(spark, sf))

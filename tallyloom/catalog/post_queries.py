@@ -22,7 +22,7 @@ from tallyloom.catalog.bindings import (
 )
 from tallyloom.catalog.label_queries import DICTIONARY_SQL, THREE_WAY_SQL
 from tallyloom.catalog.registry import query
-from tallyloom.config import TextConfig
+from tallyloom.config import SizeLimits, TextConfig
 from tallyloom.functions import text as X
 from tallyloom.operators import batching, packing, posts as P
 from tallyloom.operators.keywords import keyword_counts as count_keywords
@@ -117,6 +117,17 @@ def uid_lookup(spark, sf):
     return P.uid_lookup(order_posts(spark, sf)).select("uid", "part", join_ints(F.col("row_idxs")).alias("row_idxs"))
 
 
+@query("""
+SELECT uid, part, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey) AS row_idxs FROM (
+  SELECT o_custkey::VARCHAR AS uid, o_orderkey, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) // 3 AS part
+  FROM orders
+) GROUP BY uid, part
+""")
+def uid_lookup_parts(spark, sf):
+    """The same index on rows of at most three posts."""
+    return P.uid_lookup(order_posts(spark, sf), part_rows=3).select("uid", "part", join_ints(F.col("row_idxs")).alias("row_idxs"))
+
+
 @query("SELECT o_custkey::VARCHAR AS uid, count(*) AS n_posts FROM orders GROUP BY 1")
 def posts_per_user(spark, sf):
     return P.posts_per_user(order_posts(spark, sf))
@@ -158,7 +169,22 @@ SELECT uid, 0::BIGINT AS part, arg_min(tid, row_idx) AS tid,
 FROM ({SPARSE_SQL}) GROUP BY uid
 """)
 def concat_by_uid(spark, sf):
-    return P.concat_by_uid(sparse_posts(spark, sf), size=F.col("n_chars") * 4)
+    return P.concat_by_uid(sparse_posts(spark, sf))
+
+
+@query(f"""
+WITH placed AS (
+  SELECT *, (row_number() OVER (PARTITION BY uid ORDER BY row_idx) - 1) // 7 AS part,
+         first_value(tid) OVER (PARTITION BY uid ORDER BY row_idx) AS first_tid
+  FROM ({SPARSE_SQL})
+)
+SELECT uid, part, any_value(first_tid) AS tid,
+       coalesce(string_agg(text || chr(10), '' ORDER BY row_idx) FILTER (WHERE text <> ''), '') AS text
+FROM placed GROUP BY uid, part
+""")
+def concat_by_uid_parts(spark, sf):
+    """The same texts on rows of at most seven posts."""
+    return P.concat_by_uid(sparse_posts(spark, sf), part_rows=7)
 
 
 @query("""
@@ -259,6 +285,20 @@ def pack_by_uid_compat(spark, sf):
     return packing.pack_by_uid(turn_posts(spark, sf), TextConfig(), overflow="drop")
 
 
+_SMALL = SizeLimits(group_rows=5)
+
+
+@query(f"WITH RECURSIVE {pack_sql('carry')} SELECT uid, chunk_idx, tid, text FROM chunks JOIN users USING (uid)")
+def pack_by_uid_parts(spark, sf):
+    """The same chunks, with every user of more than five turns packed in parts of five."""
+    return packing.pack_by_uid(turn_posts(spark, sf), limits=_SMALL)
+
+
+@query(f"WITH RECURSIVE {pack_sql('drop')} SELECT uid, chunk_idx, tid, text FROM chunks JOIN users USING (uid)")
+def pack_by_uid_compat_parts(spark, sf):
+    return packing.pack_by_uid(turn_posts(spark, sf), TextConfig(), overflow="drop", limits=_SMALL)
+
+
 EXPORT_SQL = f"""
 posts AS (
   SELECT d.doc_id AS row_idx, d.source AS uid, {counts_sql('w')} AS input_ids,

@@ -56,19 +56,32 @@ def user_all_embeddings(spark, sf):
     )
 
 
-@query("""
-SELECT uid, part, list_position AS at, row_idx FROM (
-  SELECT label::VARCHAR AS uid, 0::BIGINT AS part, vec_id AS row_idx,
-         row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS list_position
-  FROM embeddings
-)
-""")
-def user_embedding_lists(spark, sf):
-    """The lists are compared through their order: each list element is looked up by position."""
-    lists = EM.user_embedding_lists(embedded(spark, sf))
+def _list_sql(part_rows):
+    return f"""
+WITH placed AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS place FROM embeddings)
+SELECT label::VARCHAR AS uid, place // {part_rows} AS part, place % {part_rows} AS at,
+       unnest(range(0, len(embedding))) AS dim, unnest(embedding)::DOUBLE AS value
+FROM placed
+"""
+
+
+def _list_values(lists):
     items = lists.select("uid", "part", F.posexplode("embeddings").alias("at", "embedding"))
-    rows = embedded(spark, sf).select("uid", "row_idx", "embedding")
-    return items.join(rows, ["uid", "embedding"]).select("uid", "part", F.col("at").cast("long").alias("at"), "row_idx")
+    values = items.select("uid", "part", "at", F.posexplode("embedding").alias("dim", "value"))
+    return values.select(
+        "uid", "part", F.col("at").cast("long").alias("at"), F.col("dim").cast("long").alias("dim"), F.col("value").cast("double").alias("value")
+    )
+
+
+@query(_list_sql(4_096))
+def user_embedding_lists(spark, sf):
+    return _list_values(EM.user_embedding_lists(embedded(spark, sf)))
+
+
+@query(_list_sql(16))
+def user_embedding_lists_parts(spark, sf):
+    """The same lists on rows of at most sixteen vectors."""
+    return _list_values(EM.user_embedding_lists(embedded(spark, sf), part_rows=16))
 
 
 # --- distances -------------------------------------------------------------------------------

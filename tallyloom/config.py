@@ -11,6 +11,7 @@ DELIMITERS = {
     "sep": "</s></s>",
 }
 
+# Names of the pooling strategies and distances.
 POOLING_STRATEGIES = ("cls_embedding_with_dense_layer", "cls_embedding_only", "word_embedding_mean")
 DISTANCES = ("l2", "cosine")
 
@@ -57,11 +58,10 @@ class MiningConfig:
 
 @dataclass(frozen=True)
 class SizeLimits:
-    """Bounds that decide between physical strategies. No limit ever drops a row.
+    """Bounds that decide between physical strategies. No limit ever drops a row or changes a result.
 
     broadcast_rows / broadcast_bytes: a lookup side is broadcast only below both.
-    group_rows / group_bytes: a group is collected in one piece only below both; larger groups are
-    cut into ordered parts that each stay below them.
+    group_rows / group_bytes: a group is worked on in one piece only below both.
     literal_keys: up to this many oversized keys are inlined in the plan as an IN set.
     """
 
@@ -73,3 +73,15 @@ class SizeLimits:
 
 
 LIMITS = SizeLimits()
+
+
+@dataclass(frozen=True)
+class PartRows:
+    """Rows of a user on one output row; longer users continue on further parts, all by the same rule."""
+
+    numbers: int = 16_384
+    vectors: int = 4_096
+    texts: int = 1_024
+
+
+PARTS = PartRows()

@@ -7,9 +7,9 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.config import LIMITS, POOLING_STRATEGIES, SizeLimits
+from tallyloom.config import PARTS, POOLING_STRATEGIES
 from tallyloom.functions.vectors import dot
-from tallyloom.operators.skew import with_part
+from tallyloom.operators.positions import with_part
 
 
 def user_mean_embedding(embedded: DataFrame, key: str = "uid") -> DataFrame:
@@ -29,11 +29,9 @@ def user_all_embeddings(embedded: DataFrame) -> DataFrame:
     return embedded.select("uid", "row_idx", "embedding")
 
 
-def user_embedding_lists(embedded: DataFrame, limits: SizeLimits = LIMITS) -> DataFrame:
-    """`(uid, part, embeddings)` for export: a user is one row unless the list outgrows a row."""
-    parts = with_part(
-        embedded.select("uid", "row_idx", "embedding"), "uid", "row_idx", F.size("embedding") * F.lit(4), limits
-    )
+def user_embedding_lists(embedded: DataFrame, part_rows: int = PARTS.vectors) -> DataFrame:
+    """`(uid, part, embeddings)` for export: part p holds the vectors at places p * part_rows and on."""
+    parts = with_part(embedded.select("uid", "row_idx", "embedding"), "uid", "row_idx", part_rows)
     ordered = F.array_sort(F.collect_list(F.struct("row_idx", "embedding")))
     return parts.groupBy("uid", "part").agg(ordered["embedding"].alias("embeddings"))
 

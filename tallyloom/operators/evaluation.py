@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.config import LIMITS, SizeLimits
+from tallyloom.config import PARTS, UNKNOWN_LABEL
 from tallyloom.functions.vectors import argmax, softmax_cross_entropy
-from tallyloom.operators.skew import lookup_join, stage_measured, with_part
+from tallyloom.operators.positions import with_part
+from tallyloom.operators.skew import lookup_join, stage_measured
 
 NO_USERS = -1.0
-_POS_RANGE = 1 << 24
+_BATCH = Decimal(1 << 63)  # more than any position in a batch
 
 
 def _ratio(matches: Column) -> Column:
@@ -19,13 +22,11 @@ def _ratio(matches: Column) -> Column:
 
 
 def _list_order() -> Column:
-    """Place of a prediction in a user's list, newest batch first, as one long.
+    """Place of a prediction in a user's list, newest batch first, as one wide decimal.
 
-    A long keeps the aggregations below on the hash path; a struct would force a sort.
+    A number keeps the aggregations below on the hash path; a struct would force a sort.
     """
-    fits = F.col("pos").between(0, _POS_RANGE - 1)
-    order = F.col("pos") - F.col("batch_id") * F.lit(_POS_RANGE)
-    return F.when(fits, order).otherwise(F.raise_error(F.lit("pos is not a position in a batch")).cast("long"))
+    return F.col("pos").cast("decimal(19,0)") - F.col("batch_id").cast("decimal(19,0)") * F.lit(_BATCH)
 
 
 def _vote(predictions: DataFrame, *keys: str) -> DataFrame:
@@ -41,13 +42,13 @@ def unmasked_predictions(predictions: DataFrame) -> DataFrame:
     return predictions.filter(F.col("loss_mask") == 1)
 
 
-def user_prediction_lists(predictions: DataFrame, limits: SizeLimits = LIMITS) -> DataFrame:
+def user_prediction_lists(predictions: DataFrame, part_rows: int = PARTS.numbers) -> DataFrame:
     """`(uid, part, predictions)`: the newest batch first, batch order inside.
 
-    A user is one row unless the list outgrows a row; then it continues on further parts.
+    Part p of a user holds the predictions at places p * part_rows and on.
     """
     ordered = predictions.withColumn("_ord", _list_order())
-    parts = with_part(ordered.select("uid", "_ord", "prediction"), "uid", "_ord", limits=limits)
+    parts = with_part(ordered.select("uid", "_ord", "prediction"), "uid", "_ord", part_rows)
     values = F.array_sort(F.collect_list(F.struct("_ord", "prediction")))
     return parts.groupBy("uid", "part").agg(values["prediction"].alias("predictions"))
 

@@ -5,16 +5,17 @@ the chunk of a text depend on all earlier texts of the user, so a plain grouping
 user into one task. Two paths give the same chunks:
 
 * ordinary users: one grouping and a fold over the user's token counts inside the JVM;
-* oversized users: the history is cut into ordered parts. The only thing a part needs from the parts
-  before it is the number of tokens in the open chunk, a value below the limit. So each part computes
-  its exit value for every possible entry value at once, the short list of parts is chained, and the
-  chunks are then built in parallel.
+* oversized users: the history is cut into parts of equal length by the place of a text. The only thing
+  a part needs from the parts before it is the number of tokens in the open chunk, a value below the
+  limit. So each part computes its exit value for every possible entry value at once. These tables are
+  composed in two levels, runs of 256 parts and then the runs, and the chunks are built in parallel.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +25,12 @@ from pyspark.sql import functions as F
 
 from tallyloom.config import LIMITS, SizeLimits, TextConfig
 from tallyloom.functions.text import delimiter_for, is_blank, word_count
-from tallyloom.operators.skew import HeavyKeys, heavy_keys, order_block
+from tallyloom.operators.positions import with_part
+from tallyloom.operators.skew import heavy_keys
 from tallyloom.operators.staging import stage
 
 _FOLD_ROWS = 20_000  # the fold appends to an array, so its groups are kept shorter
+_RUN = 256  # parts whose tables are composed in one task
 MODES = ("carry", "drop")
 
 
@@ -39,6 +42,7 @@ def pack_by_uid(
     order: str = "row_idx",
     size: Column | None = None,
     limits: SizeLimits = LIMITS,
+    part_rows: int = _FOLD_ROWS,
 ) -> DataFrame:
     """`(uid, chunk_idx, tid, text)`: chunks of at most `max_seq_length` tokens per user.
 
@@ -47,7 +51,8 @@ def pack_by_uid(
     has the id of the user's first post. `count_tokens` maps a text column to its token count, for
     example through a pandas UDF around another tokenizer; counts of a chunk's texts are added up.
     Users are measured by the bytes of their texts; `size`, an upper bound of a text's bytes taken
-    from a stored length column, saves reading the texts for that.
+    from a stored length column, saves reading the texts for that. Neither the bounds nor `part_rows`, the
+    texts of an oversized user in one task, change the chunks.
     """
     if overflow not in MODES:
         raise ValueError(f"unknown overflow mode {overflow!r}")
@@ -68,7 +73,7 @@ def pack_by_uid(
         return _pack_by_fold(texts, room, overflow)
     marked = heavy.mark(texts)
     ordinary = _pack_by_fold(marked.filter(~F.col("_heavy")).drop("_heavy"), room, overflow)
-    oversized = _pack_by_parts(marked.filter("_heavy").drop("_heavy"), heavy, room, overflow, limits)
+    oversized = _pack_by_parts(marked.filter("_heavy").drop("_heavy"), room, overflow, min(part_rows, limits.group_rows))
     return ordinary.unionByName(oversized)
 
 
@@ -159,48 +164,86 @@ def _cuts(ks: np.ndarray, entry: int, room: int, carry: bool) -> np.ndarray:
     return np.array(found, dtype=np.int64)
 
 
-def _pack_by_parts(texts: DataFrame, heavy: HeavyKeys, room: int, overflow: str, limits: SizeLimits) -> DataFrame:
+def _compose(first: tuple[np.ndarray, np.ndarray], second: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The table of two parts after each other."""
+    sizes, closed = first
+    return second[0][sizes], closed + second[1][sizes]
+
+
+def _tables(table: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(sizes, closed) of each row."""
+    n = table.num_rows
+    sizes, closed = (table.column(c).combine_chunks().flatten().to_numpy().reshape(n, -1) for c in ("sizes", "closed"))
+    return list(zip(sizes, closed))
+
+
+def _pack_by_parts(texts: DataFrame, room: int, overflow: str, width: int) -> DataFrame:
     carry = overflow == "carry"
-    width = limits.group_rows
-    if heavy.max_width:
-        width = max(1, min(width, limits.group_bytes // heavy.max_width))
     # Written once: the first pass then reads token counts only, not the texts.
-    parts = stage(texts.withColumn("part", order_block("ord", width)))
+    parts = stage(with_part(texts, "uid", "ord", width, first="tid"))
     key_type = texts.schema["uid"].dataType.simpleString()
+    tid_type = texts.schema["tid"].dataType.simpleString()
 
     def transitions(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        ks = table.sort_by("ord").column("k").to_numpy()
+        ks = table.filter(pc.is_valid(table.column("k"))).sort_by("ord").column("k").to_numpy()
         sizes, closed = _transition(ks, room, carry)
         return pa.table({
             "uid": pa.array([key[0].as_py()], table.schema.field("uid").type),
             "part": pa.array([key[1].as_py()], pa.int64()),
+            "tid": table.column("tid").slice(0, 1).combine_chunks(),
             "sizes": pa.array([sizes.tolist()], pa.list_(pa.int32())),
             "closed": pa.array([closed.tolist()], pa.list_(pa.int64())),
         })
 
-    counted = parts.filter(F.col("piece").isNotNull()).select("uid", "part", "ord", "k")
-    exits = counted.groupBy("uid", "part").applyInArrow(
-        transitions, f"uid {key_type}, part long, sizes array<int>, closed array<long>"
+    exits = stage(
+        parts.select("uid", "part", "tid", "ord", "k").groupBy("uid", "part").applyInArrow(
+            transitions, f"uid {key_type}, part long, tid {tid_type}, sizes array<int>, closed array<long>"
+        ).withColumn("run", F.expr(f"part div {_RUN}L"))
     )
 
-    def chain(table: pa.Table) -> pa.Table:
-        # One row per part of one user: the user's rows divided by the part width.
-        table = table.sort_by("part")
-        n, chunk, entry_n, entry_chunk = 0, 0, [], []
-        for sizes, closed in zip(table.column("sizes").to_pylist(), table.column("closed").to_pylist(), strict=True):
-            entry_n.append(n)
-            entry_chunk.append(chunk)
-            n, chunk = sizes[n], chunk + closed[n]
+    def compose(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        sizes, closed = reduce(_compose, _tables(table.sort_by("part")))
         return pa.table({
-            "uid": table.column("uid"),
-            "part": table.column("part"),
-            "entry_n": pa.array(entry_n, pa.int32()),
-            "entry_chunk": pa.array(entry_chunk, pa.int64()),
-            "last_chunk": pa.array([chunk] * len(entry_n), pa.int64()),
+            "uid": pa.array([key[0].as_py()], table.schema.field("uid").type),
+            "run": pa.array([key[1].as_py()], pa.int64()),
+            "sizes": pa.array([sizes.tolist()], pa.list_(pa.int32())),
+            "closed": pa.array([closed.tolist()], pa.list_(pa.int64())),
         })
 
-    entries = exits.groupBy("uid").applyInArrow(
-        chain, f"uid {key_type}, part long, entry_n int, entry_chunk long, last_chunk long"
+    def follow(table: pa.Table, by: str, n: int, chunk: int) -> pa.Table:
+        """Entry size and chunk of each row in order, and the state after the last."""
+        table = table.sort_by(by)
+        entry_n, entry_chunk = [], []
+        for sizes, closed in _tables(table):
+            entry_n.append(n)
+            entry_chunk.append(chunk)
+            n, chunk = int(sizes[n]), chunk + int(closed[n])
+        return table.drop_columns(["sizes", "closed"]).append_column("entry_n", pa.array(entry_n, pa.int32())).append_column(
+            "entry_chunk", pa.array(entry_chunk, pa.int64())
+        ).append_column("last_chunk", pa.array([chunk] * len(entry_n), pa.int64()))
+
+    def chain(table: pa.Table) -> pa.Table:
+        # One row per run of a user: the user's texts divided by width * 256.
+        return follow(table, "run", 0, 0)
+
+    runs = (
+        exits.groupBy("uid", "run").applyInArrow(compose, f"uid {key_type}, run long, sizes array<int>, closed array<long>")
+        .groupBy("uid").applyInArrow(chain, f"uid {key_type}, run long, entry_n int, entry_chunk long, last_chunk long")
+    )
+
+    def spread(tables: pa.Table, starts: pa.Table) -> pa.Table:
+        if not tables.num_rows or not starts.num_rows:
+            return pa.table({c: pa.array([], t) for c, t in (
+                ("uid", tables.schema.field("uid").type), ("part", pa.int64()), ("tid", tables.schema.field("tid").type),
+                ("entry_n", pa.int32()), ("entry_chunk", pa.int64()), ("last_chunk", pa.int64()))})
+        out = follow(tables.drop_columns(["run"]), "part", starts.column("entry_n")[0].as_py(), starts.column("entry_chunk")[0].as_py())
+        last = pa.array([starts.column("last_chunk")[0].as_py()] * out.num_rows, pa.int64())
+        return out.drop_columns(["last_chunk"]).append_column("last_chunk", last)
+
+    entries = stage(
+        exits.groupBy("uid", "run").cogroup(runs.groupBy("uid", "run")).applyInArrow(
+            spread, f"uid {key_type}, part long, tid {tid_type}, entry_n int, entry_chunk long, last_chunk long"
+        )
     )
 
     def assign(table: pa.Table) -> pa.Table:
@@ -212,6 +255,7 @@ def _pack_by_parts(texts: DataFrame, heavy: HeavyKeys, room: int, overflow: str,
         keep = np.ones(len(rows), dtype=bool) if carry else ~np.isin(rows, cuts)
         return pa.table({
             "uid": table.column("uid"),
+            "tid": table.column("tid"),
             "chunk_idx": pa.array(chunks, pa.int64()),
             "ord": table.column("ord"),
             "piece": pc.if_else(pa.array(keep), table.column("piece"), pa.scalar(None, pa.string())),
@@ -223,24 +267,12 @@ def _pack_by_parts(texts: DataFrame, heavy: HeavyKeys, room: int, overflow: str,
         .select("uid", "part", "ord", "k", "piece")
         .join(entries, ["uid", "part"])
         .groupBy("uid", "part")
-        .applyInArrow(assign, f"uid {key_type}, chunk_idx long, ord long, piece string")
+        .applyInArrow(assign, f"uid {key_type}, tid {tid_type}, chunk_idx long, ord long, piece string")
     )
     # The last chunk exists even when nothing was put into it.
-    users = parts.groupBy("uid").agg(F.min_by("tid", "ord").alias("tid"))
-    last = users.join(entries.groupBy("uid").agg(F.max("last_chunk").alias("c")), "uid", "left").select(
-        "uid",
-        F.coalesce("c", F.lit(0)).cast("long").alias("chunk_idx"),
-        F.lit(None).cast("long").alias("ord"),
-        F.lit(None).cast("string").alias("piece"),
-    )
-    chunks = (
-        rows.unionByName(last)
-        .groupBy("uid", "chunk_idx")
-        .agg(
-            F.array_join(
-                F.array_sort(F.collect_list(F.when(F.col("piece").isNotNull(), F.struct("ord", "piece"))))["piece"], ""
-            ).alias("text")
-        )
+    last = entries.filter("part = 0").select(
+        "uid", "tid", F.col("last_chunk").alias("chunk_idx"), F.lit(None).cast("long").alias("ord"), F.lit(None).cast("string").alias("piece")
     )
-    # One row per oversized user: total rows divided by the bound.
-    return chunks.join(users, "uid").select("uid", "chunk_idx", "tid", "text")
+    kept = F.array_sort(F.collect_list(F.when(F.col("piece").isNotNull(), F.struct("ord", "piece"))))["piece"]
+    chunks = rows.unionByName(last).groupBy("uid", "chunk_idx").agg(F.any_value("tid").alias("tid"), F.array_join(kept, "").alias("text"))
+    return chunks.select("uid", "chunk_idx", "tid", "text")

@@ -7,9 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.config import LIMITS, UNKNOWN_LABEL, SizeLimits
+from tallyloom.config import PARTS, UNKNOWN_LABEL
 from tallyloom.functions.text import delimiter_for, is_blank
-from tallyloom.operators.skew import lookup_join, with_part
+from tallyloom.operators.positions import with_part
+from tallyloom.operators.skew import lookup_join
 
 
 def head_sample(rows: DataFrame, n: int, order: str = "row_idx") -> DataFrame:
@@ -51,13 +52,13 @@ def label_posts(posts: DataFrame, labels: DataFrame, require_labels: bool = Fals
     return joined.withColumn("label", F.coalesce(F.col("label"), F.lit(UNKNOWN_LABEL)).cast("int"))
 
 
-def uid_lookup(posts: DataFrame, limits: SizeLimits = LIMITS) -> DataFrame:
+def uid_lookup(posts: DataFrame, part_rows: int = PARTS.numbers) -> DataFrame:
     """Inverted index `(uid, part, row_idxs)`.
 
-    A user has one row (part 0). A user with more posts than one list may hold continues on further
-    parts; the lists in part order make up the whole index entry.
+    Part p of a user lists the rows at places p * part_rows and on in the user's order; the lists in part
+    order make up the whole index entry.
     """
-    parts = with_part(posts.select("uid", "row_idx"), "uid", "row_idx", limits=limits)
+    parts = with_part(posts.select("uid", "row_idx"), "uid", "row_idx", part_rows)
     return parts.groupBy("uid", "part").agg(F.array_sort(F.collect_list("row_idx")).alias("row_idxs"))
 
 
@@ -97,23 +98,17 @@ def export_last_by_uid(processed: DataFrame, splits: list[str] | None = None) ->
 
 
 def concat_by_uid(
-    posts: DataFrame,
-    delimiter: str = "newline",
-    order: str = "row_idx",
-    size: Column | None = None,
-    limits: SizeLimits = LIMITS,
+    posts: DataFrame, delimiter: str = "newline", order: str = "row_idx", part_rows: int = PARTS.texts
 ) -> DataFrame:
     """All texts of a user in order, each followed by the delimiter: `(uid, part, tid, text)`.
 
     Missing and empty texts are skipped, users without any text keep an empty row, and `tid` is the id
-    of the part's first post. A user is one row (part 0) unless the text exceeds what one row should
-    hold; then the text continues on further parts, which appended in order are the whole text. `size`, an
-    upper bound of a text's bytes from a stored length column, saves one reading of the texts.
+    of the user's first post. Part p holds the texts at places p * part_rows and on; appended in part order
+    they are the whole text.
     """
     tail = delimiter_for(delimiter)
     piece = F.when(~is_blank(F.col("text")), F.concat("text", F.lit(tail)))
-    size = F.coalesce(F.octet_length("text"), F.lit(0)) if size is None else size
-    parts = with_part(posts, "uid", order, size + F.lit(len(tail.encode())), limits).select(
+    parts = with_part(posts, "uid", order, part_rows, first="tid").select(
         "uid", "part", F.col(order).alias("_ord"), "tid", piece.alias("_piece")
     )
     ordered = F.array_sort(F.collect_list(F.when(F.col("_piece").isNotNull(), F.struct("_ord", "_piece"))))

@@ -1,12 +1,7 @@
-"""Joins and groupings that hold when one key owns a large share of all rows.
+"""Joins that hold when one key owns a large share of all rows.
 
-Three building blocks:
-
-* `lookup_join` - enrich a fact table from a keyed table. The keyed side is measured; it is broadcast
-  below a bound and otherwise shuffled with oversized keys salted.
-* `with_part` - cut oversized groups into ordered, bounded parts so that no task collects a whole one.
-* `group_positions` - dense position of a row inside its group without a per-group window on
-  oversized groups.
+`lookup_join` enriches a fact table from a keyed table. The keyed side is measured; it is broadcast below a
+bound and otherwise shuffled with oversized keys salted. `heavy_keys` finds the oversized keys.
 
 Oversized keys are found by one aggregation on the key column (map-side combined, so it costs a
 column scan and one small shuffle). Salts are hashes of row content, never random: a retried task
@@ -19,7 +14,6 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -143,38 +137,6 @@ def heavy_keys(
     return HeavyKeys(key, (None,) if top["missing"] else (), table, top["n"], top["m"] or 0)
 
 
-def order_block(order: str, width: int) -> Column:
-    """Number of the block of `width` consecutive order values; rounds down below zero too."""
-    return F.expr(f"(`{order}` - pmod(`{order}`, {width}L)) div {width}L")
-
-
-def with_part(
-    df: DataFrame,
-    key: str,
-    order: str,
-    weight: Column | None = None,
-    limits: SizeLimits = LIMITS,
-    name: str = "part",
-) -> DataFrame:
-    """Add a part number: 0 for ordinary groups, order blocks for oversized ones.
-
-    `order` is an integer column, unique inside a group, so a block of width w holds at most w rows.
-    The width follows from the widest row, so a part also stays below the byte bound. Parts sorted by
-    number, each in `order`, give the whole group back.
-    """
-    heavy = heavy_keys(df, key, weight, limits)
-    if not heavy:
-        return df.withColumn(name, F.lit(0).cast("long"))
-    width = limits.group_rows
-    if heavy.max_width:
-        width = max(1, min(width, limits.group_bytes // heavy.max_width))
-    return (
-        heavy.mark(df)
-        .withColumn(name, F.when(F.col("_heavy"), order_block(order, width)).otherwise(F.lit(0)).cast("long"))
-        .drop("_heavy")
-    )
-
-
 def lookup_join(
     facts: DataFrame,
     lookup: DataFrame,
@@ -200,7 +162,7 @@ def lookup_join(
     if not heavy:
         return facts.join(lookup, key, how)
     columns = list(spread) or _atomic(facts)
-    fan = int(min(100_000, -(-heavy.max_rows // limits.group_rows)))
+    fan = int(-(-heavy.max_rows // limits.group_rows))
     salt = F.pmod(F.xxhash64(*columns), F.lit(fan)).cast("int")
     salted = (
         heavy.mark(facts)
@@ -217,49 +179,3 @@ def lookup_join(
         c for c in lookup.columns if c != key
     ]
     return joined.select([key] + [c for c in order if c != key])
-
-
-def group_positions(
-    df: DataFrame,
-    key: str,
-    order: str,
-    name: str = "pos",
-    limits: SizeLimits = LIMITS,
-    sizes: DataFrame | None = None,
-) -> DataFrame:
-    """Dense 0-based position of each row inside its group, by an integer order unique in the group."""
-    heavy = heavy_keys(df, key, limits=limits, sizes=sizes)
-    if not heavy:
-        rank = F.row_number().over(W.partitionBy(key).orderBy(order))
-        return df.withColumn(name, (rank - 1).cast("long"))
-    parts = (
-        heavy.mark(df)
-        .withColumn(
-            "_part",
-            F.when(F.col("_heavy"), order_block(order, limits.group_rows)).otherwise(F.lit(0)).cast("long"),
-        )
-    )
-    # One row per part of an oversized group: rows / bound, so the running sum is over a short list.
-    offsets = (
-        parts.filter("_heavy")
-        .groupBy(key, "_part")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn(
-            "_offset",
-            F.coalesce(
-                F.sum("_n").over(W.partitionBy(key).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)
-            ),
-        )
-        .drop("_n")
-    )
-    rank = F.row_number().over(W.partitionBy(key, "_part").orderBy(order)) - 1
-    same_key = F.col("l." + key).eqNullSafe(F.col("r." + key)) & (F.col("l._part") == F.col("r._part"))
-    return (
-        parts.withColumn(name, rank.cast("long"))
-        .alias("l")
-        .join(offsets.alias("r"), same_key & F.col("l._heavy"), "left")
-        .select(
-            *[F.col(f"l.`{c}`") for c in df.columns],
-            (F.col("l." + name) + F.coalesce(F.col("r._offset"), F.lit(0))).cast("long").alias(name),
-        )
-    )

@@ -17,7 +17,8 @@ from tallyloom.config import MiningConfig
 from tallyloom.functions.hashing import digest_int, seeded_digest
 from tallyloom.functions.vectors import distance, triplet_hinge
 from tallyloom.operators.rowindex import hash_order_index
-from tallyloom.operators.skew import group_positions, group_sizes, lookup_join, stage_measured
+from tallyloom.operators.positions import group_positions
+from tallyloom.operators.skew import group_sizes, lookup_join, stage_measured
 
 _PICK_DIGITS = 15  # 60 bits: the choice stays uniform for groups of any size
 

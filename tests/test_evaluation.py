@@ -6,7 +6,6 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from tallyloom.config import SizeLimits
 from tallyloom.functions import vectors as V
 from tallyloom.operators import evaluation as E
 
@@ -36,7 +35,7 @@ def test_prediction_lists_put_the_newest_batch_first(spark, lists):
     )
     got = {r["uid"]: r["predictions"] for r in E.user_prediction_lists(lists.unionByName(new)).collect()}
     assert got == {"5": [0, -1, 1], "7": [0, 1], "9": [1], "11": [-1, 0, 0, 0, 1], "12": [1, 0, 1]}
-    parts = E.user_prediction_lists(lists.unionByName(new), SizeLimits(group_rows=2)).orderBy("uid", "part").collect()
+    parts = E.user_prediction_lists(lists.unionByName(new), 2).orderBy("uid", "part").collect()
     assert [p for r in parts if r["uid"] == "11" for p in r["predictions"]] == [-1, 0, 0, 0, 1]
     assert max(len(r["predictions"]) for r in parts) <= 2
 
@@ -49,9 +48,13 @@ def test_majority_vote(spark, lists):
     assert E.majority_vote(tie).first()["prediction"] == 2  # the newest batch is seen first
 
 
-def test_positions_outside_a_batch_are_refused(spark):
-    with pytest.raises(PySparkException):
-        E.majority_vote(preds(spark, ("a", 0, 1 << 30, 1))).collect()
+def test_large_positions_and_batches(spark):
+    wide = preds(spark, ("a", 0, 1 << 40, 1), ("a", 0, (1 << 40) + 1, 2), ("b", 0, 0, 3), ("b", 1 << 40, 1 << 50, 4))
+    assert {r["uid"]: r["prediction"] for r in E.majority_vote(wide).collect()} == {"a": 1, "b": 4}
+    many = spark.range(20).selectExpr("'a' AS uid", "id AS batch_id", "0L AS pos", "CAST(id AS INT) AS prediction", "1 AS loss_mask")
+    assert [r["predictions"] for r in E.user_prediction_lists(many, 8).orderBy("part").collect()] == [
+        list(range(19, 11, -1)), list(range(11, 3, -1)), [3, 2, 1, 0],
+    ]
 
 
 def test_fraction_correct_users(spark, lists):

@@ -3,7 +3,6 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.config import SizeLimits
 from tallyloom.functions import text as X
 from tallyloom.operators import posts as P
 from tallyloom.operators.keywords import keyword_counts, keyword_counts_by, keyword_counts_of_parts
@@ -52,11 +51,11 @@ def test_keyword_counts_summed_over_posts_equal_counts_of_the_joined_text(spark,
 
 
 @pytest.mark.parametrize("delimiter", ["none", "sep", "newline"])
-@pytest.mark.parametrize("limits", [SizeLimits(), SizeLimits(group_rows=1), SizeLimits(group_rows=2)])
-def test_keyword_counts_over_part_borders(spark, delimiter, limits):
+@pytest.mark.parametrize("part_rows", [1_000, 1, 2])
+def test_keyword_counts_over_part_borders(spark, delimiter, part_rows):
     texts = {"a": ["app", "le pie", " apple", "a", "p", "ple x ", "apple"], "b": [None, "pie"], "c": ["p", "i", "e"]}
     rows = [(i, u, f"{u}{i}", t) for u, ts in texts.items() for i, t in enumerate(ts)]
-    parts = P.concat_by_uid(make(spark, *rows), delimiter, limits=limits)
+    parts = P.concat_by_uid(make(spark, *rows), delimiter, part_rows=part_rows)
     tail = X.delimiter_for(delimiter)
     keywords = ["apple", "pie", "x", "pie</s></s>"]
     got = {r["uid"]: (r["tid"], r["input_ids"]) for r in keyword_counts_of_parts(parts, keywords).collect()}
@@ -109,7 +108,7 @@ def test_unknown_users_get_minus_one(spark, posts):
 def test_uid_lookup_points_back(posts, rows):
     index = P.uid_lookup(posts)
     assert {r["uid"]: r["row_idxs"] for r in index.collect()} == {"a": [0, 2, 3, 5], "b": [1], "c": [4]}
-    parts = P.uid_lookup(posts, SizeLimits(group_rows=2)).orderBy("uid", "part").collect()
+    parts = P.uid_lookup(posts, 2).orderBy("uid", "part").collect()
     assert max(len(r["row_idxs"]) for r in parts) <= 2
     assert [i for r in parts if r["uid"] == "a" for i in r["row_idxs"]] == [0, 2, 3, 5]
 
@@ -130,14 +129,17 @@ def test_concat_keeps_every_user_and_trailing_delimiters(posts, rows):
     assert rows(P.concat_by_uid(posts, "sep"), "uid", "text")[1] == ("b", "one</s></s>")
 
 
-@pytest.mark.parametrize("limits", [SizeLimits(group_rows=2), SizeLimits(group_bytes=8), SizeLimits(group_rows=1, literal_keys=0)])
-def test_concat_of_oversized_users_continues_on_parts(posts, limits):
-    parts = P.concat_by_uid(posts, limits=limits).orderBy("uid", "part").collect()
+@pytest.mark.parametrize("part_rows", [1, 2, 3])
+def test_concat_continues_on_parts_with_the_first_id_of_the_user(spark, part_rows):
+    made = [(n * 100_003, "abc"[n % 3], f"t{n}", None if n % 4 == 0 else "w" * (5_000 if n == 7 else 2)) for n in range(30)]
+    posts = spark.createDataFrame(made, "row_idx long, uid string, tid string, text string").repartition(4)
+    parts = P.concat_by_uid(posts, part_rows=part_rows).orderBy("uid", "part").collect()
     whole = {}
     for r in parts:
         whole[r["uid"]] = whole.get(r["uid"], "") + r["text"]
-    assert whole == {"a": "two\nthree\n", "b": "one\n", "c": ""}
-    assert len(parts) > 3
+        assert r["tid"] == {"a": "t0", "b": "t1", "c": "t2"}[r["uid"]]
+    assert whole == {u: "".join(t + "\n" for _, v, _, t in made if v == u and t) for u in "abc"}
+    assert len(parts) == 3 * -(-10 // part_rows)
 
 
 def test_interleaved_order(spark):

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tallyloom.config import LIMITS, SizeLimits
 from tallyloom.operators import skew
-from tallyloom.operators.skew import group_positions, heavy_keys, lookup_join, measure, with_part
+from tallyloom.operators.positions import group_positions, with_part
+from tallyloom.operators.skew import heavy_keys, lookup_join, measure
 
 INLINE = SizeLimits(broadcast_rows=0, group_rows=7)
 STAGED = SizeLimits(broadcast_rows=0, group_rows=7, literal_keys=0)
@@ -84,16 +85,28 @@ def test_group_positions(facts, limits):
     assert sorted(v for k, v in plain.items() if k % 3 == 0) == list(range(134))
 
 
-def test_blocks_below_zero(spark):
-    frame = spark.range(-10, 10).withColumnRenamed("id", "o").withColumn("b", skew.order_block("o", 4))
-    assert all(r["b"] == r["o"] // 4 for r in frame.collect())
-
-
-@pytest.mark.parametrize("limits", [INLINE, STAGED])
-def test_parts_are_bounded_ordered_and_whole(facts, limits):
-    parts = with_part(facts, "uid", "row_idx", limits=limits)
-    assert parts.count() == 400
-    sizes = parts.groupBy("uid", "part").count()
-    assert sizes.agg(F.max("count")).first()[0] <= 7
-    hot = parts.filter("uid = 'hot'").orderBy("part", "row_idx").collect()
-    assert [r["row_idx"] for r in hot] == list(range(0, 400, 3))
+def test_positions_of_sparse_and_negative_orders(spark):
+    """Orders far apart: places are still dense."""
+    rows = [("hot", n * 100_003 - 900_000) for n in range(60)] + [(f"u{n}", n * 7) for n in range(9)] + [(None, n * 11) for n in range(20)]
+    frame = spark.createDataFrame(rows, "uid string, row_idx long").repartition(5)
+    for limits in (INLINE, STAGED):
+        got = {(r["uid"], r["row_idx"]): r["pos"] for r in group_positions(frame, "uid", "row_idx", limits=limits).collect()}
+        assert len(got) == len(rows)
+        for key in {u for u, _ in rows}:
+            own = sorted(o for u, o in rows if u == key)
+            assert [got[key, o] for o in own] == list(range(len(own)))
+
+
+@pytest.mark.parametrize("part_rows", [1, 7, 1_000])
+def test_parts_are_equal_ordered_and_whole(spark, facts, part_rows):
+    sparse = facts.withColumn("row_idx", F.col("row_idx") * 100_003).withColumn("tid", F.col("row_idx").cast("string"))
+    rows = with_part(sparse, "uid", "row_idx", part_rows, first="tid").orderBy("uid", "part", "row_idx").collect()
+    assert len(rows) == 400
+    users = {}
+    for r in rows:
+        users.setdefault(r["uid"], []).append(r)
+    for own in users.values():
+        assert [r["row_idx"] for r in own] == sorted(r["row_idx"] for r in own)
+        assert [r["part"] for r in own] == [n // part_rows for n in range(len(own))]
+        if len(own) > part_rows:
+            assert {r["tid"] for r in own} == {str(own[0]["row_idx"])}

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tallyloom.config import MiningConfig, SizeLimits
 from tallyloom.operators import batching as B
 from tallyloom.operators import embeddings as EM
-from tallyloom.operators import skew
+from tallyloom.operators import positions, skew
 from tallyloom.operators import triplets as T
 
 SMALL = MiningConfig(anchors_per_batch=5, negatives_per_batch=7)
@@ -115,7 +115,7 @@ def test_positives_come_from_the_same_user(posts, exclude_self):
 def test_positives_do_not_depend_on_the_strategy(posts, monkeypatch, rows):
     plain = rows(T.sample_positives(posts, 1), "anc_row", "pos_row")
     tight = SizeLimits(broadcast_rows=0, group_rows=4)
-    monkeypatch.setattr(T, "group_positions", lambda *a, **k: skew.group_positions(*a, **k, limits=tight))
+    monkeypatch.setattr(T, "group_positions", lambda *a, **k: positions.group_positions(*a, **k, limits=tight))
     monkeypatch.setattr(T, "lookup_join", lambda *a, **k: skew.lookup_join(*a, **{**k, "limits": tight}))
     assert rows(T.sample_positives(posts, 1), "anc_row", "pos_row") == plain
 
@@ -185,7 +185,7 @@ def test_user_means_and_lists(spark):
     assert means == {"a": (5, [2.0, 1.0]), "b": (1, [5.0, 1.0])}
     lists = {r["uid"]: r["embeddings"] for r in EM.user_embedding_lists(frame).collect()}
     assert lists["a"] == [[float(i), 1.0] for i in range(5)]
-    parts = EM.user_embedding_lists(frame, SizeLimits(group_rows=2)).orderBy("uid", "part").collect()
+    parts = EM.user_embedding_lists(frame, 2).orderBy("uid", "part").collect()
     assert [v for r in parts if r["uid"] == "a" for v in r["embeddings"]] == lists["a"]
     assert EM.user_all_embeddings(frame).count() == 6
 
