@@ -13,8 +13,11 @@ EVENT_CLASSES = ["click", "view", "error", "signup", "purchase"]
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    spread_by = "doc_id" if name == "documents" else None
-    return read_table(spark, f"{sf}/{name}.parquet", spread_by)
+    """A test table. A `documents` table of one small file is dealt to the session's cores before text work."""
+    rows = read_table(spark, f"{sf}/{name}.parquet")
+    if name == "documents" and len(rows.inputFiles()) == 1:
+        return rows.repartition(min(spark.sparkContext.defaultParallelism, 32), "doc_id")
+    return rows
 
 
 def string(name: str):
@@ -170,24 +173,27 @@ def embedded(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def logits(spark: SparkSession, sf: str) -> DataFrame:
-    """Three logits per row from the first vector components; label 9 rows are padding."""
+    """Three logits per row from the first vector components.
+
+    Rows of label 9 are padding, some rows have no label, and users have rows in two splits.
+    """
     parts = F.slice(F.col("embedding").cast("array<double>"), 1, 3)
     return table(spark, sf, "embeddings").select(
         F.expr("vec_id div 128").alias("batch_id"),
         (F.col("vec_id") % 128).alias("pos"),
         F.concat(F.lit("u"), string("label")).alias("uid"),
         parts.alias("logits"),
-        (F.col("label") % 3).cast("int").alias("label"),
+        F.when(F.col("vec_id") % 17 == 0, -1).otherwise(F.col("label") % 3).cast("int").alias("label"),
         F.when(F.col("label") == 9, 0).otherwise(1).alias("loss_mask"),
-        F.when(F.col("label") < 6, "train").when(F.col("label") < 8, "validation").otherwise("test").alias("split"),
+        F.when(F.col("vec_id") % 5 == 0, "test").when(F.col("label") < 6, "train").otherwise("validation").alias("split"),
     )
 
 
 LOGITS_SQL = """
 SELECT vec_id // 128 AS batch_id, vec_id % 128 AS pos, 'u' || label AS uid,
        [embedding[1]::DOUBLE, embedding[2]::DOUBLE, embedding[3]::DOUBLE] AS logits,
-       (label % 3)::INT AS label, CASE WHEN label = 9 THEN 0 ELSE 1 END AS loss_mask,
-       CASE WHEN label < 6 THEN 'train' WHEN label < 8 THEN 'validation' ELSE 'test' END AS split
+       CASE WHEN vec_id % 17 = 0 THEN -1 ELSE label % 3 END::INT AS label, CASE WHEN label = 9 THEN 0 ELSE 1 END AS loss_mask,
+       CASE WHEN vec_id % 5 = 0 THEN 'test' WHEN label < 6 THEN 'train' ELSE 'validation' END AS split
 FROM embeddings
 """
 
@@ -195,10 +201,11 @@ SCORED_SQL = f"""
 raw AS ({LOGITS_SQL}),
 scored AS (
   SELECT *, (list_position(logits, list_max(logits)) - 1)::INT AS prediction,
-         CASE WHEN loss_mask = 1 THEN
+         CASE WHEN loss_mask = 1 AND label >= 0 THEN
            list_max(logits) + ln(exp(logits[1] - list_max(logits)) + exp(logits[2] - list_max(logits))
                                  + exp(logits[3] - list_max(logits))) - logits[label + 1] END AS loss,
-         (loss_mask = 1 AND list_position(logits, list_max(logits)) - 1 = label) AS correct
+         (loss_mask = 1 AND list_position(logits, list_max(logits)) - 1 = label) AS correct,
+         (loss_mask = 1 AND label >= 0)::INT AS counted
   FROM raw
 )
 """

@@ -85,9 +85,9 @@ def mean_user_accuracy(spark, sf):
 
 BATCHES_SQL = """
 batches AS (
-  SELECT split, batch_id, sum(loss_mask)::BIGINT AS n_rows,
-         coalesce(sum(loss), 0) / greatest(sum(loss_mask), 1) AS loss,
-         sum(correct::INT) / greatest(sum(loss_mask), 1) AS accuracy
+  SELECT split, batch_id, sum(counted)::BIGINT AS n_rows,
+         coalesce(sum(loss), 0) / greatest(sum(counted), 1) AS loss,
+         sum(correct::INT) / greatest(sum(counted), 1) AS accuracy
   FROM scored GROUP BY split, batch_id
 )
 """
@@ -95,8 +95,8 @@ batches AS (
 
 @query(f"""
 WITH {SCORED_SQL}
-SELECT batch_id, sum(loss_mask)::BIGINT AS n_rows, round(coalesce(sum(loss), 0) / greatest(sum(loss_mask), 1), 6) AS loss,
-       round(sum(correct::INT)::DOUBLE / greatest(sum(loss_mask), 1), 6) AS accuracy
+SELECT batch_id, sum(counted)::BIGINT AS n_rows, round(coalesce(sum(loss), 0) / greatest(sum(counted), 1), 6) AS loss,
+       round(sum(correct::INT)::DOUBLE / greatest(sum(counted), 1), 6) AS accuracy
 FROM scored GROUP BY batch_id
 """)
 def batch_loss_accuracy(spark, sf):
@@ -111,7 +111,7 @@ by_batch AS (
   FROM batches GROUP BY split
 ),
 rows_left AS (SELECT * FROM scored WHERE loss_mask = 1),
-users AS (SELECT split, uid, avg((prediction = label)::INT::DOUBLE) AS a FROM rows_left GROUP BY split, uid),
+users AS (SELECT split, uid, avg((prediction = label)::INT::DOUBLE) AS a FROM rows_left WHERE label >= 0 GROUP BY split, uid),
 by_user AS (SELECT split, count(*) AS n_users, avg(a) AS user_accuracy FROM users GROUP BY split),
 counts AS (
   SELECT split, uid, prediction, count(*) AS n, min((-batch_id) * 16777216 + pos) AS first
@@ -121,18 +121,22 @@ votes AS (
   SELECT split, uid, prediction FROM counts
   QUALIFY row_number() OVER (PARTITION BY split, uid ORDER BY n DESC, first) = 1
 ),
-truth AS (SELECT uid, max(label) AS label FROM scored GROUP BY uid),
+truth AS (
+  SELECT split, uid, (max(label) + CASE WHEN split = 'test' THEN 1 ELSE 0 END) % 3 AS label
+  FROM scored WHERE label >= 0 GROUP BY split, uid
+),
 correct AS (
-  SELECT split, avg((prediction = label)::INT::DOUBLE) AS ratio FROM votes JOIN truth USING (uid) GROUP BY split
+  SELECT split, avg((prediction = label)::INT::DOUBLE) AS ratio FROM votes JOIN truth USING (split, uid) GROUP BY split
 )
 SELECT split, round(loss, 6) AS loss, round(accuracy, 6) AS accuracy, round(row_loss, 6) AS row_loss,
        round(row_accuracy, 6) AS row_accuracy, round(user_accuracy, 6) AS user_accuracy, n_users,
-       round(coalesce(ratio, -1), 6) AS correct_users_ratio
-FROM by_batch JOIN by_user USING (split) LEFT JOIN correct USING (split)
+       round(ratio, 6) AS correct_users_ratio
+FROM by_batch JOIN by_user USING (split) JOIN correct USING (split)
 """)
 def eval_summary(spark, sf):
     scored = E.scored_logits(logits(spark, sf))
-    truth = logits(spark, sf).groupBy("uid").agg(F.max("label").alias("label"))
+    known = logits(spark, sf).filter("label >= 0").groupBy("split", "uid").agg(F.max("label").alias("m"))
+    truth = known.select("split", "uid", ((F.col("m") + F.when(F.col("split") == "test", 1).otherwise(0)) % 3).alias("label"))
     summary = E.eval_summary(scored, truth)
     return _rounded(
         summary, "loss", "accuracy", "row_loss", "row_accuracy", "user_accuracy", "correct_users_ratio"

@@ -50,7 +50,7 @@ def softmax_cross_entropy(logits: Column, label: Column) -> Column:
     """-log softmax(logits)[label], shifted by the maximum; null for labels outside the logits."""
     top = F.array_max(logits)
     log_sum = top + F.log(F.aggregate(logits, F.lit(0.0), lambda acc, v: acc + F.exp(v - top)))
-    return log_sum - F.try_element_at(logits, (label + 1).cast("int"))
+    return log_sum - F.when(label >= 0, F.get(logits, label.cast("int")))
 
 
 def triplet_hinge(d_pos: Column, d_neg: Column, threshold: float) -> Column:

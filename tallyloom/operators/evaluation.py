@@ -77,18 +77,18 @@ def mean_user_accuracy(rows: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame
 
 
 def scored_logits(logits: DataFrame) -> DataFrame:
-    """Add `prediction`, `loss` and `correct`; padding is never correct and has no loss."""
-    real = F.col("loss_mask") == 1
+    """Add `prediction`, `loss` and `correct`; padding and rows without a label have no loss and are never correct."""
+    real = (F.col("loss_mask") == 1) & (F.col("label") > UNKNOWN_LABEL)
     return (
         logits.withColumn("prediction", argmax(F.col("logits")))
         .withColumn("loss", F.when(real, softmax_cross_entropy(F.col("logits"), F.col("label"))))
-        .withColumn("correct", real & (F.col("prediction") == F.col("label")))
+        .withColumn("correct", F.coalesce(real & (F.col("prediction") == F.col("label")), F.lit(False)))
     )
 
 
 def batch_loss_accuracy(scored: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """`(batch_id, n_rows, loss, accuracy)`: masked means; an all-padding batch scores 0."""
-    n = F.sum("loss_mask")
+    """`(batch_id, n_rows, loss, accuracy)`: means over the real, labelled rows; a batch without any scores 0."""
+    n = F.sum(F.when((F.col("loss_mask") == 1) & (F.col("label") > UNKNOWN_LABEL), 1).otherwise(0))
     divisor = F.greatest(n, F.lit(1))
     return scored.groupBy(*keys, "batch_id").agg(
         n.cast("long").alias("n_rows"),
@@ -101,8 +101,9 @@ def eval_summary(scored: DataFrame, labels: DataFrame, key: str = "split") -> Da
     """One row of metrics per split.
 
     `loss` and `accuracy` average the batches without weights; `row_loss` and `row_accuracy` weigh
-    rows equally. User metrics compare rows, and majority votes, with the labels. A split without users
-    or labels has no row.
+    rows equally. User metrics compare labelled rows, and majority votes, with the labels, which hold for
+    one split each if they have the column `key` and for all otherwise. A split without labelled users has
+    no row.
     """
     batches = batch_loss_accuracy(scored, (key,))
     by_batch = batches.groupBy(key).agg(
@@ -112,20 +113,26 @@ def eval_summary(scored: DataFrame, labels: DataFrame, key: str = "split") -> Da
         (F.sum(F.col("accuracy") * F.col("n_rows")) / F.greatest(F.sum("n_rows"), F.lit(1))).alias("row_accuracy"),
     )
     real = unmasked_predictions(scored)
-    by_user = mean_user_accuracy(real, (key,))
+    by_user = mean_user_accuracy(real.filter(F.col("label") > UNKNOWN_LABEL), (key,))
     voted = _vote(real, key, "uid")
+    if key in labels.columns:
+        voted = voted.withColumn("_of", F.struct(key, "uid"))
+        known = labels.select(F.struct(key, "uid").alias("_of"), "label")
+    else:
+        voted = voted.withColumn("_of", F.col("uid"))
+        known = labels.select(F.col("uid").alias("_of"), "label")
     correct = (
-        lookup_join(voted, labels.select("uid", "label"), "uid")
+        lookup_join(voted, known.filter(F.col("label") > UNKNOWN_LABEL), "_of")
         .groupBy(key)
         .agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("ratio"))
     )
     # One row per split on each side.
     return (
         by_batch.join(by_user, key)
-        .join(correct, key, "left")
+        .join(correct, key)
         .select(
             key, "loss", "accuracy", "row_loss", "row_accuracy", "user_accuracy", "n_users",
-            F.coalesce("ratio", F.lit(NO_USERS)).alias("correct_users_ratio"),
+            F.col("ratio").alias("correct_users_ratio"),
         )
     )
 

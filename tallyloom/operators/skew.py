@@ -145,19 +145,23 @@ def lookup_join(
     spread: Sequence[str] = (),
     limits: SizeLimits = LIMITS,
     measured: tuple[int, int] | None = None,
+    expensive: bool = False,
 ) -> DataFrame:
     """Join facts to a keyed table: inner, left, left_semi or left_anti.
 
     The keyed side is measured first. Small: broadcast, the facts are not shuffled. Large: shuffle
     join; rows of oversized keys, and rows without a key, are salted over several tasks by a hash of
     the `spread` columns (default: all atomic columns), and the matching lookup rows are repeated.
-    A caller that joins one lookup several times passes its size as `measured`.
+    A caller that joins one lookup several times passes its size as `measured`. Finding the oversized keys
+    reads the facts once more: `expensive` facts, the result of a job, are written before that.
     """
     if how in ("left_semi", "left_anti"):
         lookup = lookup.select(key).distinct()
     rows, size = measured or measure(lookup)
     if rows <= limits.broadcast_rows and size <= limits.broadcast_bytes:
         return facts.join(F.broadcast(lookup), key, how)
+    if expensive:
+        facts = stage(facts)
     heavy = heavy_keys(facts, key, limits=limits)
     if not heavy:
         return facts.join(lookup, key, how)

@@ -45,8 +45,10 @@ def sample_positives(posts: DataFrame, seed: int | str = 0, exclude_self: bool =
     """`(anc_row, uid, pos_row)`: one pseudo-random row of the same user for each row.
 
     The choice is a position in the user's rows, so anchors join on (user, position). Positions are
-    uniform, hence the join is balanced even if one user owns a large share of the rows.
+    uniform, hence the join is balanced even if one user owns a large share of the rows. Rows without a
+    user belong together, like those of a user with an empty name.
     """
+    posts = posts.withColumn("uid", F.coalesce("uid", F.lit("")))
     # One row per user, written once: it finds oversized users, is measured and is joined.
     sizes, measured = stage_measured(group_sizes(posts, "uid"))
     ranked = group_positions(posts.select("uid", "row_idx"), "uid", "row_idx", "at", sizes=sizes)

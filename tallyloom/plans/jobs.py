@@ -20,7 +20,7 @@ from tallyloom.operators.labels import (
 )
 from tallyloom.operators.packing import pack_by_uid
 from tallyloom.operators.posts import concat_by_uid, filter_posts_by_uid
-from tallyloom.operators.skew import lookup_join, measure
+from tallyloom.operators.skew import lookup_join, stage_measured
 from tallyloom.operators.staging import stage, stage_counted
 from tallyloom.operators.triplets import embedded_batches, top_triplets, triplet_loss, triplet_vectors
 from tallyloom.plans.models import EmbedderFactory, embed_posts
@@ -77,7 +77,7 @@ def user_table(split_rows: DataFrame) -> DataFrame:
 
 def place(rows: DataFrame, users: DataFrame, measured: tuple[int, int] | None = None) -> DataFrame:
     """Add split and label of each row's user in one join; a user in two splits is in both."""
-    joined = lookup_join(rows, users, "uid", measured=measured).withColumn("split", F.explode("splits")).drop("splits")
+    joined = lookup_join(rows, users, "uid", measured=measured, expensive=True).withColumn("split", F.explode("splits")).drop("splits")
     return joined.withColumn("label", F.coalesce("label", F.lit(UNKNOWN_LABEL)))
 
 
@@ -95,8 +95,7 @@ def preprocess(
     Columns `split, uid, tid, chunk_idx, text, label, input_ids, attention_mask`. Posts of users
     outside every split are dropped before their texts are packed.
     """
-    users = user_table(split_rows)
-    size_of_users = measure(users)
+    users, size_of_users = stage_measured(user_table(split_rows))
     wanted = filter_posts_by_uid(posts, users, size_of_users)
     if concatenate:
         counter = word_count if tokenizer is None else plugged_token_count(tokenizer)
@@ -116,8 +115,7 @@ def preprocess_keywords(
     With a delimiter that is whitespace, the counts of the joined text are the sums over posts, so
     the joined text is never built. Other delimiters glue words together and need it.
     """
-    users = user_table(split_rows)
-    size_of_users = measure(users)
+    users, size_of_users = stage_measured(user_table(split_rows))
     posts = filter_posts_by_uid(posts, users, size_of_users)
     glued = DELIMITERS.get(config.delimiter, "").strip() != "" or config.delimiter not in DELIMITERS
     if glued:

@@ -26,5 +26,5 @@ TRIPLETS = _struct(
     batch_id=_L, rank=_I, anc_idx=_I, neg_idx=_I, anc_row=_L, pos_row=_L, neg_row=_L, margin=_D,
 )
 
-# Raw posts as delivered: JSON lines carry other id names and an epoch-millisecond time.
-POSTS_JSON = _struct(tweet_id=_S, user_id=_S, text=_S, created_at=_L)
+# Raw posts as delivered: JSON lines carry other id names and a time as number or text.
+POSTS_JSON = _struct(tweet_id=_S, user_id=_S, text=_S, created_at=_S)

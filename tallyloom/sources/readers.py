@@ -2,52 +2,58 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyloom import schemas
 from tallyloom.operators.labels import labels_last_wins
 from tallyloom.operators.rowindex import file_order_index
 
 
-def read_table(spark: SparkSession, path: str, spread_by: str | None = None) -> DataFrame:
-    """A Parquet table.
-
-    With `spread_by`, a table of fewer file splits than the session has cores is redistributed by that
-    unique column before expensive text work; a table with splits enough is read as it is.
-    """
-    rows = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    if spread_by is None or rows.rdd.getNumPartitions() >= cores:
-        return rows
-    return rows.repartition(cores, spread_by)
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table."""
+    return spark.read.parquet(path)
 
 
-def read_posts_csv(spark: SparkSession, path: str, indexed: bool = False, multi_line: bool = True) -> DataFrame:
-    """Posts CSV with a header; columns are found by name. Empty text is missing text.
+def read_posts_csv(spark: SparkSession, path: str, indexed: bool = False, multi_line: bool = False) -> DataFrame:
+    """Posts CSV with a header; all columns are kept, `uid`, `tid` and `text` first. Empty text is missing text.
 
     `multi_line` allows line breaks inside quoted text, at the price of one task per file.
     """
     scan = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').csv(path)
-    columns = ["uid", "tid", "text"] + [c for c in scan.columns if c == "created_at"]
+    columns = ["uid", "tid", "text"]
+    columns += [c for c in scan.columns if c not in columns]
     return file_order_index(scan).select("row_idx", *columns) if indexed else scan.select(*columns)
 
 
-def read_posts_json(spark: SparkSession, path: str, indexed: bool = False) -> DataFrame:
-    """Posts as JSON lines; missing text stays missing."""
-    scan = spark.read.schema(schemas.POSTS_JSON).json(path)
+def read_posts_json(spark: SparkSession, path: str, indexed: bool = False, further: Sequence[str] = ()) -> DataFrame:
+    """Posts as JSON lines; missing text stays missing, `created_at` stays as it is written.
+
+    `further` names fields to keep beside the usual ones, as text.
+    """
+    schema = T.StructType([*schemas.POSTS_JSON.fields, *(T.StructField(c, T.StringType()) for c in further)])
+    scan = spark.read.schema(schema).json(path)
     rows = file_order_index(scan) if indexed else scan
     return rows.withColumnsRenamed({"user_id": "uid", "tweet_id": "tid"})
 
 
-def read_posts(spark: SparkSession, path: str, source_format: str = "csv", indexed: bool = False) -> DataFrame:
-    reader = read_posts_csv if source_format == "csv" else read_posts_json
-    return reader(spark, path, indexed)
+def read_posts(
+    spark: SparkSession, path: str, source_format: str = "csv", indexed: bool = False, multi_line: bool = False
+) -> DataFrame:
+    if source_format == "csv":
+        return read_posts_csv(spark, path, indexed, multi_line)
+    return read_posts_json(spark, path, indexed)
 
 
 def read_user_labels(spark: SparkSession, path: str) -> DataFrame:
-    """Label CSV by position: first field is the label, last field the user id. Adds `row_idx`."""
+    """Label CSV by position: first field is the label, last field the user id. Adds `row_idx`.
+
+    `line` holds all fields under the names of the header, for writers that give the file back whole.
+    """
     scan = spark.read.option("header", True).csv(path)
     names = scan.columns
     middle = F.col(f"`{names[1]}`") if len(names) > 2 else F.lit(None).cast("string")
@@ -56,6 +62,7 @@ def read_user_labels(spark: SparkSession, path: str) -> DataFrame:
         F.col(f"`{names[0]}`").alias("label"),
         middle.alias("screen_name"),
         F.col(f"`{names[-1]}`").alias("uid"),
+        F.struct(*[F.col(f"`{n}`") for n in names]).alias("line"),
     )
 
 
@@ -95,8 +102,15 @@ def _json_object(spark: SparkSession, path: str, dtype: str) -> DataFrame:
     return whole.select(F.explode(F.from_json("value", f"map<string,{dtype}>")).alias("key", "value"))
 
 
-def read_folds(spark: SparkSession, path: str) -> DataFrame:
-    """`(fold, pos, uid)` from a JSON object of user lists, order and repeats kept."""
+def read_folds(spark: SparkSession, path: str, layout: str = "lines") -> DataFrame:
+    """`(fold, pos, uid)`, order and repeats kept.
+
+    From JSON lines of one fold each, `{"fold": ..., "uids": [...]}`, which are read in parallel, or with
+    `layout="object"` from one JSON object of user lists, which is one row of one task.
+    """
+    if layout == "lines":
+        lists = spark.read.schema("fold string, uids array<string>").json(path)
+        return lists.select("fold", F.posexplode("uids").alias("pos", "uid"))
     lists = _json_object(spark, path, "array<string>")
     return lists.select(F.col("key").alias("fold"), F.posexplode("value").alias("pos", "uid"))
 
@@ -120,8 +134,8 @@ def read_label_dictionary(spark: SparkSession, path: str) -> DataFrame:
     return entries.select(F.col("key").alias("label_text"), F.col("value").alias("label_id"))
 
 
-def read_predictions(spark: SparkSession, path: str, layout: str = "object") -> DataFrame:
-    """`(uid, prediction)` from one JSON object, or from JSON lines, which can be read in parallel."""
+def read_predictions(spark: SparkSession, path: str, layout: str = "lines") -> DataFrame:
+    """`(uid, prediction)` from JSON lines, which are read in parallel, or with `layout="object"` from one JSON object."""
     if layout == "lines":
         return spark.read.schema("uid string, prediction int").json(path)
     entries = _json_object(spark, path, "double")
@@ -132,3 +146,8 @@ def read_processed(spark: SparkSession, path: str, split: str | None = None) ->
     """A processed data set; one split is read by partition pruning."""
     rows = spark.read.parquet(path)
     return rows if split is None else rows.filter(F.col("split") == split)
+
+
+def read_user_index(spark: SparkSession, path: str) -> DataFrame:
+    """The index written by `write_user_json`: `(uid, part, row_idxs)`."""
+    return spark.read.schema("uid string, part long, row_idxs array<long>").json(path)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.readwriter import DataFrameWriter
 
-from tallyloom.sources.readers import read_processed
+from tallyloom.sources.readers import read_label_jsonl, read_processed
 
 
 def write_processed(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -27,19 +27,39 @@ def _csv(rows: DataFrame, mode: str) -> DataFrameWriter:
     return rows.write.mode(mode).option("header", True)
 
 
+def _label_lines(rows: DataFrame, *lead: str) -> DataFrame:
+    """The lines of a label file as they were read: the header's names and all fields.
+
+    The first field is the label, which a job may have replaced. Without `line` the table's own columns.
+    """
+    if "line" not in rows.columns:
+        return rows.drop("row_idx")
+    names = rows.schema["line"].dataType.names
+    fields = [F.col("label").alias(names[0])] + [F.col(f"line.`{n}`").alias(n) for n in names[1:]]
+    return rows.select(*lead, *fields)
+
+
 def write_label_csv(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Label file with the columns of the input, without the row position."""
-    _csv(rows.drop("row_idx"), mode).csv(path)
+    """Label file with the header and all fields of the input."""
+    _csv(_label_lines(rows), mode).csv(path)
+
+
+def label_jsonl_to_csv(spark: SparkSession, source: str, path: str) -> int:
+    """Label JSON lines to a CSV file; the number of lines is returned."""
+    rows = read_label_jsonl(spark, source)
+    _csv(rows, "overwrite").csv(path)
+    return rows.count()
 
 
 def write_label_splits(split_rows: DataFrame, path: str, mode: str = "overwrite") -> None:
     """One folder of label CSVs per split, written in one job."""
-    _csv(split_rows.drop("row_idx"), mode).partitionBy("split").csv(path)
+    _csv(_label_lines(split_rows, "split"), mode).partitionBy("split").csv(path)
 
 
 def write_label_folds(fold_rows: DataFrame, path: str, mode: str = "overwrite") -> None:
     """One folder of label CSVs per fold, written in one job."""
-    _csv(fold_rows.select("fold", "label", "screen_name", "uid"), mode).partitionBy("fold").csv(path)
+    rows = _label_lines(fold_rows, "fold") if "line" in fold_rows.columns else fold_rows.select("fold", "label", "screen_name", "uid")
+    _csv(rows, mode).partitionBy("fold").csv(path)
 
 
 def write_true_labels(merged: DataFrame, path: str, mode: str = "overwrite") -> None:

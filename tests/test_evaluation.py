@@ -104,6 +104,23 @@ def test_eval_summary_has_both_weightings_and_no_row_without_users(spark):
     assert row["user_accuracy"] == 0.5 and row["correct_users_ratio"] == 0.5 and row["n_users"] == 2
 
 
+def test_rows_without_a_label_do_not_count(spark):
+    rows = logit_rows(spark, (0, 0, "a", [2.0, 1.0], 0, 1), (0, 1, "b", [1.0, 2.0], -1, 1), (1, 0, "b", [1.0, 2.0], -1, 1))
+    scored = E.scored_logits(rows)
+    assert [r["loss"] is None for r in scored.orderBy("batch_id", "pos").collect()] == [False, True, True]
+    got = {r["batch_id"]: (r["n_rows"], r["accuracy"]) for r in E.batch_loss_accuracy(scored).collect()}
+    assert got == {0: (1, 1.0), 1: (0, 0.0)}
+
+
+def test_labels_hold_for_their_split(spark):
+    rows = logit_rows(spark, (0, 0, "a", [2.0, 1.0], 0, 1))
+    both = rows.withColumn("split", F.lit("train")).unionByName(rows.withColumn("split", F.lit("test")))
+    labels = spark.createDataFrame([("a", 0, "train"), ("a", 1, "test")], "uid string, label int, split string")
+    got = {r["split"]: r["correct_users_ratio"] for r in E.eval_summary(E.scored_logits(both), labels).collect()}
+    assert got == {"train": 1.0, "test": 0.0}
+    assert E.eval_summary(E.scored_logits(both), labels.filter("split = 'test'")).count() == 1
+
+
 def test_fold_accuracy(spark, rows):
     folds = spark.createDataFrame([("f", "a"), ("f", "a"), ("f", "b"), ("f", "x"), ("g", "x")], "fold string, uid string")
     labels = spark.createDataFrame([("a", 1), ("b", 1), ("x", 0)], "uid string, label int")

@@ -202,3 +202,11 @@ def test_pooling(spark):
     assert dense.first()["embedding"] == [0.0]
     with pytest.raises(ValueError):
         EM.pool(frame, "seq", "other")
+
+
+def test_rows_without_a_user_get_positives(spark):
+    frame = spark.createDataFrame([(i, None if i % 4 == 0 else "a", 0, [float(i), 1.0]) for i in range(40)], "row_idx long, uid string, label int, embedding array<float>")
+    drawn = {r["anc_row"]: r["pos_row"] for r in T.sample_positives(frame).collect()}
+    assert len(drawn) == 40 and all((a % 4 == 0) == (p % 4 == 0) for a, p in drawn.items())
+    config = MiningConfig(anchors_per_batch=4, negatives_per_batch=8)
+    assert T.top_triplets(T.embedded_batches(frame, config), config).count() > 0
