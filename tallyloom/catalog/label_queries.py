@@ -19,7 +19,7 @@ from tallyloom.catalog.registry import query
 from tallyloom.config import LabelConfig
 from tallyloom.operators import labels as L
 from tallyloom.operators.rowindex import row_index
-from tallyloom.plans.jobs import prepare_labels
+from tallyloom.plans.jobs import prepare_labels, report_labels, selected_test_split
 
 DICTIONARY_SQL = f"""
 label_rows AS ({LABEL_ROWS_SQL}),
@@ -222,6 +222,31 @@ def report_split(spark, sf):
     return L.report_split(label_rows(spark, sf), true, chosen.select(*true.columns))
 
 
+@query(f"""
+WITH {TRUE_DICTIONARY_SQL},
+fold_rows AS (SELECT * FROM true_mapped WHERE uid IN (SELECT uid FROM true_rows WHERE label = 'NATION_3'))
+SELECT *, 'test' AS split FROM fold_rows
+UNION ALL SELECT *, 'validation' FROM true_mapped WHERE uid NOT IN (SELECT uid FROM fold_rows)
+UNION ALL SELECT *, 'train' FROM mapped WHERE uid NOT IN (SELECT uid FROM true_mapped)
+""")
+def report_split_ids(spark, sf):
+    true = true_label_rows(spark, sf)
+    entries = true.filter(F.col("label") == "NATION_3").select(F.lit("f").alias("fold"), F.col("row_idx").alias("pos"), "uid")
+    return report_labels(label_rows(spark, sf), true, entries)
+
+
+@query(f"""
+WITH {TRUE_DICTIONARY_SQL},
+chosen AS (SELECT t.* FROM orders JOIN true_mapped t ON t.uid = o_custkey::VARCHAR WHERE o_orderpriority = '1-URGENT'),
+{_true_split_sql('mapped', 'chosen')}
+SELECT * FROM split_rows
+""")
+def selected_test_rows(spark, sf):
+    """Users of a list of ids, repeats kept, as test split."""
+    listed = order_folds(spark, sf).filter(F.col("fold") == "1-URGENT")
+    return selected_test_split(label_rows(spark, sf), true_label_rows(spark, sf), listed)
+
+
 @query(f"""
 WITH {DICTIONARY_SQL}, {THREE_WAY_SQL}
 SELECT * FROM split_rows WHERE split <> 'validation'

@@ -213,13 +213,14 @@ def negative_windows(spark, sf):
     return T.negative_windows(rows).select("batch_id", "slot", "row_idx")
 
 
-BATCH_SQL = f"""
-{windows_sql(EMBEDDED_SQL)}, {positives_sql(EMBEDDED_SQL, '0/positive')},
+def batch_sql(posts: str) -> str:
+    return f"""
+{windows_sql(posts)}, {positives_sql(posts, '0/positive')},
 anc_perm AS (
-  SELECT row_idx, row_number() OVER (ORDER BY md5('0/anchor|' || row_idx), row_idx) - 1 AS p FROM ({EMBEDDED_SQL})
+  SELECT row_idx, row_number() OVER (ORDER BY md5('0/anchor|' || row_idx), row_idx) - 1 AS p FROM ({posts})
 ),
 anchors AS (SELECT p // 16 AS batch_id, (p % 16)::INT AS slot, row_idx FROM anc_perm, n WHERE p < n // 16 * 16),
-vecs AS ({EMBEDDED_SQL}),
+vecs AS ({posts}),
 pairs AS (
   SELECT a.batch_id, n.slot AS neg_idx, a.slot AS anc_idx, a.row_idx AS anc_row, p.pos_row, n.row_idx AS neg_row,
          {l2_sql('av.e', 'nv.e')} AS d_neg, {l2_sql('av.e', 'pv.e')} AS d_pos, av.label = nv.label AS same
@@ -229,6 +230,9 @@ pairs AS (
 """
 
 
+BATCH_SQL = batch_sql(EMBEDDED_SQL)
+
+
 @query(f"""
 WITH {BATCH_SQL}
 SELECT batch_id, 'anchor' AS role, slot, row_idx FROM anchors
@@ -319,14 +323,19 @@ def triplet_token_rows(spark, sf):
     )
 
 
-def _loss_sql(threshold: float, cosine: bool) -> str:
+def hinges_sql(threshold: float, cosine: bool) -> str:
     metric = cosine_sql if cosine else l2_sql
     return f"""
-WITH {BATCH_SQL}, {top_sql(False)},
 hinges AS (
   SELECT greatest(0.0::DOUBLE, ({metric('a.e', 'p.e')}) - ({metric('a.e', 'n.e')}) + {threshold}::DOUBLE) AS h
   FROM top JOIN vecs a ON a.row_idx = anc_row JOIN vecs p ON p.row_idx = pos_row JOIN vecs n ON n.row_idx = neg_row
 )
+"""
+
+
+def _loss_sql(threshold: float, cosine: bool) -> str:
+    return f"""
+WITH {BATCH_SQL}, {top_sql(False)}, {hinges_sql(threshold, cosine)}
 SELECT count(*) AS n_triplets, round(avg(h), 6) AS loss, round(avg(h) - {threshold}::DOUBLE, 6) + 0.0 AS net_loss FROM hinges
 """
 

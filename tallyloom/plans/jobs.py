@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from tallyloom.operators.labels import (
     label_dictionary,
     labels_last_wins,
     nonempty_labels,
+    report_split,
+    slice_labels_by_fold,
     three_way_split,
     true_label_split,
 )
@@ -23,8 +26,9 @@ from tallyloom.operators.posts import concat_by_uid, filter_posts_by_uid
 from tallyloom.operators.skew import lookup_join, stage_measured
 from tallyloom.operators.staging import stage, stage_counted
 from tallyloom.operators.triplets import embedded_batches, top_triplets, triplet_loss, triplet_vectors
-from tallyloom.plans.models import EmbedderFactory, embed_posts
+from tallyloom.plans.models import EmbedderFactory, embed_posts, fit_linear, predict
 from tallyloom.plans.tokenize import TokenizerFactory, plugged_token_count, tokenize
+from tallyloom.sources.writers import write_model
 
 
 def prepare_labels(
@@ -52,6 +56,24 @@ def prepare_labels(
     return true_label_split(filtered, test, config.validation_ratio), dictionary
 
 
+def report_labels(rows: DataFrame, true_rows: DataFrame, fold_entries: DataFrame) -> DataFrame:
+    """Report split of one fold with label ids, all from one dictionary of both label files."""
+    dictionary = label_dictionary(true_rows, label_dictionary(rows))
+    known = stage(assign_label_ids(true_rows, dictionary))
+    chosen = slice_labels_by_fold(fold_entries, known).select(*known.columns)
+    return report_split(assign_label_ids(rows, dictionary), known, chosen)
+
+
+def selected_test_split(
+    rows: DataFrame, true_rows: DataFrame, test_uids: DataFrame, config: LabelConfig = LabelConfig()
+) -> DataFrame:
+    """Label rows with the listed users' hand-made labels as test split; ids from one dictionary of both files."""
+    dictionary = label_dictionary(true_rows, label_dictionary(rows))
+    known = stage(assign_label_ids(true_rows, dictionary))
+    chosen = stage(slice_labels_by_fold(test_uids, known).select(*known.columns))
+    return true_label_split(stage(assign_label_ids(rows, dictionary)), chosen, config.validation_ratio)
+
+
 def user_split(split_rows: DataFrame) -> DataFrame:
     """Users of each split."""
     return split_rows.select("uid", "split").distinct()
@@ -127,6 +149,33 @@ def preprocess_keywords(
     return place(counted, users, size_of_users).select("split", "uid", "tid", "label", "input_ids", "attention_mask")
 
 
+def baseline_by_fold(
+    posts: DataFrame,
+    rows: DataFrame,
+    true_rows: DataFrame,
+    folds: DataFrame,
+    names: Sequence[str],
+    keywords: Sequence[str],
+    model_path: str | None = None,
+    **fit,
+) -> DataFrame:
+    """`(fold, split, uid, label, prediction)`: a linear baseline on keyword counts, fitted for every fold.
+
+    Each named fold is one chain of jobs: report split, keyword counts per user, fit on train, predict all
+    splits. With `model_path` each fold's model is saved below it.
+    """
+    found = []
+    for name in names:
+        split_rows = report_labels(rows, true_rows, folds.filter(F.col("fold") == name))
+        users = stage(preprocess_keywords(posts, split_rows, keywords).select("split", "uid", "label", "input_ids"))
+        model = fit_linear(users, **fit)
+        if model_path:
+            write_model(model, f"{model_path}/{name}")
+        predicted = predict(model, users).select(F.lit(name).alias("fold"), "split", "uid", "label", "prediction")
+        found.append(stage(predicted))
+    return reduce(DataFrame.unionByName, found)
+
+
 def mine_triplets(
     processed: DataFrame, config: MiningConfig = MiningConfig(), embedder: EmbedderFactory | None = None
 ) -> tuple[DataFrame, DataFrame]:
