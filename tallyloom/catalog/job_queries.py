@@ -19,12 +19,10 @@ from tallyloom.catalog.registry import query
 from tallyloom.catalog.vector_queries import batch_sql, hinges_sql, top_sql
 from tallyloom.config import MiningConfig
 from tallyloom.functions.hashing import hash_int
-from tallyloom.operators.embeddings import user_mean_embedding
 from tallyloom.operators.keywords import keyword_counts
 from tallyloom.operators.staging import stage
 from tallyloom.plans import models as M
 from tallyloom.plans.jobs import baseline_by_fold, mine_triplets, prepare_labels, preprocess, preprocess_keywords
-from tallyloom.plans.tokenize import tokenize
 
 
 def _split_sql(rows: str) -> str:
@@ -94,31 +92,41 @@ def quality_labels(spark, sf):
 @query(f"""
 WITH RECURSIVE {pack_sql('carry')}, {_split_sql(QUALITY_LABELS_SQL)},
 tokens AS (
-  SELECT uid, chunk_idx, tid, text, {ids_sql('w')} AS ids
-  FROM (SELECT *, {words_sql('text')} AS w FROM chunks JOIN users USING (uid))
+  SELECT uid, chunk_idx, tid, text, k AS win, {ids_sql('w[k * 128 + 1:k * 128 + 128]')} AS ids
+  FROM (
+    SELECT *, unnest(range(0, greatest(1, ceil(len(w) / 128.0)::BIGINT))) AS k
+    FROM (SELECT *, {words_sql('text')} AS w FROM chunks JOIN users USING (uid))
+  )
 )
-SELECT split, uid, tid, chunk_idx, text, label, {padded_sql('ids')} AS input_ids, len(ids)::INT AS n_mask
+SELECT split, uid, tid, chunk_idx, win::INT AS "window", text, label, {padded_sql('ids')} AS input_ids, len(ids)::INT AS n_mask
 FROM tokens JOIN split_rows USING (uid)
 """)
 def preprocess_job(spark, sf):
     split_rows, _ = prepare_labels(quality_labels(spark, sf))
     rows = preprocess(turn_posts(spark, sf), split_rows)
     return rows.select(
-        "split", "uid", "tid", "chunk_idx", "text", "label", join_ints(F.col("input_ids")).alias("input_ids"),
+        "split", "uid", "tid", "chunk_idx", "window", "text", "label", join_ints(F.col("input_ids")).alias("input_ids"),
         F.aggregate("attention_mask", F.lit(0), lambda a, v: a + v).alias("n_mask"),
     )
 
 
 # --- embedding -------------------------------------------------------------------------------
 
+# All words of a text, in windows of 128; the text's vector is the mean of its windows by their words.
 BAG_SQL = f"""
-tokens AS (SELECT doc_id, source, {ids_sql(words_sql("coalesce(text, ' ')"))} AS ids FROM documents),
+texts AS (SELECT doc_id, source, {words_sql("coalesce(text, ' ')")} AS w FROM documents),
+windows AS (SELECT doc_id, source, w, unnest(range(0, greatest(1, ceil(len(w) / 128.0)::BIGINT))) AS k FROM texts),
+tokens AS (SELECT doc_id, source, k, {ids_sql("w[k * 128 + 1:k * 128 + 128]")} AS ids FROM windows),
 bags AS (
-  SELECT doc_id, source, list_transform(range(32), lambda d: len(list_filter(ids, lambda i: i % 32 = d))) AS c FROM tokens
+  SELECT doc_id, source, k, greatest(len(ids), 1) AS n,
+         list_transform(range(32), lambda d: len(list_filter(ids, lambda i: i % 32 = d))) AS c
+  FROM tokens
 ),
-vecs AS (
-  SELECT doc_id, source, list_transform(c, lambda v: v / sqrt(list_sum(list_transform(c, lambda u: u * u)))) AS e FROM bags
-)
+parts AS (
+  SELECT doc_id, source, n, list_transform(c, lambda v: v / sqrt(list_sum(list_transform(c, lambda u: u * u)))) AS e FROM bags
+),
+means AS (SELECT doc_id, source, d, sum(e[d + 1] * n) / sum(n) AS v FROM parts, range(32) r(d) GROUP BY doc_id, source, d),
+vecs AS (SELECT doc_id, source, list(v ORDER BY d) AS e FROM means GROUP BY doc_id, source)
 """
 
 
@@ -127,7 +135,7 @@ WITH {BAG_SQL}
 SELECT doc_id AS row_idx, generate_subscripts(e, 1) - 1 AS dim, round(unnest(e), 4) AS value FROM vecs
 """)
 def embed_posts(spark, sf):
-    rows = M.embed_posts(tokenize(document_posts(spark, sf)).select("row_idx", "input_ids", "attention_mask"))
+    rows = M.embed_texts(document_posts(spark, sf))
     return rows.select("row_idx", F.posexplode("embedding").alias("dim", "v")).select(
         "row_idx", F.col("dim").cast("long").alias("dim"), F.round(F.col("v").cast("double"), 4).alias("value")
     )
@@ -141,7 +149,7 @@ SELECT uid, dim, n_posts, round(v, 4) AS value FROM (
 )
 """)
 def user_embedding_job(spark, sf):
-    means = M.user_embeddings(tokenize(document_posts(spark, sf)))
+    means = M.user_embeddings(M.embed_texts(document_posts(spark, sf)))
     return means.select("uid", "n_posts", F.posexplode("embedding").alias("dim", "v")).select(
         "uid", F.col("dim").cast("long").alias("dim"), "n_posts", F.round("v", 4).alias("value")
     )
@@ -244,6 +252,6 @@ WITH bags_of AS (
 SELECT count(*) AS n_triplets, round(avg(h), 4) AS loss, round(avg(h) - 100.0::DOUBLE, 4) + 0.0 AS net_loss FROM hinges
 """)
 def mining_job(spark, sf):
-    posts = tokenize(document_posts(spark, sf)).withColumn("label", F.lit(-1))
+    posts = document_posts(spark, sf).withColumn("label", F.lit(-1))
     loss = mine_triplets(posts, MiningConfig())[1]
     return loss.select("n_triplets", F.round("loss", 4).alias("loss"), (F.round("net_loss", 4) + F.lit(0.0)).alias("net_loss"))

@@ -84,14 +84,20 @@ def ones_like(values: Column) -> Column:
     return F.transform(values, lambda _: F.lit(1))
 
 
-def hashed_token_ids(text: Column, max_length: int, vocab_size: int) -> Column:
-    """Ids 1..vocab_size-1 of the first `max_length` words; 0 stays free for padding."""
+def hashed_token_ids(text: Column, max_length: int | None, vocab_size: int) -> Column:
+    """Ids 1..vocab_size-1 of all words, or of the first `max_length`; 0 stays free for padding."""
     return F.transform(
-        F.slice(words(text), 1, max_length),
+        words(text) if max_length is None else F.slice(words(text), 1, max_length),
         lambda word: (F.lit(1) + F.pmod(hash_int(word), F.lit(vocab_size - 1))).cast("int"),
     )
 
 
+def windows_of(values: Column, length: int) -> Column:
+    """Consecutive slices of at most `length` values; an empty array has one empty slice."""
+    last = F.greatest(F.ceil(F.size(values) / length).cast("int") - 1, F.lit(0))
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(values, i * length + 1, length))
+
+
 def pad_to(values: Column, length: int, fill: int = 0) -> Column:
     """Right-pad an int array to a fixed length."""
     return F.concat(values, F.array_repeat(F.lit(fill), F.lit(length) - F.size(values)))

@@ -36,7 +36,7 @@ def distance(name: str, x: Column, y: Column) -> Column:
     """Distance chosen by name, as used by the triplet loss."""
     if name == "l2":
         return squared_l2(x, y)
-    if name == "cosine":
+    if name in ("cosine", "cosine_distance"):
         return cosine_distance(x, y)
     raise ValueError(f"unknown distance {name!r}")
 

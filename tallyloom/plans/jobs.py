@@ -26,7 +26,7 @@ from tallyloom.operators.posts import concat_by_uid, filter_posts_by_uid
 from tallyloom.operators.skew import lookup_join, stage_measured
 from tallyloom.operators.staging import stage, stage_counted
 from tallyloom.operators.triplets import embedded_batches, top_triplets, triplet_loss, triplet_vectors
-from tallyloom.plans.models import EmbedderFactory, embed_posts, fit_linear, predict
+from tallyloom.plans.models import EmbedderFactory, embed_texts, fit_linear, predict
 from tallyloom.plans.tokenize import TokenizerFactory, plugged_token_count, tokenize
 from tallyloom.sources.writers import write_model
 
@@ -111,11 +111,13 @@ def preprocess(
     overflow: str = "carry",
     tokenizer: TokenizerFactory | None = None,
     size: Column | None = None,
+    truncate: bool = False,
 ) -> DataFrame:
     """Posts to model inputs: pack, split by user, label, tokenize.
 
-    Columns `split, uid, tid, chunk_idx, text, label, input_ids, attention_mask`. Posts of users
-    outside every split are dropped before their texts are packed.
+    Columns `split, uid, tid, chunk_idx, window, text, label, input_ids, attention_mask`. Posts of users
+    outside every split are dropped before their texts are packed. A chunk that holds more tokens than an
+    input, a single long text, continues on further windows; with `truncate` its end is left out.
     """
     users, size_of_users = stage_measured(user_table(split_rows))
     wanted = filter_posts_by_uid(posts, users, size_of_users)
@@ -124,9 +126,10 @@ def preprocess(
         rows = pack_by_uid(wanted, config, overflow, counter, size=size)
     else:
         rows = wanted.withColumn("chunk_idx", F.col("row_idx"))
-    return tokenize(place(rows, users, size_of_users), config, tokenizer).select(
-        "split", "uid", "tid", "chunk_idx", "text", "label", "input_ids", "attention_mask"
-    )
+    inputs = tokenize(place(rows, users, size_of_users), config, tokenizer, windows=not truncate)
+    if truncate:
+        inputs = inputs.withColumn("window", F.lit(0))
+    return inputs.select("split", "uid", "tid", "chunk_idx", "window", "text", "label", "input_ids", "attention_mask")
 
 
 def preprocess_keywords(
@@ -177,12 +180,13 @@ def baseline_by_fold(
 
 
 def mine_triplets(
-    processed: DataFrame, config: MiningConfig = MiningConfig(), embedder: EmbedderFactory | None = None
+    posts: DataFrame, config: MiningConfig = MiningConfig(), embedder: EmbedderFactory | None = None, text: TextConfig = TextConfig()
 ) -> tuple[DataFrame, DataFrame]:
-    """Embed posts once, mine triplets, report the loss: `(triplets, loss)`.
+    """Embed whole posts once, mine triplets, report the loss: `(triplets, loss)`.
 
-    The embedded posts and the triplets are written once; both feed several joins.
+    `posts` has `row_idx, uid, label, text`. The embedded posts and the triplets are written once; both feed
+    several joins.
     """
-    embedded = stage(embed_posts(processed, embedder).select("row_idx", "uid", "label", "embedding"))
+    embedded = stage(embed_texts(posts, ("row_idx", "uid", "label"), text, factory=embedder))
     triplets = stage(top_triplets(embedded_batches(embedded, config), config))
     return triplets, triplet_loss(triplet_vectors(triplets, embedded), config)

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.operators.embeddings import user_mean_embedding
+from tallyloom.config import TextConfig
+from tallyloom.operators.embeddings import user_all_embeddings, user_embedding_lists, user_mean_embedding
 from tallyloom.operators.evaluation import majority_vote, split_accuracy
 from tallyloom.operators.staging import stage
+from tallyloom.plans.tokenize import TokenizerFactory, tokenize
+from tallyloom.sources.writers import write_user_json
 
 # A factory loads the model once per Python worker; the model maps (ids, mask) matrices to vectors.
 EmbedderFactory = Callable[[], Callable[[np.ndarray, np.ndarray], np.ndarray]]
@@ -50,9 +54,38 @@ def embed_posts(processed: DataFrame, factory: EmbedderFactory | None = None) ->
     return processed.withColumn("embedding", embed("input_ids", "attention_mask"))
 
 
-def user_embeddings(processed: DataFrame, factory: EmbedderFactory | None = None) -> DataFrame:
-    """Embed every post, then average per user."""
-    return user_mean_embedding(embed_posts(processed, factory).select("uid", "embedding"))
+def embed_texts(
+    posts: DataFrame,
+    keys: Sequence[str] = ("row_idx", "uid"),
+    config: TextConfig = TextConfig(),
+    tokenizer: TokenizerFactory | None = None,
+    factory: EmbedderFactory | None = None,
+) -> DataFrame:
+    """`(keys..., embedding)` of whole texts, one row per post; the first key is unique.
+
+    A text is tokenized into windows, each window is embedded, and the vectors are averaged by their
+    numbers of tokens. The means are combined map-side.
+    """
+    windows = embed_posts(tokenize(posts.select(*keys, "text"), config, tokenizer, windows=True), factory)
+    tokens = F.aggregate("attention_mask", F.lit(0), lambda n, m: n + m)
+    weighed = windows.select(
+        *keys, array_to_vector(F.col("embedding").cast("array<double>")).alias("v"), F.greatest(tokens, F.lit(1)).cast("double").alias("w")
+    )
+    mean = weighed.groupBy(*keys).agg(Summarizer.metrics("mean").summary(F.col("v"), F.col("w")).alias("s"))
+    return mean.select(*keys, vector_to_array(F.col("s.mean"), "float32").alias("embedding"))
+
+
+def user_embeddings(embedded: DataFrame) -> DataFrame:
+    """Mean vector per user of embedded posts."""
+    return user_mean_embedding(embedded.select("uid", "embedding"))
+
+
+def user_embedding_job(posts: DataFrame, path: str, **how) -> tuple[DataFrame, DataFrame]:
+    """Embed all posts once and write both results below `path`: `(mean per user, all vectors per user)`."""
+    embedded = stage(embed_texts(posts, **how))
+    write_user_json(user_embeddings(embedded), f"{path}/mean")
+    write_user_json(user_embedding_lists(embedded), f"{path}/all")
+    return user_embeddings(embedded), user_all_embeddings(embedded)
 
 
 def _features(rows: DataFrame, column: str) -> DataFrame:

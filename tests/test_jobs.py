@@ -42,7 +42,12 @@ def test_preprocess_labels_every_row_from_its_split(spark, sf, split_rows):
     loose = preprocess(posts, split_rows, concatenate=False)
     users = {r["uid"] for r in posts.select("uid").distinct().collect()} & set(known)
     assert {r["uid"] for r in rows} == users
-    assert loose.count() == posts.filter(F.col("uid").isin(users)).count()
+    assert loose.filter("window = 0").count() == posts.filter(F.col("uid").isin(users)).count()
+    cut = preprocess(posts, split_rows, truncate=True)
+    assert cut.filter("window > 0").count() == 0 and {r["uid"] for r in cut.collect()} == users
+    for r in rows:  # an input and its further windows hold all words of the chunk
+        own = sorted((x["window"], sum(x["attention_mask"])) for x in rows if (x["uid"], x["chunk_idx"]) == (r["uid"], r["chunk_idx"]))
+        assert sum(n for _, n in own) == len(r["text"].split())
 
 
 def test_keyword_job_with_gluing_delimiter(spark):
@@ -65,11 +70,31 @@ def test_embedder_is_plugged_and_scaled(spark, sf):
 
 def test_user_embeddings_cover_all_users(spark, sf):
     posts = D.document_posts(spark, sf)
-    got = M.user_embeddings(tokenize(posts)).collect()
+    got = M.user_embeddings(M.embed_texts(posts)).collect()
     assert {r["uid"] for r in got} == {r["uid"] for r in posts.select("uid").distinct().collect()}
     assert sum(r["n_posts"] for r in got) == posts.count() and {len(r["embedding"]) for r in got} == {32}
 
 
+def test_long_texts_are_embedded_whole(spark):
+    """The vector is the mean over windows, weighed by their tokens."""
+    texts = [("a " * 5 + "b " * 3).strip(), "a b c d e f g", "", None]
+    posts = spark.createDataFrame([(i, "u", t) for i, t in enumerate(texts)], "row_idx long, uid string, text string")
+    config = TextConfig(max_seq_length=4)
+    count = lambda: (lambda ids, mask: np.stack([(ids > 0).sum(axis=1), np.ones(len(ids))], axis=1))
+    got = {r["row_idx"]: list(r["embedding"]) for r in M.embed_texts(posts, config=config, factory=count).collect()}
+    assert got == {0: [4.0, 1.0], 1: [pytest.approx((16 + 9) / 7), 1.0], 2: [0.0, 1.0], 3: [0.0, 1.0]}
+    cut = tokenize(posts, config, windows=True).groupBy("row_idx").agg(F.sum(F.aggregate("attention_mask", F.lit(0), lambda a, v: a + v)))
+    assert {r[0]: r[1] for r in cut.collect()} == {0: 8, 1: 7, 2: 0, 3: 0}
+
+
+def test_user_embedding_job_writes_both_results(spark, tmp_path):
+    posts = spark.createDataFrame([(i, "uv"[i % 2], "a b c") for i in range(6)], "row_idx long, uid string, text string")
+    means, all_vectors = M.user_embedding_job(posts, str(tmp_path / "e"))
+    assert means.count() == 2 and all_vectors.count() == 6
+    assert spark.read.json(str(tmp_path / "e" / "mean")).count() == 2
+    assert sum(len(r["embeddings"]) for r in spark.read.json(str(tmp_path / "e" / "all")).collect()) == 6
+
+
 def test_linear_models(spark, sf, tmp_path):
     labels = D.embedded(spark, sf)
     rows = labels.withColumn("split", F.when(F.col("row_idx") % 5 == 0, "test").otherwise("train"))
@@ -91,7 +116,7 @@ def test_unknown_labels_are_not_fitted(spark, sf):
 
 
 def test_mining_job(spark, sf):
-    posts = tokenize(D.document_posts(spark, sf)).withColumn("label", F.lit(-1))
+    posts = D.document_posts(spark, sf).withColumn("label", F.lit(-1))
     config = MiningConfig(anchors_per_batch=8, negatives_per_batch=16, threshold=1.0)
     triplets, loss = mine_triplets(posts, config)
     n = posts.count() // 8 * 8
