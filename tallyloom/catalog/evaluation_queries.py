@@ -20,6 +20,7 @@ from tallyloom.catalog.bindings import (
 from tallyloom.catalog.registry import query
 from tallyloom.functions.vectors import argmax
 from tallyloom.operators import evaluation as E
+from tallyloom.operators.skew import lookup_join
 
 
 def _rounded(rows, *names, digits=6):
@@ -68,7 +69,7 @@ def fraction_correct_users(spark, sf):
 
 
 def _labelled_rows(spark, sf):
-    return predictions(spark, sf).join(customer_labels(spark, sf), "uid")
+    return lookup_join(predictions(spark, sf), customer_labels(spark, sf), "uid")
 
 
 LABELLED_SQL = f"labelled AS (SELECT p.*, l.label FROM ({PREDICTIONS_SQL}) p JOIN ({CUSTOMER_LABELS_SQL}) l USING (uid))"

@@ -70,13 +70,17 @@ def keyword_vector(text: Column, keywords: Sequence[str], cap: int = -1) -> Colu
     if not keywords:
         raise ValueError("the keyword list is empty")
     distinct = list(dict.fromkeys(keywords))
+    asked = F.array(*[F.lit(k) for k in keywords])  # one literal, however long the list is
 
-    def count(found: Column, keyword: str) -> Column:
-        n = F.size(found) - F.size(F.array_remove(found, keyword))
-        return (F.least(F.lit(cap), n) if cap >= 0 else n).cast("int")
+    def counts(found: Column) -> Column:
+        def count(keyword: Column) -> Column:
+            n = F.size(F.filter(found, lambda word: word == keyword))
+            return (F.least(F.lit(cap), n) if cap >= 0 else n).cast("int")
+
+        return F.transform(asked, count)
 
     hits = F.filter(words(text), lambda word: word.isin(distinct))
-    return F.transform(F.array(hits), lambda found: F.array(*[count(found, k) for k in keywords]))[0]
+    return F.transform(F.array(hits), counts)[0]
 
 
 def ones_like(values: Column) -> Column:

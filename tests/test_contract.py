@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 import duckdb
 import pytest
 
@@ -11,6 +9,7 @@ import __spark_entry__ as contract
 from check import TABLES, rows_of
 from tallyloom.catalog.registry import ORACLES, QUERIES
 
+
 @pytest.fixture(scope="module")
 def db(sf):
     connection = duckdb.connect()
@@ -30,15 +29,7 @@ def test_entry(spark):
     assert frame.columns == ["split", "uid", "tid", "label", "counts"] and frame.count() > 0
 
 
-# One query per family by default; all of them with ALL_QUERIES=1 (or through check.py).
-SAMPLE = {
-    "three_way_split", "report_split", "slice_labels_by_fold", "split_posts_by_uid", "concat_by_uid", "pack_by_uid",
-    "tokenize_pad", "padded_batches", "eval_summary", "fold_accuracy", "top_triplets_masked", "preprocess_job",
-}
-CHOSEN = sorted(QUERIES) if os.environ.get("ALL_QUERIES") else sorted(SAMPLE)
-
-
-@pytest.mark.parametrize("name", CHOSEN)
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, sf, db, name):
     frame = contract.queries()[name](spark, sf)
     mine = frame.collect()

@@ -16,10 +16,10 @@ def preds(spark, *rows):
 
 @pytest.fixture(scope="module")
 def lists(spark):
-    """Users 7: [0, 1], 11: [0, 0, 1], 12: [1, 0, 1]."""
+    """Users 7: [4, 2], 11: [2, 3, 2], 12: [4, 4, 3]."""
     return preds(
-        spark, ("7", 0, 0, 0), ("7", 0, 1, 1), ("11", 0, 2, 0), ("11", 0, 3, 0), ("11", 0, 4, 1),
-        ("12", 0, 5, 1), ("12", 0, 6, 0), ("12", 0, 7, 1),
+        spark, ("7", 0, 0, 4), ("7", 0, 1, 2), ("11", 0, 2, 2), ("11", 0, 3, 3), ("11", 0, 4, 2),
+        ("12", 0, 5, 4), ("12", 0, 6, 4), ("12", 0, 7, 3),
     )
 
 
@@ -30,20 +30,17 @@ def test_unmasked_predictions(spark):
 
 
 def test_prediction_lists_put_the_newest_batch_first(spark, lists):
-    new = preds(
-        spark, ("11", 1, 0, -1), ("5", 1, 1, 0), ("11", 1, 2, 0), ("9", 1, 3, 1), ("5", 1, 4, -1), ("5", 1, 5, 1)
-    )
+    new = preds(spark, ("11", 1, 0, 5), ("5", 1, 1, 0), ("5", 1, 4, -1), ("11", 1, 7, 6), ("9", 1, 3, 1))
     got = {r["uid"]: r["predictions"] for r in E.user_prediction_lists(lists.unionByName(new)).collect()}
-    assert got == {"5": [0, -1, 1], "7": [0, 1], "9": [1], "11": [-1, 0, 0, 0, 1], "12": [1, 0, 1]}
+    assert got == {"5": [0, -1], "7": [4, 2], "9": [1], "11": [5, 6, 2, 3, 2], "12": [4, 4, 3]}
     parts = E.user_prediction_lists(lists.unionByName(new), 2).orderBy("uid", "part").collect()
-    assert [p for r in parts if r["uid"] == "11" for p in r["predictions"]] == [-1, 0, 0, 0, 1]
-    assert max(len(r["predictions"]) for r in parts) <= 2
+    assert [r["predictions"] for r in parts if r["uid"] == "11"] == [[5, 6], [2, 3], [2]]
 
 
 def test_majority_vote(spark, lists):
     assert E.majority_vote(preds(spark, ("a", 0, 0, 9), ("a", 0, 1, 9), ("a", 0, 2, 6))).first()["prediction"] == 9
     got = {r["uid"]: r["prediction"] for r in E.majority_vote(lists).collect()}
-    assert got == {"7": 0, "11": 0, "12": 1}
+    assert got == {"7": 4, "11": 2, "12": 4}
     tie = preds(spark, ("a", 0, 0, 1), ("a", 1, 5, 2))
     assert E.majority_vote(tie).first()["prediction"] == 2  # the newest batch is seen first
 
@@ -60,7 +57,7 @@ def test_large_positions_and_batches(spark):
 def test_fraction_correct_users(spark, lists):
     voted = E.majority_vote(lists)
     for kind in ("int", "double"):
-        labels = spark.createDataFrame([("7", 0), ("11", 1)], "uid string, label int").withColumn("label", F.col("label").cast(kind))
+        labels = spark.createDataFrame([("7", 4), ("11", 3)], "uid string, label int").withColumn("label", F.col("label").cast(kind))
         row = E.fraction_correct_users(voted, labels).first()
         assert (row["n_users"], row["ratio"]) == (2, 0.5)
     nobody = spark.createDataFrame([("x", 0)], "uid string, label int")

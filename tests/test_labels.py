@@ -18,16 +18,16 @@ def many(spark, n=101):
 
 
 def test_line_fields(spark):
-    line = spark.createDataFrame([("0,username_a,7\n",), ("x,5",)], "line string")
+    line = spark.createDataFrame([("3,someone,90\n",), ("x,5",)], "line string")
     got = line.select(L.label_of_line(F.col("line")), L.uid_of_line(F.col("line"))).collect()
-    assert [tuple(r) for r in got] == [("0", "7"), ("x", "5")]
+    assert [tuple(r) for r in got] == [("3", "90"), ("x", "5")]
 
 
 def test_exclude_users_matches_on_uid_only(spark, rows):
-    labels = label_rows(spark, ["0,username_a,7", "1,username_a,11", "0,username_b,5"])
-    others = label_rows(spark, ["1,username_b,5", "0,username_a,6"])
+    labels = label_rows(spark, ["c,kim,21", "d,kim,22", "c,lee,23", "e,max,24"])
+    others = label_rows(spark, ["d,lee,23", "c,kim,99"])
     got = rows(L.exclude_users(labels, others), "label", "screen_name", "uid")
-    assert got == [("0", "username_a", "7"), ("1", "username_a", "11")]
+    assert got == [("c", "kim", "21"), ("d", "kim", "22"), ("e", "max", "24")]
 
 
 def test_nonempty_labels(spark):
