@@ -1,11 +1,11 @@
 """Language-model scores from a hidden Markov model.
 
-Words are counted over all training texts. The `vocabulary` most frequent ones are symbols of the model;
-every other word, seen or not, belongs to one of `rare` classes by a hash, and its probability inside the
-class follows its own smoothed count, so every word of every text has its exact probability. States are
-trained by Baum-Welch: each task runs scaled forward and backward passes over its texts and adds up expected
-counts, which are summed by symbol over all tasks; the new tables come from those sums and a Dirichlet prior
-proportional to the word frequencies. A score is the log10 likelihood of the whole word sequence with its
+Words are counted over all training texts. The most frequent ones, at most `vocabulary` and words of equal
+count together, are symbols of the model; every other word, seen or not, belongs to one of `rare` classes by
+a hash, and its probability inside the class follows its own smoothed count, so every word of every text has
+its exact probability. States are trained by Baum-Welch: each task runs scaled forward and backward passes
+over its texts and adds up expected counts, which are summed by symbol over all tasks; the new tables come
+from those sums and a Dirichlet prior proportional to the word frequencies. A score is the log10 likelihood of the whole word sequence with its
 end token, from the scaled forward recursion.
 
 Texts are encoded once into symbol numbers and written; passes read those. Texts of similar length advance
@@ -34,7 +34,8 @@ from tallyloom.llm.common import crc_remainder
 from tallyloom.operators.staging import stage
 
 END = 0  # symbol of the end of a text
-_TOKENS = 400_000  # tokens of a batch in the recursions
+_TOKENS = 200_000  # tokens of a batch in the recursions
+_ROWS = 1_000  # texts encoded at a time
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -197,8 +198,16 @@ def score_documents(
     total, distinct = int(seen[0]) + ends, int(seen[1]) + (1 if ends else 0)
     floor = 0.1
     whole = total + floor * (distinct + 1)
-    frequent = stage(counts.orderBy(F.desc("n"), "word").limit(vocabulary))
-    top = frequent.toPandas()  # bounded by `vocabulary`
+    # The least count of a symbol: all words of that count or more fit into the vocabulary.
+    spectrum = counts.groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).limit(vocabulary + 1).collect()
+    least, room = 1 << 62, vocabulary
+    for row in spectrum:
+        room -= row["words"]
+        if room < 0:
+            break
+        least = row["n"]
+    frequent = stage(counts.filter(F.col("n") >= least))
+    top = frequent.toPandas().sort_values(["n", "word"], ascending=[False, True])  # `vocabulary` rows at most
     code = {int(w): i + 1 for i, w in enumerate(top["word"])}
     known = np.concatenate(([ends], top["n"].to_numpy(dtype=float)))
     # Rare words: those of the counts that are not frequent, by class.
@@ -213,7 +222,7 @@ def score_documents(
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, logs = table.value
         cache: dict[bytes, int] = {}
-        for batch in batches:
+        for batch in (whole.slice(at, _ROWS) for whole in batches for at in range(0, whole.num_rows, _ROWS)):
             codes, known_score, rare_words, rare_counts, lengths = [], [], [], [], []
             for value in batch.column(1):
                 row, others = [], {}

@@ -27,6 +27,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 _MARK, _LITERAL = "▁", "\udfff"  # the space mark; a mark that the text itself holds
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _ALL = (1 << 64) - 1
-_GROUP_CHARS = 500_000
+_GROUP_CHARS = 1_000_000
 
 
 def _mix(x):
@@ -90,13 +91,28 @@ class Vocabulary:
                     found[h] = i
                 else:
                     found.setdefault(h, -1)
-        keys = np.fromiter(found, dtype=np.uint64, count=len(found))
+        keys = _mix(np.fromiter(found, dtype=np.uint64, count=len(found)))
         order = np.argsort(keys)
-        self.prefix, self.piece = keys[order], np.fromiter(found.values(), dtype=np.int64, count=len(found))[order]
+        # Sorted hashes with the first place of each leading 17 bits: a lookup reads one or two entries.
+        self.prefix = np.append(keys[order], np.uint64(0))
+        self.piece = np.append(np.fromiter(found.values(), dtype=np.int64, count=len(found))[order], -1)
+        self.bucket = np.searchsorted(keys[order], np.arange(1 << 17, dtype=np.uint64) << np.uint64(47)).astype(np.int32)
         joined = {c for i in usual if len(names[i]) > 1 for c in names[i]}
         alone = "".join(c for c in "\n\t" if c not in joined)
         self.cut = re.compile(f"[{alone}]|{_MARK}*[^{_MARK}{alone}]+|{_MARK}+" if alone else f"{_MARK}*[^{_MARK}]+|{_MARK}+")
 
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which hashes are prefixes of pieces, and their places."""
+        h = _mix(h)
+        slot = self.bucket[(h >> np.uint64(47)).astype(np.int64)]
+        more = np.flatnonzero(self.prefix[slot] < h)
+        while len(more):
+            slot[more] += 1
+            here = self.prefix[slot[more]]
+            more = more[(here < h[more]) & (here != 0)]
+        hit = np.flatnonzero(self.prefix[slot] == h)
+        return hit, slot[hit]
+
     def words(self, text: str) -> list[str]:
         return self.cut.findall(_MARK + text.replace(_MARK, _LITERAL).replace(" ", _MARK)) if text else []
 
@@ -124,10 +140,8 @@ class Lattice:
         while len(at):
             h = h * _BASE + code[at + size]
             size += 1
-            slot = np.searchsorted(vocabulary.prefix, h)
-            slot[slot == len(vocabulary.prefix)] = 0
-            hit = vocabulary.prefix[slot] == h
-            at, h, slot = at[hit], h[hit], slot[hit]
+            hit, slot = vocabulary.find(h)
+            at, h = at[hit], h[hit]
             piece = vocabulary.piece[slot]
             real = piece >= 0
             starts.append(node[at[real]])
@@ -148,7 +162,8 @@ class Lattice:
         ends.append(node[spelled] + 1)
         pieces.append(np.array([-1 - codes[c] for c in chars[spelled].tolist()], dtype=np.int64))
         start, end, piece = np.concatenate(starts), np.concatenate(ends), np.concatenate(pieces)
-        order = np.lexsort((-end, start))  # long pieces first: they are the likely ones
+        longest = max(size, 1)
+        order = np.argsort(start * (longest + 1) + longest - (end - start))  # long pieces first: they are the likely ones
         self.start, self.end, self.piece = start[order], end[order], piece[order]
         spell = np.array([len(s) * vocabulary.spell for s in self.spelling] or [0.0])
         self.log = np.where(self.piece >= 0, vocabulary.score[np.maximum(self.piece, 0)], spell[np.minimum(-1 - np.minimum(self.piece, -1), len(spell) - 1)])
@@ -276,9 +291,10 @@ def sample_texts(vocabulary: Vocabulary, texts: list[str], keys: np.ndarray, sam
     """For each text a list of (ids, log-probability, Gumbel value, inclusion), best value first."""
     split = [vocabulary.words(t) for t in texts]
     counts = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
-    number: dict[str, int] = {}
-    word = np.fromiter((number.setdefault(w, len(number)) for ws in split for w in ws), dtype=np.int64, count=int(counts.sum()))
-    del split
+    every = list(chain.from_iterable(split))
+    number = {w: n for n, w in enumerate(dict.fromkeys(every))}
+    word = np.fromiter(map(number.__getitem__, every), dtype=np.int64, count=len(every))
+    del split, every
     lattice = Lattice(vocabulary, list(number))
     starts = np.cumsum(counts) - counts
     text = np.repeat(np.arange(len(texts)), counts)
