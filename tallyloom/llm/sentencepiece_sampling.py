@@ -47,13 +47,22 @@ def _mix(x):
     return x ^ (x >> np.uint64(31))
 
 
-def uniforms(keys: np.ndarray, sample: int, word: np.ndarray, step: int) -> np.ndarray:
-    """Numbers in (0, 1), one for each row key and word."""
+def bases(keys: np.ndarray, sample: int, word: np.ndarray) -> np.ndarray:
+    """The source of random numbers of each row key and word."""
     x = _mix(keys + np.uint64((sample * 1_000_003 + 1) * int(_BASE) & _ALL))
-    x = _mix(x + word.astype(np.uint64) * np.uint64(0xD1342543DE82EF95) + np.uint64(step * 0x2545F4914F6CDD1D & _ALL))
+    return x + word.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)
+
+
+def numbers(base: np.ndarray, step: int) -> np.ndarray:
+    """Numbers in (0, 1), one for each source."""
+    x = _mix(base + np.uint64(step * 0x2545F4914F6CDD1D & _ALL))
     return ((x >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
+def uniforms(keys: np.ndarray, sample: int, word: np.ndarray, step: int) -> np.ndarray:
+    return numbers(bases(keys, sample, word), step)
+
+
 class Vocabulary:
     """Pieces, their log-probabilities, and the hashes of all their prefixes."""
 
@@ -82,6 +91,7 @@ class Vocabulary:
         for b, i in enumerate(self.byte):
             self.bytes[i] = bytes([b])
         self.bytes[self.unknown] = " ⁇ ".encode()
+        self.table = np.array(self.bytes, dtype=object)
         found: dict[int, int] = {}
         for i in usual:
             h = 0
@@ -116,8 +126,8 @@ class Vocabulary:
     def words(self, text: str) -> list[str]:
         return self.cut.findall(_MARK + text.replace(_MARK, _LITERAL).replace(" ", _MARK)) if text else []
 
-    def decode(self, ids: list[int]) -> str:
-        return b"".join([self.bytes[i] for i in ids])[1:].decode("utf-8", "replace")
+    def decode(self, ids: np.ndarray) -> str:
+        return b"".join(self.table[ids].tolist())[1:].decode("utf-8", "replace")
 
 
 class Lattice:
@@ -127,15 +137,22 @@ class Lattice:
         self.vocabulary = vocabulary
         lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        self.first = np.concatenate(([0], np.cumsum(lengths + 1)[:-1]))  # node 0 of each word
-        self.last = self.first + lengths
+        # Nodes are numbered by their distance to the end of their word, so that backward sums go by slices.
+        starts = np.cumsum(lengths + 1) - (lengths + 1)
+        nodes = len(chars) + len(words)
+        away = np.repeat(starts + lengths, lengths + 1) - np.arange(nodes)
+        by_away = np.argsort(away.astype(np.int16) if nodes and lengths.max() < 32_767 else away, kind="stable")
+        name = np.empty(nodes, dtype=np.int64)
+        name[by_away] = np.arange(nodes)
+        levels = np.searchsorted(away[by_away], np.arange(int(lengths.max()) + 2 if nodes else 0))
+        self.first, self.last = name[starts], name[starts + lengths]
         word = np.repeat(np.arange(len(words)), lengths)
-        node = np.arange(len(chars)) + word  # node at which each character starts
+        node = np.arange(len(chars)) + word  # place, before renumbering, of the node at which a character starts
         left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(chars))
         code = chars.astype(np.uint64) + np.uint64(1)
         at, h = np.arange(len(chars)), np.zeros(len(chars), dtype=np.uint64)
         single = np.zeros(len(chars), dtype=bool)
-        starts, ends, pieces = [], [], []
+        found = []
         size = 0
         while len(at):
             h = h * _BASE + code[at + size]
@@ -143,13 +160,12 @@ class Lattice:
             hit, slot = vocabulary.find(h)
             at, h = at[hit], h[hit]
             piece = vocabulary.piece[slot]
-            real = piece >= 0
-            starts.append(node[at[real]])
-            ends.append(node[at[real]] + size)
-            pieces.append(piece[real])
+            real = np.flatnonzero(piece >= 0)
+            ends = node[at[real]]
+            found.append((name[ends], name[ends + size], piece[real]))
             if size == 1:
                 single[at[real]] = True
-            more = left[at] > size
+            more = np.flatnonzero(left[at] > size)
             at, h = at[more], h[more]
         spelled = np.flatnonzero(~single)
         self.spelling: list[list[int]] = []
@@ -158,30 +174,35 @@ class Lattice:
             codes[c] = len(self.spelling)
             raw = (_MARK if chr(c) == _LITERAL else chr(c)).encode("utf-8", "replace")
             self.spelling.append([vocabulary.byte[b] for b in raw] if vocabulary.byte else [vocabulary.unknown])
-        starts.append(node[spelled])
-        ends.append(node[spelled] + 1)
-        pieces.append(np.array([-1 - codes[c] for c in chars[spelled].tolist()], dtype=np.int64))
-        start, end, piece = np.concatenate(starts), np.concatenate(ends), np.concatenate(pieces)
-        longest = max(size, 1)
-        order = np.argsort(start * (longest + 1) + longest - (end - start))  # long pieces first: they are the likely ones
-        self.start, self.end, self.piece = start[order], end[order], piece[order]
-        spell = np.array([len(s) * vocabulary.spell for s in self.spelling] or [0.0])
-        self.log = np.where(self.piece >= 0, vocabulary.score[np.maximum(self.piece, 0)], spell[np.minimum(-1 - np.minimum(self.piece, -1), len(spell) - 1)])
-        nodes = int(self.last[-1]) + 1 if len(words) else 0
-        self.edge = np.searchsorted(self.start, np.arange(nodes + 1))
+        found.append((name[node[spelled]], name[node[spelled] + 1], np.array([-1 - codes[c] for c in chars[spelled].tolist()], dtype=np.int64)))
+        # Edges by node, long pieces first, as they are the likely ones: each size has one edge of a node at most.
+        degree = np.zeros(nodes, dtype=np.int64)
+        for start, _, _ in found:
+            degree[start] += 1
+        self.edge = np.concatenate(([0], np.cumsum(degree)))
+        place = self.edge[1:].copy()
+        self.start = np.repeat(np.arange(nodes), degree)
+        self.end, self.piece = np.empty(len(self.start), dtype=np.int64), np.empty(len(self.start), dtype=np.int64)
+        for start, end, piece in found[-1:] + found[:-1]:
+            place[start] -= 1
+            to = place[start]
+            self.end[to], self.piece[to] = end, piece
+        if len(spelled):
+            spell = np.array([len(x) * vocabulary.spell for x in self.spelling])
+            self.log = np.where(self.piece >= 0, vocabulary.score[self.piece], spell[np.minimum(-1 - self.piece, len(spell) - 1) * (self.piece < 0)])
+        else:
+            self.log = vocabulary.score[self.piece]
         # Backward sums, from the last characters of all words to the first ones.
         self.back = np.zeros(nodes)
-        away = np.repeat(self.last, lengths + 1) - np.arange(nodes)
-        by_away = np.argsort(away, kind="stable")
-        levels = np.searchsorted(away[by_away], np.arange(int(away.max()) + 2 if nodes else 0))
         for k in range(1, len(levels) - 1):
-            here = by_away[levels[k]:levels[k + 1]]
-            degree = self.edge[here + 1] - self.edge[here]
-            cuts = np.cumsum(degree) - degree
-            e = np.arange(int(degree.sum())) - np.repeat(cuts, degree) + np.repeat(self.edge[here], degree)
+            low, high = int(levels[k]), int(levels[k + 1])
+            if low == high:
+                continue
+            e = slice(int(self.edge[low]), int(self.edge[high]))
+            cuts = self.edge[low:high] - self.edge[low]
             total = self.log[e] + self.back[self.end[e]]
             top = np.maximum.reduceat(total, cuts)
-            self.back[here] = top + np.log(np.add.reduceat(np.exp(total - np.repeat(top, degree)), cuts))
+            self.back[low:high] = top + np.log(np.add.reduceat(np.exp(total - np.repeat(top, degree[low:high])), cuts))
         # Share of each edge at its node, running sums of the shares, and the shares of all other edges.
         share = np.exp(self.log + self.back[self.end] - self.back[self.start])
         rank = np.arange(len(self.start)) - self.edge[self.start]
@@ -200,9 +221,10 @@ class Lattice:
         node, active, log = self.first[word].copy(), np.arange(len(word)), np.zeros(len(word))
         whole, other = self.back[self.first[word]], np.zeros(len(word))
         owner, edges = [], []
+        base = bases(keys, sample, place)
         step = 0
         while len(active):
-            r = uniforms(keys[active], sample, place[active], step)
+            r = numbers(base[active], step)
             e = self.edge[node[active]].copy()
             more = np.flatnonzero(r > self.upto[e])
             while len(more):
@@ -213,7 +235,7 @@ class Lattice:
             edges.append(e)
             log[active] += self.log[e]
             node[active] = self.end[e]
-            active = active[node[active] < self.last[word[active]]]
+            active = active[node[active] != self.last[word[active]]]
             step += 1
         owner = np.concatenate(owner) if owner else np.zeros(0, dtype=np.int64)
         edges = np.concatenate(edges) if edges else np.zeros(0, dtype=np.int64)
@@ -255,7 +277,7 @@ class Lattice:
         """A path of one word that is none of the excluded ones, and its log-probability."""
         children, free = self.free_masses(word, excluded)
         node, last, path, at = int(self.first[word]), int(self.last[word]), [], 0
-        while node < last:
+        while node != last:
             share = self.shares(node) if at is None else free[at]
             r = float(uniforms(np.array([key]), sample, np.array([place]), 1_000 + len(path))[0]) * share.sum()
             e = int(self.edge[node]) + min(int(np.searchsorted(np.cumsum(share), r)), int(np.flatnonzero(share)[-1]))
@@ -464,7 +486,7 @@ def decode(encoded: DataFrame, ids: str = "ids", vocabulary: str = VOCABULARY, t
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
                 lists = part.column(at)
-                flat, lengths = lists.flatten().to_pylist(), lists.value_lengths().to_pylist()
+                flat, lengths = lists.flatten().to_numpy(), lists.value_lengths().to_pylist()
                 out, cut = [], 0
                 for n in lengths:
                     out.append(None if n is None else words.decode(flat[cut:cut + n]))
