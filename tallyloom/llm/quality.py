@@ -213,28 +213,22 @@ def fit_additive(
 
 
 def fit_quality(
-    features: DataFrame, labels: DataFrame, target: str = "quality", key: str = "doc_id", sample_rows: int = 20_000
+    documents: DataFrame, labels: DataFrame, target: str = "quality", key: str = "doc_id", text: str = "text", sample_rows: int = 20_000
 ) -> AdditiveModel:
-    """Fit on the labelled rows outside the held-out fold, at most `sample_rows` of them."""
-    chosen = bounded_sample(training_labels(labels, target, key), sample_rows, key)
-    got = features.join(F.broadcast(chosen), key).select("features", "y").limit(2 * sample_rows).toPandas()
+    """Fit on the labelled rows outside the held-out fold, at most `sample_rows` of them.
+
+    Only the chosen rows get features here; their labels are few enough to broadcast, so no text is moved.
+    """
+    chosen = stage(bounded_sample(training_labels(labels, target, key), sample_rows, key))
+    rows = with_features(documents.select(key, text).join(F.broadcast(chosen), key, "left_semi"), key, text)
+    got = rows.limit(2 * sample_rows).toPandas().merge(chosen.toPandas(), on=key).sort_values(key, kind="stable")
     x = np.array(got["features"].tolist(), dtype=float).reshape(len(got), len(FEATURES))
     return fit_additive(x, got["y"].to_numpy(dtype=float))
 
 
-def score_features(features: DataFrame, model: AdditiveModel, threshold: float, key: str = "doc_id") -> DataFrame:
-    """(key, score, predicted) of every row of features."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, len(FEATURES))
-            score = model.score(x)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=[key, "score", "predicted"]
-            )
-
-    kind = dict(features.dtypes)[key]
-    return features.select(key, "features").mapInArrow(run, f"{key} {kind}, score double, predicted int")
+def _scores(model: AdditiveModel, texts: pa.Array) -> np.ndarray:
+    x = np.array([text_features(v.as_py()) for v in texts]).reshape(len(texts), len(FEATURES))
+    return model.score(x)
 
 
 def classify_quality(
@@ -242,20 +236,27 @@ def classify_quality(
     sample_rows: int = 20_000,
 ) -> DataFrame:
     """(key, held_out, score, predicted) of every document."""
-    features = stage(with_features(documents, key, text))
-    model = fit_quality(features, labels, "quality", key, sample_rows)
-    return score_features(features, model, threshold, key).select(key, held_out(key).alias("held_out"), "score", "predicted")
+    model = fit_quality(documents, labels, "quality", key, text, sample_rows)
+    source = documents.select(key, text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            score = _scores(model, batch.column(1))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=[key, "score", "predicted"]
+            )
+
+    scored = source.mapInArrow(run, f"{key} {dict(source.dtypes)[key]}, score double, predicted int")
+    return scored.select(key, held_out(key).alias("held_out"), "score", "predicted")
 
 
 def keep_quality(documents: DataFrame, labels: DataFrame, threshold: float = 0.7, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that the classifier accepts, with their columns."""
-    features = stage(with_features(documents, key, text))
-    model = fit_quality(features, labels, "quality", key)
+    model = fit_quality(documents, labels, "quality", key, text)
+    at = documents.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index(text)
-            x = np.array([text_features(v.as_py()) for v in batch.column(at)]).reshape(batch.num_rows, len(FEATURES))
-            yield batch.filter(pa.array(model.score(x) >= threshold))
+            yield batch.filter(pa.array(_scores(model, batch.column(at)) >= threshold))
 
     return documents.mapInArrow(run, documents.schema)
