@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +39,27 @@ def bounded_sample(df: DataFrame, rows: int, key: str) -> DataFrame:
     return df.filter(F.pmod(hashed, F.lit(1 << 30)) < int(share * (1 << 30)) + 1).orderBy(hashed, key).limit(rows)
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], rows: int | None = 1_000):
+    """A task function over record batches that gets them in slices of `rows` and gives memory back after each batch.
+
+    Python workers live on after a task; what they keep would add up over the stages of a long job.
+    """
+
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows or max(1, batch.num_rows)):
+                yield batch.slice(at, rows)
+            pa.default_memory_pool().release_unused()
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(slices(batches))
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return inner
+
+
 def mark_of(df: DataFrame, *columns: str) -> tuple[int, int]:
     """Row count and an order-free checksum, to see whether an iteration changed anything."""
     row = df.agg(F.count(F.lit(1)), F.coalesce(F.expr(f"bit_xor(xxhash64({', '.join(columns)}))"), F.lit(0))).first()

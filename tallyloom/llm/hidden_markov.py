@@ -30,12 +30,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import crc_remainder
+from tallyloom.llm.common import crc_remainder, tidy
 from tallyloom.operators.staging import stage
 
 END = 0  # symbol of the end of a text
 _TOKENS = 200_000  # tokens of a batch in the recursions
-_ROWS = 1_000  # texts encoded at a time
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -68,7 +67,7 @@ def word_counts(documents: DataFrame, text: str, training: str) -> DataFrame:
                     yield flush()
         yield flush()
 
-    parts = documents.filter(training).select(text).mapInArrow(run, "word long, n long")
+    parts = documents.filter(training).select(text).mapInArrow(tidy(run), "word long, n long")
     return parts.groupBy("word").agg(F.sum("n").alias("n"))
 
 
@@ -171,7 +170,7 @@ def train(encoded: DataFrame, weight: np.ndarray, states: int, rounds: int, prio
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(names) + 1) * states, pa.int32()), pa.array(table.astype(np.float32).ravel()))
             yield pa.RecordBatch.from_arrays([pa.array(names), flat], names=["symbol", "counts"])
 
-        parts = encoded.select("codes").mapInArrow(run, "symbol long, counts array<float>")
+        parts = encoded.select("codes").mapInArrow(tidy(run, None), "symbol long, counts array<float>")
         sums = parts.groupBy("symbol").agg(F.array(*[F.sum(F.col("counts")[i].cast("double")) for i in range(states)]).alias("counts"))
         got = sums.toPandas()  # symbols + states + 1 rows at most
         total = np.zeros((size + states + 1, states))
@@ -222,7 +221,7 @@ def score_documents(
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, logs = table.value
         cache: dict[bytes, int] = {}
-        for batch in (whole.slice(at, _ROWS) for whole in batches for at in range(0, whole.num_rows, _ROWS)):
+        for batch in batches:
             codes, known_score, rare_words, rare_counts, lengths = [], [], [], [], []
             for value in batch.column(1):
                 row, others = [], {}
@@ -259,7 +258,7 @@ def score_documents(
     kind = dict(source.dtypes)["id"]
     encoded = stage(
         source.select("id", "text", "held").mapInArrow(
-            encode, f"id {kind}, held boolean, codes array<int>, base double, known long, words array<long>, times array<int>"
+            tidy(encode), f"id {kind}, held boolean, codes array<int>, base double, known long, words array<long>, times array<int>"
         ).withColumn("row", F.monotonically_increasing_id())
     )
     # The rare words of each document: their counts, for the base score and for their place in the class.
@@ -285,7 +284,7 @@ def score_documents(
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], names=["row", "likelihood"])
 
     del size
-    scored = encoded.select("row", "codes").mapInArrow(likelihood, "row long, likelihood double")
+    scored = encoded.select("row", "codes").mapInArrow(tidy(likelihood, None), "row long, likelihood double")
     plain = encoded.select("row", "id", "held", "base", "known", F.size("codes").cast("long").alias("n_tokens"))
     joined = plain.join(scored, "row").join(per_row, "row", "left")
     nought = lambda c: F.coalesce(F.col(c), F.lit(0))

@@ -19,6 +19,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tallyloom.llm.common import tidy
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:_-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([A-Za-z][A-Za-z0-9:_-]*)([^>]*)>",
     re.S,
@@ -301,4 +303,4 @@ def extract_main_text(pages: DataFrame, key: str = "page_id", url: str = "url",
                 names=[key, url, "text", "n_chars"],
             )
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidy(run), schema)

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import connected_components, local_stars
+from tallyloom.llm.common import connected_components, local_stars, tidy
 from tallyloom.operators.skew import lookup_join
 from tallyloom.operators.staging import stage
 
@@ -187,7 +187,7 @@ def text_units(rows: DataFrame, least: int, shingle: int, bands: int, band_rows:
 
     names = ["id", "row", "piece", "piece_start", "piece_words", "line", "line_start", "line_words", "keys"]
     return rows.mapInArrow(
-        run, "id long, row long, piece array<long>, piece_start array<int>, piece_words array<int>, line array<long>, "
+        tidy(run), "id long, row long, piece array<long>, piece_start array<int>, piece_words array<int>, line array<long>, "
         "line_start array<int>, line_words array<int>, keys array<array<long>>",
     )
 
@@ -234,7 +234,7 @@ def shingle_sets(rows: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["line", "shingles"])
 
     joined = lookup_join(rows, asked, "row", "inner", spread=("id",)).select("text", "id", "asked")
-    return joined.mapInArrow(run, "line long, shingles array<long>").dropDuplicates(["line"])
+    return joined.mapInArrow(tidy(run), "line long, shingles array<long>").dropDuplicates(["line"])
 
 
 def paragraph_components(rows: DataFrame, lines: DataFrame, similarity: float, shingle: int, block: int = 256) -> DataFrame:
@@ -378,4 +378,4 @@ def remove_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text"
             out = pa.RecordBatch.from_arrays(columns, names=names)
             yield out.filter(pa.array([bool(not s or (b and b.strip())) for b, s in zip(new, spans)], pa.bool_()))
 
-    return chosen.mapInArrow(run, documents.schema)
+    return chosen.mapInArrow(tidy(run), documents.schema)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import bounded_sample
+from tallyloom.llm.common import bounded_sample, tidy
 from tallyloom.llm.labelled import held_out, training_labels
 from tallyloom.operators.staging import stage
 
@@ -86,7 +86,7 @@ def with_features(documents: DataFrame, key: str = "doc_id", text: str = "text")
             offsets = pa.array(np.arange(len(made) + 1, dtype=np.int32) * len(FEATURES))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, flat)], names=[key, "features"])
 
-    return source.mapInArrow(run, f"{key} {dict(source.dtypes)[key]}, features array<double>")
+    return source.mapInArrow(tidy(run), f"{key} {dict(source.dtypes)[key]}, features array<double>")
 
 
 @dataclass
@@ -246,7 +246,7 @@ def classify_quality(
                 [batch.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=[key, "score", "predicted"]
             )
 
-    scored = source.mapInArrow(run, f"{key} {dict(source.dtypes)[key]}, score double, predicted int")
+    scored = source.mapInArrow(tidy(run), f"{key} {dict(source.dtypes)[key]}, score double, predicted int")
     return scored.select(key, held_out(key).alias("held_out"), "score", "predicted")
 
 
@@ -259,4 +259,4 @@ def keep_quality(documents: DataFrame, labels: DataFrame, threshold: float = 0.7
         for batch in batches:
             yield batch.filter(pa.array(_scores(model, batch.column(at)) >= threshold))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(tidy(run), documents.schema)

@@ -34,11 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.llm.common import tidy
+
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 _MARK, _LITERAL = "▁", "\udfff"  # the space mark; a mark that the text itself holds
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _ALL = (1 << 64) - 1
-_GROUP_CHARS = 1_000_000
+_GROUP_CHARS = 500_000
 
 
 def _mix(x):
@@ -468,7 +470,7 @@ def encode(
             )
 
     return source.mapInArrow(
-        run, f"{key} {kind}, text_hash long, sample int, ids array<int>, log_prob double, value double, inclusion double"
+        tidy(run), f"{key} {kind}, text_hash long, sample int, ids array<int>, log_prob double, value double, inclusion double"
     )
 
 
@@ -493,7 +495,7 @@ def decode(encoded: DataFrame, ids: str = "ids", vocabulary: str = VOCABULARY, t
                     cut += n or 0
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.string())], names=[*part.schema.names, text])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidy(run), schema)
 
 
 def encode_checked(documents: DataFrame, samples: int = 2, **how) -> DataFrame:

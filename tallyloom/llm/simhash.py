@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import connected_components, local_stars
+from tallyloom.llm.common import connected_components, local_stars, tidy
 from tallyloom.operators.skew import lookup_join
 from tallyloom.operators.staging import stage
 
@@ -67,7 +67,7 @@ def fingerprints(documents: DataFrame, key: str = "doc_id", text: str = "text",
             made = np.fromiter((fingerprint(x.as_py(), shingle) for x in batch.column(1)), dtype=np.uint64, count=batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made.view(np.int64))], names=[key, "fp"])
 
-    return source.mapInArrow(run, f"{key} {dict(source.dtypes)[key]}, fp long")
+    return source.mapInArrow(tidy(run), f"{key} {dict(source.dtypes)[key]}, fp long")
 
 
 def near_links(a: np.ndarray, b: np.ndarray | None, radius: int, tile: int = 256) -> tuple[np.ndarray, np.ndarray]:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import bounded_sample
+from tallyloom.llm.common import bounded_sample, tidy
 from tallyloom.llm.labelled import held_out, training_labels
 from tallyloom.operators.staging import stage
 
@@ -86,7 +86,7 @@ def ngram_document_counts(labelled: DataFrame, bits: int, text: str = "text") ->
             names=["bucket", "negative", "positive"],
         )
 
-    parts = labelled.select(text, "y").mapInArrow(run, "bucket long, negative long, positive long")
+    parts = labelled.select(text, "y").mapInArrow(tidy(run), "bucket long, negative long, positive long")
     return parts.groupBy("bucket").agg(F.sum("negative").alias("negative"), F.sum("positive").alias("positive"))
 
 
@@ -155,7 +155,7 @@ def fit_toxicity(
     chosen = bounded_sample(known, sample_rows, key)
     rows = (
         documents.select(key, text).join(F.broadcast(chosen), key).select(key, text, "y")
-        .mapInArrow(find, f"{key} {kind}, found array<int>, y int").select(key, "found", "y").toPandas()
+        .mapInArrow(tidy(find), f"{key} {kind}, found array<int>, y int").select(key, "found", "y").toPandas()
     )
     rows = rows.sort_values(key, kind="stable").reset_index(drop=True)
     found = [np.asarray(f, dtype=np.int64) for f in rows["found"]]
@@ -179,5 +179,5 @@ def classify_toxicity(
             )
 
     source = documents.select(key, text)
-    scored = source.mapInArrow(run, f"{key} {dict(source.dtypes)[key]}, score double, predicted int")
+    scored = source.mapInArrow(tidy(run), f"{key} {dict(source.dtypes)[key]}, score double, predicted int")
     return scored.select(key, held_out(key).alias("held_out"), "score", "predicted")
