@@ -40,7 +40,7 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 _MARK, _LITERAL = "▁", "\udfff"  # the space mark; a mark that the text itself holds
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _ALL = (1 << 64) - 1
-_GROUP_CHARS = 500_000
+_GROUP_CHARS = 700_000
 
 
 def _mix(x):
@@ -93,7 +93,9 @@ class Vocabulary:
         for b, i in enumerate(self.byte):
             self.bytes[i] = bytes([b])
         self.bytes[self.unknown] = " ⁇ ".encode()
-        self.table = np.array(self.bytes, dtype=object)
+        self.blob = np.frombuffer(b"".join(self.bytes), dtype=np.uint8)
+        self.size = np.array(list(map(len, self.bytes)), dtype=np.int32)
+        self.begin = np.cumsum(self.size, dtype=np.int32) - self.size
         found: dict[int, int] = {}
         for i in usual:
             h = 0
@@ -128,8 +130,15 @@ class Vocabulary:
     def words(self, text: str) -> list[str]:
         return self.cut.findall(_MARK + text.replace(_MARK, _LITERAL).replace(" ", _MARK)) if text else []
 
-    def decode(self, ids: np.ndarray) -> str:
-        return b"".join(self.table[ids].tolist())[1:].decode("utf-8", "replace")
+    def decode(self, ids: np.ndarray, lengths: np.ndarray) -> list[str]:
+        """Texts of consecutive lists of ids: the bytes of all pieces are gathered at once."""
+        size = self.size[ids]
+        ends = np.cumsum(size, dtype=np.int64)
+        at = np.repeat(self.begin[ids] - (ends - size), size)
+        at += np.arange(len(at))
+        raw = self.blob[at].tobytes()
+        cuts = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(lengths)))].tolist()
+        return [raw[a + 1:b].decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:])]
 
 
 class Lattice:
@@ -209,9 +218,11 @@ class Lattice:
         share = np.exp(self.log + self.back[self.end] - self.back[self.start])
         rank = np.arange(len(self.start)) - self.edge[self.start]
         self.upto = share.copy()
-        for k in range(1, int(rank.max()) + 1 if len(rank) else 0):
-            at = np.flatnonzero(rank == k)
-            self.upto[at] += self.upto[at - 1]
+        at, k = np.flatnonzero(rank), 1
+        while len(at):
+            here = rank[at] == k
+            self.upto[at[here]] += self.upto[at[here] - 1]
+            at, k = at[~here], k + 1
         lasts = self.edge[self.start + 1] - 1 == np.arange(len(self.start))
         self.upto[lasts] = 1.0
         likely = share > 0.5  # one edge of a node at most: the others are added up without it
@@ -488,11 +499,10 @@ def decode(encoded: DataFrame, ids: str = "ids", vocabulary: str = VOCABULARY, t
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
                 lists = part.column(at)
-                flat, lengths = lists.flatten().to_numpy(), lists.value_lengths().to_pylist()
-                out, cut = [], 0
-                for n in lengths:
-                    out.append(None if n is None else words.decode(flat[cut:cut + n]))
-                    cut += n or 0
+                lengths = lists.value_lengths().fill_null(0).to_numpy()
+                out = words.decode(lists.flatten().to_numpy(), lengths)
+                if lists.null_count:
+                    out = [None if gone else x for gone, x in zip(lists.is_null().to_pylist(), out)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.string())], names=[*part.schema.names, text])
 
     return source.mapInArrow(tidy(run), schema)
