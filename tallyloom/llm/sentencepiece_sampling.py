@@ -31,6 +31,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -447,7 +448,7 @@ def encode(
         words = Vocabulary(model.value, prior)
         for batch in batches:
             start, size = 0, 0
-            lengths = [len(v.as_py()) for v in batch.column(2)]
+            lengths = pc.utf8_length(batch.column(2)).to_pylist()
             for n, length in enumerate(lengths):
                 size += length
                 if size >= _GROUP_CHARS or n + 1 == len(lengths):
@@ -463,7 +464,9 @@ def encode(
             rows = np.flatnonzero((made > s) | ((counts == 0) & (s == 0)))
             if not len(rows):
                 continue
-            chosen = np.isin(owner, rows)
+            given = np.zeros(len(texts), dtype=bool)
+            given[rows] = True
+            chosen = given[owner]
             o, n = offset[s][chosen], size[s][chosen]
             at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(o, n)
             ids, per_edge = lattice.ids(flat[at]) if len(at) else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
