@@ -78,3 +78,32 @@ def test_connected_components(spark, components):
     want = components({x for e in whole for x in e}, whole)
     assert {r["id"]: r["component"] for r in connected_components(frame).collect()} == want
     assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_keep_one_links_by_similarity(documents, components):
+    rng = random.Random(11)
+    rows = []
+    for n in range(30):
+        base = [f"w{rng.randrange(9_000)}" for _ in range(rng.choice([9, 30, 120]))]
+        for _ in range(4):
+            copy = list(base)
+            for _ in range(rng.randrange(1, 1 + len(base) // 25 + 1)):
+                copy[rng.choice([0, -1, rng.randrange(len(copy))])] = f"x{rng.randrange(9_000)}"
+            rows.append((len(rows), " ".join(copy)))
+    words = [t.split() for _, t in rows]
+    sets = [{tuple(w[i:i + 5]) for i in range(len(w) - 4)} for w in words]
+    share = [(a, b, len(sets[a] & sets[b]) / len(sets[a] | sets[b])) for a in range(len(rows)) for b in range(a)]
+    label = components(range(len(rows)), [(a, b) for a, b, s in share if s >= 0.8])
+    assert sum(0.8 <= s < 0.9 for *_, s in share) > 10 and sum(0.6 < s < 0.8 for *_, s in share) > 10
+    got = sorted(r["doc_id"] for r in simhash.keep_one(documents(rows), recall=0.999999, block_rows=16).collect())
+    assert got == sorted(set(label.values()))
+
+
+def test_radius_is_calibrated():
+    rng = np.random.default_rng(5)
+    radius, missed = simhash.calibrated_radius(64, 0.8, 0.0025), 0
+    for _ in range(2_000):
+        x = rng.integers(0, 1 << 63, 100, dtype=np.uint64)
+        a, b = x[:90], np.concatenate([x[:80], x[90:]])  # similarity 0.8
+        missed += np.bitwise_count(simhash.wide_fingerprint(a)[0] ^ simhash.wide_fingerprint(b)[0]) > radius
+    assert missed <= 10 and radius < 32
