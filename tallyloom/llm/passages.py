@@ -1,21 +1,24 @@
 """Substring dedup: repeated paragraphs and passages across documents.
 
-Paragraphs are lines of at least `least` words. Each gets a MinHash signature over its distinct five-word
-shingles; the signature is cut into bands that are tuned so that a pair at the similarity threshold shares a
-band with probability `recall`. Paragraphs that collide in a band are joined: first every paragraph with the
-smallest of its band group, then, where a group of three or more still spans several components, all members
-in blocks. Every link is verified by the exact Jaccard similarity of the shingle sets, and removals are
-clustered by connected components. The paragraphs of the smallest document id of a component stay, those
-of other documents go.
+Paragraphs are lines of at least `least` words, and runs of shorter lines without an empty line between them
+that have as many words together. Each gets a MinHash signature over its distinct five-word shingles; the
+signature is cut into bands that are tuned so that a pair at the similarity threshold shares a band with
+probability `recall`. Paragraphs that collide in a band are joined: first every paragraph with the smallest of
+its band group, then, where a group of three or more still spans several components, all members in blocks.
+Every link is verified by the exact Jaccard similarity of the shingle sets, and removals are clustered by
+connected components. The paragraphs of the smallest document id of a component stay, those of other
+documents go.
 
 A passage that lies inside different paragraphs leaves their similarity low, so band groups cannot show it.
-For those, texts are also cut at content-defined places (a word pair whose hash is smallest among its
-neighbours) into pieces of about nine words. Pieces that occur in several documents are found by an exact
-group-by, and a run of such pieces of at least `least` words is a repeated passage; it stays in the smallest
-document id that has it. The words next to the first and last cut inside a passage are not part of the run.
+Those are found exactly, over the word sequence of the whole text whatever its line breaks: a repeated passage
+is a run of at least `least` words that a document with a smaller id holds word for word in one run. Every
+window of `least` words has an anchor, the place in it where the hash of a word pair is smallest, so equal
+windows have equal anchors. Anchors that no other document has exclude their windows; the windows of the
+others are hashed whole, and an exact group-by finds the smallest document id of each. Windows that follow
+each other in both documents are one passage.
 
 Repeats inside one document are no repeats across documents and stay. Exact copies of a paragraph or
-piece are one entry, however many there are; counts are combined before the shuffle, groups are never
+text are one entry, however many there are; counts are combined before the shuffle, groups are never
 collected whole, and a band group returns at most one link per member and block.
 
 Defined cases: null texts, empty texts and rows without an id take no part and stay as they are. Rows that
@@ -60,17 +63,24 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """Word hashes of several texts, one after the other, with the starts of texts and lines."""
+    """Word hashes of several texts, one after the other, with the starts of texts and paragraphs.
 
-    def __init__(self, texts: list[str]):
+    Lines here are paragraphs: lines of at least `least` words, or runs of shorter ones up to an empty line.
+    """
+
+    def __init__(self, texts: list[str], least: int = 25):
         words: list[bytes] = []
         texts_at, lines_at, self.lines_of = [0], [], [0]
         for text in texts:
+            open_run = False
             for line in text.encode("utf-8", "replace").lower().split(b"\n"):
                 here = line.split()
+                short = 0 < len(here) < least
                 if here:
-                    lines_at.append(len(words))
+                    if not (short and open_run):
+                        lines_at.append(len(words))
                     words += here
+                open_run = short
             texts_at.append(len(words))
             self.lines_of.append(len(lines_at))
         n = len(words)
@@ -99,20 +109,51 @@ class Words:
         at = np.flatnonzero(self.line[:n] == self.line[size - 1:])
         return _mix(h[at]), at
 
-    def piece_starts(self, radius: int) -> np.ndarray:
-        """Line starts and the words whose pair hash is smallest within `radius` words of their line."""
+    def runs_hash(self, size: int) -> np.ndarray:
+        """The hash of `size` words from every word on, whatever text they are in; too few are left at the end."""
+        n = len(self.hash) - size + 1
+        total, at, power, step, factor = np.zeros(max(n, 0), dtype=np.uint64), 0, self.hash, 1, np.array([_BASE])
+        while n > 0:
+            if size & step:
+                total = total * factor + power[at:at + n]
+                at += step
+            if 2 * step > size:
+                return _mix(total)
+            power = power[:-step] * factor + power[step:]  # runs of twice the length
+            step, factor = 2 * step, factor * factor
+        return total
+
+    def anchors(self, window: int) -> np.ndarray:
+        """For every word the place, among `window` from it on, where the hash of the word pair is smallest; ties: the first.
+
+        Only for places whose words are in the same text is it of use.
+        """
         n = len(self.hash)
-        top = np.uint64(0xFFFFFFFFFFFFFFFF)
-        pair = np.full(n, top)
-        same = self.line[1:] == self.line[:-1]
-        pair[1:][same] = _mix(self.hash[:-1] * _BASE + self.hash[1:])[same]
-        cut = pair < top
-        for d in range(1, radius + 1):
-            same = self.line[d:] == self.line[:-d]
-            cut[d:] &= ~same | (pair[d:] < pair[:-d])
-            cut[:-d] &= ~same | (pair[:-d] < pair[d:])
-        cut[self.line_starts] = True
-        return np.flatnonzero(cut)
+        pair = np.full(n, 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
+        pair[:-1] = _mix(self.hash[:-1] * _BASE + self.hash[1:])
+        best, reach = np.arange(n), 1
+        while reach < window:
+            step = min(reach, window - reach)
+            ahead = best[step:]
+            best[:n - step] = np.where(pair[best[:n - step]] <= pair[ahead], best[:n - step], ahead)
+            reach += step
+        return best
+
+    def piece_starts(self, radius: int) -> np.ndarray:
+        """The anchors of all runs of `radius` + 1 word pairs."""
+        return np.unique(self.anchors(radius + 1)[:max(0, len(self.hash) - radius - 1)])
+
+    def windows(self, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """(start, anchor) of every window of `least` words inside a text."""
+        starts = np.arange(len(self.hash))
+        end = np.repeat(self.text_starts[1:], np.diff(self.text_starts))
+        starts = starts[starts + least <= end]
+        return starts, self.anchors(least - anchor_words(least) + 1)[starts] if len(starts) else starts
+
+
+def anchor_words(least: int) -> int:
+    """Words that an anchor is told by; two at least if a window has them, as anchors are chosen by word pairs."""
+    return max(min(2, least), least // 3)
 
 
 def _grouped(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
@@ -133,8 +174,8 @@ def _lists(values: np.ndarray, cuts: np.ndarray, kind) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(values, kind))
 
 
-def text_units(rows: DataFrame, least: int, shingle: int, bands: int, band_rows: int, radius: int) -> DataFrame:
-    """Pieces and long lines of every text: hashes, word positions and the lines' band keys."""
+def text_units(rows: DataFrame, least: int, shingle: int, bands: int, band_rows: int) -> DataFrame:
+    """Anchors and paragraphs of every text: hashes, word positions and the paragraphs' band keys."""
     rng = np.random.default_rng(3)
     factors = rng.integers(1, 1 << 62, bands * band_rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     offsets = rng.integers(0, 1 << 62, bands * band_rows, dtype=np.uint64)
@@ -156,19 +197,20 @@ def text_units(rows: DataFrame, least: int, shingle: int, bands: int, band_rows:
         for batch in batches:
             for first, texts in _grouped(batch.column(2)):
                 some = batch.slice(first, len(texts))
-                words = Words(texts)
+                words = Words(texts, least)
                 none = np.zeros(0, dtype=np.int64)
                 if not len(words.hash):
                     zero = np.zeros(len(texts) + 1, dtype=np.int32)
-                    lists = [_lists(none, zero, pa.int64()), _lists(none, zero, pa.int32()), _lists(none, zero, pa.int32())]
+                    lists = [_lists(none, zero, pa.int64()), _lists(none, zero, pa.int64()), _lists(none, zero, pa.int32()), _lists(none, zero, pa.int32())]
                     nested = pa.ListArray.from_arrays(pa.array(zero), _lists(none, np.zeros(1, dtype=np.int32), pa.int64()))
-                    yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), *lists, *lists, nested], names=names)
+                    yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), *lists, nested], names=names)
                     continue
-                starts = words.piece_starts(radius)
-                ends = np.append(starts[1:], len(words.hash))
-                hashes = words.spans_hash(starts, ends)
-                cuts = np.searchsorted(starts, words.text_starts)
-                local = starts - np.repeat(words.text_starts[:-1], np.diff(cuts))
+                starts = np.unique(words.windows(least)[1])
+                owner = np.searchsorted(words.text_starts, starts, side="right")
+                # Each anchor once a text.
+                once = np.unique(np.stack([owner.astype(np.uint64), words.runs_hash(anchor_words(least))[starts]], axis=1), axis=0)
+                cuts = np.searchsorted(once[:, 0], np.arange(1, len(texts) + 2, dtype=np.uint64))
+                hashes = np.ascontiguousarray(once[:, 1])
                 long = np.flatnonzero(words.line_ends - words.line_starts >= max(least, shingle))
                 line_cuts = np.searchsorted(long, words.lines_of)
                 line_hash = words.spans_hash(words.line_starts, words.line_ends)[long]
@@ -177,42 +219,76 @@ def text_units(rows: DataFrame, least: int, shingle: int, bands: int, band_rows:
                 inner = _lists(keys.ravel().view(np.int64), np.arange(len(long) + 1) * bands, pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        some.column(0), some.column(1), _lists(hashes.view(np.int64), cuts, pa.int64()), _lists(local, cuts, pa.int32()),
-                        _lists(ends - starts, cuts, pa.int32()), _lists(line_hash.view(np.int64), line_cuts, pa.int64()),
+                        some.column(0), some.column(1), _lists(hashes.view(np.int64), cuts, pa.int64()),
+                        _lists(line_hash.view(np.int64), line_cuts, pa.int64()),
                         _lists(line_local, line_cuts, pa.int32()), _lists((words.line_ends - words.line_starts)[long], line_cuts, pa.int32()),
                         pa.ListArray.from_arrays(pa.array(line_cuts, pa.int32()), inner),
                     ],
                     names=names,
                 )
 
-    names = ["id", "row", "piece", "piece_start", "piece_words", "line", "line_start", "line_words", "keys"]
+    names = ["id", "row", "anchor", "line", "line_start", "line_words", "keys"]
     return rows.mapInArrow(
-        tidy(run), "id long, row long, piece array<long>, piece_start array<int>, piece_words array<int>, line array<long>, "
+        tidy(run), "id long, row long, anchor array<long>, line array<long>, "
         "line_start array<int>, line_words array<int>, keys array<array<long>>",
     )
 
 
-def repeated_pieces(units: DataFrame, least: int) -> DataFrame:
-    """(id, row, start, words, kept): runs of pieces that smaller document ids also have."""
-    pieces = units.select("id", "row", F.explode(F.arrays_zip("piece", "piece_start", "piece_words")).alias("p")).select(
-        "id", "row", F.col("p.piece").alias("piece"), F.col("p.piece_start").alias("start"), F.col("p.piece_words").alias("n")
+def repeated_passages(rows: DataFrame, units: DataFrame, least: int) -> DataFrame:
+    """(id, row, start, words, kept): runs of at least `least` words that a smaller document id holds as they are."""
+    # The same text in several documents is one entry.
+    texts = stage(units.groupBy("row").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.first("anchor").alias("anchor")))
+    anchors = texts.select("row", "low", "high", F.explode("anchor").alias("anchor"))
+    shared = anchors.groupBy("anchor").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low != high")
+    asked = stage(
+        anchors.select("row", "low", "anchor").join(shared.select("anchor"), "anchor").groupBy("row")
+        .agg(F.first("low").alias("low"), F.collect_list("anchor").alias("asked"))
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, group in _grouped(batch.column(0)):
+                words = Words(group, least)
+                starts, anchors = words.windows(least)
+                owner = np.searchsorted(words.text_starts, starts, side="right") - 1
+                keys, hashes = words.runs_hash(anchor_words(least)), words.runs_hash(least)
+                cuts = np.searchsorted(owner, np.arange(len(group) + 1))
+                for n in range(len(group)):
+                    some = slice(cuts[n], cuts[n + 1])
+                    wanted = batch.column(2)[first + n].values.to_numpy().view(np.uint64)
+                    at = starts[some][np.isin(keys[anchors[some]], wanted)]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.repeat(batch.column(1)[first + n], len(at)), pa.array(hashes[at].view(np.int64)),
+                            pa.array((at - words.text_starts[n]).astype(np.int32)),
+                        ],
+                        names=["row", "window", "start"],
+                    )
+
+    # One row of each text is read; its windows are counted once.
+    joined = lookup_join(rows, asked, "row", "inner", spread=("id",)).filter("id = low").select("text", "row", "asked")
+    found = stage(joined.mapInArrow(tidy(run), "row long, window long, start int")).join(texts.select("row", "low", "high"), "row")
+    holders = found.groupBy("window").agg(F.min(F.struct("low", "row", "start")).alias("keeper"), F.max("high").alias("last"))
+    holders = holders.filter("keeper.low != last").select(
+        "window", F.col("keeper.low").alias("kept"), F.col("keeper.row").alias("kept_row"), F.col("keeper.start").alias("kept_start")
     )
-    shared = pieces.groupBy("piece").agg(F.min("id").alias("kept"), F.max("id").alias("last")).filter("kept != last")
-    again = pieces.join(shared.select("piece", "kept"), "piece").filter("id != kept").select("id", "row", "start", "n", "kept")
-    by_place = W.partitionBy("id", "row").orderBy("start")
-    ahead = F.lag(F.col("start") + F.col("n")).over(by_place)
-    same = F.coalesce(F.lag("start").over(by_place) == F.col("start"), F.lit(False))  # a repeated row
-    runs = (
-        again.withColumn("fresh", F.coalesce(F.col("start") > ahead, F.lit(True)).cast("int"))
-        .withColumn("words", F.when(same, 0).otherwise(F.col("n")))
-        .withColumn("run", F.sum("fresh").over(by_place))
-        .groupBy("id", "row", "run")
-        .agg(F.min("start").alias("start"), F.sum("words").cast("int").alias("words"), F.sort_array(F.collect_set("kept")).alias("kept"))
+    again = found.join(holders, "window").filter("kept != low OR kept != high").select(
+        "row", "start", "kept", "kept_row", (F.col("kept_start") - F.col("start")).alias("shift")
+    ).distinct()  # a repeated row
+    by_place = W.partitionBy("row", "kept", "kept_row", "shift").orderBy("start")
+    spans = (
+        again.withColumn("run", F.col("start") - F.row_number().over(by_place))
+        .groupBy("row", "kept", "kept_row", "shift", "run")
+        .agg(F.min("start").alias("start"), (F.count(F.lit(1)) + least - 1).cast("int").alias("words"))
+        .groupBy("row", "start", "words").agg(F.sort_array(F.collect_set("kept")).alias("kept"))
+        .groupBy("row").agg(F.collect_list(F.struct("start", "words", "kept")).alias("spans"))
     )
-    return runs.filter(F.col("words") >= least).drop("run")
+    owned = lookup_join(units.select("id", "row").distinct(), stage(spans), "row", "inner", spread=("id",)).select("id", "row", F.explode("spans").alias("s"))
+    own = owned.select("id", "row", "s.start", "s.words", F.filter("s.kept", lambda k: k < F.col("id")).alias("kept"))
+    return own.filter(F.size("kept") > 0)
 
 
-def shingle_sets(rows: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+def shingle_sets(rows: DataFrame, wanted: DataFrame, shingle: int, least: int) -> DataFrame:
     """(line, shingles): the distinct shingle hashes of the wanted lines; `wanted` has line, id, row, start, words."""
     asked = wanted.groupBy("row").agg(F.collect_list(F.struct("id", "line", "start", "words")).alias("asked"))
 
@@ -220,7 +296,7 @@ def shingle_sets(rows: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
         for batch in batches:
             ids, asks = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             for first, texts in _grouped(batch.column(0)):
-                words = Words(texts)
+                words = Words(texts, least)
                 hashes, at = words.shingles(shingle)
                 names, sets = [], []
                 for n in range(len(texts)):
@@ -237,7 +313,7 @@ def shingle_sets(rows: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     return joined.mapInArrow(tidy(run), "line long, shingles array<long>").dropDuplicates(["line"])
 
 
-def paragraph_components(rows: DataFrame, lines: DataFrame, similarity: float, shingle: int, block: int = 256) -> DataFrame:
+def paragraph_components(rows: DataFrame, lines: DataFrame, similarity: float, shingle: int, least: int, block: int = 256) -> DataFrame:
     """(id, component) of the distinct lines with a near-duplicate; `lines` has line, keys and owner."""
     banded = lines.select("line", F.explode("keys").alias("key"))
     groups = banded.groupBy("key").agg(F.min("line").alias("low"), F.max("line").alias("high")).filter("low != high")
@@ -245,7 +321,7 @@ def paragraph_components(rows: DataFrame, lines: DataFrame, similarity: float, s
     pairs = stage(members.filter("line != low").select("line", "low").distinct())
     touched = pairs.select("line").union(pairs.select("low")).distinct()
     owners = lines.select("line", "owner.*").join(touched, "line")
-    sets = stage(shingle_sets(rows, owners, shingle))
+    sets = stage(shingle_sets(rows, owners, shingle, least))
     both = F.size(F.array_intersect("shingles", "other"))
     links = stage(
         pairs.join(sets, "line").join(sets.select(F.col("line").alias("low"), F.col("shingles").alias("other")), "low")
@@ -294,7 +370,7 @@ def paragraph_components(rows: DataFrame, lines: DataFrame, similarity: float, s
 
 def repeated_spans(
     documents: DataFrame, key: str = "doc_id", text: str = "text", least: int = 25, shingle: int = 5, similarity: float = 0.8,
-    recall: float = 0.995, radius: int = 4,
+    recall: float = 0.995,
 ) -> DataFrame:
     """(key, row, start, words, kind, component, kept): what is repeated, by word position in its text.
 
@@ -305,15 +381,15 @@ def repeated_spans(
         F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("row"), F.col(text).alias("text")
     )
     bands, band_rows = tune_bands(similarity, recall)
-    units = stage(text_units(rows, least, shingle, bands, band_rows, radius))
-    pieces = repeated_pieces(units.select("id", "row", "piece", "piece_start", "piece_words"), least)
+    units = stage(text_units(rows, least, shingle, bands, band_rows))
+    passages = repeated_passages(rows, units.select("id", "row", "anchor"), least)
     lines = units.filter(F.size("line") > 0).select(
         "id", "row", F.explode(F.arrays_zip("line", "line_start", "line_words", "keys")).alias("x")
     ).select("id", "row", F.col("x.line").alias("line"), F.col("x.line_start").alias("start"), F.col("x.line_words").alias("words"), F.col("x.keys").alias("keys"))
     distinct = stage(
         lines.groupBy("line").agg(F.min(F.struct("id", "row", "start", "words")).alias("owner"), F.max("id").alias("last"), F.first("keys").alias("keys"))
     )
-    groups = paragraph_components(rows, distinct, similarity, shingle)
+    groups = paragraph_components(rows, distinct, similarity, shingle, least)
     named = distinct.select("line", F.col("owner.id").alias("first"), "last").join(groups, F.col("line") == F.col("id"), "left").select(
         "line", "first", "last", F.coalesce("component", "line").alias("group")
     )
@@ -322,12 +398,12 @@ def repeated_spans(
     paragraphs = lines.select("id", "row", "line", "start", "words").join(decided, "line").filter("id != stay").select(
         "id", "row", "start", "words", F.lit("paragraph").alias("kind"), F.array("stay").alias("kept")
     ).distinct()
-    spans = paragraphs.unionByName(pieces.withColumn("kind", F.lit("passage")))
+    spans = paragraphs.unionByName(passages.withColumn("kind", F.lit("passage")))
     return spans.select(F.col("id").alias(key), "row", "start", "words", "kind", F.col("kept")[0].alias("component"), "kept")
 
 
 def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
-    """The text without the words of the spans (start, count); lines that become empty go."""
+    """The text without the words of the spans (start, count), which may overlap; lines that become empty go."""
     if not spans:
         return text
     drop = set()

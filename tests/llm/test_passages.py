@@ -103,3 +103,27 @@ def test_long_texts_and_ties(documents):
     got = passages.repeated_spans(documents([(2, long), (1, long), (3, "and " * 200), (4, "and " * 200)])).collect()
     assert {r["doc_id"] for r in got} == {2, 4}
     assert sum(r["words"] for r in got if r["doc_id"] == 2 and r["kind"] == "passage") == 120_000
+
+
+def wrapped(text, width):
+    w = text.split()
+    return "\n".join(" ".join(w[i:i + width]) for i in range(0, len(w), width))
+
+
+def test_line_breaks_do_not_hide_a_passage(documents):
+    rng = random.Random(21)
+    rows, inner = [], [words(100, rng) for _ in range(12)]
+    for n, (text, width) in enumerate(zip(inner, [10, 12, 15, 20, 30, 7] * 2)):
+        rows.append((n, f"{words(40, rng)} {text} {words(40, rng)}"))
+        rows.append((100 + n, wrapped(f"{words(33, rng)} {text} {words(45, rng)}", width)))
+    got = {r["doc_id"]: r["text"].split() for r in passages.remove_repeats(documents(rows)).collect()}
+    assert all(len(got[100 + n]) == 78 and not set(t.split()) & set(got[100 + n]) for n, t in enumerate(inner))
+
+
+def test_short_lines_form_a_paragraph(documents):
+    rng = random.Random(22)
+    text = words(60, rng).split()
+    near = text[:30] + ["other"] + text[31:]
+    rows = [(1, wrapped(" ".join(text), 10)), (2, words(30, rng) + "\n\n" + wrapped(" ".join(near), 12) + "\n\n" + words(9, rng))]
+    got = [(r["doc_id"], r["start"], r["words"], r["kept"]) for r in passages.repeated_spans(documents(rows)).filter("kind = 'paragraph'").collect()]
+    assert got == [(2, 30, 60, [1])]
