@@ -127,3 +127,17 @@ def test_short_lines_form_a_paragraph(documents):
     rows = [(1, wrapped(" ".join(text), 10)), (2, words(30, rng) + "\n\n" + wrapped(" ".join(near), 12) + "\n\n" + words(9, rng))]
     got = [(r["doc_id"], r["start"], r["words"], r["kept"]) for r in passages.repeated_spans(documents(rows)).filter("kind = 'paragraph'").collect()]
     assert got == [(2, 30, 60, [1])]
+
+
+def test_passages_are_found_whole_from_the_least_length_on(documents):
+    rng = random.Random(23)
+    rows, want = [], []
+    for n in range(150):
+        text = words(24 + n % 3, rng)
+        rows.append((n, f"{words(rng.randrange(30, 60), rng)} {text} {words(50, rng)}"))
+        before = rng.randrange(30, 60)
+        rows.append((1000 + n, f"{words(before, rng)} {text} {words(50, rng)}"))
+        if n % 3:
+            want.append((1000 + n, before, 24 + n % 3, [n]))
+    got = passages.repeated_spans(documents(rows)).collect()
+    assert sorted((r["doc_id"], r["start"], r["words"], r["kept"]) for r in got) == want
