@@ -141,3 +141,13 @@ def test_passages_are_found_whole_from_the_least_length_on(documents):
             want.append((1000 + n, before, 24 + n % 3, [n]))
     got = passages.repeated_spans(documents(rows)).collect()
     assert sorted((r["doc_id"], r["start"], r["words"], r["kept"]) for r in got) == want
+
+
+def test_a_passage_must_be_in_one_document(documents):
+    rng = random.Random(24)
+    lines = [words(6, rng) for _ in range(12)]
+    rows = [(n, f"{words(30, rng)}\n{line}\n{words(30, rng)}") for n, line in enumerate(lines)]
+    half = words(40, rng).split()
+    rows += [(50, " ".join(half[:30])), (51, " ".join(half[10:])), (90, "\n".join(lines)), (91, " ".join(half))]
+    got = sorted((r["doc_id"], r["start"], r["words"], r["kept"]) for r in passages.repeated_spans(documents(rows)).filter("kind = 'passage'").collect())
+    assert got == [(91, 0, 30, [50]), (91, 10, 30, [51])]
