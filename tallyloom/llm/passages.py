@@ -241,8 +241,8 @@ def repeated_passages(rows: DataFrame, units: DataFrame, least: int) -> DataFram
     anchors = texts.select("row", "low", "high", F.explode("anchor").alias("anchor"))
     shared = anchors.groupBy("anchor").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low != high")
     asked = stage(
-        anchors.select("row", "low", "anchor").join(shared.select("anchor"), "anchor").groupBy("row")
-        .agg(F.first("low").alias("low"), F.collect_list("anchor").alias("asked"))
+        anchors.select("row", "low", "high", "anchor").join(shared.select("anchor"), "anchor").groupBy("row")
+        .agg(F.first("low").alias("low"), F.first("high").alias("high"), F.collect_list("anchor").alias("asked"))
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,27 +259,27 @@ def repeated_passages(rows: DataFrame, units: DataFrame, least: int) -> DataFram
                     at = starts[some][np.isin(keys[anchors[some]], wanted)]
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.repeat(batch.column(1)[first + n], len(at)), pa.array(hashes[at].view(np.int64)),
+                            *(pa.repeat(batch.column(c)[first + n], len(at)) for c in (1, 3, 4)), pa.array(hashes[at].view(np.int64)),
                             pa.array((at - words.text_starts[n]).astype(np.int32)),
                         ],
-                        names=["row", "window", "start"],
+                        names=["row", "low", "high", "window", "start"],
                     )
 
     # One row of each text is read; its windows are counted once.
-    joined = lookup_join(rows, asked, "row", "inner", spread=("id",)).filter("id = low").select("text", "row", "asked")
-    found = stage(joined.mapInArrow(tidy(run), "row long, window long, start int")).join(texts.select("row", "low", "high"), "row")
+    joined = lookup_join(rows, asked, "row", "inner", spread=("id",)).filter("id = low").select("text", "row", "asked", "low", "high")
+    found = stage(joined.mapInArrow(tidy(run), "row long, low long, high long, window long, start int"))
     holders = found.groupBy("window").agg(F.min(F.struct("low", "row", "start")).alias("keeper"), F.max("high").alias("last"))
     holders = holders.filter("keeper.low != last").select(
         "window", F.col("keeper.low").alias("kept"), F.col("keeper.row").alias("kept_row"), F.col("keeper.start").alias("kept_start")
     )
     again = found.join(holders, "window").filter("kept != low OR kept != high").select(
         "row", "start", "kept", "kept_row", (F.col("kept_start") - F.col("start")).alias("shift")
-    ).distinct()  # a repeated row
+    )
     by_place = W.partitionBy("row", "kept", "kept_row", "shift").orderBy("start")
     spans = (
-        again.withColumn("run", F.col("start") - F.row_number().over(by_place))
+        again.withColumn("run", F.col("start") - F.dense_rank().over(by_place))  # a repeated row has the same rank
         .groupBy("row", "kept", "kept_row", "shift", "run")
-        .agg(F.min("start").alias("start"), (F.count(F.lit(1)) + least - 1).cast("int").alias("words"))
+        .agg(F.min("start").alias("start"), (F.max("start") - F.min("start") + least).alias("words"))
         .groupBy("row", "start", "words").agg(F.sort_array(F.collect_set("kept")).alias("kept"))
         .groupBy("row").agg(F.collect_list(F.struct("start", "words", "kept")).alias("spans"))
     )
