@@ -43,6 +43,14 @@ def _width(field: T.StructField) -> Column:
     return F.lit(8)
 
 
+def fresh(name: str, *frames: DataFrame) -> str:
+    """`name`, with underscores in front until no frame has such a column; column names ignore case."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def row_width(df: DataFrame) -> Column:
     """Approximate bytes of a row in memory."""
     total = F.lit(0).cast("long")
@@ -80,32 +88,41 @@ class HeavyKeys:
         return self.table is not None or self.max_rows > 0
 
     def mark(self, df: DataFrame, name: str = "_heavy") -> DataFrame:
-        """Add a boolean column: does the row belong to an oversized group?"""
+        """Add a boolean column: does the row belong to an oversized group? `name` must be free."""
         known = [v for v in self.values if v is not None]
         flag = F.col(self.key).isin(known) if known else F.lit(False)
         if None in self.values:
             flag = F.col(self.key).isNull() | flag
-        if self.table is not None:
-            df = self._join_listed(df)
-            flag = F.col("_listed").isNotNull() | flag
-        return df.withColumn(name, F.coalesce(flag, F.lit(False))).drop("_listed")
+        if self.table is None:
+            return df.withColumn(name, F.coalesce(flag, F.lit(False)))
+        listed = fresh("_listed", df)
+        flag = F.col(listed).isNotNull() | flag
+        return self._join_listed(df, listed).withColumn(name, F.coalesce(flag, F.lit(False))).drop(listed)
 
-    def _join_listed(self, df: DataFrame) -> DataFrame:
+    def _join_listed(self, df: DataFrame, name: str) -> DataFrame:
         """At most rows / bound keys are listed. Beyond the broadcast bound every key is salted."""
-        listed = self.table.select(self.key, F.lit(True).alias("_listed"))
+        listed = self.table.select(F.col("_group").alias(self.key), F.lit(True).alias(name))
         rows, size = measure(listed)
         if rows <= LIMITS.broadcast_rows and size <= LIMITS.broadcast_bytes:
             return df.join(F.broadcast(listed), self.key, "left")
-        salt = F.pmod(F.xxhash64(*_atomic(df)), F.lit(_MARK_SALTS)).cast("int")
-        repeated = listed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_MARK_SALTS - 1))))
-        return df.withColumn("_salt", salt).join(repeated, [self.key, "_salt"], "left").drop("_salt")
+        salt = fresh("_salt", df)
+        repeated = listed.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(_MARK_SALTS - 1))))
+        salted = df.withColumn(salt, F.pmod(F.xxhash64(*_atomic(df)), F.lit(_MARK_SALTS)).cast("int"))
+        return salted.join(repeated, [self.key, salt], "left").drop(salt)
+
+
+def _sizes(df: DataFrame, key: str, weight: Column | None) -> DataFrame:
+    """Sizes by `_group`, the key under a name that cannot clash with those of the sizes."""
+    weight = F.lit(0).cast("long") if weight is None else weight.cast("long")
+    groups = df.select(F.col(key).alias("_group"), weight.alias("_weight")).groupBy("_group")
+    return groups.agg(F.count(F.lit(1)).alias("n"), F.sum("_weight").alias("b"), F.max("_weight").alias("m"))
 
 
 def group_sizes(df: DataFrame, key: str, weight: Column | None = None) -> DataFrame:
     """Rows `n`, bytes `b` and widest row `m` of each group."""
-    weight = F.lit(0).cast("long") if weight is None else weight.cast("long")
-    groups = df.select(F.col(key), weight.alias("w")).groupBy(key)
-    return groups.agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("b"), F.max("w").alias("m"))
+    if key.lower() in ("n", "b", "m"):
+        raise ValueError(f"the key {key!r} has the name of a size")
+    return _sizes(df, key, weight).withColumnRenamed("_group", key)
 
 
 def heavy_keys(
@@ -119,20 +136,20 @@ def heavy_keys(
 
     `sizes` are the group sizes where a caller already has them.
     """
-    sizes = group_sizes(df, key, weight) if sizes is None else sizes
+    sizes = _sizes(df, key, weight) if sizes is None else sizes.withColumnRenamed(key, "_group")
     groups = sizes.filter((F.col("n") > limits.group_rows) | (F.col("b") > limits.group_bytes))
     found = groups.take(limits.literal_keys + 1)
     if len(found) <= limits.literal_keys:
         return HeavyKeys(
             key,
-            tuple(r[key] for r in found),
+            tuple(r["_group"] for r in found),
             None,
             max((r["n"] for r in found), default=0),
             max((r["m"] or 0 for r in found), default=0),
         )
     table = stage(groups)
     top = table.agg(
-        F.max("n").alias("n"), F.max("m").alias("m"), F.count_if(F.col(key).isNull()).alias("missing")
+        F.max("n").alias("n"), F.max("m").alias("m"), F.count_if(F.col("_group").isNull()).alias("missing")
     ).first()
     return HeavyKeys(key, (None,) if top["missing"] else (), table, top["n"], top["m"] or 0)
 
@@ -167,18 +184,19 @@ def lookup_join(
         return facts.join(lookup, key, how)
     columns = list(spread) or _atomic(facts)
     fan = int(-(-heavy.max_rows // limits.group_rows))
-    salt = F.pmod(F.xxhash64(*columns), F.lit(fan)).cast("int")
+    flag, salt = fresh("_heavy", facts, lookup), fresh("_salt", facts, lookup)
+    place = F.pmod(F.xxhash64(*columns), F.lit(fan)).cast("int")
     salted = (
-        heavy.mark(facts)
-        .withColumn("_salt", F.when(F.col("_heavy") | F.col(key).isNull(), salt).otherwise(F.lit(0)))
-        .drop("_heavy")
+        heavy.mark(facts, flag)
+        .withColumn(salt, F.when(F.col(flag) | F.col(key).isNull(), place).otherwise(F.lit(0)))
+        .drop(flag)
     )
     repeated = (
-        heavy.mark(lookup)
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(F.col("_heavy"), fan - 1).otherwise(0))))
-        .drop("_heavy")
+        heavy.mark(lookup, flag)
+        .withColumn(salt, F.explode(F.sequence(F.lit(0), F.when(F.col(flag), fan - 1).otherwise(0))))
+        .drop(flag)
     )
-    joined = salted.join(repeated, [key, "_salt"], how).drop("_salt")
+    joined = salted.join(repeated, [key, salt], how).drop(salt)
     order = facts.columns if how in ("left_semi", "left_anti") else facts.columns + [
         c for c in lookup.columns if c != key
     ]

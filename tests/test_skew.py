@@ -110,3 +110,17 @@ def test_parts_are_equal_ordered_and_whole(spark, facts, part_rows):
         assert [r["part"] for r in own] == [n // part_rows for n in range(len(own))]
         if len(own) > part_rows:
             assert {r["tid"] for r in own} == {str(own[0]["row_idx"])}
+
+
+@pytest.mark.parametrize("limits", [INLINE, STAGED])
+@pytest.mark.parametrize("key", ["n", "b", "m", "w", "_salt", "_heavy", "_listed", "_group", "_weight"])
+def test_helper_columns_do_not_clash(facts, lookup, rows, monkeypatch, key, limits):
+    """A key, and a further column of the facts, may have any name."""
+    monkeypatch.setattr(skew, "LIMITS", SizeLimits(broadcast_rows=0))
+    other = "_salt" if key != "_salt" else "_heavy"
+    named = facts.withColumnRenamed("uid", key).withColumn(other, F.col("row_idx"))
+    got = lookup_join(named, lookup.withColumnRenamed("uid", key), key, limits=limits)
+    assert set(got.columns) == {key, "row_idx", other, "label"}
+    assert rows(got, "row_idx", "label") == rows(facts.join(lookup, "uid"), "row_idx", "label")
+    kept = lookup_join(named, lookup.withColumnRenamed("uid", key), key, "left_anti", limits=limits)
+    assert kept.count() == 400 - got.count() and set(kept.columns) == {key, "row_idx", other}
