@@ -7,15 +7,19 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tallyloom.catalog.registry import Query
-from tallyloom.llm import hidden_markov, html_extraction, mixing, multi_index, passages, quality, sentencepiece_sampling, simhash, toxicity, vafile
+from tallyloom.llm import (
+    hidden_markov, html_extraction, line_dedup, mixing, multi_index, passages, quality, sentencepiece_sampling, simhash, toxicity, vafile,
+)
 from tallyloom.llm.common import table
 
 QUERIES: dict[str, Query] = {"pipeline": corpus_pipeline.run}
 ORACLES: dict[str, str] = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
 
 
-def _query(run: Query) -> Query:
+def _query(run: Query, sql: str | None = None) -> Query:
     QUERIES[run.__name__] = run
+    if sql:
+        ORACLES[run.__name__] = sql
     return run
 
 
@@ -74,3 +78,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.extract_main_text(table(spark, sf_dir, "pages"))
+
+
+def op13_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+
+
+_query(op13_lines, line_dedup.LINES_SQL)
