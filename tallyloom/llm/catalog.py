@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tallyloom.catalog.registry import Query
 from tallyloom.llm import (
-    hidden_markov, html_extraction, line_dedup, mixing, multi_index, passages, quality, sentencepiece_sampling, simhash, toxicity, vafile,
+    hidden_markov, html_extraction, importance, line_dedup, mean_search, mixing, multi_index, passages, quality, sentencepiece_sampling,
+    simhash, toxicity, vafile,
 )
 from tallyloom.llm.common import table
 
@@ -80,8 +81,18 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mean_search.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
 
 
+_query(op11_clusters, mean_search.CLUSTER_SQL)
+_query(op12_resample, importance.RESAMPLE_SQL)
 _query(op13_lines, line_dedup.LINES_SQL)
