@@ -30,7 +30,7 @@ from tallyloom.operators.staging import stage
 
 BLANKS = " \t\n\x0b\x0c\r"  # \x20\x09-\x0D
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-SLICE_ROWS = 20_000  # lines of one hash that are streamed in one piece
+SLICE_ROWS = 4_096  # lines of one hash that are streamed in one piece
 
 
 def line_key(line: Column) -> Column:
