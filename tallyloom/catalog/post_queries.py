@@ -299,6 +299,20 @@ def pack_by_uid_compat_parts(spark, sf):
     return packing.pack_by_uid(turn_posts(spark, sf), TextConfig(), overflow="drop", limits=_SMALL)
 
 
+_NARROW = SizeLimits(group_bytes=500)
+
+
+@query(f"WITH RECURSIVE {pack_sql('carry')} SELECT uid, chunk_idx, tid, text FROM chunks JOIN users USING (uid)")
+def pack_by_uid_bytes(spark, sf):
+    """The same chunks, with every user of more than 500 bytes packed in parts of 500 bytes and one text."""
+    return packing.pack_by_uid(turn_posts(spark, sf), limits=_NARROW)
+
+
+@query(f"WITH RECURSIVE {pack_sql('drop')} SELECT uid, chunk_idx, tid, text FROM chunks JOIN users USING (uid)")
+def pack_by_uid_compat_bytes(spark, sf):
+    return packing.pack_by_uid(turn_posts(spark, sf), TextConfig(), overflow="drop", limits=_NARROW)
+
+
 EXPORT_SQL = f"""
 posts AS (
   SELECT d.doc_id AS row_idx, d.source AS uid, {counts_sql('w')} AS input_ids,

@@ -5,7 +5,7 @@ the chunk of a text depend on all earlier texts of the user, so a plain grouping
 user into one task. Two paths give the same chunks:
 
 * ordinary users: one grouping and a fold over the user's token counts inside the JVM;
-* oversized users: the history is cut into parts of equal length by the place of a text. The only thing
+* oversized users: the history is cut into parts of bounded rows and bytes along its order. The only thing
   a part needs from the parts before it is the number of tokens in the open chunk, a value below the
   limit. So each part computes its exit value for every possible entry value at once. These tables are
   composed in two levels, runs of 256 parts and then the runs, and the chunks are built in parallel.
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.config import LIMITS, SizeLimits, TextConfig
 from tallyloom.functions.text import delimiter_for, is_blank, word_count
-from tallyloom.operators.positions import with_part
+from tallyloom.operators.positions import with_sized_part
 from tallyloom.operators.skew import heavy_keys
 from tallyloom.operators.staging import stage
 
@@ -51,29 +51,30 @@ def pack_by_uid(
     has the id of the user's first post. `count_tokens` maps a text column to its token count, for
     example through a pandas UDF around another tokenizer; counts of a chunk's texts are added up.
     Users are measured by the bytes of their texts; `size`, an upper bound of a text's bytes taken
-    from a stored length column, saves reading the texts for that. Neither the bounds nor `part_rows`, the
-    texts of an oversized user in one task, change the chunks.
+    from a stored length column, saves reading the texts for that. A task gets at most `part_rows` texts
+    of an oversized user, and `limits.group_bytes` bytes plus one text. Neither bound changes the chunks.
     """
     if overflow not in MODES:
         raise ValueError(f"unknown overflow mode {overflow!r}")
     tail = delimiter_for(config.delimiter)
     limits = replace(limits, group_rows=min(limits.group_rows, _FOLD_ROWS))
     blank = is_blank(F.col("text"))
+    size = F.coalesce(F.octet_length("text"), F.lit(0)) if size is None else size
     texts = posts.select(
         "uid",
         F.col(order).cast("long").alias("ord"),
         "tid",
         F.when(~blank, F.concat("text", F.lit(tail))).alias("piece"),
         F.when(~blank, count_tokens(F.col("text"))).cast("int").alias("k"),
+        size.alias("bytes"),
     )
-    size = F.coalesce(F.octet_length("text"), F.lit(0)) if size is None else size
     heavy = heavy_keys(posts, "uid", size, limits)
     room = config.max_seq_length - config.special_tokens
     if not heavy:
         return _pack_by_fold(texts, room, overflow)
     marked = heavy.mark(texts)
     ordinary = _pack_by_fold(marked.filter(~F.col("_heavy")).drop("_heavy"), room, overflow)
-    oversized = _pack_by_parts(marked.filter("_heavy").drop("_heavy"), room, overflow, min(part_rows, limits.group_rows))
+    oversized = _pack_by_parts(marked.filter("_heavy").drop("_heavy"), room, overflow, min(part_rows, limits.group_rows), limits.group_bytes)
     return ordinary.unionByName(oversized)
 
 
@@ -177,10 +178,10 @@ def _tables(table: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
     return list(zip(sizes, closed))
 
 
-def _pack_by_parts(texts: DataFrame, room: int, overflow: str, width: int) -> DataFrame:
+def _pack_by_parts(texts: DataFrame, room: int, overflow: str, width: int, width_bytes: int) -> DataFrame:
     carry = overflow == "carry"
     # Written once: the first pass then reads token counts only, not the texts.
-    parts = stage(with_part(texts, "uid", "ord", width, first="tid"))
+    parts = stage(with_sized_part(texts, "uid", "ord", F.col("bytes"), width, width_bytes, first="tid").drop("bytes"))
     key_type = texts.schema["uid"].dataType.simpleString()
     tid_type = texts.schema["tid"].dataType.simpleString()
 
@@ -261,11 +262,13 @@ def _pack_by_parts(texts: DataFrame, room: int, overflow: str, width: int) -> Da
             "piece": pc.if_else(pa.array(keep), table.column("piece"), pa.scalar(None, pa.string())),
         })
 
-    # Parts hold at most `width` rows, so this join and grouping are balanced.
+    # Parts are bounded in rows and bytes, so this join and grouping are balanced.
+    starts = entries.select(F.col("uid").alias("_uid"), F.col("part").alias("_part"), "tid", "entry_n", "entry_chunk")
     rows = (
         parts.filter(F.col("piece").isNotNull())
         .select("uid", "part", "ord", "k", "piece")
-        .join(entries, ["uid", "part"])
+        .join(starts, F.col("uid").eqNullSafe(F.col("_uid")) & (F.col("part") == F.col("_part")))
+        .drop("_uid", "_part")
         .groupBy("uid", "part")
         .applyInArrow(assign, f"uid {key_type}, tid {tid_type}, chunk_idx long, ord long, piece string")
     )

@@ -26,9 +26,9 @@ from tallyloom.operators.posts import concat_by_uid, filter_posts_by_uid
 from tallyloom.operators.skew import lookup_join, stage_measured
 from tallyloom.operators.staging import stage, stage_counted
 from tallyloom.operators.triplets import embedded_batches, top_triplets, triplet_loss, triplet_vectors
-from tallyloom.plans.models import EmbedderFactory, embed_texts, fit_linear, predict
+from tallyloom.plans.linear import Certificate, fit_stacked, predict_stacked
+from tallyloom.plans.models import EmbedderFactory, embed_texts
 from tallyloom.plans.tokenize import TokenizerFactory, plugged_token_count, tokenize
-from tallyloom.sources.writers import write_model
 
 
 def prepare_labels(
@@ -141,15 +141,25 @@ def preprocess_keywords(
     the joined text is never built. Other delimiters glue words together and need it.
     """
     users, size_of_users = stage_measured(user_table(split_rows))
-    posts = filter_posts_by_uid(posts, users, size_of_users)
+    counted = _count_users(filter_posts_by_uid(posts, users, size_of_users), keywords, config, order)
+    return place(counted, users, size_of_users).select("split", "uid", "tid", "label", "input_ids", "attention_mask")
+
+
+def _count_users(posts: DataFrame, keywords: Sequence[str], config: TextConfig, order: str) -> DataFrame:
+    """`(uid, tid, input_ids, attention_mask)` over all texts of each user; the posts are read once."""
     glued = DELIMITERS.get(config.delimiter, "").strip() != "" or config.delimiter not in DELIMITERS
     if glued:
-        counted = keyword_counts_of_parts(concat_by_uid(posts, config.delimiter, order), keywords, config.keyword_cap)
-    else:
-        first = posts.groupBy("uid").agg(F.min_by("tid", order).alias("tid"))
-        counts = keyword_counts_by(posts, ["uid"], keywords, config.keyword_cap)
-        counted = counts.join(first, "uid")
-    return place(counted, users, size_of_users).select("split", "uid", "tid", "label", "input_ids", "attention_mask")
+        return keyword_counts_of_parts(concat_by_uid(posts, config.delimiter, order), keywords, config.keyword_cap)
+    return keyword_counts_by(posts, ["uid"], keywords, config.keyword_cap, first=("tid", order))
+
+
+def fold_users(rows: DataFrame, true_rows: DataFrame, folds: DataFrame, names: Sequence[str]) -> DataFrame:
+    """`(uid, places)`: in which splits of which named folds a user is, with the label there; label files only."""
+    found = []
+    for at, name in enumerate(names):
+        users = user_table(report_labels(rows, true_rows, folds.filter(F.col("fold") == name)))
+        found.append(users.select("uid", F.struct(F.lit(at).alias("fold"), "splits", "label").alias("place")))
+    return reduce(DataFrame.unionByName, found).groupBy("uid").agg(F.array_sort(F.collect_list("place")).alias("places"))
 
 
 def baseline_by_fold(
@@ -160,23 +170,40 @@ def baseline_by_fold(
     names: Sequence[str],
     keywords: Sequence[str],
     model_path: str | None = None,
+    config: TextConfig = TextConfig(),
+    order: str = "row_idx",
     **fit,
-) -> DataFrame:
-    """`(fold, split, uid, label, prediction)`: a linear baseline on keyword counts, fitted for every fold.
+) -> tuple[DataFrame, list[Certificate]]:
+    """`(fold, split, uid, label, prediction)` and a certificate per fold: linear baselines on keyword counts.
 
-    Each named fold is one chain of jobs: report split, keyword counts per user, fit on train, predict all
-    splits. With `model_path` each fold's model is saved below it.
+    The posts are read once, whatever the number of folds: a user's counts are taken once and carry the
+    user's place in each fold, all folds are fitted by shared passes, and one pass predicts for all of them.
+    With `model_path` each fold's model is saved below it.
     """
-    found = []
-    for name in names:
-        split_rows = report_labels(rows, true_rows, folds.filter(F.col("fold") == name))
-        users = stage(preprocess_keywords(posts, split_rows, keywords).select("split", "uid", "label", "input_ids"))
-        model = fit_linear(users, **fit)
-        if model_path:
-            write_model(model, f"{model_path}/{name}")
-        predicted = predict(model, users).select(F.lit(name).alias("fold"), "split", "uid", "label", "prediction")
-        found.append(stage(predicted))
-    return reduce(DataFrame.unionByName, found)
+    users, size_of_users = stage_measured(fold_users(rows, true_rows, folds, names))
+    counted = _count_users(filter_posts_by_uid(posts, users, size_of_users), keywords, config, order)
+    joined = lookup_join(counted.select("uid", "input_ids"), users, "uid", measured=size_of_users, expensive=True)
+
+    def own(fold: Column) -> Column:
+        trained = F.filter("places", lambda p: (p["fold"] == fold) & F.array_contains(p["splits"], "train"))
+        return F.coalesce(F.get(trained, F.lit(0))["label"], F.lit(UNKNOWN_LABEL))
+
+    every = F.sequence(F.lit(0), F.lit(len(names) - 1))
+    table = stage(joined.withColumn("labels", F.transform(every, own)))
+    top = table.agg(F.max(F.array_max("labels"))).first()[0]
+    fitted = fit_stacked(table, len(names), max(1, (UNKNOWN_LABEL if top is None else top) + 1), **fit)
+    models = [model for model, _ in fitted]
+    if model_path:
+        for name, model in zip(names, models):
+            model.save(posts.sparkSession, f"{model_path}/{name}")
+    placed = predict_stacked(table, models).select("uid", "predictions", F.explode("places").alias("p"))
+    label = F.coalesce(F.col("p.label"), F.lit(UNKNOWN_LABEL))
+    named = F.array(*[F.lit(name) for name in names])
+    predicted = placed.select(
+        F.get(named, F.col("p.fold")).alias("fold"), F.explode("p.splits").alias("split"), "uid", label.alias("label"),
+        F.get("predictions", F.col("p.fold")).alias("prediction"),
+    )
+    return predicted, [proof for _, proof in fitted]
 
 
 def mine_triplets(

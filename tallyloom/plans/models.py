@@ -16,6 +16,7 @@ from tallyloom.config import TextConfig
 from tallyloom.operators.embeddings import user_all_embeddings, user_embedding_lists, user_mean_embedding
 from tallyloom.operators.evaluation import majority_vote, split_accuracy
 from tallyloom.operators.staging import stage
+from tallyloom.plans.linear import Certificate, LinearModel, certify, predict_stacked
 from tallyloom.plans.tokenize import TokenizerFactory, tokenize
 from tallyloom.sources.writers import write_user_json
 
@@ -98,6 +99,7 @@ def fit_linear(
     family: str = "auto",
     reg_param: float | None = None,
     max_iter: int = 100,
+    tolerance: float = 1e-6,
 ):
     """Logistic regression on the train split; rows with an unknown label are left out.
 
@@ -108,13 +110,16 @@ def fit_linear(
         reg_param = 1.0 / max(train.count(), 1)
     model = LogisticRegression(
         featuresCol="features", labelCol="label", family=family, regParam=reg_param,
-        standardization=False, maxIter=max_iter,
+        standardization=False, maxIter=max_iter, tol=tolerance,
     )
     return model.fit(_features(train, features).select("features", F.col("label").cast("double").alias("label")))
 
 
 def predict(model, rows: DataFrame, features: str = "input_ids") -> DataFrame:
-    """Add the model's `prediction` as an integer."""
+    """Add the model's `prediction` as an integer; an MLlib model or a `LinearModel`."""
+    if isinstance(model, LinearModel):
+        scored = predict_stacked(rows, [model], features, "_predictions")
+        return scored.withColumn("prediction", F.col("_predictions")[0]).drop("_predictions")
     scored = model.transform(_features(rows, features))
     return scored.withColumn("prediction", F.col("prediction").cast("int")).drop(
         "features", "rawPrediction", "probability"
@@ -130,6 +135,21 @@ def linear_baseline(rows: DataFrame, features: str = "input_ids", **options) ->
     return split_accuracy(predict(fit_linear(rows, features, **options), rows, features))
 
 
+def certified_baseline(rows: DataFrame, features: str = "input_ids", **options) -> tuple[DataFrame, Certificate]:
+    """The baseline with what shows that it is fitted: `(split, n_rows, accuracy, majority)` and a certificate.
+
+    `majority` is the share of the split's largest class, which a constant model reaches.
+    """
+    rows = stage(rows.filter(F.col("label") >= 0).select("split", "label", features))
+    model = fit_linear(rows, features, **options)
+    train = rows.filter(F.col("split") == "train")
+    proof = certify(LinearModel.of(model), train, features, "label", model.getOrDefault("regParam"))
+    classes = rows.groupBy("split", "label").agg(F.count(F.lit(1)).alias("n"))
+    share = classes.groupBy("split").agg((F.max("n") / F.sum("n")).alias("majority"))
+    # One row per split.
+    return split_accuracy(predict(model, rows, features)).join(F.broadcast(share), "split"), proof
+
+
 def user_predictions(model, rows: DataFrame, features: str = "input_ids", batch_size: int = 128) -> DataFrame:
     """Majority vote of the row predictions of each user; `row_idx` gives the batch order."""
     scored = predict(model, rows, features)
