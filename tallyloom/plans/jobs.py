@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -13,6 +13,7 @@ from tallyloom.functions.text import DELIMITERS, word_count
 from tallyloom.operators.keywords import keyword_counts_by, keyword_counts_of_parts
 from tallyloom.operators.labels import (
     assign_label_ids,
+    exclude_users,
     label_dictionary,
     labels_last_wins,
     nonempty_labels,
@@ -154,12 +155,29 @@ def _count_users(posts: DataFrame, keywords: Sequence[str], config: TextConfig,
 
 
 def fold_users(rows: DataFrame, true_rows: DataFrame, folds: DataFrame, names: Sequence[str]) -> DataFrame:
-    """`(uid, places)`: in which splits of which named folds a user is, with the label there; label files only."""
-    found = []
-    for at, name in enumerate(names):
-        users = user_table(report_labels(rows, true_rows, folds.filter(F.col("fold") == name)))
-        found.append(users.select("uid", F.struct(F.lit(at).alias("fold"), "splits", "label").alias("place")))
-    return reduce(DataFrame.unionByName, found).groupBy("uid").agg(F.array_sort(F.collect_list("place")).alias("places"))
+    """`(uid, places)`: the split and label of every user in each named fold, from one pass over the label files.
+
+    What `report_labels` gives fold by fold: users with hand-made labels are in the test split of the folds that
+    list them and in the validation split of the others, all other users are in the train split of every fold.
+    """
+    dictionary = label_dictionary(true_rows, label_dictionary(rows))
+    known = stage(labels_last_wins(assign_label_ids(true_rows, dictionary)))
+    at = F.array_position(F.array(*[F.lit(name) for name in names]), F.col("fold")).cast("int") - 1
+    listed = folds.select("uid", at.alias("at")).filter("at >= 0").groupBy("uid").agg(F.collect_set("at").alias("listed"))
+    every = F.sequence(F.lit(0), F.lit(len(names) - 1))
+
+    def places(split: Callable[[Column], Column]) -> Column:
+        def place(i: Column) -> Column:
+            return F.struct(i.alias("fold"), F.array(split(i)).alias("splits"), F.col("label").cast("int").alias("label"))
+
+        return F.transform(every, place).alias("places")
+
+    tested = F.coalesce("listed", F.array().cast("array<int>"))
+    tests = lookup_join(known, listed, "uid", "left").select(
+        "uid", places(lambda i: F.when(F.array_contains(tested, i), "test").otherwise("validation"))
+    )
+    others = labels_last_wins(exclude_users(assign_label_ids(rows, dictionary), known))
+    return others.select("uid", places(lambda i: F.lit("train"))).unionByName(tests)
 
 
 def baseline_by_fold(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.plans import linear as L
 from tallyloom.plans import models as M
-from tallyloom.plans.jobs import baseline_by_fold
+from tallyloom.plans.jobs import baseline_by_fold, fold_users, report_labels, user_table
 
 
 def made(spark, n=240, classes=3, seed=1):
@@ -151,3 +151,17 @@ def test_posts_are_scanned_once_for_all_folds(spark, tmp_path, monkeypatch):
     folds = true.select((F.col("row_idx") % 5).cast("string").alias("fold"), F.col("row_idx").alias("pos"), "uid")
     found, _ = baseline_by_fold(posts, rows, true, folds, list("01234"), ["wx", "wy"])
     assert found.count() == 100 and len(calls) == 1
+
+
+def test_places_of_all_folds_equal_the_report_split_of_each(spark):
+    rows = spark.createDataFrame(
+        [(i, "xyz"[i % 3] if i % 5 else "", f"n{i}", f"u{i % 17}") for i in range(40)], LABELS)
+    true = spark.createDataFrame([(i, "yzw"[i % 3], f"n{i}", f"u{i % 9}") for i in range(14)], LABELS)
+    folds = spark.createDataFrame(
+        [("a", 0, "u1"), ("a", 1, "u1"), ("b", 0, "u1"), ("b", 1, "u2"), ("c", 0, "u3"), ("a", 2, "u99"), ("b", 3, "u16")],
+        "fold string, pos int, uid string")
+    names = ["b", "a", "none"]
+    got = {(r["uid"], p["fold"]): (p["splits"], p["label"]) for r in fold_users(rows, true, folds, names).collect() for p in r["places"]}
+    for at, name in enumerate(names):
+        users = user_table(report_labels(rows, true, folds.filter(F.col("fold") == name))).collect()
+        assert {(r["uid"], at): (r["splits"], r["label"]) for r in users} == {k: v for k, v in got.items() if k[1] == at}
