@@ -262,12 +262,15 @@ def margins(spark, sf):
 
 @query(f"""
 WITH {BATCH_SQL}
-SELECT batch_id, neg_idx, anc_idx, round(d_neg - d_pos, 6) + 0.0 AS margin
-FROM pairs ORDER BY d_neg - d_pos, batch_id, neg_idx, anc_idx
+SELECT batch_id, neg_idx, anc_idx, round(d_neg - d_pos, 6) + 0.0 AS margin,
+       row_number() OVER (ORDER BY round(d_neg - d_pos, 6), batch_id, neg_idx, anc_idx) AS rank,
+       row_number() OVER (PARTITION BY batch_id ORDER BY round(d_neg - d_pos, 6), neg_idx, anc_idx)::INT AS batch_rank
+FROM pairs
 """)
 def sorted_margins(spark, sf):
-    rows = T.sorted_margins(T.margins(T.embedded_batches(embedded(spark, sf))))
-    return rows.withColumn("margin", F.round("margin", 6) + F.lit(0.0))
+    """Margins are rounded before they are ranked, as sums of another engine differ in the last digits."""
+    rows = T.margins(T.embedded_batches(embedded(spark, sf)))
+    return T.sorted_margins(rows.withColumn("margin", F.round("margin", 6) + F.lit(0.0)))
 
 
 @query(f"""
@@ -291,7 +294,7 @@ top AS (
 
 @query(f"WITH {BATCH_SQL}, {top_sql(False)} SELECT * REPLACE (round(margin, 6) + 0.0 AS margin) FROM top")
 def top_triplets(spark, sf):
-    rows = T.top_triplets(T.embedded_batches(embedded(spark, sf)))
+    rows = T.mine(embedded(spark, sf))
     return rows.withColumn("margin", F.round("margin", 6) + F.lit(0.0))
 
 

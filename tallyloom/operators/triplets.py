@@ -1,26 +1,37 @@
 """Triplet mining: batches of anchors, positives and negatives; pair distances; hardest pairs.
 
 A mining batch is `B` anchors, one positive per anchor and `NB` negatives. Pairs exist only inside a
-batch, so there are at most B * NB of them whatever the table holds, and each batch is one small
-group. Vectors are compared with numpy inside the batch, in double.
+batch, so there are at most B * NB of them whatever the table holds. Rows are partitioned and sorted by
+batch; a task then walks over runs of whole batches, and equal-sized batches of a run are compared at once
+with numpy, in double. Calls into Python do not grow with the number of batches.
+
+`mine` goes from embedded posts to the hardest pairs without copying negatives: batches whose negative
+windows start in the same stretch of the permutation share a task, so a vector is sent there once.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyloom.config import MiningConfig
 from tallyloom.functions.hashing import digest_int, seeded_digest
 from tallyloom.functions.vectors import distance, triplet_hinge
-from tallyloom.operators.rowindex import hash_order_index
+from tallyloom.operators.rowindex import hash_order_index, row_index
 from tallyloom.operators.positions import group_positions
 from tallyloom.operators.skew import group_sizes, lookup_join, stage_measured
 
 _PICK_DIGITS = 15  # 60 bits: the choice stays uniform for groups of any size
+_ROLES = ("anchor", "negative", "positive")  # in the order in which rows of a batch are sorted
+_PAIR_NUMBERS = 1 << 22  # differences of components that are held at once
+_STRETCH = 16  # negative windows that make a stretch of the permutation
+_TOP = "batch_id long, rank int, anc_idx int, neg_idx int, anc_row long, pos_row long, neg_row long, margin double"
 
 
 # --- positives -------------------------------------------------------------------------------
@@ -168,91 +179,172 @@ def neg_anc_index_grid(batches: DataFrame) -> DataFrame:
 
 def _matrix(table: pa.Table) -> np.ndarray:
     column = table.column("embedding").combine_chunks()
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    flat = column.flatten().to_numpy(zero_copy_only=False)
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
-def _roles(table: pa.Table) -> dict[str, pa.Table]:
-    ordered = table.sort_by("slot")
-    role = ordered.column("role")
-    return {name: ordered.filter(pc.equal(role, name)) for name in ("anchor", "positive", "negative")}
+def _runs(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[pa.Table]:
+    """Consecutive rows as tables that hold whole groups; the rows come sorted by `by`."""
+    held: list[pa.RecordBatch] = []
+    for rows in batches:
+        if not rows.num_rows:
+            continue
+        keys = rows.column(by).to_numpy()
+        cut = int(np.searchsorted(keys, keys[-1]))
+        if held and (cut or held[-1].column(by)[-1].as_py() != keys[0]):
+            yield pa.Table.from_batches([*held, rows.slice(0, cut)])
+            held = []
+        elif cut:
+            yield pa.Table.from_batches([rows.slice(0, cut)])
+        held.append(rows.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+@dataclass(frozen=True)
+class _Stack:
+    """Batches of equal sizes: their ids, and the rows of each role as batches x slots."""
+
+    ids: np.ndarray
+    anchor: np.ndarray
+    negative: np.ndarray
+    positive: np.ndarray
+
+    def part(self, chosen: slice) -> _Stack:
+        return _Stack(self.ids[chosen], self.anchor[chosen], self.negative[chosen], self.positive[chosen])
+
+    def parts(self, width: int) -> Iterator[_Stack]:
+        """Some batches at a time, so that the differences of all their pairs fit in memory."""
+        step = max(1, _PAIR_NUMBERS // max(1, self.anchor.shape[1] * self.negative.shape[1] * width))
+        for at in range(0, len(self.ids), step):
+            yield self.part(slice(at, at + step))
+
+
+def _stacks(table: pa.Table) -> Iterator[_Stack]:
+    """The batches of a run, grouped by their sizes; rows are sorted by batch, role and slot."""
+    ids = table.column("batch_id").to_numpy()
+    roles = np.asarray(table.column("role").to_pylist())
+    starts = np.flatnonzero(np.diff(ids, prepend=ids[0] - 1))
+    sizes = np.stack([np.add.reduceat((roles == role).astype(np.int64), starts) for role in _ROLES], axis=1)
+    for size in np.unique(sizes, axis=0):
+        own = starts[(sizes == size).all(axis=1)]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        rows = [own[:, None] + np.arange(ends[i], ends[i + 1]) for i in range(3)]
+        yield _Stack(ids[own], *rows)
+
+
+def _distances(vectors: np.ndarray, stack: _Stack) -> np.ndarray:
+    """Squared L2 of the (negative, anchor) pairs of each batch."""
+    gap = vectors[stack.negative][:, :, None, :].astype(np.float64) - vectors[stack.anchor][:, None, :, :]
+    return (gap * gap).sum(axis=-1)
 
 
-def _distances(negatives: np.ndarray, anchors: np.ndarray) -> np.ndarray:
-    """Squared L2 of every (negative, anchor) pair of a batch."""
-    gap = negatives[:, None, :] - anchors[None, :, :]
-    return (gap * gap).sum(axis=-1)
+def _margins(vectors: np.ndarray, stack: _Stack) -> np.ndarray:
+    gap = vectors[stack.anchor].astype(np.float64) - vectors[stack.positive]
+    return _distances(vectors, stack) - (gap * gap).sum(axis=-1)[:, None, :]
 
 
-def _batch_scores(table: pa.Table) -> tuple[dict[str, pa.Table], np.ndarray, np.ndarray | None]:
-    roles = _roles(table)
-    anchors = _matrix(roles["anchor"])
-    d_neg = _distances(_matrix(roles["negative"]), anchors)
-    if not roles["positive"].num_rows:
-        return roles, d_neg, None
-    gap = anchors - _matrix(roles["positive"])
-    return roles, d_neg, d_neg - (gap * gap).sum(axis=-1)[None, :]
+def _same_label(table: pa.Table, stack: _Stack) -> np.ndarray:
+    codes = table.column("label").combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy()
+    return codes[stack.negative][:, :, None] == codes[stack.anchor][:, None, :]
 
 
-def _same_label(roles: dict[str, pa.Table]) -> np.ndarray:
-    negative = np.array(roles["negative"].column("label").to_pylist(), dtype=object)
-    anchor = np.array(roles["anchor"].column("label").to_pylist(), dtype=object)
-    return negative[:, None] == anchor[None, :]
+def _grid(stack: _Stack, name: str, values: np.ndarray) -> pa.RecordBatch:
+    """All pairs of each batch, by negative and then anchor."""
+    n, n_neg, n_anc = values.shape
+    return pa.RecordBatch.from_pydict({
+        "batch_id": pa.array(np.repeat(stack.ids, n_neg * n_anc), pa.int64()),
+        "neg_idx": pa.array(np.tile(np.repeat(np.arange(n_neg, dtype=np.int32), n_anc), n)),
+        "anc_idx": pa.array(np.tile(np.arange(n_anc, dtype=np.int32), n * n_neg)),
+        name: pa.array(values.ravel()),
+    })
 
 
-def _grid(table: pa.Table, shape: tuple[int, int]) -> dict[str, pa.Array]:
-    n_neg, n_anc = shape
-    batch = table.column("batch_id")[0].as_py()
-    return {
-        "batch_id": pa.array(np.full(n_neg * n_anc, batch, dtype=np.int64)),
-        "neg_idx": pa.array(np.repeat(np.arange(n_neg, dtype=np.int32), n_anc)),
-        "anc_idx": pa.array(np.tile(np.arange(n_anc, dtype=np.int32), n_neg)),
-    }
+def _over_batches(batches: DataFrame, run: Callable[[pa.Table, _Stack], pa.RecordBatch], schema: str) -> DataFrame:
+    """Apply a function to stacks of whole batches: one shuffle by batch, one call into Python a task."""
+
+    def walk(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _runs(rows, "batch_id"):
+            width = _matrix(table).shape[1] if "embedding" in table.column_names else 1
+            for stack in _stacks(table):
+                for part in stack.parts(width):
+                    yield run(table, part)
+
+    return batches.repartition("batch_id").sortWithinPartitions("batch_id", "role", "slot").mapInArrow(walk, schema)
 
 
 def anc_neg_distance(batches: DataFrame) -> DataFrame:
     """`(batch_id, neg_idx, anc_idx, distance)`: squared L2 for each pair of a batch."""
 
-    def score(table: pa.Table) -> pa.Table:
-        _, d_neg, _ = _batch_scores(table)
-        return pa.table({**_grid(table, d_neg.shape), "distance": pa.array(d_neg.ravel())})
+    def score(table: pa.Table, stack: _Stack) -> pa.RecordBatch:
+        return _grid(stack, "distance", _distances(_matrix(table), stack))
 
-    return batches.filter(F.col("role") != "positive").groupBy("batch_id").applyInArrow(
-        score, "batch_id long, neg_idx int, anc_idx int, distance double"
+    return _over_batches(
+        batches.filter(F.col("role") != "positive"), score, "batch_id long, neg_idx int, anc_idx int, distance double"
     )
 
 
 def margins(batches: DataFrame) -> DataFrame:
     """`(batch_id, neg_idx, anc_idx, margin)`: d(anchor, negative) - d(anchor, positive)."""
 
-    def score(table: pa.Table) -> pa.Table:
-        _, _, margin = _batch_scores(table)
-        return pa.table({**_grid(table, margin.shape), "margin": pa.array(margin.ravel())})
+    def score(table: pa.Table, stack: _Stack) -> pa.RecordBatch:
+        return _grid(stack, "margin", _margins(_matrix(table), stack))
 
-    return batches.groupBy("batch_id").applyInArrow(score, "batch_id long, neg_idx int, anc_idx int, margin double")
+    return _over_batches(batches, score, "batch_id long, neg_idx int, anc_idx int, margin double")
 
 
 def eligibility_mask(batches: DataFrame, config: MiningConfig = MiningConfig()) -> DataFrame:
     """`(batch_id, neg_idx, anc_idx, penalty)`: 0, or infinity where both sides share a label."""
     masked = config.masked
 
-    def score(table: pa.Table) -> pa.Table:
-        roles = _roles(table)
-        same = _same_label(roles)
-        penalty = np.where(same & masked, np.inf, 0.0)
-        return pa.table({**_grid(table, penalty.shape), "penalty": pa.array(penalty.ravel())})
+    def score(table: pa.Table, stack: _Stack) -> pa.RecordBatch:
+        return _grid(stack, "penalty", np.where(_same_label(table, stack) & masked, np.inf, 0.0))
 
-    return (
-        batches.filter(F.col("role") != "positive")
-        .drop("embedding")
-        .groupBy("batch_id")
-        .applyInArrow(score, "batch_id long, neg_idx int, anc_idx int, penalty double")
-    )
+    rows = batches.filter(F.col("role") != "positive").drop("embedding")
+    return _over_batches(rows, score, "batch_id long, neg_idx int, anc_idx int, penalty double")
 
 
 def sorted_margins(scored: DataFrame) -> DataFrame:
-    """All pairs, hardest first."""
-    return scored.orderBy("margin", "batch_id", "neg_idx", "anc_idx")
+    """All pairs with their `rank`, hardest first, counted from 1 over the whole table, and `batch_rank` inside the batch.
+
+    The order is a column, whatever becomes of the rows: positions come from range partitions and their
+    counts, so no task sorts more than its range.
+    """
+    order = ("margin", "batch_id", "neg_idx", "anc_idx")
+    inside = F.row_number().over(W.partitionBy("batch_id").orderBy("margin", "neg_idx", "anc_idx"))
+    ranked = row_index(scored.withColumn("batch_rank", inside), *order, name="_place")
+    return ranked.withColumn("rank", F.col("_place") + 1).drop("_place")
+
+
+def _hardest(table: pa.Table, stack: _Stack, masked: bool, keep_masked: bool) -> pa.RecordBatch:
+    """The pairs of smallest margin of each batch, as many as it has anchors."""
+    margin = _margins(_matrix(table), stack)
+    if masked:
+        margin = np.where(_same_label(table, stack), np.inf, margin)
+    n, _, n_anc = margin.shape
+    flat = margin.reshape(n, -1)  # ties are already in (negative, anchor) order
+    order = np.argsort(flat, axis=1, kind="stable")[:, :n_anc]
+    values = np.take_along_axis(flat, order, 1)
+    kept = np.isfinite(values) if masked and not keep_masked else np.ones(values.shape, dtype=bool)
+    at, rank = np.nonzero(kept)
+    neg, anc = order[kept] // n_anc, order[kept] % n_anc
+    rows = table.column("row_idx").to_numpy()
+    return pa.RecordBatch.from_pydict({
+        "batch_id": pa.array(stack.ids[at], pa.int64()),
+        "rank": pa.array((rank + 1).astype(np.int32)),
+        "anc_idx": pa.array(anc.astype(np.int32)),
+        "neg_idx": pa.array(neg.astype(np.int32)),
+        "anc_row": pa.array(rows[stack.anchor[at, anc]]),
+        "pos_row": pa.array(rows[stack.positive[at, anc]]),
+        "neg_row": pa.array(rows[stack.negative[at, neg]]),
+        "margin": pa.array(values[kept]),
+    })
+
+
+def _mode(mode: str) -> bool:
+    if mode not in ("penalty", "filter"):
+        raise ValueError(f"unknown mode {mode!r}")
+    return mode == "penalty"
 
 
 def top_triplets(batches: DataFrame, config: MiningConfig = MiningConfig(), mode: str = "penalty") -> DataFrame:
@@ -261,39 +353,72 @@ def top_triplets(batches: DataFrame, config: MiningConfig = MiningConfig(), mode
     Order: margin, negative slot, anchor slot. With masking, same-label pairs get an infinite margin
     and can still fill up a batch that has too few eligible pairs; `mode="filter"` leaves them out.
     """
-    if mode not in ("penalty", "filter"):
-        raise ValueError(f"unknown mode {mode!r}")
-    masked = config.masked
+    masked, keep = config.masked, _mode(mode)
+    return _over_batches(batches, lambda table, stack: _hardest(table, stack, masked, keep), _TOP)
+
 
-    def select(table: pa.Table) -> pa.Table:
-        roles, _, margin = _batch_scores(table)
-        n_anc = margin.shape[1]
-        if masked:
-            margin = np.where(_same_label(roles), np.inf, margin)
-        flat = margin.ravel()  # row-major: ties are already in (negative, anchor) order
-        order = np.argsort(flat, kind="stable")[:n_anc]
-        if masked and mode == "filter":
-            order = order[np.isfinite(flat[order])]
-        neg, anc = order // n_anc, order % n_anc
-        take = {
-            "anc_row": roles["anchor"].column("row_idx").take(pa.array(anc)),
-            "pos_row": roles["positive"].column("row_idx").take(pa.array(anc)),
-            "neg_row": roles["negative"].column("row_idx").take(pa.array(neg)),
-        }
-        batch = table.column("batch_id")[0].as_py()
-        return pa.table({
-            "batch_id": pa.array(np.full(len(order), batch, dtype=np.int64)),
-            "rank": pa.array(np.arange(1, len(order) + 1, dtype=np.int32)),
-            "anc_idx": pa.array(anc.astype(np.int32)),
-            "neg_idx": pa.array(neg.astype(np.int32)),
-            **take,
-            "margin": pa.array(flat[order]),
-        })
-
-    return batches.groupBy("batch_id").applyInArrow(
-        select,
-        "batch_id long, rank int, anc_idx int, neg_idx int, anc_row long, pos_row long, neg_row long, margin double",
+def mine(embedded: DataFrame, config: MiningConfig = MiningConfig(), mode: str = "penalty", stretch: int = _STRETCH) -> DataFrame:
+    """`top_triplets` of the batches of embedded posts `(row_idx, uid, label, embedding)`, without making the batches.
+
+    Batch j takes its negatives from the places j * NB and on of a permutation, around its end. The permutation
+    is cut into stretches of `stretch` windows. Anchors and positives go to the stretch where their window
+    starts, each negative to those in which windows that reach it start: its own, and near a cut the one
+    before. So vectors cross the network some three times instead of once per batch that holds them.
+    """
+    masked, keep = config.masked, _mode(mode)
+    width = config.negatives_per_batch
+    total = embedded.count()
+    values = embedded.select("row_idx", "label", "embedding")
+    size = stretch * width
+
+    def of(place):
+        return F.expr(f"pmod({place}, {max(total, 1)}L) div {size}L")
+
+    columns = ["stretch", "role", "batch_id", "slot", "row_idx", "label", "embedding"]
+    anchors = anchor_slots(values, config, total).withColumn("role", F.lit("anchor"))
+    places = anchor_slots(embedded.select("row_idx"), config, total)
+    drawn = sample_positives(embedded.select("row_idx", "uid"), f"{config.seed}/positive")
+    positives = (
+        places.join(drawn, places["row_idx"] == drawn["anc_row"])
+        .select("batch_id", "slot", F.col("pos_row").alias("row_idx"))
+        .join(values, "row_idx")
+        .withColumn("role", F.lit("positive"))
+    )
+    started = [rows.withColumn("stretch", of(f"batch_id * {width}L")).select(*columns) for rows in (anchors, positives)]
+    around = F.when(F.col("batch_id") < width - 1, of(total - 1)).otherwise(of("batch_id"))
+    negatives = (
+        hash_order_index(values, "row_idx", f"{config.seed}/negative", "batch_id")  # the place, in the column of the batch
+        .withColumn("stretch", F.explode(F.array_distinct(F.array(of("batch_id"), of(f"batch_id - {width - 1}L"), around))))
+        .withColumns({"role": F.lit("negative"), "slot": F.lit(0)})
+        .select(*columns)
     )
+    rows = started[0].unionByName(started[1]).unionByName(negatives)
+
+    def walk(sorted_rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _runs(sorted_rows, "stretch"):
+            yield from _mine_stretches(table)
+
+    def _mine_stretches(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        at = table.column("stretch").to_numpy()
+        cuts = [*np.flatnonzero(np.diff(at, prepend=at[0] - 1)).tolist(), len(at)]
+        for start, end in zip(cuts, cuts[1:]):
+            own = table.slice(start, end - start)
+            role = np.asarray(own.column("role").to_pylist())
+            ids = own.column("batch_id").to_numpy()
+            by_role = {name: np.flatnonzero(role == name) for name in _ROLES}
+            found = ids[by_role["anchor"]]
+            if not len(found):
+                continue
+            shape = (len(np.unique(found)), -1)
+            first = found.reshape(shape)[:, 0]
+            # Places are sorted; a window is looked up place by place.
+            windows = (first[:, None] * width + np.arange(width)) % total
+            negative = by_role["negative"][np.searchsorted(ids[by_role["negative"]], windows)]
+            stack = _Stack(first, by_role["anchor"].reshape(shape), negative, by_role["positive"].reshape(shape))
+            for part in stack.parts(_matrix(own).shape[1]):
+                yield _hardest(own, part, masked, keep)
+
+    return rows.repartition("stretch").sortWithinPartitions("stretch", "role", "batch_id", "slot").mapInArrow(walk, _TOP)
 
 
 # --- selected triplets -----------------------------------------------------------------------

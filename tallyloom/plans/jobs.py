@@ -26,7 +26,7 @@ from tallyloom.operators.packing import pack_by_uid
 from tallyloom.operators.posts import concat_by_uid, filter_posts_by_uid
 from tallyloom.operators.skew import lookup_join, stage_measured
 from tallyloom.operators.staging import stage, stage_counted
-from tallyloom.operators.triplets import embedded_batches, top_triplets, triplet_loss, triplet_vectors
+from tallyloom.operators.triplets import mine, triplet_loss, triplet_vectors
 from tallyloom.plans.linear import Certificate, fit_stacked, predict_stacked
 from tallyloom.plans.models import EmbedderFactory, embed_texts
 from tallyloom.plans.tokenize import TokenizerFactory, plugged_token_count, tokenize
@@ -233,5 +233,5 @@ def mine_triplets(
     several joins.
     """
     embedded = stage(embed_texts(posts, ("row_idx", "uid", "label"), text, factory=embedder))
-    triplets = stage(top_triplets(embedded_batches(embedded, config), config))
+    triplets = stage(mine(embedded, config))
     return triplets, triplet_loss(triplet_vectors(triplets, embedded), config)

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,7 +62,7 @@ def test_top_triplets_order_and_ties(spark):
     row = T.top_triplets(batch(spark)).filter("rank = 1").first()
     assert (row["anc_row"], row["pos_row"], row["neg_row"]) == (1, 201, 100)
     ordered = T.sorted_margins(T.margins(batch(spark))).collect()
-    assert [r["margin"] for r in ordered] == sorted(r["margin"] for r in ordered)
+    assert [r["margin"] for r in sorted(ordered, key=lambda r: r["rank"])] == sorted(r["margin"] for r in ordered)
 
 
 def test_masking(spark):
@@ -210,3 +212,57 @@ def test_rows_without_a_user_get_positives(spark):
     assert len(drawn) == 40 and all((a % 4 == 0) == (p % 4 == 0) for a, p in drawn.items())
     config = MiningConfig(anchors_per_batch=4, negatives_per_batch=8)
     assert T.top_triplets(T.embedded_batches(frame, config), config).count() > 0
+
+
+def vectors_of(spark, n, seed=3):
+    rng = np.random.default_rng(seed)
+    rows = [(i, "hot" if i % 3 == 0 else f"u{i % 5}", None if i % 11 == 0 else i % 4, np.round(rng.normal(0, 1, 6), 1).tolist()) for i in range(n)]
+    return spark.createDataFrame(rows, "row_idx long, uid string, label int, embedding array<float>").repartition(4)
+
+
+@pytest.mark.parametrize("n,stretch", [(103, 1), (103, 2), (103, 100), (61, 8), (6, 2), (11, 1), (3, 1)])
+@pytest.mark.parametrize("mode", ["penalty", "filter"])
+def test_mining_without_copies_equals_mining_of_batches(spark, rows, n, stretch, mode):
+    frame = vectors_of(spark, n)
+    config = MiningConfig(anchors_per_batch=5, negatives_per_batch=7, require_labels=True, enable_masking=True)
+    expected = T.top_triplets(T.embedded_batches(frame, config), config, mode)
+    assert rows(T.mine(frame, config, mode, stretch)) == rows(expected) and (n < 5 or expected.count())
+
+
+def test_a_task_is_called_once_whatever_the_number_of_batches(spark):
+    """Rows of many batches, of several sizes, in few partitions."""
+    frame = vectors_of(spark, 700)
+    batches = T.embedded_batches(frame, MiningConfig(anchors_per_batch=2, negatives_per_batch=3))
+    uneven = batches.filter("not (batch_id % 5 = 0 and role = 'negative' and slot = 2) and not (batch_id % 7 = 0 and role = 'anchor' and slot = 1)"
+                            " and not (batch_id % 7 = 0 and role = 'positive' and slot = 1)")
+    scored = T.margins(uneven)
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan
+    by = {}
+    for r in uneven.collect():
+        by.setdefault(r["batch_id"], {}).setdefault(r["role"], []).append((r["slot"], np.array(r["embedding"])))
+    expected = {}
+    for batch_id, roles in by.items():
+        negative, anchor, positive = ([v for _, v in sorted(roles[k], key=lambda x: x[0])] for k in ("negative", "anchor", "positive"))
+        for i, x in enumerate(negative):
+            for j, (y, z) in enumerate(zip(anchor, positive)):
+                expected[batch_id, i, j] = ((x - y) ** 2).sum() - ((y - z) ** 2).sum()
+    got = {(r["batch_id"], r["neg_idx"], r["anc_idx"]): r["margin"] for r in scored.collect()}
+    assert set(got) == set(expected) and all(got[k] == pytest.approx(v, abs=1e-5) for k, v in expected.items())
+
+
+def test_runs_hold_whole_groups():
+    keys = [0] * 3 + [1] * 9 + [2, 3, 3, 3, 4]
+    for width in range(1, len(keys) + 1):
+        batches = [pa.RecordBatch.from_pydict({"k": pa.array(keys[i : i + width], pa.int64())}) for i in range(0, len(keys), width)]
+        runs = [t.column("k").to_pylist() for t in T._runs(iter(batches), "k")]
+        assert [k for r in runs for k in r] == keys
+        assert all(a[-1] != b[0] for a, b in zip(runs, runs[1:]))
+
+
+def test_ranks_of_margins(spark):
+    got = T.sorted_margins(T.margins(batch(spark).union(batch(spark).withColumn("batch_id", F.lit(1).cast("long"))))).collect()
+    ordered = sorted(got, key=lambda r: (r["margin"], r["batch_id"], r["neg_idx"], r["anc_idx"]))
+    assert [r["rank"] for r in ordered] == list(range(1, 71))
+    for b in (0, 1):
+        assert [r["batch_rank"] for r in ordered if r["batch_id"] == b] == list(range(1, 36))
