@@ -284,7 +284,7 @@ def baseline_fold_predictions(spark, sf):
 
 @query(f"""
 WITH bags_of AS (
-  WITH {BAG_SQL} SELECT doc_id AS row_idx, source AS uid, -1 AS label, e::FLOAT[]::DOUBLE[] AS e FROM vecs
+  WITH {BAG_SQL} SELECT doc_id AS row_idx, source AS uid, -1 AS label, e FROM vecs
 ),
 {batch_sql("SELECT * FROM bags_of")}, {top_sql(False)}, {hinges_sql(100.0, cosine=False)}
 SELECT count(*) AS n_triplets, round(avg(h), 4) AS loss, round(avg(h) - 100.0::DOUBLE, 4) + 0.0 AS net_loss FROM hinges

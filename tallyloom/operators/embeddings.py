@@ -2,26 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.config import PARTS, POOLING_STRATEGIES
 from tallyloom.functions.vectors import dot
 from tallyloom.operators.positions import with_part
+from tallyloom.operators.sums import mean_vectors
 
 
 def user_mean_embedding(embedded: DataFrame, key: str = "uid") -> DataFrame:
     """`(uid, n_posts, embedding)`: mean vector and number of posts.
 
-    The summarizer combines map-side: one running mean per user and task is shuffled, not the vectors.
+    Sums are combined before the shuffle and exact, so the means do not depend on the partitioning.
     """
-    stats = embedded.select(key, array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
-    summary = stats.groupBy(key).agg(Summarizer.metrics("mean", "count").summary(F.col("v")).alias("s"))
-    return summary.select(
-        key, F.col("s.count").cast("long").alias("n_posts"), vector_to_array(F.col("s.mean")).alias("embedding")
-    )
+    return mean_vectors(embedded, key, n="n_posts", mean="embedding")
 
 
 def user_all_embeddings(embedded: DataFrame) -> DataFrame:

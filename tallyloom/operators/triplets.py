@@ -26,6 +26,7 @@ from tallyloom.functions.vectors import distance, triplet_hinge
 from tallyloom.operators.rowindex import hash_order_index, row_index
 from tallyloom.operators.positions import group_positions
 from tallyloom.operators.skew import group_sizes, lookup_join, stage_measured
+from tallyloom.operators.sums import exact_mean
 
 _PICK_DIGITS = 15  # 60 bits: the choice stays uniform for groups of any size
 _ROLES = ("anchor", "negative", "positive")  # in the order in which rows of a batch are sorted
@@ -453,12 +454,15 @@ def triplet_vectors(triplets: DataFrame, embedded: DataFrame) -> DataFrame:
 
 
 def triplet_loss(vectors: DataFrame, config: MiningConfig = MiningConfig()) -> DataFrame:
-    """`(n_triplets, loss, net_loss)`: mean hinge over `anc_vec, pos_vec, neg_vec`, and loss - threshold."""
+    """`(n_triplets, loss, net_loss)`: mean hinge over `anc_vec, pos_vec, neg_vec`, and loss - threshold.
+
+    The mean does not depend on the partitioning.
+    """
     hinge = triplet_hinge(
         distance(config.distance, F.col("anc_vec"), F.col("pos_vec")),
         distance(config.distance, F.col("anc_vec"), F.col("neg_vec")),
         config.threshold,
     )
-    return vectors.agg(F.count(F.lit(1)).alias("n_triplets"), F.avg(hinge).alias("loss")).withColumn(
+    return vectors.agg(F.count(F.lit(1)).alias("n_triplets"), exact_mean(hinge).alias("loss")).withColumn(
         "net_loss", F.col("loss") - F.lit(float(config.threshold))
     )

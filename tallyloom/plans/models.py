@@ -7,8 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +15,7 @@ from tallyloom.config import TextConfig
 from tallyloom.operators.embeddings import user_all_embeddings, user_embedding_lists, user_mean_embedding
 from tallyloom.operators.evaluation import majority_vote, split_accuracy
 from tallyloom.operators.staging import stage
+from tallyloom.operators.sums import means_in_order
 from tallyloom.plans.linear import Certificate, LinearModel, certify, predict_stacked
 from tallyloom.plans.tokenize import TokenizerFactory, tokenize
 from tallyloom.sources.writers import write_user_json
@@ -45,12 +45,12 @@ def embed_posts(processed: DataFrame, factory: EmbedderFactory | None = None) ->
     """Add `embedding` to tokenized posts. Arrow batches in, one vector per row out, no shuffle."""
     factory = factory or HashedBagOfWords()
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf("array<double>")
     def embed(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         model = factory()
         for ids, mask in batches:
             vectors = model(np.stack(ids.to_list()), np.stack(mask.to_list())) if len(ids) else np.zeros((0, 1))
-            yield pd.Series(list(np.asarray(vectors, dtype=np.float32)), index=ids.index)
+            yield pd.Series(list(np.asarray(vectors, dtype=np.float64)), index=ids.index)
 
     return processed.withColumn("embedding", embed("input_ids", "attention_mask"))
 
@@ -65,15 +65,12 @@ def embed_texts(
     """`(keys..., embedding)` of whole texts, one row per post; the first key is unique.
 
     A text is tokenized into windows, each window is embedded, and the vectors are averaged by their
-    numbers of tokens. The means are combined map-side.
+    numbers of tokens, in double and in the order of the windows. The windows of a text stay together where it
+    is read, so nothing is shuffled and the vectors do not depend on the partitioning.
     """
     windows = embed_posts(tokenize(posts.select(*keys, "text"), config, tokenizer, windows=True), factory)
     tokens = F.aggregate("attention_mask", F.lit(0), lambda n, m: n + m)
-    weighed = windows.select(
-        *keys, array_to_vector(F.col("embedding").cast("array<double>")).alias("v"), F.greatest(tokens, F.lit(1)).cast("double").alias("w")
-    )
-    mean = weighed.groupBy(*keys).agg(Summarizer.metrics("mean").summary(F.col("v"), F.col("w")).alias("s"))
-    return mean.select(*keys, vector_to_array(F.col("s.mean"), "float32").alias("embedding"))
+    return means_in_order(windows.withColumn("_weight", F.greatest(tokens, F.lit(1))), keys, "embedding", "_weight")
 
 
 def user_embeddings(embedded: DataFrame) -> DataFrame:
