@@ -25,8 +25,9 @@ from tallyloom.catalog.registry import query
 from tallyloom.config import SizeLimits, TextConfig
 from tallyloom.functions import text as X
 from tallyloom.operators import batching, packing, posts as P
-from tallyloom.operators.keywords import keyword_counts as count_keywords
-from tallyloom.operators.rowindex import file_row_index
+from tallyloom.operators.keywords import keyword_counts as count_keywords, keyword_counts_of_parts, sparse_keyword_counts_by
+from tallyloom.operators.rowindex import file_row_index, row_index
+from tallyloom.operators.staging import stage
 from tallyloom.plans.jobs import prepare_labels, user_split
 from tallyloom.plans.tokenize import tokenize
 
@@ -220,6 +221,40 @@ def keyword_counts_capped(spark, sf):
     return counted.select("doc_id", join_ints(F.col("input_ids")).alias("counts"))
 
 
+@query(f"""
+WITH asked AS (
+  SELECT word, row_number() OVER (ORDER BY word) - 1 AS place
+  FROM (SELECT DISTINCT unnest({words_sql('text')}) AS word FROM benchmark)
+),
+hits AS (
+  SELECT source AS uid, place, least(count(*), 50) AS n
+  FROM (SELECT source, unnest({words_sql('text')}) AS word FROM documents) JOIN asked USING (word) GROUP BY source, place
+)
+SELECT uid, string_agg(place::VARCHAR, ',' ORDER BY place) AS indices, string_agg(n::VARCHAR, ',' ORDER BY place) AS counts FROM hits GROUP BY uid
+""")
+def keyword_counts_sparse(spark, sf):
+    """Counts per source of every word of the benchmark: a keyword list that is a table, up to 50 of each."""
+    distinct = table(spark, sf, "benchmark").select(F.explode(X.words(F.col("text"))).alias("keyword")).distinct()
+    asked = row_index(distinct, "keyword", name="at").select("keyword", F.array(F.col("at").cast("int")).alias("positions"))
+    found = sparse_keyword_counts_by(document_posts(spark, sf), ["uid"], stage(asked), cap=50).filter(F.size("indices") > 0)
+    return found.select("uid", join_ints(F.col("indices")).alias("indices"), join_ints(F.col("counts")).alias("counts"))
+
+
+@query(f"""
+WITH joined AS (
+  SELECT source AS uid, arg_min(doc_id::VARCHAR, doc_id) AS tid,
+         string_agg(text || '</s></s>', '' ORDER BY doc_id) FILTER (text <> '') AS text
+  FROM documents GROUP BY source
+)
+SELECT uid, tid, {counts_sql('w')} AS counts FROM (SELECT uid, tid, {words_sql("coalesce(text, '')")} AS w FROM joined)
+""")
+def keyword_counts_glued(spark, sf):
+    """A delimiter that glues words: parts of three texts are combined four by four, in as many levels as it takes."""
+    parts = P.concat_by_uid(document_posts(spark, sf), "sep", part_rows=3)
+    counted = keyword_counts_of_parts(parts, KEYWORDS, run=4)
+    return counted.select("uid", "tid", join_ints(F.col("input_ids")).alias("counts"))
+
+
 @query(f"SELECT conv_id, turn, (len({words_sql('text')}) + 2)::INT AS n_tokens FROM conversations")
 def token_lengths(spark, sf):
     return table(spark, sf, "conversations").select(

@@ -178,6 +178,36 @@ def positive_candidates(spark, sf):
     return T.positive_candidates(order_posts(spark, sf)).select("anc_row", "uid", "n_candidates", "first_row", "last_row")
 
 
+PAIRS_SQL = f"""
+SELECT a.row_idx AS anc_row, uid, b.row_idx AS pos_row FROM ({ORDER_POSTS_SQL}) a JOIN ({ORDER_POSTS_SQL}) b USING (uid)
+"""
+
+
+@query(PAIRS_SQL)
+def positive_pairs(spark, sf):
+    """All candidate rows of every anchor."""
+    return T.positive_pairs(order_posts(spark, sf))[0]
+
+
+@query(PAIRS_SQL)
+def positive_pairs_parts(spark, sf):
+    """The same relation from parts of three rows, so that most users have several."""
+    return T.positive_pairs(order_posts(spark, sf), part_rows=3)[0]
+
+
+@query(f"""
+WITH ranked AS (
+  SELECT uid, row_idx, row_number() OVER (PARTITION BY uid ORDER BY row_idx) - 1 AS place, count(*) OVER (PARTITION BY uid) AS n
+  FROM ({ORDER_POSTS_SQL})
+)
+SELECT a.row_idx AS anc_row, a.uid, p.part FROM ranked a JOIN (SELECT DISTINCT uid, place // 4 AS part FROM ranked) p USING (uid)
+WHERE a.n * a.n > 200
+""")
+def positive_pairs_lazy(spark, sf):
+    """Users with more than 200 pairs: each anchor with the parts of four rows that it may be paired with."""
+    return T.positive_pairs(order_posts(spark, sf), part_rows=4, max_square=200)[1]
+
+
 def positives_sql(posts: str, seed: str) -> str:
     return f"""
 ranked AS (

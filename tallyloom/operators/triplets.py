@@ -25,7 +25,9 @@ from tallyloom.functions.hashing import digest_int, seeded_digest
 from tallyloom.functions.vectors import distance, triplet_hinge
 from tallyloom.operators.rowindex import hash_order_index, row_index
 from tallyloom.operators.positions import group_positions
+from tallyloom.operators.posts import uid_lookup
 from tallyloom.operators.skew import group_sizes, lookup_join, stage_measured
+from tallyloom.operators.staging import stage
 from tallyloom.operators.sums import exact_mean
 
 _PICK_DIGITS = 15  # 60 bits: the choice stays uniform for groups of any size
@@ -53,6 +55,41 @@ def positive_candidates(posts: DataFrame) -> DataFrame:
     return lookup_join(anchors, candidates, "uid", spread=("anc_row",), measured=measured)
 
 
+def positive_pairs(
+    posts: DataFrame, part_rows: int = 256, max_square: int | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """The candidate relation itself: `(anc_row, uid, pos_row)`, and the lazy form of what is too large for that.
+
+    The index of a user comes in parts of `part_rows` rows. Every part meets every part of the same user: the
+    anchors' side is repeated once per part and joined on (user, number of the other part), so a pair of
+    parts is a unit of bounded size and a user with a large share of the rows is spread over as many tasks as
+    the user has parts. With `max_square`, users with more pairs than that are left out and get
+    `(anc_row, uid, part)` instead: the anchor may be paired with all rows of these parts of `candidate_index`.
+    Rows without a user belong together, like those of a user with an empty name.
+    """
+    index, sizes, measured = candidate_index(posts, part_rows)
+    whole = lookup_join(index, sizes, "uid", spread=("part",), measured=measured)
+    square = F.col("n").cast("decimal(38,0)") * F.col("n")
+    large = F.lit(False) if max_square is None else square > max_square
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_parts") - 1))
+    left = whole.filter(~large).select("uid", F.col("row_idxs").alias("anchors"), every.alias("part"))
+    met = left.join(index, ["uid", "part"])
+    pairs = met.select("uid", F.explode("anchors").alias("anc_row"), "row_idxs").select(
+        "anc_row", "uid", F.explode("row_idxs").alias("pos_row")
+    )
+    lazy = whole.filter(large).select("uid", F.explode("row_idxs").alias("anc_row"), "n_parts")
+    return pairs, lazy.select("anc_row", "uid", every.alias("part"))
+
+
+def candidate_index(posts: DataFrame, part_rows: int = 256) -> tuple[DataFrame, DataFrame, tuple[int, int]]:
+    """`(uid, part, row_idxs)`, `(uid, n, n_parts)` and the measured size of the second table."""
+    named = posts.select(F.coalesce("uid", F.lit("")).alias("uid"), "row_idx")
+    index = stage(uid_lookup(named, part_rows))
+    sizes = index.groupBy("uid").agg(F.sum(F.size("row_idxs")).alias("n"), F.count(F.lit(1)).alias("n_parts"))
+    sizes, measured = stage_measured(sizes)
+    return index, sizes, measured
+
+
 def sample_positives(posts: DataFrame, seed: int | str = 0, exclude_self: bool = False) -> DataFrame:
     """`(anc_row, uid, pos_row)`: one pseudo-random row of the same user for each row.
 

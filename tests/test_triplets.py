@@ -266,3 +266,35 @@ def test_ranks_of_margins(spark):
     assert [r["rank"] for r in ordered] == list(range(1, 71))
     for b in (0, 1):
         assert [r["batch_rank"] for r in ordered if r["batch_id"] == b] == list(range(1, 36))
+
+
+@pytest.mark.parametrize("part_rows", [1, 4, 1_000])
+@pytest.mark.parametrize("max_square", [None, 100, 0])
+def test_candidate_pairs(spark, part_rows, max_square):
+    users = [None if i % 10 == 1 else "hot" if i % 3 == 0 else f"u{i % 8}" for i in range(90)]
+    frame = spark.createDataFrame([(i * 7, u) for i, u in enumerate(users)], "row_idx long, uid string").repartition(3)
+    own = {}
+    for i, u in enumerate(users):
+        own.setdefault(u or "", []).append(i * 7)
+    pairs, lazy = T.positive_pairs(frame, part_rows, max_square)
+    small = {u: v for u, v in own.items() if max_square is None or len(v) ** 2 <= max_square}
+    expected = sorted((a, u, b) for u, v in small.items() for a in v for b in v)
+    assert sorted(tuple(r) for r in pairs.collect()) == expected
+    index = {(r["uid"], r["part"]): r["row_idxs"] for r in T.candidate_index(frame, part_rows)[0].collect()}
+    rest = sorted((r["anc_row"], r["uid"], b) for r in lazy.collect() for b in index[r["uid"], r["part"]])
+    assert rest == sorted((a, u, b) for u, v in own.items() if u not in small for a in v for b in v)
+    assert max(map(len, index.values())) <= part_rows
+
+
+def test_a_large_user_is_spread_over_tasks(spark):
+    frame = spark.range(600).select(F.col("id").alias("row_idx"), F.lit("hot").alias("uid"))
+    pairs, _ = T.positive_pairs(frame, part_rows=20)
+    spark.conf.set("spark.sql.adaptive.enabled", False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        pairs, _ = T.positive_pairs(frame, part_rows=20)
+        per_task = [r["count"] for r in pairs.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum(per_task) == 360_000 and len(per_task) == 4 and max(per_task) < 180_000
