@@ -2,8 +2,11 @@
 
 Paragraphs pass points for their length and commas to their ancestors; a container's points are
 discounted by its share of linked text. The best container, and siblings of it that score well or read
-like prose, are kept. Elements that are never article text (menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles, reader comments) are cut out before scoring.
+like prose, are kept. Elements that are never article text (menus, headers, footers, asides, scripts, styles)
+are cut out before scoring. Containers whose class, id or role sounds like a sidebar, notice, advert or reader
+comments, and forms, are cut out too, unless most of the page's unlinked text lies in them: such a wrapper
+around a whole page is only unwrapped, and has half its points. Words of layout and state (`has-sidebar`,
+`no-comments`, `comments-open`) name no content and do not count.
 
 A page is one row and one small tree; Spark distributes the pages. Null or empty html gives an empty
 text. A page without paragraphs is scored by its text blocks; without any text the result is empty.
@@ -44,7 +47,7 @@ CLOSES = {
 }
 # What is never article text, by element, by word of class or id, and by role.
 DROP_TAGS = frozenset(
-    "script style noscript iframe template svg math canvas object embed nav footer aside form button select textarea "
+    "script style noscript iframe template svg math canvas object embed nav footer aside button select textarea "
     "input label dialog menu head title audio video".split()
 )
 DROP_WORDS = frozenset(
@@ -56,42 +59,53 @@ DROP_WORDS = frozenset(
 )
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 KEEP_TAGS = frozenset("html body article main".split())
+COMMENT_WORDS = frozenset("comment comments commentlist respond reply replies disqus".split())
+LAYOUT_WORDS = frozenset("has no with without not non".split())  # in front: `has-sidebar`
+STATE_WORDS = frozenset("open closed enabled disabled on off".split())  # behind: `comments-open`
+MOST, NEARLY_ALL = 0.5, 0.95  # shares of the unlinked text above which a wrapper stays; readers' comments can be long
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "children", "words", "drop", "points", "text", "linked", "commas")
+    __slots__ = ("tag", "parent", "children", "words", "drop", "share", "points", "text", "linked", "commas")
 
-    def __init__(self, tag: str, parent: _Node | None, drop: bool, words: frozenset):
-        self.tag, self.parent, self.drop, self.words = tag, parent, drop, words
+    def __init__(self, tag: str, parent: _Node | None, drop: bool, share: float, words: frozenset):
+        self.tag, self.parent, self.drop, self.share, self.words = tag, parent, drop, share, words
         self.children: list[_Node | str] = []
         self.points, self.text, self.linked, self.commas = 0.0, 0, 0, 0
 
 
-def _unwanted(tag: str, attributes: str) -> tuple[bool, frozenset]:
+def _unwanted(tag: str, attributes: str) -> tuple[bool, float, frozenset]:
+    """(never article text, share of the page's text up to which it is cut, words of class and id)."""
     if tag in DROP_TAGS:
-        return True, frozenset()
+        return True, 0.0, frozenset()
+    share = MOST if tag == "form" else 0.0
     if not attributes or attributes.isspace():
-        return False, frozenset()
+        return False, share, frozenset()
     words: set[str] = set()
     hidden = False
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), next((v for v in values if v), "").lower()
         if name in ("class", "id"):
-            words.update(_SPLIT.split(value))
+            for one in value.split():
+                parts = [x for x in _SPLIT.split(one) if x]
+                if parts and parts[0] not in LAYOUT_WORDS and parts[-1] not in STATE_WORDS:
+                    words.update(parts)
         elif name == "role" and value.strip() in DROP_ROLES:
-            hidden = True
+            share = MOST
         elif name == "hidden" or name == "aria-hidden" and value == "true":
             hidden = True
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             hidden = True
     if tag in KEEP_TAGS and not (tag == "article" and words & {"comment", "comments", "reply"}):
-        return hidden, frozenset(words)
-    return hidden or bool(words & DROP_WORDS), frozenset(words)
+        return hidden, 0.0, frozenset(words)
+    if words & DROP_WORDS:
+        share = NEARLY_ALL if words & COMMENT_WORDS else max(share, MOST)
+    return hidden, share, frozenset(words)
 
 
 def parse(page: str) -> _Node:
     """A tree of the elements, tolerant of missing and stray end tags."""
-    root = here = _Node("#root", None, False, frozenset())
+    root = here = _Node("#root", None, False, 0.0, frozenset())
     at, end = 0, len(page)
     lowered = None
     while at < end:
@@ -131,8 +145,7 @@ def parse(page: str) -> _Node:
                 node = node.parent
             if last is not None:
                 here = last.parent
-        drop, words = _unwanted(tag, attributes)
-        node = _Node(tag, here, drop, words)
+        node = _Node(tag, here, *_unwanted(tag, attributes))
         here.children.append(node)
         if tag in VOID or attributes.rstrip().endswith("/") and tag not in BLOCK:
             continue
@@ -166,6 +179,15 @@ def _drop_page_headers(node: _Node) -> None:
                 stack.append((child, kept))
 
 
+def _cut_suspects(root: _Node) -> None:
+    """Containers that sound unwanted go, but for those that hold most of the page's unlinked text."""
+    order = _measure(root)
+    whole = root.text - root.linked
+    for node in order:
+        if node.share and node.text - node.linked <= node.share * whole:
+            node.drop = True
+
+
 def _measure(root: _Node) -> list[_Node]:
     """Text length, linked length and commas of each kept element; elements in page order."""
     order: list[_Node] = []
@@ -173,6 +195,7 @@ def _measure(root: _Node) -> list[_Node]:
     while stack:
         node, linked = stack.pop()
         order.append(node)
+        node.text = node.linked = node.commas = 0
         linked = linked or node.tag == "a"
         for child in node.children:
             if isinstance(child, str):
@@ -230,13 +253,8 @@ def _blocks(node: _Node, out: list[str]) -> None:
     flush()
 
 
-def main_text(page: str | None) -> str:
-    """The article of a page: blocks joined by an empty line."""
-    if not page:
-        return ""
-    root = parse(page)
-    _drop_page_headers(root)
-    order = _measure(root)
+def _score(order: list[_Node]) -> list[_Node]:
+    """Containers with points: all of a paragraph's for its parent, a half for the next, then a sixth and a ninth."""
     scored: list[_Node] = []
     for least in (25, 1):  # a page of short paragraphs only is scored by those
         for node in order:
@@ -252,15 +270,25 @@ def main_text(page: str | None) -> str:
                     share = 1 / (2 if level == 1 else 3 * level)
                     parent = parent.parent
         if scored:
-            break
-    if not scored:
-        scored = [n for n in order if n.text]
-        for n in scored:
-            own = sum(len(_squeeze(c)) for c in n.children if isinstance(c, str))
-            n.points += own / 100 + n.text / 1e6
+            return scored
+    scored = [n for n in order if n.text]
+    for n in scored:
+        own = sum(len(_squeeze(c)) for c in n.children if isinstance(c, str))
+        n.points += own / 100 + n.text / 1e6
+    return scored
+
+
+def main_text(page: str | None) -> str:
+    """The article of a page: blocks joined by an empty line."""
+    if not page:
+        return ""
+    root = parse(page)
+    _drop_page_headers(root)
+    _cut_suspects(root)
+    scored = _score(_measure(root))
     if not scored:
         return ""
-    value = {id(n): n.points * (1 - _density(n)) for n in scored}
+    value = {id(n): n.points * (1 - _density(n)) * (0.5 if n.share else 1) for n in scored}
     best = max(scored, key=lambda n: value[id(n)])
     if best.tag in ("ul", "ol", "dl", "table", "tbody", "tr") and best.parent is not None:
         best = best.parent
