@@ -218,10 +218,12 @@ def fit_quality(
     """Fit on the labelled rows outside the held-out fold, at most `sample_rows` of them.
 
     Only the chosen rows get features here; their labels are few enough to broadcast, so no text is moved.
+    An id that repeats counts once, by its smallest features, so the bound on ids is one on rows.
     """
     chosen = stage(bounded_sample(training_labels(labels, target, key), sample_rows, key))
     rows = with_features(documents.select(key, text).join(F.broadcast(chosen), key, "left_semi"), key, text)
-    got = rows.limit(2 * sample_rows).toPandas().merge(chosen.toPandas(), on=key).sort_values(key, kind="stable")
+    once = rows.groupBy(key).agg(F.min("features").alias("features"))
+    got = once.toPandas().merge(chosen.toPandas(), on=key).sort_values(key, kind="stable")
     x = np.array(got["features"].tolist(), dtype=float).reshape(len(got), len(FEATURES))
     return fit_additive(x, got["y"].to_numpy(dtype=float))
 

@@ -120,7 +120,8 @@ def fit_toxicity(
 ) -> NgramModel:
     """Ratios from at most `count_rows` labelled training rows, weights from at most `sample_rows` of them.
 
-    The chosen labels are few enough to broadcast, so no text is moved.
+    The chosen labels are few enough to broadcast, so no text is moved. For the weights an id that repeats counts
+    once, by its smallest n-grams, so the bound on ids is one on rows; ratios count every row.
     """
     known = training_labels(labels, target, key)
     labelled = documents.select(key, text).join(F.broadcast(bounded_sample(known, count_rows, key)), key)
@@ -155,7 +156,7 @@ def fit_toxicity(
     chosen = bounded_sample(known, sample_rows, key)
     rows = (
         documents.select(key, text).join(F.broadcast(chosen), key).select(key, text, "y")
-        .mapInArrow(tidy(find), f"{key} {kind}, found array<int>, y int").select(key, "found", "y").toPandas()
+        .mapInArrow(tidy(find), f"{key} {kind}, found array<int>, y int").groupBy(key, "y").agg(F.min("found").alias("found")).toPandas()
     )
     rows = rows.sort_values(key, kind="stable").reset_index(drop=True)
     found = [np.asarray(f, dtype=np.int64) for f in rows["found"]]

@@ -78,3 +78,95 @@ def test_ngrams_of_pieces_are_those_of_the_whole(monkeypatch):
     monkeypatch.setattr(toxicity, "_PIECE", 64)
     assert sorted(np.concatenate(list(toxicity.ngram_buckets(text, 16))).tolist()) == whole
     assert list(toxicity.ngram_buckets(None, 16)) == []
+
+
+def plain_tree(g, h, ridge):
+    """A tree of depth two over bins, cut by cut."""
+
+    def best(a, b):
+        found = (1e-9, None)
+        whole = sum(g[a:b]) ** 2 / (sum(h[a:b]) + ridge)
+        for c in range(a + 1, b):
+            gain = sum(g[a:c]) ** 2 / (sum(h[a:c]) + ridge) + sum(g[c:b]) ** 2 / (sum(h[c:b]) + ridge) - whole
+            if gain > found[0] + 1e-12:
+                found = (gain, c)
+        return found[1]
+
+    leaves = [(0, len(g))]
+    for _ in range(2):
+        leaves = [part for a, b in leaves for c in [best(a, b)] for part in ([(a, c), (c, b)] if c else [(a, b)])]
+    return [sum(g[a:b]) / (sum(h[a:b]) + ridge) for a, b in leaves for _ in range(a, b)]
+
+
+def test_trees_and_boosting_against_a_plain_version():
+    rng = np.random.default_rng(8)
+    for n in (1, 2, 5, 17):
+        g, h = rng.normal(0, 3, n), rng.uniform(0, 2, n)
+        assert quality._tree(g, h, 2.0) == pytest.approx(plain_tree(g.tolist(), h.tolist(), 2.0))
+    x = np.round(rng.normal(0, 1, (60, 2)), 1)
+    y = (x[:, 0] + rng.normal(0, 0.5, 60) > 0).astype(float)
+    model = quality.fit_additive(x, y, rounds=4, bins=5, pairs=0)
+    total = np.full(60, np.log((y.sum() + 1) / (62 - y.sum() - 1)))
+    tables = [[0.0] * (len(e) + 1) for e in model.edges]
+    place = [[sum(v >= c for c in model.edges[j]) for v in x[:, j]] for j in range(2)]
+    for _ in range(4):
+        for j in range(2):
+            g, h = [0.0] * len(tables[j]), [0.0] * len(tables[j])
+            for k in range(60):
+                p = 1 / (1 + np.exp(-total[k]))
+                g[place[j][k]] += y[k] - p
+                h[place[j][k]] += p * (1 - p)
+            step = [0.15 * v for v in plain_tree(g, h, 2.0)]
+            tables[j] = [a + b for a, b in zip(tables[j], step)]
+            total = total + np.array([step[b] for b in place[j]])
+    for j in range(2):
+        assert model.tables[j] == pytest.approx(tables[j])
+    assert model.score(x) == pytest.approx(1 / (1 + np.exp(-total)))
+
+
+def test_ratios_and_score_against_a_plain_version(documents, labels):
+    docs, marks = corpus(120)
+    model = toxicity.fit_toxicity(documents(docs), labels(marks), bits=14, kept=300, steps=50)
+    y = {k: t for k, _, t, _ in marks if crc_mod(k, 4) != 2}
+    texts = {k: t for k, t in docs if k in y}
+
+    def grams(text):
+        raw = f" {' '.join(text.lower().split())} ".encode()
+        out = set()
+        for n in toxicity.ORDERS:
+            for i in range(len(raw) - n + 1):
+                value = int.from_bytes(raw[i:i + n], "big") + (n << 48)
+                out.add((value * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 50)
+        return out
+
+    present = {k: grams(t) for k, t in texts.items()}
+    positive, negative = sum(y.values()), len(y) - sum(y.values())
+    counts = {}
+    for k, found in present.items():
+        for b in found:
+            counts.setdefault(b, [0, 0])[y[k]] += 1
+    rate = positive / len(y)
+    surprise = {b: (p - (p + n) * rate) ** 2 / ((p + n) * rate * (1 - rate) + 1) for b, (n, p) in counts.items()}
+    best = sorted(counts, key=lambda b: (-surprise[b], b))[:300]
+    assert sorted(np.flatnonzero(model.slot >= 0).tolist()) == sorted(best)
+    # The fit is the minimum of a convex loss: at zero weights the loss is larger, and the score is the sum of bin weights.
+    for k, text in docs[:40]:
+        total = model.intercept + sum(model.weights[model.slot[b]] for b in grams(text) if model.slot[b] >= 0)
+        assert model.score(text) == pytest.approx(1 / (1 + np.exp(-total)))
+    slots = {b: int(model.slot[b]) for b in best}
+    ratio = np.zeros(300)
+    for b, at in slots.items():
+        n, p = counts[b]
+        ratio[at] = np.log((p + 0.5) / (positive + 1)) - np.log((n + 0.5) / (negative + 1))
+    assert np.all(np.sign(model.weights) * np.sign(ratio) >= 0) or np.corrcoef(model.weights, ratio)[0, 1] > 0.5
+
+
+@pytest.mark.parametrize("classify", [quality.classify_quality, toxicity.classify_toxicity])
+def test_an_id_that_repeats_counts_once(documents, labels, classify):
+    docs, marks = corpus(80)
+    hot = next(k for k, *_ in marks if crc_mod(k, 4) != 2)
+    more = docs + [(hot, f"a text {n % 7} of a hot id") for n in range(90)]
+    scores = [
+        sorted((str(r["doc_id"]), r["score"]) for r in classify(documents(more).repartition(parts), labels(marks)).collect()) for parts in (1, 5)
+    ]
+    assert scores[0] == scores[1] and len(scores[0]) == 170
