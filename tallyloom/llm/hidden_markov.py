@@ -9,9 +9,11 @@ from those sums and a Dirichlet prior proportional to the word frequencies. A sc
 end token, from the scaled forward recursion.
 
 Texts are encoded once into symbol numbers and written; passes read those. Texts of similar length advance
-together through the recursion. What a task holds is bounded: the tables have (vocabulary + rare) rows of
-`states` numbers, and long texts are worked off piece by piece in the forward direction; the backward pass
-keeps the forward values of one text at a time at most, or of a batch of bounded size. Counts of words
+together through the recursion; their tokens are laid out by time, so a step works on consecutive rows of
+arrays that are looked up and added up once for the whole batch. What a task holds is bounded: the tables have
+(vocabulary + rare) rows of `states` numbers, and long texts are worked off piece by piece in the forward
+direction; the backward pass keeps the values of one text at a time at most, or of a batch of bounded size.
+Expected counts are taken in single precision and added up in double; scores are in double. Counts of words
 outside the vocabulary reach the documents by a join on the word, with a document's repeats counted before.
 
 Defined cases: a null text is the empty text: one token, its end. Without training texts counts are zero,
@@ -21,6 +23,7 @@ id is hashed as the empty text. An empty table gives an empty result. Further co
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,7 +37,7 @@ from tallyloom.llm.common import crc_remainder, tidy
 from tallyloom.operators.staging import stage
 
 END = 0  # symbol of the end of a text
-_TOKENS = 200_000  # tokens of a batch in the recursions
+_TOKENS = 400_000  # tokens of a batch in the recursions
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -47,11 +50,26 @@ def word_key(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word) - (1 << 63)
 
 
+class Codes(dict):
+    """Symbol of a word: its own if it is frequent, else that of its class. Words met before are remembered."""
+
+    def __init__(self, code: dict[int, int], symbols: int, rare: int):
+        super().__init__()
+        self.code, self.symbols, self.rare = code, symbols, rare
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        key = word_key(word)
+        self[word] = found = self.code.get(key) or self.symbols + key % self.rare
+        return found
+
+
 def word_counts(documents: DataFrame, text: str, training: str) -> DataFrame:
     """(word, n): occurrences of every word (by key) in the training texts; sums are combined in the tasks first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[bytes, int] = {}
+        counts: Counter[bytes] = Counter()
 
         def flush():
             keys = np.fromiter(map(word_key, counts), dtype=np.int64, count=len(counts))
@@ -61,8 +79,7 @@ def word_counts(documents: DataFrame, text: str, training: str) -> DataFrame:
 
         for batch in batches:
             for value in batch.column(0):
-                for word in words_of(value.as_py()):
-                    counts[word] = counts.get(word, 0) + 1
+                counts.update(words_of(value.as_py()))
                 if len(counts) > 500_000:
                     yield flush()
         yield flush()
@@ -90,54 +107,84 @@ def batches_of(lengths: np.ndarray) -> Iterator[np.ndarray]:
         at += n
 
 
-def forward(model: Model, codes: np.ndarray, offsets: np.ndarray, rows: np.ndarray, keep: bool):
-    """Log likelihoods of rows sorted by falling length; with `keep` also the scaled forward values and scales.
-
-    codes[offsets[r]:offsets[r + 1]] are the symbols of row r.
-    """
-    lengths = offsets[rows + 1] - offsets[rows]
-    starts = offsets[rows]
-    alive = np.searchsorted(-lengths, -np.arange(1, lengths[0] + 1), side="right")  # rows longer than t
-    log = np.zeros(len(rows))
-    values, scales = [], []
-    state = None
-    for t, n in enumerate(alive):
-        e = model.emit[codes[starts[:n] + t]]
-        state = (model.start * e) if t == 0 else (state[:n] @ model.move) * e
-        scale = state.sum(axis=1)
-        state = state / scale[:, None]
-        log[:n] += np.log(scale)
-        if keep:
-            values.append(state)
-            scales.append(scale)
-    return log, values, scales, alive
-
-
-def expected_counts(model: Model, codes: np.ndarray, offsets: np.ndarray, rows: np.ndarray, emit: np.ndarray, move: np.ndarray, start: np.ndarray) -> float:
-    """Add the expected counts of some rows to the three tables; the log likelihood is returned."""
-    log, values, scales, alive = forward(model, codes, offsets, rows, True)
-    starts = offsets[rows]
-    back = np.zeros((0, len(model.start)))
-    symbols, weights = [], []
-    for t in range(len(alive) - 1, -1, -1):
-        n = alive[t]
-        ended = np.ones((n - len(back), len(model.start)))
-        back = np.concatenate([back, ended]) if len(ended) else back
-        gamma = values[t] * back
-        gamma /= gamma.sum(axis=1, keepdims=True)
-        at = codes[starts[:n] + t]
-        symbols.append(at)
-        weights.append(gamma)
-        if t:
-            ahead = back * model.emit[at] / scales[t][:, None]
-            move += model.move * (values[t - 1][:n].T @ ahead)
-            back = ahead @ model.move.T
+class Layout:
+    """Tokens of rows sorted by falling length, by time and then by row: step t holds rows 0 to alive[t] - 1."""
+
+    def __init__(self, offsets: np.ndarray, rows: np.ndarray):
+        lengths = offsets[rows + 1] - offsets[rows]
+        self.starts = offsets[rows]
+        self.alive = np.searchsorted(-lengths, -np.arange(1, lengths[0] + 1), side="right")
+        self.first = np.concatenate(([0], np.cumsum(self.alive)))
+
+    def pieces(self) -> Iterator[tuple[int, int]]:
+        """Steps in runs of bounded numbers of tokens."""
+        at, steps = 0, len(self.alive)
+        while at < steps:
+            end = max(at + 1, int(np.searchsorted(self.first, self.first[at] + _TOKENS, side="right")) - 1)
+            yield at, min(end, steps)
+            at = min(end, steps)
+
+    def rows(self, at: int, end: int) -> np.ndarray:
+        """Row of each token of some steps."""
+        n = self.alive[at:end]
+        return np.arange(self.first[at], self.first[end]) - np.repeat(self.first[at:end], n)
+
+    def tokens(self, codes: np.ndarray, at: int, end: int) -> np.ndarray:
+        """Symbols of some steps."""
+        return codes[self.starts[self.rows(at, end)] + np.repeat(np.arange(at, end), self.alive[at:end])]
+
+
+def _advance(model: Model, layout: Layout, at: int, end: int, emitted: np.ndarray, state: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """(scaled forward values, scales) of some steps; `state` is that of the step before."""
+    values, scales = np.empty_like(emitted), np.empty(len(emitted), dtype=emitted.dtype)
+    ones = np.ones(emitted.shape[1], dtype=emitted.dtype)
+    for t in range(at, end):
+        own = slice(layout.first[t] - layout.first[at], layout.first[t + 1] - layout.first[at])
+        value = values[own]
+        if state is None:
+            np.multiply(emitted[own], model.start, out=value)
         else:
-            start += gamma.sum(axis=0)
-    symbols, weights = np.concatenate(symbols), np.concatenate(weights)
-    for s in range(weights.shape[1]):
-        emit[:, s] += np.bincount(symbols, weights=weights[:, s], minlength=len(emit))
-    return float(log.sum())
+            np.matmul(state[: len(value)], model.move, out=value)
+            value *= emitted[own]
+        value /= np.dot(value, ones, out=scales[own])[:, None]
+        state = value
+    return values, scales
+
+
+def forward(model: Model, codes: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Log likelihoods of rows sorted by falling length; codes[offsets[r]:offsets[r + 1]] are the symbols of row r."""
+    layout, log, state = Layout(offsets, rows), np.zeros(len(rows)), None
+    for at, end in layout.pieces():
+        values, scales = _advance(model, layout, at, end, model.emit[layout.tokens(codes, at, end)], state)
+        log += np.bincount(layout.rows(at, end), weights=np.log(scales), minlength=len(rows))
+        state = values[len(values) - layout.alive[end - 1]:]
+    return log
+
+
+def expected_counts(model: Model, codes: np.ndarray, offsets: np.ndarray, rows: np.ndarray, emit: np.ndarray, move: np.ndarray, start: np.ndarray) -> None:
+    """Add the expected counts of some rows to the three tables, in the precision of the model's tables."""
+    layout = Layout(offsets, rows)
+    alive, first, steps = layout.alive, layout.first, len(layout.alive)
+    symbols = layout.tokens(codes, 0, steps)
+    ahead = model.emit[symbols]
+    values, scales = _advance(model, layout, 0, steps, ahead, None)
+    ahead /= scales[:, None]
+    # Scaled backward values; a row that ends has ones. `ahead` becomes what a step sends to the one before.
+    back, turned = np.ones_like(values), np.ascontiguousarray(model.move.T)
+    for t in range(steps - 1, 0, -1):
+        sent = ahead[first[t]:first[t + 1]]
+        sent *= back[first[t]:first[t + 1]]
+        np.matmul(sent, turned, out=back[first[t - 1]:first[t - 1] + alive[t]])
+    back *= values
+    norm = back @ np.ones(back.shape[1], dtype=back.dtype)  # 1 but for rounding
+    back /= norm[:, None]
+    values /= norm[:, None]
+    start += back[: alive[0]].sum(axis=0, dtype=np.float64)
+    before = np.arange(alive[0], len(symbols)) - np.repeat(alive[:-1], alive[1:])  # the same row, a step earlier
+    for at in range(0, len(before), 1 << 16):
+        move += model.move * (values[before[at:at + (1 << 16)]].T @ ahead[alive[0] + at:alive[0] + at + (1 << 16)])
+    for s in range(back.shape[1]):
+        emit[:, s] += np.bincount(symbols, weights=back[:, s], minlength=len(emit))
 
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -158,7 +205,8 @@ def train(encoded: DataFrame, weight: np.ndarray, states: int, rounds: int, prio
         size = len(weight)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            model = sent.value
+            tables = sent.value
+            model = Model(*(x.astype(np.float32) for x in (tables.start, tables.move, tables.emit)))
             e, m, s = np.zeros((size, states)), np.zeros((states, states)), np.zeros(states)
             for batch in batches:
                 codes, offsets = _lists(batch.column(0))
@@ -220,30 +268,20 @@ def score_documents(
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, logs = table.value
-        cache: dict[bytes, int] = {}
+        find = Codes(code, len(logs), rare)
         for batch in batches:
             codes, known_score, rare_words, rare_counts, lengths = [], [], [], [], []
             for value in batch.column(1):
-                row, others = [], {}
-                for word in words_of(value.as_py()):
-                    c = cache.get(word)
-                    if c is None:
-                        if len(cache) > 300_000:
-                            cache.clear()
-                        w = word_key(word)
-                        cache[word] = c = code.get(w) or -1
-                    if c < 0:
-                        w = word_key(word)
-                        others[w] = others.get(w, 0) + 1
-                        c = len(logs) + w % rare
-                    row.append(c)
-                row.append(END)
-                row = np.array(row, dtype=np.int32)
+                words = words_of(value.as_py())
+                row = np.full(len(words) + 1, END, dtype=np.int32)
+                row[:-1] = np.fromiter(map(find.__getitem__, words), dtype=np.int32, count=len(words))
+                frequent = row < len(logs)
+                others = Counter(words[i] for i in np.flatnonzero(~frequent).tolist())
+                usual = row[frequent]
                 codes.append(row)
                 lengths.append(len(row))
-                usual = row[row < len(logs)]
                 known_score.append((float(logs[usual].sum()), len(usual) if ends else len(usual) - 1))
-                rare_words.append(list(others))
+                rare_words.append(list(map(word_key, others)))
                 rare_counts.append(list(others.values()))
             offsets = pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32))
             flat = pa.array(np.concatenate(codes) if codes else np.zeros(0, dtype=np.int32))
@@ -280,7 +318,7 @@ def score_documents(
             codes, offsets = _lists(batch.column(1))
             out = np.zeros(batch.num_rows)
             for rows in batches_of(np.diff(offsets)):
-                out[rows] = forward(final.value, codes, offsets, rows, False)[0] / np.log(10)
+                out[rows] = forward(final.value, codes, offsets, rows) / np.log(10)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], names=["row", "likelihood"])
 
     del size

@@ -31,7 +31,7 @@ def test_forward_against_all_state_paths():
     codes = np.array([c for t in texts for c in t])
     offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
     for rows in hm.batches_of(np.diff(offsets)):
-        log = hm.forward(model, codes, offsets, rows, False)[0]
+        log = hm.forward(model, codes, offsets, rows)
         for r, value in zip(rows, log):
             assert value == pytest.approx(math.log(plain_likelihood(model, texts[r])))
 
@@ -59,6 +59,35 @@ def test_expected_counts_against_all_state_paths():
     assert np.allclose(emit, e) and np.allclose(move, m) and np.allclose(start, s)
 
 
+@pytest.mark.parametrize("tokens", [1, 7, 10_000])
+def test_pieces_and_single_precision(monkeypatch, tokens):
+    """Long texts in pieces give the same likelihoods; counts in single precision are those in double."""
+    monkeypatch.setattr(hm, "_TOKENS", tokens)
+    rng = np.random.default_rng(4)
+    model = model_of(4, 30, 3)
+    lengths = rng.integers(1, 400, 25)
+    codes = rng.integers(0, 30, lengths.sum()).astype(np.int32)
+    offsets = np.concatenate(([0], np.cumsum(lengths)))
+    single = hm.Model(*(x.astype(np.float32) for x in (model.start, model.move, model.emit)))
+    sums = [(np.zeros((30, 4)), np.zeros((4, 4)), np.zeros(4)) for _ in range(2)]
+    seen = []
+    for rows in hm.batches_of(lengths):
+        seen += rows.tolist()
+        for row, log in zip(rows, hm.forward(model, codes, offsets, rows)):
+            state, expected = model.start, 0.0
+            for t, c in enumerate(codes[offsets[row]:offsets[row + 1]]):
+                state = (state if t == 0 else state @ model.move) * model.emit[c]
+                expected += math.log(state.sum())
+                state = state / state.sum()
+            assert log == pytest.approx(expected)
+        for which, tables in zip((model, single), sums):
+            hm.expected_counts(which, codes, offsets, rows, *tables)
+    assert sorted(seen) == list(range(25))
+    for double, float32 in zip(*sums):
+        assert np.allclose(double, float32, rtol=1e-4)
+    assert sums[0][0].sum() == pytest.approx(lengths.sum()) and sums[0][1].sum() == pytest.approx(lengths.sum() - 25)
+
+
 def plain_base(rows):
     tokens = lambda t: (t or "").encode().lower().split() + [None]
     counts = Counter(w for k, t in rows if crc_mod(k, 10) for w in tokens(t))
