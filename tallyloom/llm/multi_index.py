@@ -25,14 +25,17 @@ table gives an empty result. Further columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.config import LIMITS
 from tallyloom.llm.common import bounded_sample, connected_components, local_stars
 from tallyloom.llm.vectors import matrix, sound
+from tallyloom.operators.skew import lookup_join
 from tallyloom.operators.staging import stage
 
 
@@ -168,17 +171,25 @@ def near_duplicates(
                     new[1:] = (row[1:] != row[:-1]) | (i[1:] != i[:-1]) | (j[1:] // run != j[:-1] // run)
                     starts = np.flatnonzero(new)
                     lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(row)), pa.int32()), pa.array(j, pa.int32()))
+                    x, y = grid.cell(u)
+                    home = (x * len(grid.second) + y)[row[starts]]
+                    reach = pa.ListArray.from_arrays(pa.array(np.zeros(len(starts) + 1), pa.int32()), pa.array([], pa.int32()))
                 else:
+                    x, y = grid.sequence(u, grid.visits)
+                    flat = pa.array((x * len(grid.second) + y).ravel(), pa.int32())
+                    reach = pa.ListArray.from_arrays(pa.array(np.arange(len(u) + 1) * x.shape[1], pa.int32()), flat)
                     i, j = grid.cell(u)
                     row, starts = np.arange(len(u)), np.arange(len(u))
                     lists = pa.ListArray.from_arrays(pa.array(np.arange(len(u) + 1), pa.int32()), pa.array(j, pa.int32()))
+                    home = i * len(grid.second) + j
                 at = pa.array(row[starts])
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.full(len(starts), dim), pa.int32()), pa.array(i[starts], pa.int32()),
                         pa.array(j[starts] // run, pa.int32()), *(some.column(c).take(at) for c in ("first", "copies", "v")), lists,
+                        pa.array(home, pa.int32()), reach,
                     ],
-                    names=["dim", "i", "run", "first", "copies", "v", "cells"],
+                    names=["dim", "i", "run", "first", "copies", "v", "cells", "home", "reach"],
                 )
 
     def members_of(batches):
@@ -189,7 +200,7 @@ def near_duplicates(
         for batch in batches:
             yield from placed(batch, True)
 
-    shape = fields + ", cells array<int>"
+    shape = fields + ", cells array<int>, home int, reach array<int>"
     members = stage(entries.mapInArrow(members_of, shape))
     visitors = stage(entries.mapInArrow(visitors_of, shape))
     place = ["dim", "i", "run"]
@@ -216,7 +227,17 @@ def near_duplicates(
         allowed = np.zeros((len(own), len(seen)), dtype=bool)
         held = seen[slot] == asked
         allowed[row[held], slot[held]] = True
-        counts = np.zeros(len(own), dtype=np.int64)
+        # Members that do not visit the visitor's cell: the pair counts for them here.
+        homes, home = np.unique(coming["home"].to_numpy(), return_inverse=True)
+        reach = here["reach"].combine_chunks()
+        asked = reach.flatten().to_numpy()
+        row = np.repeat(np.arange(len(ids)), reach.value_lengths().to_numpy())
+        slot = np.clip(np.searchsorted(homes, asked), 0, len(homes) - 1)
+        held = homes[slot] == asked
+        unseen = np.ones((len(ids), len(homes)), dtype=bool)
+        unseen[row[held], slot[held]] = False
+        visiting = coming["copies"].to_numpy()
+        counts, back = np.zeros(len(own), dtype=np.int64), np.zeros(len(ids), dtype=np.int64)
         a, b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
         for start in range(0, len(own), 512):
             some = slice(start, start + 512)
@@ -226,6 +247,7 @@ def near_duplicates(
                 if not linked.any():
                     continue
                 counts[some] += linked.astype(np.int64) @ copies[to]
+                back[to] += (linked.T & unseen[to][:, home[some]]).astype(np.int64) @ visiting[some]
                 u, v = np.nonzero(linked)
                 names, inverse = np.unique(np.concatenate([own[some][u], ids[to][v]]), return_inverse=True)
                 x, y = local_stars(inverse[: len(u)], inverse[len(u):], names)
@@ -234,12 +256,13 @@ def near_duplicates(
         x, y = np.concatenate(a), np.concatenate(b)
         names, inverse = np.unique(np.concatenate([x, y]), return_inverse=True)
         x, y = local_stars(inverse[: len(x)], inverse[len(x):], names)
-        counted = np.flatnonzero(counts)
+        ends, numbers = np.concatenate([own, ids]), np.concatenate([counts, back])
+        counted = np.flatnonzero(numbers)
         return pa.table(
             {
-                "a": pa.array(np.concatenate([x, own[counted]])),
+                "a": pa.array(np.concatenate([x, ends[counted]])),
                 "b": pa.concat_arrays([pa.array(y), pa.nulls(len(counted), pa.int64())]),
-                "n": pa.concat_arrays([pa.nulls(len(x), pa.int64()), pa.array(counts[counted])]),
+                "n": pa.concat_arrays([pa.nulls(len(x), pa.int64()), pa.array(numbers[counted])]),
             }
         )
 
@@ -250,7 +273,9 @@ def near_duplicates(
         entries.join(links, F.col("first") == F.col("link_id"), "left").join(groups, F.col("first") == F.col("id"), "left")
         .select("v", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "first").alias("component"))
     )
-    linked = good.join(named, "v").select("id", "n_links", "component")
+    # Arrays cannot be listed in a plan, so equal vectors in masses are found and salted through a table.
+    limits = replace(LIMITS, literal_keys=0, broadcast_bytes=8 << 20)
+    linked = lookup_join(good, named, "v", spread=("id",), limits=limits).select("id", "n_links", "component")
     alone = rows.filter(~F.coalesce(fit, F.lit(False))).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
     return linked.union(alone).select(
         F.col("id").alias(key), "n_links", "component", F.coalesce(F.col("id") == F.col("component"), F.lit(False)).alias("kept")

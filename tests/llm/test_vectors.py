@@ -48,6 +48,28 @@ def test_embedding_links_against_brute_force(vectors, components, block_rows):
     assert got[907] == (1, 906, False)
 
 
+def test_a_pair_found_from_one_side_counts_for_both(vectors, monkeypatch):
+    """With few visits many pairs are found from one side only; links and components still agree."""
+    rng = np.random.default_rng(9)
+    middles = rng.normal(0, 1, (12, 8))
+    rows = [(i, (middles[i % 12] + rng.normal(0, 0.4, 8)).tolist()) for i in range(360)] + [(1000 + i, [1.0] * 8) for i in range(5)]
+    real = multi_index.fit_grid
+
+    def narrow(*a, **k):
+        grid = real(*a, **k | {"per_cell": 2})
+        grid.visits = 2
+        return grid
+
+    monkeypatch.setattr(multi_index, "fit_grid", narrow)
+    got = multi_index.near_duplicates(vectors(rows), block_rows=16).collect()
+    sizes = {}
+    for r in got:
+        sizes[r["component"]] = sizes.get(r["component"], 0) + 1
+    assert sum(r["n_links"] for r in got) % 2 == 0 and sum(r["n_links"] for r in got) > 300
+    assert all((r["n_links"] > 0) == (sizes[r["component"]] > 1) for r in got)
+    assert sum(r["n_links"] for r in got) < len(linked(rows)[1])  # some pairs are missed here
+
+
 def test_embedding_edge_tables(vectors):
     assert multi_index.near_duplicates(vectors([])).collect() == []
     twice = multi_index.near_duplicates(vectors([(3, [1.0, 0.0]), (3, [1.0, 0.0]), (5, [0.0, 1.0])])).collect()
