@@ -26,6 +26,7 @@ from __future__ import annotations
 import functools
 import math
 from collections.abc import Iterator
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -35,12 +36,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyloom.config import LIMITS
 from tallyloom.llm.common import connected_components, local_stars, tidy
-from tallyloom.operators.skew import lookup_join
+from tallyloom.operators.skew import fresh, lookup_join
 from tallyloom.operators.staging import stage
 
 SEED = 42
 PARTS = 4  # 64-bit fingerprints of a text in `keep_one`
+_SETS = replace(LIMITS, broadcast_bytes=8 << 20)  # shingle sets are several times larger in memory than counted
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -259,7 +262,8 @@ def sketches(documents: DataFrame, key: str, text: str, shingle: int) -> DataFra
 def closest_rows(a: dict, b: dict | None, radius: int, wide: int, similarity: float, width: int, tile: int = 256) -> tuple:
     """Positions i, j and distances of candidates of different components, the `width` + 1 closest of each row of a.
 
-    a and b hold the arrays component, size and prints (rows x PARTS, uint64). A candidate pair differs in at
+    a and b hold the arrays component, size, prints (rows x PARTS, uint64) and ones, the population counts of the
+    first part, by which they are sorted: tile pairs whose counts differ beyond the radius are skipped. A candidate pair differs in at
     most `radius` bits of the first part and `wide` bits in all, and its sizes allow the similarity. b None: inside
     a, i < j.
     """
@@ -276,9 +280,11 @@ def closest_rows(a: dict, b: dict | None, radius: int, wide: int, similarity: fl
     out = [(none, none, none)]
     for start in range(0, len(a["size"]), tile):
         found, held = [(none, none, none)], 0
-        first, own = a["prints"][start:start + tile, :1], a["component"][start:start + tile]
+        first, own, mine = a["prints"][start:start + tile, :1], a["component"][start:start + tile], a["ones"][start:start + tile]
         for at in range(start if inside else 0, len(b["size"]), 4 * tile):
-            other = b["component"][at:at + 4 * tile]
+            other, ones = b["component"][at:at + 4 * tile], b["ones"][at:at + 4 * tile]
+            if ones[0] - mine[-1] > radius or mine[0] - ones[-1] > radius:
+                continue  # fingerprints whose population counts differ by more differ in more bits
             if own[0] == other[0] and (own == own[0]).all() and (other == own[0]).all():
                 continue
             u, v = np.nonzero(np.bitwise_count(first ^ b["prints"][None, at:at + 4 * tile, 0]) <= radius)
@@ -329,12 +335,13 @@ def closest_nodes(nodes: DataFrame, radius: int, wide: int, similarity: float, w
     ).select(*columns, "low.level", "low.block", F.col("high.level").alias("level2"), F.col("high.block").alias("block2"), "first")
 
     def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["component", "node"])
+        rows["ones"] = np.bitwise_count(rows["f0"].to_numpy(dtype=np.int64).view(np.uint64)).astype(np.int64)
+        rows = rows.sort_values(["ones", "component", "node"])
         first = rows["first"].to_numpy(dtype=bool)
         sides = []
         for side in (rows[first], rows[~first]):
             prints = np.stack([side[f"f{n}"].to_numpy(dtype=np.int64) for n in range(PARTS)], axis=1).view(np.uint64)
-            sides.append({"component": side["component"].to_numpy(), "size": side["size"].to_numpy(), "prints": prints, "node": side["node"].to_numpy()})
+            sides.append({"component": side["component"].to_numpy(), "size": side["size"].to_numpy(), "prints": prints, "node": side["node"].to_numpy(), "ones": side["ones"].to_numpy()})
         inside = key[0] == key[2] and key[1] == key[3]
         x, y = sides[0], None if inside else sides[1]
         i, j, d = closest_rows(x, y, radius, wide, similarity, width)
@@ -372,12 +379,11 @@ def similar_components(
         pairs = near.filter(F.col("rank") <= width).select("a", "b")
         touched = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         wanted = nodes.join(touched, "node").select("node", F.col("owner.content").alias("content"), F.col("owner.key").alias("first"))
-        texts = lookup_join(rows, wanted, "content", "inner").filter(F.col("key").eqNullSafe(F.col("first"))).select("node", "text")
+        texts = lookup_join(rows, wanted, "content", "inner", limits=_SETS).filter(F.col("key").eqNullSafe(F.col("first"))).select("node", "text")
         sets = stage(texts.mapInArrow(tidy(run), "node long, shingles array<long>").dropDuplicates(["node"]))
         left = pairs.join(sets.withColumnRenamed("node", "a"), "a")
-        both = lookup_join(left, sets.select(F.col("node").alias("b"), F.col("shingles").alias("other")), "b", "inner").withColumn(
-            "both", F.size(F.array_intersect("shingles", "other"))
-        )
+        other = sets.select(F.col("node").alias("b"), F.col("shingles").alias("other"))
+        both = lookup_join(left, other, "b", "inner", limits=_SETS).withColumn("both", F.size(F.array_intersect("shingles", "other")))
         near_enough = F.col("both") >= similarity * (F.size("shingles") + F.size("other") - F.col("both")) - 1e-9
         more = stage(both.filter(near_enough).select("a", "b"))
         links = more if links is None else links.union(more)
@@ -387,6 +393,14 @@ def similar_components(
         width *= 16
 
 
+def _smallest(documents: DataFrame, key: str, text: str) -> DataFrame:
+    """One row per key, by a defined order and combined map-side."""
+    rest = [text, *(c for c in documents.columns if c not in (key, text))]
+    row = fresh("_row", documents)
+    one = documents.groupBy(key).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in rest])).alias(row))
+    return one.select(key, *[F.col(f"{row}.`{c}`").alias(c) for c in rest]).select(*documents.columns)
+
+
 def keep_one(
     documents: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, recall: float = 0.995,
     block_rows: int = 8_192,
@@ -398,8 +412,8 @@ def keep_one(
     are compared exactly before they link. Texts with fewer words than a shingle are one shingle; texts
     without words are copies of each other.
 
-    Rows that repeat that id are copies of one document and are reduced to one row; rows without an id
-    cannot be told apart and stay.
+    Rows that repeat that id are copies of one document and are reduced to one row, the one with the smallest text
+    (then the smallest other columns); rows without an id cannot be told apart and stay.
     """
     prints = stage(sketches(documents, key, text, shingle))
     nodes = stage(
@@ -414,5 +428,5 @@ def keep_one(
     found = stage(prints.join(chosen, key).select(key))
     once = found.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     single = lookup_join(documents, once.filter("_n = 1").select(key), key, "left_semi")
-    several = lookup_join(documents, once.filter("_n > 1").select(key), key, "left_semi").dropDuplicates([key])
+    several = _smallest(lookup_join(documents, once.filter("_n > 1").select(key), key, "left_semi"), key, text)
     return single.unionByName(several).unionByName(documents.filter(F.col(key).isNull())).select(*documents.columns)

@@ -3,8 +3,10 @@ import random
 import numpy as np
 import xxhash
 
+from tallyloom.config import SizeLimits
 from tallyloom.llm import simhash
 from tallyloom.llm.common import connected_components
+from tallyloom.operators import skew
 
 
 def plain_fingerprint(text):
@@ -107,3 +109,22 @@ def test_radius_is_calibrated():
         a, b = x[:90], np.concatenate([x[:80], x[90:]])  # similarity 0.8
         missed += np.bitwise_count(simhash.wide_fingerprint(a)[0] ^ simhash.wide_fingerprint(b)[0]) > radius
     assert missed <= 10 and radius < 32
+
+
+def test_rows_that_share_an_id_are_reduced_by_a_defined_order(documents):
+    rows = [(7, f"text {c} of one id " * 4) for c in "zbaq"] + [(8, "another text " * 9), (None, "no id"), (None, "no id")]
+    for parts in (1, 3, 7):
+        kept = {(r["doc_id"], r["text"]) for r in simhash.keep_one(documents(rows).repartition(parts)).collect()}
+        assert kept == {(7, "text a of one id " * 4), (8, "another text " * 9), (None, "no id")}
+
+
+def test_near_dedup_beyond_the_broadcast_bounds(documents, monkeypatch):
+    """Every lookup of the stage is shuffled, with salted keys."""
+    rng = random.Random(5)
+    base = [" ".join(rng.choice("abcdefghijklmnop") * 3 + str(rng.randint(0, 400)) for _ in range(60)) for _ in range(12)]
+    rows = [(i, base[i % 12] + (" extra" if i % 5 == 0 else "")) for i in range(60)]
+    plain = sorted(r["doc_id"] for r in simhash.keep_one(documents(rows)).collect())
+    tiny = SizeLimits(broadcast_rows=0, broadcast_bytes=0, group_rows=2, literal_keys=0)
+    monkeypatch.setattr(simhash, "_SETS", tiny)
+    monkeypatch.setattr(simhash, "lookup_join", lambda *a, **k: skew.lookup_join(*a, **{**k, "limits": tiny}))
+    assert sorted(r["doc_id"] for r in simhash.keep_one(documents(rows)).collect()) == plain == list(range(12))
