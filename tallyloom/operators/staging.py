@@ -32,7 +32,9 @@ def stage(df: DataFrame) -> DataFrame:
     path = f"{staging_root(spark)}/staged/{uuid.uuid4().hex}"
     df.write.parquet(path)
     _STAGED.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.staged_path = path
+    return table
 
 
 def stage_counted(df: DataFrame) -> tuple[DataFrame, int]:
@@ -41,11 +43,25 @@ def stage_counted(df: DataFrame) -> tuple[DataFrame, int]:
     return table, table.count()
 
 
-def release_staged(spark: SparkSession) -> int:
-    """Delete the staged tables of this process once their readers are done."""
+def staged_paths() -> list[str]:
+    """Folders of the staged tables of this process that still exist."""
+    return list(_STAGED)
+
+
+def release_staged(spark: SparkSession, paths: list[str] | None = None) -> int:
+    """Delete staged tables of this process, all or those in some folders, once their readers are done."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path  # the only public way to reach the cluster's file system
     removed = 0
-    while _STAGED:
-        target = hadoop(_STAGED.pop())
-        removed += bool(target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True))
+    for path in staged_paths() if paths is None else paths:
+        if path in _STAGED:
+            _STAGED.remove(path)
+            target = hadoop(path)
+            removed += bool(target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True))
     return removed
+
+
+def unstage(*tables: DataFrame | None) -> None:
+    """Delete tables made by `stage` that nothing reads any more, as those of earlier rounds of an iteration."""
+    for table in tables:
+        if table is not None:
+            release_staged(table.sparkSession, [table.staged_path])
