@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.operators.staging import stage
+from tallyloom.operators.staging import stage, unstage
 
 WORD = r"[^\x20\x09-\x0D]+"  # a word of the contracts: a run without ASCII white space
 
@@ -70,7 +70,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """(id, component): the smallest id reachable, for every vertex of an edge.
 
     Alternating large-star and small-star rounds. Minima are combined map-side, so a vertex with very
-    many edges is no bottleneck; every round is written to the shared folder, which cuts the lineage.
+    many edges is no bottleneck; every round is written to the shared folder, which cuts the lineage, and
+    deleted when the next one is.
     Self loops, repeated edges and null ends do no harm; no edges give an empty table.
     """
     pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
@@ -82,7 +83,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(low, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        state = stage(moved.union(low.select("u", F.col("m").alias("v"))).filter("u != v").distinct())
+        last, state = state, stage(moved.union(low.select("u", F.col("m").alias("v"))).filter("u != v").distinct())
+        unstage(last)
         before, mark = mark, mark_of(state, "u", "v")
         if before == mark:
             break

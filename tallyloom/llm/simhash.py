@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from tallyloom.config import LIMITS
 from tallyloom.llm.common import connected_components, local_stars, tidy
 from tallyloom.operators.skew import fresh, lookup_join
-from tallyloom.operators.staging import stage
+from tallyloom.operators.staging import stage, unstage
 
 SEED = 42
 PARTS = 4  # 64-bit fingerprints of a text in `keep_one`
@@ -387,8 +387,10 @@ def similar_components(
         near_enough = F.col("both") >= similarity * (F.size("shingles") + F.size("other") - F.col("both")) - 1e-9
         more = stage(both.filter(near_enough).select("a", "b"))
         links = more if links is None else links.union(more)
-        found = stage(connected_components(links))
-        if near.filter(F.col("rank") > width).isEmpty():
+        earlier, found = found, stage(connected_components(links))
+        done = near.filter(F.col("rank") > width).isEmpty()
+        unstage(near, sets, earlier)
+        if done:
             return found
         width *= 16
 
@@ -403,7 +405,7 @@ def _smallest(documents: DataFrame, key: str, text: str) -> DataFrame:
 
 def keep_one(
     documents: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, recall: float = 0.995,
-    block_rows: int = 8_192,
+    block_rows: int = 32_768,
 ) -> DataFrame:
     """One document of each near-duplicate group, the one with the smallest id, with its columns.
 
