@@ -33,7 +33,7 @@ from tallyloom.operators.sums import exact_mean
 _PICK_DIGITS = 15  # 60 bits: the choice stays uniform for groups of any size
 _ROLES = ("anchor", "negative", "positive")  # in the order in which rows of a batch are sorted
 _PAIR_NUMBERS = 1 << 22  # differences of components that are held at once
-_STRETCH = 16  # negative windows that make a stretch of the permutation
+_STRETCH = 4  # negative windows that make a stretch: fewer copy more vectors, more leave fewer tasks
 _TOP = "batch_id long, rank int, anc_idx int, neg_idx int, anc_row long, pos_row long, neg_row long, margin double"
 
 
