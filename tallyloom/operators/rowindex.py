@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyloom.config import SizeLimits
 from tallyloom.functions.hashing import digest_int, seeded_digest
 from tallyloom.operators.skew import lookup_join
 from tallyloom.operators.staging import stage
@@ -18,7 +17,6 @@ from tallyloom.operators.staging import stage
 _HASH_DIGITS = 4  # 65,536 buckets of a uniform hash
 _BUCKETS = 65_536
 _SMALL_BUCKET = 100_000
-_FILE_LIST = SizeLimits(broadcast_rows=4_000_000, broadcast_bytes=512 << 20)  # one row per file
 
 
 def row_index(df: DataFrame, *order: str, name: str = "row_idx") -> DataFrame:
@@ -59,7 +57,7 @@ def file_row_index(spark: SparkSession, path: str, name: str = "row_idx") -> Dat
         ),
     )
     return (
-        lookup_join(rows, starts, "file_path", spread=("row_index",), limits=_FILE_LIST)
+        lookup_join(rows, starts, "file_path", spread=("row_index",))
         .withColumn(name, (F.col("_start") + F.col("row_index")).cast("long"))
         .drop("file_path", "row_index", "_start")
     )
