@@ -20,6 +20,7 @@ from tallyloom.catalog.bindings import (
 from tallyloom.catalog.registry import query
 from tallyloom.functions.vectors import argmax
 from tallyloom.operators import evaluation as E
+from tallyloom.operators.posts import join_parts
 from tallyloom.operators.skew import lookup_join
 
 
@@ -38,7 +39,7 @@ FROM ({PREDICTIONS_SQL}) GROUP BY uid
 """)
 def user_prediction_lists(spark, sf):
     lists = E.user_prediction_lists(predictions(spark, sf))
-    return lists.select("uid", "part", join_ints(F.col("predictions")).alias("predictions"))
+    return join_parts(lists.select("uid", "part", join_ints(F.col("predictions")).alias("predictions")), "predictions", ",")
 
 
 @query(f"""

@@ -5,12 +5,16 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyloom.config import PARTS, UNKNOWN_LABEL
 from tallyloom.functions.text import delimiter_for, is_blank
 from tallyloom.operators.positions import with_part
 from tallyloom.operators.skew import lookup_join
+from tallyloom.operators.staging import stage
+
+_ROW_BYTES = 1 << 30  # a value of a row ends at 2 GB
 
 
 def head_sample(rows: DataFrame, n: int, order: str = "row_idx") -> DataFrame:
@@ -115,3 +119,24 @@ def concat_by_uid(
     return parts.groupBy("uid", "part").agg(
         F.min_by("tid", "_ord").alias("tid"), F.array_join(ordered["_piece"], "").alias("text")
     )
+
+
+def join_parts(parts: DataFrame, column: str, delimiter: str = "", row_bytes: int = _ROW_BYTES) -> DataFrame:
+    """Strings that come in parts `(uid, part, ..., column)` as one row per user, part 0.
+
+    Only what no row can hold goes on: a part that starts at byte n of the user's string is on row n div
+    `row_bytes`. Other columns are those of the row's first part. Parts are written once and joined as they
+    are, so a task holds one user's parts, not its posts.
+    """
+    parts = stage(parts)
+    if not parts.agg(F.max("part")).first()[0]:
+        return parts
+    before = W.partitionBy("uid").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.octet_length(column).cast("long")).over(before), F.lit(0))
+    starts = parts.select(F.col("uid").alias("_uid"), F.col("part").alias("_of"), start.alias("_start"))
+    rows = parts.join(starts, F.col("uid").eqNullSafe(F.col("_uid")) & (F.col("part") == F.col("_of")))
+    rows = rows.withColumn("_row", F.expr(f"_start div {row_bytes}L"))
+    ordered = F.array_sort(F.collect_list(F.when(F.col(column) != "", F.struct("part", column))))[column]
+    others = [F.min_by(c, "part").alias(c) for c in parts.columns if c not in ("uid", "part", column)]
+    joined = rows.groupBy("uid", "_row").agg(*others, F.array_join(ordered, delimiter).alias(column))
+    return joined.withColumnRenamed("_row", "part").select(*parts.columns)

@@ -140,6 +140,34 @@ def test_concat_continues_on_parts_with_the_first_id_of_the_user(spark, part_row
     assert len(parts) == 3 * -(-10 // part_rows)
 
 
+@pytest.mark.parametrize("part_rows", [1, 3, 100])
+def test_joined_parts_are_one_row_per_user(spark, rows, part_rows):
+    made = [(n, ("a", "b", None)[n % 3], f"t{n}", None if n % 4 == 0 or n % 3 == 1 else f"w{n}") for n in range(30)]
+    parts = P.concat_by_uid(make(spark, *made).repartition(4), part_rows=part_rows)
+    expected = {u: "".join(t + "\n" for _, v, _, t in made if v == u and t) for u in ("a", "b", None)}
+    got = P.join_parts(parts, "text").collect()
+    assert len(got) == 3 and {r["uid"]: r["text"] for r in got} == expected
+    assert {(r["uid"], r["part"], r["tid"]) for r in got} == {("a", 0, "t0"), ("b", 0, "t1"), (None, 0, "t2")}
+    # What a row cannot hold goes on in further rows.
+    whole = {}
+    for r in P.join_parts(parts, "text", row_bytes=8).orderBy("uid", "part").collect():
+        whole[r["uid"]] = whole.get(r["uid"], "") + r["text"]
+    assert whole == expected
+
+
+def test_queries_have_one_row_per_user_of_many_posts(spark, tmp_path):
+    from __spark_entry__ import queries
+
+    spark.range(1_100).selectExpr("id AS doc_id", "concat('w', id) AS text", "'en' AS lang", "'s' AS source", "5L AS n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(3, 0, 0), (4, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    row, = queries()["concat_by_uid"](spark, str(tmp_path)).collect()
+    assert (row["uid"], row["part"], row["tid"]) == ("s", 0, "0")
+    assert row["text"] == "".join(f"w{n}\n" for n in range(1_100) if n not in (3, 4))
+    spark.range(17_000).selectExpr("id AS o_orderkey", "7L AS o_custkey", "'p' AS o_orderpriority").write.parquet(f"{tmp_path}/orders.parquet")
+    row, = queries()["uid_lookup"](spark, str(tmp_path)).collect()
+    assert (row["uid"], row["part"], row["row_idxs"]) == ("7", 0, ",".join(map(str, range(17_000))))
+
+
 def test_interleaved_order(spark):
     frame = spark.range(7).withColumnRenamed("id", "row_idx")
     got = frame.orderBy(P.interleaved_order(3)).collect()
