@@ -13,6 +13,7 @@ from tallyloom.config import TextConfig
 from tallyloom.operators import sums as S
 from tallyloom.operators.embeddings import user_mean_embedding
 from tallyloom.plans import models as M
+from tallyloom.plans.tokenize import tokenize
 
 
 def made(spark, n=900):
@@ -68,6 +69,23 @@ def test_whole_texts_are_embedded_alike_for_any_partitioning(spark, sf):
     assert len(results[0]) == 150 and results[0] == results[1] == results[2]
 
 
+def test_words_are_hashed_once_and_embedded_as_their_windows(spark):
+    """No word is hashed in the plan; the vectors are those of the windows of the built-in tokenizer."""
+    texts = ["A b  a É é", None, "", "x " * 700, " ".join(f"w{i}" for i in range(300)), "b\x1cAİ\u2003z"] * 3
+    posts = spark.createDataFrame([(i, "u", t) for i, t in enumerate(texts)], "row_idx long, uid string, text string").repartition(3)
+    config = TextConfig(max_seq_length=8)
+    assert "md5" not in M.embed_texts(posts, config=config)._jdf.queryExecution().optimizedPlan().toString()
+    windows = M.embed_posts(tokenize(posts, config, windows=True))
+    weighed = windows.withColumn("w", F.greatest(F.aggregate("attention_mask", F.lit(0), lambda n, m: n + m), F.lit(1)))
+    expected = {r["row_idx"]: r["embedding"] for r in S.means_in_order(weighed, ["row_idx", "uid"], "embedding", "w").collect()}
+    try:
+        for size in ("2", "10000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            assert {r["row_idx"]: r["embedding"] for r in M.embed_texts(posts, config=config).collect()} == expected
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_windows_are_weighed_by_their_tokens(spark):
     rows = [(1, "u", [1.0, 0.0], 3), (1, "u", [0.0, 1.0], 1), (2, "v", [5.0, 5.0], 2), (1, "w", [1.0, 1.0], 1)]
     frame = spark.createDataFrame(rows, "id long, uid string, e array<double>, w int").coalesce(1)
