@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -39,6 +40,14 @@ def bounded_sample(df: DataFrame, rows: int, key: str) -> DataFrame:
     return df.filter(F.pmod(hashed, F.lit(1 << 30)) < int(share * (1 << 30)) + 1).orderBy(hashed, key).limit(rows)
 
 
+def give_back() -> None:
+    """Memory that Arrow and the C library hold free goes back to the system; the library keeps it where it has no such call."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], rows: int | None = 1_000):
     """A task function over record batches that gets them in slices of `rows` and gives memory back after each batch.
 
@@ -49,13 +58,13 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], ro
         for batch in batches:
             for at in range(0, batch.num_rows, rows or max(1, batch.num_rows)):
                 yield batch.slice(at, rows)
-            pa.default_memory_pool().release_unused()
+            give_back()
 
     def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
             yield from run(slices(batches))
         finally:
-            pa.default_memory_pool().release_unused()
+            give_back()
 
     return inner
 

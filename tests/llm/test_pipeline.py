@@ -1,7 +1,13 @@
+import os
+
 import duckdb
+import numpy as np
+import pyarrow as pa
+import pytest
 
 import __spark_entry__ as contract
 import corpus_pipeline
+from tallyloom.llm.common import tidy
 from tallyloom.llm.html_extraction import main_text
 
 
@@ -29,3 +35,24 @@ def test_the_queries_are_registered(spark, sf):
     pages = duckdb.sql(f"SELECT page_id, html FROM read_parquet('{sf}/pages.parquet')").fetchall()
     got = {r["page_id"]: r["text"] for r in contract.queries()["op10_html"](spark, sf).collect()}
     assert got == {k: main_text(h) for k, h in pages}
+
+
+@pytest.mark.skipif(not os.path.exists("/proc/self/statm"), reason="reads the memory of the process from /proc")
+def test_tasks_give_memory_back():
+    def resident():
+        with open("/proc/self/statm") as file:
+            return int(file.read().split()[1]) * os.sysconf("SC_PAGE_SIZE")
+
+    pins, high = [], []
+
+    def run(batches):
+        for batch in batches:
+            parts = [np.ones(12_000) for _ in range(2_000)]
+            pins.append(parts[-1])  # what lies last keeps the heap from shrinking by itself
+            high.append(resident())
+            del parts
+            yield batch
+
+    before = resident()
+    assert len(list(tidy(run)(iter([pa.RecordBatch.from_pydict({"x": [1]})])))) == 1
+    assert high[0] - before > 100e6 and resident() - before < 0.3 * (high[0] - before)
