@@ -26,8 +26,10 @@ from __future__ import annotations
 
 import math
 import re
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain
+from functools import lru_cache
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +43,7 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 _MARK, _LITERAL = "▁", "\udfff"  # the space mark; a mark that the text itself holds
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _ALL = (1 << 64) - 1
-_GROUP_CHARS = 700_000
+_GROUP_CHARS = 300_000  # a task holds the lattices of so much text at a time
 
 
 def _mix(x):
@@ -66,6 +68,18 @@ def uniforms(keys: np.ndarray, sample: int, word: np.ndarray, step: int) -> np.n
     return numbers(bases(keys, sample, word), step)
 
 
+def number(key: int, sample: int, word: int, step: int) -> float:
+    """The same for a single row key and word, without arrays."""
+    x = _mix_one(key + (sample * 1_000_003 + 1) * int(_BASE) & _ALL) + word * 0xD1342543DE82EF95
+    return ((_mix_one(x + step * 0x2545F4914F6CDD1D & _ALL) >> 11) + 0.5) * 2.0**-53
+
+
+def _mix_one(x: int) -> int:
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & _ALL
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB & _ALL
+    return x ^ (x >> 31)
+
+
 class Vocabulary:
     """Pieces, their log-probabilities, and the hashes of all their prefixes."""
 
@@ -94,9 +108,6 @@ class Vocabulary:
         for b, i in enumerate(self.byte):
             self.bytes[i] = bytes([b])
         self.bytes[self.unknown] = " ⁇ ".encode()
-        self.blob = np.frombuffer(b"".join(self.bytes), dtype=np.uint8)
-        self.size = np.array(list(map(len, self.bytes)), dtype=np.int32)
-        self.begin = np.cumsum(self.size, dtype=np.int32) - self.size
         found: dict[int, int] = {}
         for i in usual:
             h = 0
@@ -131,15 +142,35 @@ class Vocabulary:
     def words(self, text: str) -> list[str]:
         return self.cut.findall(_MARK + text.replace(_MARK, _LITERAL).replace(" ", _MARK)) if text else []
 
-    def decode(self, ids: np.ndarray, lengths: np.ndarray) -> list[str]:
+    def decode(self, ids: np.ndarray, lengths: np.ndarray) -> pa.Array:
         """Texts of consecutive lists of ids: the bytes of all pieces are gathered at once."""
-        size = self.size[ids]
-        ends = np.cumsum(size, dtype=np.int64)
-        at = np.repeat(self.begin[ids] - (ends - size), size)
-        at += np.arange(len(at))
-        raw = self.blob[at].tobytes()
-        cuts = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(lengths)))].tolist()
-        return [raw[a + 1:b].decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:])]
+        raw = pa.array(self.bytes, pa.large_binary()).take(pa.array(ids, pa.int32()))
+        ends = np.zeros(1, dtype=np.int64)
+        if len(raw):
+            ends = np.frombuffer(raw.buffers()[1], dtype=np.int64, count=len(raw) + 1)
+        cuts = ends[np.concatenate(([0], np.cumsum(lengths)))]
+        some = cuts[1:] > cuts[:-1]
+        kept = np.ones(int(cuts[-1]), dtype=bool)
+        kept[cuts[:-1][some]] = False  # the first space mark of each text
+        data = np.frombuffer(raw.buffers()[2], dtype=np.uint8, count=len(kept))[kept] if len(kept) else np.zeros(0, dtype=np.uint8)
+        cuts -= np.concatenate(([0], np.cumsum(some)))
+        texts = pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(cuts), pa.py_buffer(data)])
+        try:
+            return texts.cast(pa.large_string()).cast(pa.string())
+        except pa.ArrowInvalid:
+            return pa.array([x.decode("utf-8", "replace") for x in texts.to_pylist()], pa.string())
+
+
+@lru_cache(maxsize=2)
+def _parts(model: bytes, prior: str) -> dict:
+    """What a vocabulary consists of: made once on the driver and broadcast, some MB."""
+    return vars(Vocabulary(model, prior))
+
+
+def _whole(parts: dict) -> Vocabulary:
+    vocabulary = Vocabulary.__new__(Vocabulary)
+    vars(vocabulary).update(parts)
+    return vocabulary
 
 
 class Lattice:
@@ -193,68 +224,79 @@ class Lattice:
             degree[start] += 1
         self.edge = np.concatenate(([0], np.cumsum(degree)))
         place = self.edge[1:].copy()
-        self.start = np.repeat(np.arange(nodes), degree)
-        self.end, self.piece = np.empty(len(self.start), dtype=np.int64), np.empty(len(self.start), dtype=np.int64)
-        for start, end, piece in found[-1:] + found[:-1]:
-            place[start] -= 1
-            to = place[start]
+        edges = int(self.edge[-1])
+        self.end, self.piece = np.empty(edges, dtype=np.int64), np.empty(edges, dtype=np.int64)
+        found.insert(0, found.pop())
+        while found:
+            start, end, piece = found.pop(0)
+            to = place[start] - 1
+            place[start] = to
             self.end[to], self.piece[to] = end, piece
-        if len(spelled):
-            spell = np.array([len(x) * vocabulary.spell for x in self.spelling])
-            self.log = np.where(self.piece >= 0, vocabulary.score[self.piece], spell[np.minimum(-1 - self.piece, len(spell) - 1) * (self.piece < 0)])
-        else:
-            self.log = vocabulary.score[self.piece]
+        # The spelling of code n is piece -1 - n: it is found from the end of the scores.
+        spell = np.array([len(x) * vocabulary.spell for x in reversed(self.spelling)])
+        self.log = np.concatenate((vocabulary.score, spell)).take(self.piece, mode="wrap")
         # Backward sums, from the last characters of all words to the first ones.
         self.back = np.zeros(nodes)
+        through = np.empty(edges)
         for k in range(1, len(levels) - 1):
             low, high = int(levels[k]), int(levels[k + 1])
             if low == high:
                 continue
             e = slice(int(self.edge[low]), int(self.edge[high]))
             cuts = self.edge[low:high] - self.edge[low]
-            total = self.log[e] + self.back[self.end[e]]
+            total = through[e] = self.log[e] + self.back[self.end[e]]
             top = np.maximum.reduceat(total, cuts)
             self.back[low:high] = top + np.log(np.add.reduceat(np.exp(total - np.repeat(top, degree[low:high])), cuts))
         # Share of each edge at its node, running sums of the shares, and the shares of all other edges.
-        share = np.exp(self.log + self.back[self.end] - self.back[self.start])
-        rank = np.arange(len(self.start)) - self.edge[self.start]
+        start = np.repeat(np.arange(nodes), degree)
+        share = through
+        share -= self.back[start]
+        np.exp(share, out=share)
         self.upto = share.copy()
-        at, k = np.flatnonzero(rank), 1
-        while len(at):
-            here = rank[at] == k
-            self.upto[at[here]] += self.upto[at[here] - 1]
-            at, k = at[~here], k + 1
-        lasts = self.edge[self.start + 1] - 1 == np.arange(len(self.start))
-        self.upto[lasts] = 1.0
-        likely = share > 0.5  # one edge of a node at most: the others are added up without it
-        rest = np.bincount(self.start, weights=np.where(likely, 0.0, share), minlength=nodes)
-        self.others = np.where(likely, rest[self.start], 1 - share)
+        many, k = np.flatnonzero(degree > 1), 1
+        while len(many):
+            at = self.edge[many] + k
+            self.upto[at] += self.upto[at - 1]
+            k += 1
+            many = many[degree[many] > k]
+        self.upto[self.edge[1:][degree > 0] - 1] = 1.0
+        likely = np.flatnonzero(share > 0.5)  # one edge of a node at most: the others are added up without it
+        self.others = 1 - share
+        share[likely] = 0.0
+        rest = np.bincount(start, weights=share, minlength=nodes)
+        self.others[likely] = rest[start[likely]]
 
     def draw(self, word: np.ndarray, keys: np.ndarray, sample: int, place: np.ndarray):
         """A path of each occurrence of a word: edges in order, edges per occurrence, log-probability, mass of other paths."""
-        node, active, log = self.first[word].copy(), np.arange(len(word)), np.zeros(len(word))
-        whole, other = self.back[self.first[word]], np.zeros(len(word))
-        owner, edges = [], []
-        base = bases(keys, sample, place)
+        log, other, size = np.zeros(len(word)), np.zeros(len(word)), np.zeros(len(word), dtype=np.int64)
+        # Of the occurrences that are not at their end: number, node, end, mass of the word, random source, and both sums.
+        active, node, last = np.arange(len(word)), self.first[word], self.last[word]
+        whole, base, path, left = self.back[node], bases(keys, sample, place), np.zeros(len(word)), np.zeros(len(word))
+        steps = []
         step = 0
         while len(active):
-            r = numbers(base[active], step)
-            e = self.edge[node[active]].copy()
+            r = numbers(base, step)
+            e = self.edge[node]
             more = np.flatnonzero(r > self.upto[e])
             while len(more):
                 e[more] += 1
                 more = more[r[more] > self.upto[e[more]]]
-            other[active] += np.exp(log[active] + self.back[node[active]] - whole[active]) * self.others[e]
-            owner.append(active)
-            edges.append(e)
-            log[active] += self.log[e]
-            node[active] = self.end[e]
-            active = active[node[active] != self.last[word[active]]]
+            left += np.exp(path + self.back[node] - whole) * self.others[e]
+            path += self.log[e]
+            node = self.end[e]
+            steps.append((active, e))
             step += 1
-        owner = np.concatenate(owner) if owner else np.zeros(0, dtype=np.int64)
-        edges = np.concatenate(edges) if edges else np.zeros(0, dtype=np.int64)
-        order = np.argsort(owner, kind="stable")
-        return edges[order], np.bincount(owner, minlength=len(word)), log - whole, other
+            done = node == last
+            at = np.flatnonzero(done)
+            ended = active[at]
+            log[ended], other[ended], size[ended] = path[at] - whole[at], left[at], step
+            at = np.flatnonzero(~done)
+            active, node, last, whole, base, path, left = (x[at] for x in (active, node, last, whole, base, path, left))
+        edges = np.empty(int(size.sum()), dtype=np.int64)
+        begin = np.cumsum(size) - size
+        for step, (active, e) in enumerate(steps):
+            edges[begin[active] + step] = e
+        return edges, size, log, other
 
     def free_masses(self, word: int, paths: list[tuple[int, ...]]) -> tuple[list[dict[int, int]], list[np.ndarray | None]]:
         """A tree of the given paths of a word, and at each tree node the edges' shares without those paths.
@@ -293,7 +335,7 @@ class Lattice:
         node, last, path, at = int(self.first[word]), int(self.last[word]), [], 0
         while node != last:
             share = self.shares(node) if at is None else free[at]
-            r = float(uniforms(np.array([key]), sample, np.array([place]), 1_000 + len(path))[0]) * share.sum()
+            r = number(int(key), sample, place, 1_000 + len(path)) * share.sum()
             e = int(self.edge[node]) + min(int(np.searchsorted(np.cumsum(share), r)), int(np.flatnonzero(share)[-1]))
             at = None if at is None else children[at].get(e)
             path.append(e)
@@ -303,17 +345,17 @@ class Lattice:
     def ids(self, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids of edges, and how many each edge has."""
         piece = self.piece[edges]
-        if not self.spelling:
-            return piece, np.ones(len(piece), dtype=np.int64)
+        size = np.ones(len(piece), dtype=np.int64)
+        spelled = np.flatnonzero(piece < 0)
+        if not len(spelled):
+            return piece, size
         sizes = np.array([len(s) for s in self.spelling])
-        size = np.where(piece >= 0, 1, sizes[np.maximum(-1 - piece, 0) % len(sizes)])
+        code = -1 - piece[spelled]
+        size[spelled] = n = sizes[code]
         out = np.repeat(piece, size)
-        for n, spelled in enumerate(self.spelling):
-            at = np.flatnonzero(piece == -1 - n)
-            if len(at):
-                begin = (np.cumsum(size) - size)[at]
-                for k, i in enumerate(spelled):
-                    out[begin + k] = i
+        within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        letters = np.array(list(chain.from_iterable(self.spelling)))
+        out[np.repeat((np.cumsum(size) - size)[spelled], n) + within] = letters[np.repeat((np.cumsum(sizes) - sizes)[code], n) + within]
         return out, size
 
 
@@ -327,11 +369,11 @@ def sample_texts(vocabulary: Vocabulary, texts: list[str], keys: np.ndarray, sam
     """For each text a list of (ids, log-probability, Gumbel value, inclusion), best value first."""
     split = [vocabulary.words(t) for t in texts]
     counts = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
-    every = list(chain.from_iterable(split))
-    number = {w: n for n, w in enumerate(dict.fromkeys(every))}
-    word = np.fromiter(map(number.__getitem__, every), dtype=np.int64, count=len(every))
-    del split, every
-    lattice = Lattice(vocabulary, list(number))
+    numbered: defaultdict[str, int] = defaultdict(count().__next__)
+    word = np.fromiter(map(numbered.__getitem__, chain.from_iterable(split)), dtype=np.int64, count=int(counts.sum()))
+    del split
+    lattice = Lattice(vocabulary, list(numbered))
+    del numbered
     starts = np.cumsum(counts) - counts
     text = np.repeat(np.arange(len(texts)), counts)
     place = np.arange(len(word)) - starts[text]
@@ -414,7 +456,7 @@ def sample_texts(vocabulary: Vocabulary, texts: list[str], keys: np.ndarray, sam
             left = float(lattice.free_masses(int(word[at]), out)[1][0].sum())
             if left > 0:
                 before = float(np.cumsum(log[new, int(starts[d]):at])[-1]) if w else 0.0
-                u = uniforms(keys[d:d + 1], new, np.array([w]), 1 << 22)
+                u = np.array([number(int(keys[d]), new, w, 1 << 22)])
                 q = float(_cut_gumbel(np.array([before + math.log(left)]), np.array([g]), u)[0])
                 queue[d].append((q, new, w, out))
         pool.append(np.array(extra, dtype=np.int64))
@@ -438,14 +480,14 @@ def encode(
 ) -> DataFrame:
     """(key, text_hash, sample, ids, log_prob, value, inclusion) of each sampled segmentation; sample from 1."""
     with open(vocabulary, "rb") as file:
-        model = documents.sparkSession.sparkContext.broadcast(file.read())  # a vocabulary file, 0.5 MB
+        parts = documents.sparkSession.sparkContext.broadcast(_parts(file.read(), prior))
     source = documents.filter(F.col(text).isNotNull()).select(
         key, F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("0"))).alias("seed"), text, F.xxhash64(text).alias("text_hash")
     )
     kind = dict(source.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Vocabulary(model.value, prior)
+        words = _whole(parts.value)
         for batch in batches:
             start, size = 0, 0
             lengths = pc.utf8_length(batch.column(2)).to_pylist()
@@ -457,7 +499,7 @@ def encode(
 
     def group(words: Vocabulary, part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         seeds = part.column(1).to_numpy().view(np.uint64)
-        texts = part.column(2).to_pylist()
+        texts, outer = part.column(2).to_pylist(), part.select([0, 3])
         lattice, flat, offset, size, log, value, made, rest, starts, counts = sample_texts(words, texts, seeds, samples)
         owner = np.repeat(np.arange(len(texts)), counts)
         for s in range(samples):
@@ -468,18 +510,19 @@ def encode(
             given[rows] = True
             chosen = given[owner]
             o, n = offset[s][chosen], size[s][chosen]
-            at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(o, n)
-            ids, per_edge = lattice.ids(flat[at]) if len(at) else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
-            edge_owner = np.repeat(owner[chosen], n)
-            per_text = np.bincount(edge_owner, weights=per_edge, minlength=len(texts)).astype(np.int64)[rows]
+            at = np.repeat(o - (np.cumsum(n) - n), n)
+            at += np.arange(len(at))
+            ids, per_edge = lattice.ids(flat[at])
+            per_word = np.add.reduceat(per_edge, np.cumsum(n) - n) if len(n) else n
+            per_text = np.bincount(owner[chosen], weights=per_word, minlength=len(texts)).astype(np.int64)[rows]
             total = np.bincount(owner, weights=log[s], minlength=len(texts))[rows]
             with np.errstate(over="ignore"):
                 inclusion = np.where(np.isfinite(rest[rows]), -np.expm1(-np.exp(total - rest[rows])), 1.0)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(per_text))), pa.int32()), pa.array(ids, pa.int32()))
-            some = part.take(pa.array(rows))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(per_text))), pa.int32()), pa.array(ids.astype(np.int32)))
+            some = outer.take(pa.array(rows))
             worth = np.where(counts[rows] == 0, 0.0, value[s, rows])
             yield pa.RecordBatch.from_arrays(
-                [some.column(0), some.column(3), pa.array(np.full(len(rows), s + 1), pa.int32()), lists, pa.array(total), pa.array(worth), pa.array(inclusion)],
+                [some.column(0), some.column(1), pa.array(np.full(len(rows), s + 1), pa.int32()), lists, pa.array(total), pa.array(worth), pa.array(inclusion)],
                 names=[key, "text_hash", "sample", "ids", "log_prob", "value", "inclusion"],
             )
 
@@ -491,13 +534,13 @@ def encode(
 def decode(encoded: DataFrame, ids: str = "ids", vocabulary: str = VOCABULARY, text: str = "text") -> DataFrame:
     """The table with the column `text`, put together from the pieces in `ids`; null ids give null."""
     with open(vocabulary, "rb") as file:
-        model = encoded.sparkSession.sparkContext.broadcast(file.read())
+        parts = encoded.sparkSession.sparkContext.broadcast(_parts(file.read(), "rank"))
     source = encoded.drop(text) if text in encoded.columns else encoded
     at = source.columns.index(ids)
     schema = ", ".join(f"`{c}` {t}" for c, t in source.dtypes) + f", `{text}` string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Vocabulary(model.value)
+        words = _whole(parts.value)
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
@@ -505,8 +548,8 @@ def decode(encoded: DataFrame, ids: str = "ids", vocabulary: str = VOCABULARY, t
                 lengths = lists.value_lengths().fill_null(0).to_numpy()
                 out = words.decode(lists.flatten().to_numpy(), lengths)
                 if lists.null_count:
-                    out = [None if gone else x for gone, x in zip(lists.is_null().to_pylist(), out)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.string())], names=[*part.schema.names, text])
+                    out = pc.if_else(lists.is_null(), pa.scalar(None, pa.string()), out)
+                yield pa.RecordBatch.from_arrays([*part.columns, out], names=[*part.schema.names, text])
 
     return source.mapInArrow(tidy(run), schema)
 

@@ -1,5 +1,6 @@
 import itertools
 import math
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -107,3 +108,37 @@ def test_tables(documents):
     assert sorted(map(str, again)) == sorted(map(str, encoded.collect()))
     assert all(r["exact"] for r in sps.encode_checked(documents(rows)).collect())
     assert sps.encode(documents([])).collect() == [] and sps.decode(sps.encode(documents([]))).collect() == []
+
+
+def test_a_vocabulary_is_made_once_on_the_driver(documents, monkeypatch):
+    made = []
+    make = sps.Vocabulary.__init__
+    sps._parts.cache_clear()
+    with monkeypatch.context() as patch:
+        patch.setattr(sps.Vocabulary, "__init__", lambda self, *how: (made.append(how[1:]), make(self, *how))[1])
+        sps.decode(sps.encode(documents([(1, "that is")])))
+        sps.encode(documents([]))
+    assert made == [("rank",)]
+
+
+def test_single_random_numbers(vocabulary):
+    for key in (0, 5, 2**63 + 11, 2**64 - 1):
+        for step in (0, 1_003, 1 << 22):
+            assert sps.number(key, 2, 77, step) == sps.uniforms(np.array([key], dtype=np.uint64), 2, np.array([77]), step)[0]
+
+
+def test_decoding_of_any_ids(vocabulary):
+    that = vocabulary.bytes.index(b" that")
+    ids = np.array([that, that, vocabulary.byte[0xFF], vocabulary.byte[0xC3], vocabulary.byte[0xA9]], dtype=np.int32)
+    assert vocabulary.decode(ids, np.array([0, 2, 0, 1, 2])).to_pylist() == ["", "that that", "", "", "�"]
+    assert vocabulary.decode(ids[:0], np.array([], dtype=np.int64)).to_pylist() == []
+
+
+def test_a_group_of_texts_takes_little_memory(vocabulary):
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abcdefghij"), 8)) for _ in range(sps._GROUP_CHARS // 9)]
+    tracemalloc.start()
+    sps.sample_texts(vocabulary, [" ".join(words)], np.array([1], dtype=np.uint64), 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120e6
