@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.common import connected_components, local_stars, tidy
 from tallyloom.operators.skew import lookup_join
-from tallyloom.operators.staging import stage
+from tallyloom.operators.staging import release_shuffles, stage, unstage
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -234,16 +234,22 @@ def text_units(rows: DataFrame, least: int, shingle: int, bands: int, band_rows:
     )
 
 
-def repeated_passages(rows: DataFrame, units: DataFrame, least: int) -> DataFrame:
-    """(id, row, start, words, kept): runs of at least `least` words that a smaller document id holds as they are."""
+def repeated_windows(rows: DataFrame, units: DataFrame, least: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(row, low, high, start, kept, kept_row, shift) of every window of `least` words that several documents hold, and the staged tables it reads.
+
+    `low` and `high` are the smallest and the largest id of the text, `kept` the smallest id that holds the window, in
+    the text `kept_row`, `shift` words further on. Anchors and windows are shuffled once each.
+    """
     # The same text in several documents is one entry.
-    texts = stage(units.groupBy("row").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.first("anchor").alias("anchor")))
-    anchors = texts.select("row", "low", "high", F.explode("anchor").alias("anchor"))
-    shared = anchors.groupBy("anchor").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low != high")
-    asked = stage(
-        anchors.select("row", "low", "high", "anchor").join(shared.select("anchor"), "anchor").groupBy("row")
-        .agg(F.first("low").alias("low"), F.first("high").alias("high"), F.collect_list("anchor").alias("asked"))
+    ends = stage(units.groupBy("row").agg(F.min("id").alias("low"), F.max("id").alias("high")))
+    texts = lookup_join(units, ends, "row", "inner", spread=("id",)).filter("id = low")
+    by_anchor = W.partitionBy("anchor")
+    shared = (
+        texts.select("row", "low", "high", F.explode("anchor").alias("anchor"))
+        .withColumn("first", F.min("low").over(by_anchor)).withColumn("last", F.max("high").over(by_anchor)).filter("first != last")
     )
+    asked = stage(shared.groupBy("row").agg(F.first("low").alias("low"), F.first("high").alias("high"), F.collect_set("anchor").alias("asked")))
+    release_shuffles(units.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -267,27 +273,57 @@ def repeated_passages(rows: DataFrame, units: DataFrame, least: int) -> DataFram
 
     # One row of each text is read; its windows are counted once.
     joined = lookup_join(rows, asked, "row", "inner", spread=("id",)).filter("id = low").select("text", "row", "asked", "low", "high")
-    found = stage(joined.mapInArrow(tidy(run), "row long, low long, high long, window long, start int"))
-    holders = found.groupBy("window").agg(F.min(F.struct("low", "row", "start")).alias("keeper"), F.max("high").alias("last"))
-    holders = holders.filter("keeper.low != last").select(
-        "window", F.col("keeper.low").alias("kept"), F.col("keeper.row").alias("kept_row"), F.col("keeper.start").alias("kept_start")
-    )
-    again = found.join(holders, "window").filter("kept != low OR kept != high").select(
-        "row", "start", "kept", "kept_row", (F.col("kept_start") - F.col("start")).alias("shift")
+    found = joined.mapInArrow(tidy(run), "row long, low long, high long, window long, start int")
+    by_window = W.partitionBy("window")
+    held = found.withColumn("keeper", F.min(F.struct("low", "row", "start")).over(by_window)).withColumn("last", F.max("high").over(by_window))
+    again = held.filter("keeper.low != last AND (keeper.low != low OR keeper.low != high)").select(
+        "row", "low", "high", "start", F.col("keeper.low").alias("kept"), F.col("keeper.row").alias("kept_row"),
+        (F.col("keeper.start") - F.col("start")).alias("shift"),
     )
+    return again, [ends, asked]
+
+
+def repeated_passages(rows: DataFrame, units: DataFrame, least: int) -> DataFrame:
+    """(id, row, start, words, kept): runs of at least `least` words that a smaller document id holds as they are."""
+    again, read = repeated_windows(rows, units, least)
     by_place = W.partitionBy("row", "kept", "kept_row", "shift").orderBy("start")
-    spans = (
+    spans = stage(
         again.withColumn("run", F.col("start") - F.dense_rank().over(by_place))  # a repeated row has the same rank
         .groupBy("row", "kept", "kept_row", "shift", "run")
         .agg(F.min("start").alias("start"), (F.max("start") - F.min("start") + least).alias("words"))
         .groupBy("row", "start", "words").agg(F.sort_array(F.collect_set("kept")).alias("kept"))
         .groupBy("row").agg(F.collect_list(F.struct("start", "words", "kept")).alias("spans"))
     )
-    owned = lookup_join(units.select("id", "row").distinct(), stage(spans), "row", "inner", spread=("id",)).select("id", "row", F.explode("spans").alias("s"))
+    unstage(*read)
+    release_shuffles(units.sparkSession)
+    owned = lookup_join(units.select("id", "row").distinct(), spans, "row", "inner", spread=("id",)).select("id", "row", F.explode("spans").alias("s"))
     own = owned.select("id", "row", "s.start", "s.words", F.filter("s.kept", lambda k: k < F.col("id")).alias("kept"))
     return own.filter(F.size("kept") > 0)
 
 
+def covered_words(rows: DataFrame, units: DataFrame, least: int) -> DataFrame:
+    """(id, row, spans): the stretches (start, words) of a text that its repeated windows cover, apart from each other.
+
+    Whatever documents hold them, there are no more stretches than a text has room for.
+    """
+    again, read = repeated_windows(rows, units, least)
+    # The smallest document of a text loses what is kept before it, others everything.
+    before = again.select("row", "low", (F.col("kept") < F.col("low")).alias("before"), "start")
+    in_text = W.partitionBy("row", "before").orderBy("start")
+    opens = F.coalesce(F.col("start") > F.lag("start").over(in_text) + least, F.lit(True)).cast("int")
+    spans = stage(
+        before.withColumn("opens", opens).withColumn("stretch", F.sum("opens").over(in_text))
+        .groupBy("row", "before", "stretch")
+        .agg(F.first("low").alias("low"), F.min("start").alias("start"), (F.max("start") - F.min("start") + least).alias("words"))
+        .groupBy("row").agg(F.first("low").alias("low"), F.collect_list(F.struct("start", "words", "before")).alias("spans"))
+    )
+    unstage(*read)
+    release_shuffles(units.sparkSession)
+    owned = lookup_join(units.select("id", "row").distinct(), spans, "row", "inner", spread=("id",))
+    own = F.transform(F.filter("spans", lambda s: s["before"] | (F.col("id") != F.col("low"))), lambda s: F.struct(s["start"].alias("start"), s["words"].alias("words")))
+    return owned.select("id", "row", own.alias("spans")).filter(F.size("spans") > 0)
+
+
 def shingle_sets(rows: DataFrame, wanted: DataFrame, shingle: int, least: int) -> DataFrame:
     """(line, shingles): the distinct shingle hashes of the wanted lines; `wanted` has line, id, row, start, words."""
     asked = wanted.groupBy("row").agg(F.collect_list(F.struct("id", "line", "start", "words")).alias("asked"))
@@ -316,8 +352,10 @@ def shingle_sets(rows: DataFrame, wanted: DataFrame, shingle: int, least: int) -
 def paragraph_components(rows: DataFrame, lines: DataFrame, similarity: float, shingle: int, least: int, block: int = 256) -> DataFrame:
     """(id, component) of the distinct lines with a near-duplicate; `lines` has line, keys and owner."""
     banded = lines.select("line", F.explode("keys").alias("key"))
-    groups = banded.groupBy("key").agg(F.min("line").alias("low"), F.max("line").alias("high")).filter("low != high")
-    members = stage(banded.join(groups.select("key", "low"), "key"))
+    by_key = W.partitionBy("key")
+    met = banded.withColumn("low", F.min("line").over(by_key)).withColumn("high", F.max("line").over(by_key))
+    members = stage(met.filter("low != high").select("key", "line", "low"))
+    release_shuffles(lines.sparkSession)
     pairs = stage(members.filter("line != low").select("line", "low").distinct())
     touched = pairs.select("line").union(pairs.select("low")).distinct()
     owners = lines.select("line", "owner.*").join(touched, "line")
@@ -329,6 +367,7 @@ def paragraph_components(rows: DataFrame, lines: DataFrame, similarity: float, s
         .filter(F.col("both") >= similarity * (F.size("shingles") + F.size("other") - F.col("both")))
         .select(F.col("line").alias("a"), F.col("low").alias("b"))
     )
+    unstage(pairs)
     found = stage(connected_components(links))
     # Groups of three or more that still span several components: compare all their members, block by block.
     placed = members.join(found.withColumnRenamed("id", "line"), "line", "left").withColumn("component", F.coalesce("component", "line"))
@@ -363,31 +402,35 @@ def paragraph_components(rows: DataFrame, lines: DataFrame, similarity: float, s
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     more = stage(cut.groupBy("key", "low", "high").applyInArrow(compare, "a long, b long"))
+    unstage(members, sets)
+    release_shuffles(lines.sparkSession)
     if more.isEmpty():
         return found
     return connected_components(links.union(more))
 
 
-def repeated_spans(
-    documents: DataFrame, key: str = "doc_id", text: str = "text", least: int = 25, shingle: int = 5, similarity: float = 0.8,
-    recall: float = 0.995,
-) -> DataFrame:
-    """(key, row, start, words, kind, component, kept): what is repeated, by word position in its text.
-
-    `row` is the hash of the text, `kept` the ids of the documents where the passage stays, `component` the
-    smallest of them.
-    """
+def _repeats(
+    documents: DataFrame, key: str, text: str, passages, least: int = 25, shingle: int = 5, similarity: float = 0.8, recall: float = 0.995
+) -> tuple[DataFrame, DataFrame]:
+    """Repeated paragraphs (id, row, start, words, stay), and what `passages` makes of the texts."""
     rows = documents.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(
         F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("row"), F.col(text).alias("text")
     )
     bands, band_rows = tune_bands(similarity, recall)
     units = stage(text_units(rows, least, shingle, bands, band_rows))
-    passages = repeated_passages(rows, units.select("id", "row", "anchor"), least)
-    lines = units.filter(F.size("line") > 0).select(
-        "id", "row", F.explode(F.arrays_zip("line", "line_start", "line_words", "keys")).alias("x")
-    ).select("id", "row", F.col("x.line").alias("line"), F.col("x.line_start").alias("start"), F.col("x.line_words").alias("words"), F.col("x.keys").alias("keys"))
+    runs = stage(passages(rows, units.select("id", "row", "anchor"), least))
+    zipped = ["line", "line_start", "line_words"]
+    keyed = units.filter(F.size("line") > 0).select("id", "row", F.explode(F.arrays_zip(*zipped, "keys")).alias("x"))
     distinct = stage(
-        lines.groupBy("line").agg(F.min(F.struct("id", "row", "start", "words")).alias("owner"), F.max("id").alias("last"), F.first("keys").alias("keys"))
+        keyed.select("x.line", F.struct("id", "row", F.col("x.line_start").alias("start"), F.col("x.line_words").alias("words")).alias("owner"), "id", "x.keys")
+        .groupBy("line").agg(F.min("owner").alias("owner"), F.max("id").alias("last"), F.first("keys").alias("keys"))
+    )
+    # Without anchors and keys, which are most of the table.
+    slim = stage(units.filter(F.size("line") > 0).select("id", "row", *zipped))
+    unstage(units)
+    release_shuffles(documents.sparkSession)
+    lines = slim.select("id", "row", F.explode(F.arrays_zip(*zipped)).alias("x")).select(
+        "id", "row", "x.line", F.col("x.line_start").alias("start"), F.col("x.line_words").alias("words")
     )
     groups = paragraph_components(rows, distinct, similarity, shingle, least)
     named = distinct.select("line", F.col("owner.id").alias("first"), "last").join(groups, F.col("line") == F.col("id"), "left").select(
@@ -395,9 +438,17 @@ def repeated_spans(
     )
     stays = named.groupBy("group").agg(F.min("first").alias("stay"), F.max("last").alias("end")).filter("stay != end")
     decided = named.join(stays, "group").select("line", "stay")
-    paragraphs = lines.select("id", "row", "line", "start", "words").join(decided, "line").filter("id != stay").select(
-        "id", "row", "start", "words", F.lit("paragraph").alias("kind"), F.array("stay").alias("kept")
-    ).distinct()
+    return lines.join(decided, "line").filter("id != stay").select("id", "row", "start", "words", "stay").distinct(), runs
+
+
+def repeated_spans(documents: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """(key, row, start, words, kind, component, kept): what is repeated, by word position in its text.
+
+    `row` is the hash of the text, `kept` the ids of the documents where the passage stays, `component` the
+    smallest of them. `how`: least words of a passage, words of a shingle, similarity of paragraphs, recall.
+    """
+    lines, passages = _repeats(documents, key, text, repeated_passages, **how)
+    paragraphs = lines.select("id", "row", "start", "words", F.lit("paragraph").alias("kind"), F.array("stay").alias("kept"))
     spans = paragraphs.unionByName(passages.withColumn("kind", F.lit("passage")))
     return spans.select(F.col("id").alias(key), "row", "start", "words", "kind", F.col("kept")[0].alias("component"), "kept")
 
@@ -428,10 +479,11 @@ def remove_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text"
 
     A document of which nothing is left goes.
     """
-    spans = repeated_spans(documents, key, text, **how)
+    lines, covered = _repeats(documents, key, text, covered_words, **how)
+    paragraphs = lines.groupBy("id", "row").agg(F.collect_list(F.struct("start", "words")).alias("spans"))
     per_text = stage(
-        spans.groupBy(F.col("row").alias("__row"), F.col(key).cast("long").alias("__id"))
-        .agg(F.collect_set(F.struct("start", "words")).alias("__spans"))
+        paragraphs.unionByName(covered).groupBy(F.col("row").alias("__row"), F.col("id").alias("__id"))
+        .agg(F.flatten(F.collect_list("spans")).alias("__spans"))
         .groupBy(F.xxhash64("__id", "__row").alias("__key"))  # a map, should two documents share the hash
         .agg(F.map_from_entries(F.collect_list(F.struct("__id", "__spans"))).alias("__cuts"))
     )

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from tallyloom.llm import passages
+from tallyloom.operators.staging import staged_paths
 
 
 def words(n, rng, tag="w"):
@@ -151,3 +152,33 @@ def test_a_passage_must_be_in_one_document(documents):
     rows += [(50, " ".join(half[:30])), (51, " ".join(half[10:])), (90, "\n".join(lines)), (91, " ".join(half))]
     got = sorted((r["doc_id"], r["start"], r["words"], r["kept"]) for r in passages.repeated_spans(documents(rows)).filter("kind = 'passage'").collect())
     assert got == [(91, 0, 30, [50]), (91, 10, 30, [51])]
+
+
+def test_stretches_to_cut_are_apart_and_cover_what_repeats(documents):
+    """A group of near copies has many passages by document, but few stretches a text."""
+    rng = random.Random(25)
+    base = words(400, rng).split()
+    rows = []
+    for n in range(40):
+        text = list(base)
+        for at in rng.sample(range(400), 3):
+            text[at] = f"x{n}_{at}"
+        rows.append((n, " ".join(text)))
+    rows += [(60, rows[3][1]), (61, rows[0][1]), (2, rows[0][1]), (70, words(90, rng))]
+    table = documents(rows)
+    found = {}
+    for r in passages.repeated_spans(table).filter("kind = 'passage'").collect():
+        found.setdefault((r["doc_id"], r["row"]), []).append((r["start"], r["words"]))
+    _, runs = passages._repeats(table, "doc_id", "text", passages.covered_words)
+    got = {(r["id"], r["row"]): sorted((s["start"], s["words"]) for s in r["spans"]) for r in runs.collect()}
+    assert got.keys() == found.keys() and sum(map(len, found.values())) > 1.5 * sum(map(len, got.values()))
+    for place, spans in got.items():
+        assert all(a + n < b for (a, n), (b, _) in zip(spans, spans[1:]))
+        assert {w for a, n in spans for w in range(a, a + n)} == {w for a, n in found[place] for w in range(a, a + n)}
+
+
+def test_anchors_do_not_stay_on_disk(spark, documents):
+    before = set(staged_paths())
+    assert passages.repeated_spans(documents(corpus()[0])).collect()
+    left = {c for path in staged_paths() if path not in before for c in spark.read.parquet(path).columns}
+    assert left and not left & {"anchor", "asked", "window"}
