@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallyloom.llm import mixing, passages, quality, sentencepiece_sampling, simhash
 from tallyloom.llm.common import table
-from tallyloom.operators.staging import release_staged, stage, staged_paths
+from tallyloom.operators.staging import release_shuffles, release_staged, stage, staged_paths, unstage
 
 Step = Callable[[SparkSession, DataFrame, str], DataFrame]
 _LEFT: list[str] = []  # intermediate tables of the stage before
@@ -29,6 +29,7 @@ def _stage(step: Step) -> Step:
     @wraps(step)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         release_staged(spark, _LEFT)
+        release_shuffles(spark)
         before = set(staged_paths())
         result = step(spark, docs, sf_dir)
         _LEFT[:] = [path for path in staged_paths() if path not in before]
@@ -73,7 +74,9 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of a folder."""
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for _, step in STAGES:
         docs = stage(step(spark, docs, sf_dir))
+        unstage(last)
+        last = docs
     return docs

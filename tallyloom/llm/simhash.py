@@ -18,7 +18,8 @@ without an id keeps its fingerprint and gets the component of its fingerprint (n
 component has an id). An empty table gives an empty result. Further columns are ignored.
 
 `keep_one`, the stage of a pipeline, has no contract of its own: it takes five-word shingles, candidates by
-wider fingerprints at a radius calibrated to the similarity, and the exact Jaccard similarity of each candidate.
+wider fingerprints at a radius calibrated to the similarity, and the exact Jaccard similarity of each candidate. Where
+the parities of two sets already show that they differ by too much, which is certain, they are no candidate.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 from tallyloom.config import LIMITS
 from tallyloom.llm.common import connected_components, local_stars, tidy
 from tallyloom.operators.skew import fresh, lookup_join
-from tallyloom.operators.staging import stage, unstage
+from tallyloom.operators.staging import release_shuffles, stage, unstage
 
 SEED = 42
 PARTS = 4  # 64-bit fingerprints of a text in `keep_one`
@@ -208,6 +209,30 @@ def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)
 
 
+def parities(hashes: np.ndarray, most: int = 4_096) -> bytes:
+    """Bits that tell whether an odd number of a set's hashes falls on them; 2 to 4 bits a hash, `most` in all.
+
+    Hashes of both sets cancel out, so the sketches of two sets never differ in more bits than the sets in elements.
+    """
+    bits = min(most, max(64, 1 << (2 * len(hashes) - 1).bit_length())) if len(hashes) else 64
+    odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(sketches: list[bytes], size: int) -> np.ndarray:
+    """Parities at `size` bytes each, as rows of uint64; longer sketches are folded, their halves cancelling out."""
+    out = np.zeros((len(sketches), size), dtype=np.uint8)
+    lengths = np.fromiter(map(len, sketches), dtype=np.int64, count=len(sketches))
+    for length in np.unique(lengths):
+        at = np.flatnonzero(lengths == length)
+        x = np.frombuffer(b"".join(sketches[n] for n in at), dtype=np.uint8).reshape(len(at), length)
+        while x.shape[1] > size:
+            half = x.shape[1] // 2
+            x = x[:, :half] ^ x[:, half:]
+        out[at] = x
+    return out.view(np.uint64)
+
+
 @functools.cache
 def bit_share(similarity: float, most: int = 40) -> float:
     """The largest probability that a fingerprint bit differs between two sets of at least this Jaccard similarity.
@@ -240,34 +265,44 @@ def calibrated_radius(bits: int, similarity: float, missed: float) -> int:
 
 
 def sketches(documents: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
-    """(key, content, node, size, f0, f1, ...) of every row: hash of the text, hash and size of its shingle set, fingerprints."""
+    """(key, content, node, size, f0, f1, ..., odd) of every row: hash of the text, hash and size of its shingle set, fingerprints, parities."""
     source = documents.select(key, F.xxhash64(text).alias("content"), text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node, size = np.zeros(batch.num_rows, dtype=np.uint64), np.zeros(batch.num_rows, dtype=np.int32)
-            parts = np.zeros((PARTS, batch.num_rows), dtype=np.uint64)
+            parts, odd = np.zeros((PARTS, batch.num_rows), dtype=np.uint64), []
             for n, value in enumerate(batch.column(2)):
                 hashes = shingle_set(value.as_py(), shingle)
+                odd.append(parities(hashes))
                 if len(hashes):
                     node[n], size[n], parts[:, n] = xxhash.xxh64_intdigest(hashes.tobytes(), SEED), len(hashes), wide_fingerprint(hashes)
             made = [pa.array(x.view(np.int64)) for x in (node, *parts)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), made[0], pa.array(size), *made[1:]], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), made[0], pa.array(size), *made[1:], pa.array(odd, pa.binary())], names=names)
 
-    names = [key, "content", "node", "size", *(f"f{n}" for n in range(PARTS))]
+    names = [key, "content", "node", "size", *(f"f{n}" for n in range(PARTS)), "odd"]
     longs = ", ".join(f"f{n} long" for n in range(PARTS))
-    return source.mapInArrow(tidy(run), f"{key} {dict(source.dtypes)[key]}, content long, node long, size int, {longs}")
+    return source.mapInArrow(tidy(run), f"{key} {dict(source.dtypes)[key]}, content long, node long, size int, {longs}, odd binary")
 
 
 def closest_rows(a: dict, b: dict | None, radius: int, wide: int, similarity: float, width: int, tile: int = 256) -> tuple:
     """Positions i, j and distances of candidates of different components, the `width` + 1 closest of each row of a.
 
-    a and b hold the arrays component, size, prints (rows x PARTS, uint64) and ones, the population counts of the
-    first part, by which they are sorted: tile pairs whose counts differ beyond the radius are skipped. A candidate pair differs in at
-    most `radius` bits of the first part and `wide` bits in all, and its sizes allow the similarity. b None: inside
-    a, i < j.
+    a and b hold the arrays component, size, prints (rows x PARTS, uint64), odd (parities) and ones, the population
+    counts of the first part, by which they are sorted: tile pairs whose counts differ beyond the radius are skipped.
+    A candidate pair differs in at most `radius` bits of the first part and `wide` bits in all, and its sizes and
+    parities allow the similarity. b None: inside a, i < j.
     """
 
+    def allowed(u, v):
+        """Pairs whose parities differ in no more bits than sets of the similarity differ in elements."""
+        most = (1 - similarity) / (1 + similarity) * (a["size"][u].astype(np.int64) + b["size"][v]) + 1e-6
+        out = np.zeros(len(u), dtype=bool)
+        for at in range(0, len(u), 1 << 13):  # bounded memory
+            some = slice(at, at + (1 << 13))
+            out[some] = np.bitwise_count(a["odd"][u[some]] ^ b["odd"][v[some]]).sum(axis=1, dtype=np.int64) <= most[some]
+        return out
+
     def nearest(found):
         u, v, d = (np.concatenate(x) for x in zip(*found))
         order = np.lexsort((v, d, u))
@@ -294,7 +329,9 @@ def closest_rows(a: dict, b: dict | None, radius: int, wide: int, similarity: fl
             if inside:
                 u, v = u[u < v], v[u < v]
             d = np.bitwise_count(a["prints"][u] ^ b["prints"][v]).sum(axis=1, dtype=np.int64)
-            found.append((u[d <= wide], v[d <= wide], d[d <= wide]))
+            u, v, d = u[d <= wide], v[d <= wide], d[d <= wide]
+            kept = allowed(u, v)
+            found.append((u[kept], v[kept], d[kept]))
             held += len(found[-1][0])
             if held > 1 << 19:
                 found = [nearest(found)]
@@ -329,7 +366,7 @@ def closest_nodes(nodes: DataFrame, radius: int, wide: int, similarity: float, w
         )
     )
     own = F.struct(F.col("level").alias("level"), F.col("block").alias("block"))
-    columns = ["node", "component", "size", *(f"f{n}" for n in range(PARTS))]
+    columns = ["node", "component", "size", *(f"f{n}" for n in range(PARTS)), "odd"]
     sent = placed.withColumn("other", partner).select(
         *columns, F.least(own, F.col("other")).alias("low"), F.greatest(own, F.col("other")).alias("high"), (own <= F.col("other")).alias("first")
     ).select(*columns, "low.level", "low.block", F.col("high.level").alias("level2"), F.col("high.block").alias("block2"), "first")
@@ -338,10 +375,10 @@ def closest_nodes(nodes: DataFrame, radius: int, wide: int, similarity: float, w
         rows["ones"] = np.bitwise_count(rows["f0"].to_numpy(dtype=np.int64).view(np.uint64)).astype(np.int64)
         rows = rows.sort_values(["ones", "component", "node"])
         first = rows["first"].to_numpy(dtype=bool)
-        sides = []
+        sides, shortest = [], min(map(len, rows["odd"]))
         for side in (rows[first], rows[~first]):
             prints = np.stack([side[f"f{n}"].to_numpy(dtype=np.int64) for n in range(PARTS)], axis=1).view(np.uint64)
-            sides.append({"component": side["component"].to_numpy(), "size": side["size"].to_numpy(), "prints": prints, "node": side["node"].to_numpy(), "ones": side["ones"].to_numpy()})
+            sides.append({"component": side["component"].to_numpy(), "size": side["size"].to_numpy(), "prints": prints, "node": side["node"].to_numpy(), "ones": side["ones"].to_numpy(), "odd": folded(side["odd"].tolist(), shortest)})
         inside = key[0] == key[2] and key[1] == key[3]
         x, y = sides[0], None if inside else sides[1]
         i, j, d = closest_rows(x, y, radius, wide, similarity, width)
@@ -371,7 +408,7 @@ def similar_components(
             made = [shingle_set(x.as_py(), shingle).view(np.int64) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int64()))], names=["node", "shingles"])
 
-    links, found, width = None, None, 1
+    found, width = None, 1
     while True:
         placed = nodes.withColumn("component", F.col("node")) if found is None else nodes.join(
             found.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -386,10 +423,11 @@ def similar_components(
         both = lookup_join(left, other, "b", "inner", limits=_SETS).withColumn("both", F.size(F.array_intersect("shingles", "other")))
         near_enough = F.col("both") >= similarity * (F.size("shingles") + F.size("other") - F.col("both")) - 1e-9
         more = stage(both.filter(near_enough).select("a", "b"))
-        links = more if links is None else links.union(more)
+        links = more if found is None else more.union(found.select("id", "component"))  # a component is a star
         earlier, found = found, stage(connected_components(links))
         done = near.filter(F.col("rank") > width).isEmpty()
-        unstage(near, sets, earlier)
+        unstage(near, sets, more, earlier)
+        release_shuffles(documents.sparkSession)
         if done:
             return found
         width *= 16
@@ -421,7 +459,7 @@ def keep_one(
     nodes = stage(
         prints.groupBy("node").agg(
             F.min(F.struct(F.col(key).alias("key"), "content")).alias("owner"), F.min(key).alias("least"), F.first("size").alias("size"),
-            *(F.first(f"f{n}").alias(f"f{n}") for n in range(PARTS)),
+            *(F.first(f"f{n}").alias(f"f{n}") for n in range(PARTS)), F.first("odd").alias("odd"),
         )
     )
     groups = similar_components(documents, nodes, key, text, shingle, similarity, recall, block_rows)

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from tallyloom.config import SizeLimits
 from tallyloom.llm import simhash
@@ -128,3 +129,32 @@ def test_near_dedup_beyond_the_broadcast_bounds(documents, monkeypatch):
     monkeypatch.setattr(simhash, "_SETS", tiny)
     monkeypatch.setattr(simhash, "lookup_join", lambda *a, **k: skew.lookup_join(*a, **{**k, "limits": tiny}))
     assert sorted(r["doc_id"] for r in simhash.keep_one(documents(rows)).collect()) == plain == list(range(12))
+
+
+def test_parities_never_exclude_a_link():
+    rng = np.random.default_rng(8)
+    for size in (1, 5, 31, 32, 33, 300, 3_000):
+        for share in (0.0, 0.05, 0.3, 1.0):
+            x = np.unique(rng.integers(0, 1 << 63, 2 * size, dtype=np.uint64))
+            a = x[:size]
+            b = np.concatenate([a[int(share * size):], x[size:size + int(rng.uniform(0.5, 1.5) * share * size)]])
+            odd = [simhash.parities(a), simhash.parities(b)]
+            rows = simhash.folded(odd, min(map(len, odd)))
+            assert np.bitwise_count(rows[0] ^ rows[1]).sum() <= len(np.setxor1d(a, b))
+
+
+def test_groups_below_the_similarity_make_no_square_of_candidates(documents):
+    rng = random.Random(12)
+    base = [f"w{n}" for n in range(100)]
+    rows = []
+    for n in range(120):
+        text = list(base)
+        for at in rng.sample(range(100), 2):
+            text[at] = f"x{n}_{at}"
+        rows.append((n, " ".join(text)))
+    sets = [set(simhash.shingle_set(t).tolist()) for _, t in rows]
+    links = {(a, b) for a in range(120) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    prints = simhash.sketches(documents(rows), "doc_id", "text", 5).withColumnRenamed("node", "component").withColumn("node", F.col("doc_id"))
+    radius, wide = simhash.calibrated_radius(64, 0.8, 1e-9), simhash.calibrated_radius(256, 0.8, 1e-9)
+    near = {(max(r), min(r)) for r in simhash.closest_nodes(prints, radius, wide, 0.8, 256, 64).select("a", "b").collect()}
+    assert links and links <= near and len(near) < 120 * 119 / 2 / 5
