@@ -304,7 +304,8 @@ def repeated_passages(rows: DataFrame, units: DataFrame, least: int) -> DataFram
 def covered_words(rows: DataFrame, units: DataFrame, least: int) -> DataFrame:
     """(id, row, spans): the stretches (start, words) of a text that its repeated windows cover, apart from each other.
 
-    Whatever documents hold them, there are no more stretches than a text has room for.
+    A further document of the same text has two such sets, which may overlap: what is kept before the text's
+    smallest document, and what is kept there. Whatever documents hold them, there are no more stretches than a text has room for.
     """
     again, read = repeated_windows(rows, units, least)
     # The smallest document of a text loses what is kept before it, others everything.
