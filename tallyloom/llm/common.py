@@ -97,9 +97,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         before, mark = mark, mark_of(state, "u", "v")
         if before == mark:
             break
-    return state.select(F.col("u").alias("id"), F.col("v").alias("component")).union(
+    named = state.select(F.col("u").alias("id"), F.col("v").alias("component")).union(
         state.select("v", "v").distinct()
     )
+    named.staged_path = state.staged_path  # for `unstage`
+    return named
 
 
 def local_stars(a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

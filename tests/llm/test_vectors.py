@@ -1,7 +1,11 @@
+import os
+import time
+
 import numpy as np
 import pytest
 
 from tallyloom.llm import multi_index, vafile
+from tallyloom.operators.staging import release_shuffles
 
 NAN, INF = float("nan"), float("inf")
 ODD = [
@@ -70,6 +74,65 @@ def test_a_pair_found_from_one_side_counts_for_both(vectors, monkeypatch):
     assert sum(r["n_links"] for r in got) < len(linked(rows)[1])  # some pairs are missed here
 
 
+def test_cuts_change_no_link(vectors, monkeypatch):
+    """Cells in parts, regions with several tasks, many rounds that are summed up in between, short steps."""
+    rows = cloud(150, 5, 0.3) + [(1000 + i, [0.0, 1.0] * 4) for i in range(40)] + [(2000, [-0.0, 1.0] * 4)] + ODD
+    rows += rows[100:120] + [(rows[3][0], [5.0] * 8)]  # repeated rows, and an id with two vectors
+    whole = sorted(map(str, multi_index.near_duplicates(vectors(rows)).collect()))
+    monkeypatch.setattr(multi_index, "_REGION_BYTES", 1)
+    monkeypatch.setattr(multi_index, "_TASK_BYTES", 1)
+    monkeypatch.setattr(multi_index, "_STEP_BYTES", 500)
+    monkeypatch.setattr(multi_index, "_STEP_PAIRS", 7)
+    seen, summed = [], []
+    real_deal, real_summed = multi_index.Regions.deal, multi_index.summed
+    monkeypatch.setattr(multi_index.Regions, "deal", lambda plan, *a: seen.append(real_deal(plan, *a)) or seen.append(plan) or seen[0])
+    monkeypatch.setattr(multi_index, "summed", lambda found: summed.append(len(found)) or real_summed(found))
+    cut = sorted(map(str, multi_index.near_duplicates(vectors(rows), block_rows=3, region_bytes=800, round_bytes=75_000).collect()))
+    rounds, plan = seen
+    assert rounds > 1 and max(p.max() for p in plan.parts.values()) > 1 and plan.tasks > len(plan.width) and len(summed) > 1
+    assert cut == whole
+
+
+def test_links_need_a_few_copies_of_the_table_on_disk(spark, vectors, monkeypatch):
+    """A vector visits many cells; staged tables and shuffle files stay a small multiple of the vectors."""
+    rng = np.random.default_rng(6)
+    n, dim = 1_600, 128
+    x = rng.standard_normal((n, dim))
+    x[: n // 8] = x[n // 8 : n // 4] + 0.05 * x[n // 4 : 3 * n // 8]
+    rows = vectors([(i, v) for i, v in enumerate(x.tolist())])
+    folders = [d.getPath() for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+
+    def size(top, start=""):
+        return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(top) for f in names if f.startswith(start))
+
+    def shuffled():
+        return sum(size(d, "shuffle_") for d in folders)
+
+    def settled():
+        """Files of earlier steps go soon after `release_shuffles`, not at once."""
+        for _ in range(20):
+            if shuffled() > before:
+                time.sleep(0.1)
+        return shuffled()
+
+    release_shuffles(spark)
+    time.sleep(1)
+    before, staged, peaks, real = shuffled(), [], [], multi_index.stage
+
+    def watched(df):
+        now = settled()
+        table = real(df)
+        staged.append(table.staged_path.removeprefix("file:"))
+        peaks.append(sum(size(p) for p in staged if os.path.exists(p)) + shuffled() - min(now, before))
+        return table
+
+    monkeypatch.setattr(multi_index, "stage", watched)
+    limit = {"round_bytes": 1} if hasattr(multi_index, "Regions") else {}
+    found = multi_index.near_duplicates(rows, **limit).collect()
+    assert sum(r["n_links"] for r in found) >= 0.95 * 2 * (n // 8)
+    assert max(peaks) < 4 * 4 * n * dim
+
+
 def test_embedding_edge_tables(vectors):
     assert multi_index.near_duplicates(vectors([])).collect() == []
     twice = multi_index.near_duplicates(vectors([(3, [1.0, 0.0]), (3, [1.0, 0.0]), (5, [0.0, 1.0])])).collect()
